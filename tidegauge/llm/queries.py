@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.llm import decontaminate as contamination_op
+from tidegauge.llm import quality, toxicity
+from tidegauge.llm.sample import held_out
 from tidegauge.llm.shards import ShardStore
 from tidegauge.llm.shared import scratch_path
 
@@ -14,6 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _with_fold(scores: DataFrame) -> DataFrame:
+    return scores.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _with_fold(toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _with_fold(quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels"))))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each document lies once its arrivals are compacted, read from the shards of the last manifest."""
     docs = table(spark, sf_dir, "documents")
@@ -38,7 +54,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_sharding": op3_sharding, "op9_decontamination": op9_decontamination}
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op3_sharding": op3_sharding,
+    "op6_quality": op6_quality,
+    "op9_decontamination": op9_decontamination,
+}
 
 ORACLES = {
     "op9_decontamination": r"""
