@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from tidegauge.llm import bpe, quality, token_files, toxicity
 from tidegauge.llm import decontaminate as contamination_op
-from tidegauge.llm import quality, toxicity
 from tidegauge.llm.sample import held_out
 from tidegauge.llm.shards import ShardStore
 from tidegauge.llm.shared import scratch_path
@@ -25,6 +27,17 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_fold(toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.with_crc32(token_files.read(spark, path))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).withColumnRenamed("id", "doc_id")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return _with_fold(quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels"))))
@@ -57,7 +70,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_sharding": op3_sharding,
+    "op5_token_files": op5_token_files,
     "op6_quality": op6_quality,
+    "op7_byte_bpe": op7_byte_bpe,
     "op9_decontamination": op9_decontamination,
 }
 
