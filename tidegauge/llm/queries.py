@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidegauge.llm import bpe, quality, token_files, toxicity
+from tidegauge.llm import bpe, quality, substrings, token_files, toxicity
 from tidegauge.llm import decontaminate as contamination_op
 from tidegauge.llm.sample import held_out
 from tidegauge.llm.shards import ShardStore
@@ -60,6 +60,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", "removed", "text")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination_op.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -73,6 +78,7 @@ QUERIES = {
     "op5_token_files": op5_token_files,
     "op6_quality": op6_quality,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_substrings": op8_substrings,
     "op9_decontamination": op9_decontamination,
 }
 
