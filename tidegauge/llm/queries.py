@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidegauge.llm import bpe, quality, substrings, token_files, toxicity
+from tidegauge.llm import bpe, embeddings, quality, substrings, token_files, toxicity
 from tidegauge.llm import decontaminate as contamination_op
 from tidegauge.llm.sample import held_out
 from tidegauge.llm.shards import ShardStore
@@ -72,6 +72,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_sharding": op3_sharding,
@@ -80,9 +84,21 @@ QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_substrings": op8_substrings,
     "op9_decontamination": op9_decontamination,
+    "op10_embeddings": op10_embeddings,
 }
 
 ORACLES = {
+    "op10_embeddings": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links,
+       least(e.vec_id, coalesce((SELECT min(b) FROM r WHERE r.a = e.vec_id), e.vec_id)) AS component_id,
+       e.vec_id <= coalesce((SELECT min(b) FROM r WHERE r.a = e.vec_id), e.vec_id) AS kept
+FROM embeddings e
+""",
     "op9_decontamination": r"""
 WITH pat AS (SELECT '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+' AS p),
 iw AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), (SELECT p FROM pat)) AS w FROM benchmark WHERE text IS NOT NULL),
