@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidegauge.llm import bpe, embeddings, quality, substrings, token_files, toxicity
+from tidegauge.llm import bpe, embeddings, minhash, quality, substrings, token_files, toxicity
 from tidegauge.llm import decontaminate as contamination_op
 from tidegauge.llm.sample import held_out
 from tidegauge.llm.shards import ShardStore
@@ -27,6 +27,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_fold(toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_files.write(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -79,6 +83,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_sharding": op3_sharding,
+    "op4_minhash": op4_minhash,
     "op5_token_files": op5_token_files,
     "op6_quality": op6_quality,
     "op7_byte_bpe": op7_byte_bpe,
