@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidegauge.llm import bpe, embeddings, minhash, quality, substrings, token_files, toxicity
+from tidegauge.llm import bpe, embeddings, line_dedup, minhash, quality, substrings, token_files, toxicity
 from tidegauge.llm import decontaminate as contamination_op
 from tidegauge.llm.sample import held_out
 from tidegauge.llm.shards import ShardStore
@@ -47,6 +47,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_fold(quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels"))))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_removed", "removed_lines", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each document lies once its arrivals are compacted, read from the shards of the last manifest."""
     docs = table(spark, sf_dir, "documents")
@@ -82,6 +87,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_line_dedup": op2_line_dedup,
     "op3_sharding": op3_sharding,
     "op4_minhash": op4_minhash,
     "op5_token_files": op5_token_files,
