@@ -20,8 +20,8 @@ def window_grid(spark, start, end, duration: str) -> DataFrame:
     step = F.expr(f"interval {interval(duration)}")
     bounds = spark.range(1).select(F.lit(start).cast("timestamp").alias("s"), F.lit(end).cast("timestamp").alias("e"))
     first = F.window(F.col("s"), interval(duration))["start"]
-    bounds = bounds.select(first.alias("first"), "e").where("first < e")
-    return bounds.select(F.explode(F.sequence("first", F.col("e") - F.expr("interval 1 microsecond"), step)).alias("window_start")).select(
+    bounds = bounds.where("s < e").select(first.alias("first"), "e")
+    return bounds.select(F.explode(F.sequence("first", F.greatest("first", F.col("e") - F.expr("interval 1 microsecond")), step)).alias("window_start")).select(
         "window_start", (F.col("window_start") + step).alias("window_end")
     )
 

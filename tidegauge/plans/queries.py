@@ -139,7 +139,7 @@ def perf_regression(spark, sf_dir):
     model = Model((), ("l_returnflag",))
     pairs = slices(ev.lines(spark, sf_dir), model)
     m = me.evaluate(pairs, (Metric("rmse"), Metric("mae")), ["window_start", *SLICE])
-    return m.select(_day(), *SLICE, "metric_name", F.round("value", 4).alias("value"), "n_labeled")
+    return m.select(_day(), *SLICE, "metric_name", F.round(F.col("value") + 1e-7, 4).alias("value"), "n_labeled")
 
 
 def perf_documents(spark, sf_dir):
