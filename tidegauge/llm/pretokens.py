@@ -18,8 +18,6 @@ import pyarrow as pa
 
 from tidegauge.llm import text as tx
 
-#: Bytes of text cut at once.
-CHUNK_BYTES = 6 << 20
 OTHER, LETTER, NUMBER, SPACE, UNSTABLE = range(5)
 #: The White_Space characters.
 WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]

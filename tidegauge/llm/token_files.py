@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm import text as tx
-from tidegauge.llm.pretokens import CHUNK_BYTES, pretokens, spans
+from tidegauge.llm.pretokens import pretokens, spans
 
 #: Distinct words a Python worker remembers before it starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 800_000
+#: Bytes of text encoded at once.
+CHUNK_BYTES = 3 << 20
 ROW_INDEX_STRIDE = 10_000
 STRIPE_BYTES = 64 << 20
 
@@ -138,10 +140,10 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_c
 def read(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids``: the ids and how many ids stand before them in all files."""
     rows = spark.read.orc(path)
-    # One row a file.
+    # One row a file, and no more files than shuffle partitions: fit to be broadcast.
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     offset = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("offset"))
-    return rows.join(offset, "file").select("doc_id", (F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids")
+    return rows.join(F.broadcast(offset), "file").select("doc_id", (F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids")
 
 
 def with_crc32(tokens: DataFrame) -> DataFrame:
