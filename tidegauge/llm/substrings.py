@@ -11,7 +11,9 @@ Digests are grouped over the corpus with pre-aggregation; the occurrence of the
 lowest document id, and in it the first, is kept and the others are repeats.
 Overlapping and touching repeats of a document are joined; a joined stretch is
 removed when it has ``MIN_WORDS`` words or more, and a repeated line always.
-``removed`` keeps the byte offsets of what went, in the original text.
+``removed`` keeps the byte offsets of what went, in the original text.  Where a
+copy begins or ends inside a line, the words up to the next anchor (six on
+average) stay.
 
 Edge cases: null and empty texts have no units and pass unchanged; rows of one
 id have one rank and are not repeats of each other; rows with a null id rank
