@@ -1,28 +1,32 @@
-"""Clusters of near copies from candidate buckets, without all pairs of a bucket.
+"""Clusters of near copies from candidate buckets, without emitting a bucket's pairs.
 
 A bucket's members are first verified against its smallest member; components
-of the verified links then settle most buckets.  In a bucket that still holds
-several components, only members outside its largest component have anything
-left to meet, and each of them meets the members of other components.  Every
-candidate pair is so either verified, or already inside one component.
+of the verified links then settle most buckets.  The members of a bucket that
+still holds several components, and someone outside the largest who has not met
+the others, are brought together in blocks of bounded size.  A block compares
+its members of different components inside its task and returns a spanning
+forest of the links it finds.  Every candidate pair is so either verified, or
+already inside one component.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.shared import connected_components, written
 
-#: Rounds of one hub a bucket before the rest of the pairs are formed at once.
-HUB_ROUNDS = 4
-#: Pairs for each bucket entry that may be formed at once before those rounds end.
-PAIRS_AN_ENTRY = 8
+#: Members of half a block, in expectation.
+BLOCK = 256
 
+#: Which of the pairs of payloads pass.
 Verify = Callable[[list[bytes], list[bytes]], list[bool]]
+#: Links (i, j) among payloads, of members whose numbers of component differ.
+Links = Callable[[list[bytes], np.ndarray], Iterator[tuple[int, int]]]
 
 
 def verified(pairs: DataFrame, items: DataFrame, verify: Verify) -> DataFrame:
@@ -37,41 +41,54 @@ def verified(pairs: DataFrame, items: DataFrame, verify: Verify) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
-def clusters(entries: DataFrame, payloads: Callable[[DataFrame], DataFrame], verify: Verify) -> DataFrame:
+def one_by_one(verify: Callable[[bytes, bytes], bool]) -> Links:
+    """Links by a pairwise test; members that a link has joined are not tested again."""
+
+    def links(payloads: list[bytes], parts: np.ndarray) -> Iterator[tuple[int, int]]:
+        root = parts.copy()
+        for i in range(len(payloads)):
+            for j in np.flatnonzero(root[i + 1 :] != root[i]) + i + 1:
+                if root[i] != root[j] and verify(payloads[i], payloads[j]):
+                    root[root == root[j]] = root[i]
+                    yield i, int(j)
+
+    return links
+
+
+def clusters(entries: DataFrame, payloads: Callable[[DataFrame], DataFrame], verify: Verify, links: Links, block: int = BLOCK) -> DataFrame:
     """``node, component`` of every node that has a verified link.
 
-    ``entries`` has ``key`` and ``node``: members of candidate buckets, each at
-    most once.  ``payloads`` gets the nodes (column ``node``) that share a bucket
-    and returns ``node, payload``.
+    ``entries`` has ``key`` and ``node``: members of candidate buckets.
+    ``payloads`` gets the nodes (column ``node``) that share a bucket and returns
+    ``node, payload``.
     """
     hubs = entries.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
-    live = written(entries.join(hubs, "key").select("key", "node", "hub"), "buckets")
+    live = written(entries.join(hubs, "key").select("key", "node", "hub").distinct(), "buckets")
     items = written(payloads(live.select("node").distinct()), "items")
-    edges = written(verified(live.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), items, verify), "edges")
-    parts = written(connected_components(edges), "parts")
-    # (key, node) that met all of its bucket.
-    met = live.where("node = hub").select("key", "node", F.lit(True).alias("met"))
-    for turn in range(HUB_ROUNDS + 1):
-        of = live.select("key", "node").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-        sizes = of.groupBy("key", "part").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("key").agg(F.max(F.struct("n", "part")).alias("big"), F.count("*").alias("parts"), F.sum("n").alias("all")).where("parts > 1")
-        open_ = of.join(largest.select("key", F.col("big.part").alias("big"), "all"), "key")
-        open_ = written(open_.join(met, ["key", "node"], "left").select("key", "node", "part", "all", (F.col("met").isNull() & (F.col("part") != F.col("big"))).alias("ask")), "open")
-        left = open_.where("ask").agg(F.sum("all").alias("pairs"), F.count("*").alias("n")).first()
-        if not left["n"]:
-            break
-        ask = open_.where("ask").select("key", F.col("node").alias("x"), F.col("part").alias("px"))
-        at_once = turn == HUB_ROUNDS or left["pairs"] <= PAIRS_AN_ENTRY * open_.count()
-        if not at_once:
-            first = ask.groupBy("key").agg(F.min(F.struct("x", "px")).alias("h"))
-            ask = first.select("key", "h.x", "h.px")
-            met = written(met.unionByName(ask.select("key", F.col("x").alias("node"), F.lit(True).alias("met"))), "met")
-        pairs = (
-            ask.join(open_.select("key", "node", "part"), "key").where("part <> px")
-            .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-        )
-        new = verified(pairs, items, verify).unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        parts = written(connected_components(new), "parts")
-        if at_once:
-            break
-    return parts
+    pairs = live.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    parts = written(connected_components(verified(pairs, items, verify)), "parts")
+
+    of = live.join(parts, "node", "left").select("key", "node", "hub", F.coalesce("component", "node").alias("part"))
+    sizes = of.groupBy("key", "part").agg(F.count("*").alias("n"), F.max((F.col("node") == F.col("hub")).cast("int")).alias("has_hub"))
+    # Open: besides the part of the hub, which has met everyone, and its like, two parts remain that have not met.
+    rest = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("all"), F.max(F.when(F.col("has_hub") == 1, F.col("n"))).alias("hub_n"))
+    rest = rest.where((F.col("parts") > 2) | ((F.col("parts") == 2) & (F.col("hub_n") > 1)))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("all") / block)).cast("int")
+    open_ = of.join(rest.select("key", blocks.alias("blocks")), "key").join(items, "node")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    open_ = open_.select("key", "node", "part", "payload", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = open_.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "part", "payload")
+
+    def compare(t: pa.Table) -> pa.Table:
+        node = t.column("node").to_numpy()
+        number = np.unique(t.column("part").to_numpy(), return_inverse=True)[1]
+        found = list(links(t.column("payload").to_pylist(), number)) if len(node) > 1 and number.max() else []
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"a": node[a], "b": node[b]}, schema=_EDGES)
+
+    new = dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+    known = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return written(connected_components(new.unionByName(known)), "parts")
+
+
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm import text as tx
-from tidegauge.llm.clusters import clusters
+from tidegauge.llm.clusters import clusters, one_by_one
 from tidegauge.llm.pretokens import WHITE
 
 EDITS = 2
@@ -181,7 +181,7 @@ def linked_lines(source: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     def payloads(nodes: DataFrame) -> DataFrame:
         return _payloads(source, min_chars).join(nodes, "node", "left_semi").groupBy("node").agg(F.max("payload").alias("payload"))
 
-    return clusters(_entries(source, edits, min_chars), payloads, lambda a, b: _verify(a, b, edits))
+    return clusters(_entries(source, edits, min_chars), payloads, lambda a, b: _verify(a, b, edits), one_by_one(lambda a, b: similar(a.decode(), b.decode(), edits)))
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:

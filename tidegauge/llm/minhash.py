@@ -133,6 +133,37 @@ def _pass(a: list[bytes], b: list[bytes], least: float) -> list[bool]:
     return [probability_jaccard(x, y) >= least - 1e-12 for x, y in zip(a, b, strict=True)]
 
 
+def _links(payloads: list[bytes], parts: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
+    """Links among documents of different components, from the matrix of their shared shingles.
+
+    With X and Y the shares of the two documents' weight that is common, the
+    similarity is at most XY / (Y + (1 - Y) X), and that exactly when all
+    weights are 1; other pairs within the bound are computed one by one.
+    """
+    opened = [_open(p) for p in payloads]
+    size = np.array([len(h) for h, _ in opened])
+    doc = np.repeat(np.arange(len(opened)), size)
+    h = np.concatenate([h for h, _ in opened])
+    weight = np.concatenate([w for _, w in opened]).astype(np.float32)
+    total = np.bincount(doc, weight, minlength=len(opened))
+    order = np.argsort(h, kind="stable")
+    h, doc, weight = h[order], doc[order], weight[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    stop = np.append(first[1:], len(h))
+    common = np.zeros((len(opened), len(opened)), np.float32)  # weight of row's shingles that column has too
+    for a, z in zip(first[stop - first > 1].tolist(), stop[stop - first > 1].tolist(), strict=True):
+        common[np.ix_(doc[a:z], doc[a:z])] += weight[a:z, None]
+    x = common / np.maximum(total, 1)[:, None]
+    y = x.T
+    bound = x * y / np.maximum(y + (1 - y) * x, 1e-9)
+    plain = total == size
+    root = parts.copy()
+    for i, j in zip(*np.nonzero(np.triu((bound >= least - 1e-5) & (parts[:, None] != parts[None, :]), 1)), strict=True):
+        if root[i] != root[j] and (plain[i] and plain[j] and bound[i, j] >= least + 1e-5 or probability_jaccard(payloads[i], payloads[j]) >= least - 1e-12):
+            root[root == root[j]] = root[i]
+            yield int(i), int(j)
+
+
 def signatures(source: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``id, digest, keys`` of ``source(id, text)``; texts without words are left out."""
 
@@ -174,7 +205,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
         texts = source.join(wanted, "id", "left_semi")
         return _payloads(texts, shingle).join(nodes, "node", "left_semi").groupBy("node").agg(F.max("payload").alias("payload"))
 
-    parts = clusters(entries, payloads, lambda a, b: _pass(a, b, similarity))
+    parts = clusters(entries, payloads, lambda a, b: _pass(a, b, similarity), lambda p, parts: _links(p, parts, similarity))
     named = classes.join(parts.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "first", F.coalesce("component", "digest").alias("root"))
     low = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of_class = named.join(low, "root").select("digest", "component_id")
