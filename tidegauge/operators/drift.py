@@ -116,7 +116,8 @@ def drift(live: DataFrame, baseline: DataFrame, profiled: DataFrame, bins: DataF
     base_sizes = slices(baseline, model).groupBy(*SLICE).agg(F.count("*").alias("n_base_slice"))
     grid = sizes.join(whole, KEYS).join(F.broadcast(tests))  # one row per configured test
     grid = grid.where("segment_dimension is null or segment_dimension <> feature_name")
-    grid = grid.where((F.col("n_predictions") >= profile.min_window_size) | F.col("segment_dimension").isNull())
+    if gated:
+        grid = grid.where((F.col("n_predictions") >= profile.min_window_size) | F.col("segment_dimension").isNull())
     on = ["feature_name", *SLICE]
     counted = slice_counts(live, model, bins, KEYS).select(*KEYS, *on, F.col("counts").alias("live"), F.col("n").alias("n_l"))
     r = _of_slice(grid, base_sizes, SLICE)
@@ -144,8 +145,8 @@ def _judged(r: DataFrame, model: Model, profile: Profile, gated: bool) -> DataFr
         .when(method == "chi_square", F.sqrt(F.col("chi2") / (nb + nl)))
         .when(method == "jsd", col.jsd(base, live))
     )
-    small_window = F.col("n_predictions") < profile.min_window_size
-    small_segment = F.col("segment_dimension").isNotNull() & (F.col("n_slice") < model.min_segment_size)
+    small_window = F.lit(gated) & (F.col("n_predictions") < profile.min_window_size)
+    small_segment = F.lit(gated) & F.col("segment_dimension").isNotNull() & (F.col("n_slice") < model.min_segment_size)
     plain = (
         F.when(nb == 0, NO_BASELINE)
         .when(nl == 0, NO_LIVE)
