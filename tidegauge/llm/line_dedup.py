@@ -2,12 +2,12 @@
 
 Lines are compared without the white space at their ends.  Two lines are
 linked when they are equal, or when their edit distance is at most ``EDITS``
-and a tenth of the shorter one's characters.  A line of length ``l`` is split
-into ``EDITS + 1`` even segments; if two lines are within ``EDITS`` edits, a
+and a tenth of the shorter one's characters.  A line that may differ by ``e``
+edits is split into ``e + 1`` even segments; if two lines are within ``e`` edits, a
 segment of the shorter occurs in the longer at a start that the two lengths and
 the segment's number confine to a few places.  Each distinct line so enters
 buckets keyed by (length, segment number, segment text): its own segments, and
-the substrings it would share with lines up to ``EDITS`` characters shorter.
+the substrings it would share with lines up to ``e`` characters shorter.
 Lines that meet in a bucket are verified by a banded bit-parallel distance.
 
 Linked lines form groups; the occurrence of the lowest document id, and in it
@@ -34,6 +34,8 @@ from tidegauge.llm.pretokens import WHITE
 
 EDITS = 2
 MIN_CHARS = 10
+#: Hashes of candidate lines (8 bytes each) that may be broadcast.
+BROADCAST_NODES = 1_000_000
 RESULT = ("n_lines", "n_removed", "removed_lines")
 
 
@@ -70,18 +72,25 @@ class Lines:
 
 
 def bucket_keys(hasher: tx.Hasher, lo: np.ndarray, length: np.ndarray, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions in ``lo``, keys) of the segments and probes of lines that begin at ``lo``."""
-    parts = edits + 1
+    """(positions in ``lo``, keys) of the segments and probes of lines that begin at ``lo``.
+
+    A shorter line of few characters may differ by fewer edits, and is split
+    into fewer, longer segments.
+    """
     for delta in range(edits + 1):
-        size = length - delta
-        for i in range(parts):
-            width = np.where(i >= parts - size % parts, size // parts + 1, size // parts)
-            begin = i * (size // parts) + np.maximum(0, i - (parts - size % parts))
-            for shift in range(max(-i, delta - (edits - i)), min(i, delta + (edits - i)) + 1):
-                at = begin + shift
-                use = np.flatnonzero((size >= min_chars) & (at >= 0) & (at + width <= length))
-                h = hasher(lo[use] + at[use], lo[use] + at[use] + width[use])
-                yield use, tx.mix(h + (size[use] * parts + i).astype(np.uint64) * tx._BASE)
+        for e in range(max(delta, 1), edits + 1):
+            size = length - delta
+            mine = np.flatnonzero((size >= min_chars) & (np.minimum(edits, size // 10) == e))
+            size, start, whole = size[mine], lo[mine], length[mine]
+            parts = e + 1
+            for i in range(parts):
+                width = np.where(i >= parts - size % parts, size // parts + 1, size // parts)
+                begin = i * (size // parts) + np.maximum(0, i - (parts - size % parts))
+                for shift in range(max(-i, delta - (e - i)), min(i, delta + (e - i)) + 1):
+                    at = begin + shift
+                    use = np.flatnonzero((at >= 0) & (at + width <= whole))
+                    h = hasher(start[use] + at[use], start[use] + at[use] + width[use])
+                    yield mine[use], tx.mix(h + (size[use] * (edits + 1) + i).astype(np.uint64) * tx._BASE)
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -179,7 +188,9 @@ def linked_lines(source: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     """``node, component`` of distinct lines that are linked to others."""
 
     def payloads(nodes: DataFrame) -> DataFrame:
-        return _payloads(source, min_chars).join(nodes, "node", "left_semi").groupBy("node").agg(F.max("payload").alias("payload"))
+        # A short list of hashes spares the texts a shuffle; a longer one is joined by it.
+        few = nodes.count() <= BROADCAST_NODES
+        return _payloads(source, min_chars).join(F.broadcast(nodes) if few else nodes, "node", "left_semi").groupBy("node").agg(F.max("payload").alias("payload"))
 
     return clusters(_entries(source, edits, min_chars), payloads, lambda a, b: _verify(a, b, edits), one_by_one(lambda a, b: similar(a.decode(), b.decode(), edits)))
 
