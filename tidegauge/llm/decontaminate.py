@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.llm.shared import written
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -121,7 +123,8 @@ def contamination(
         ),
         lambda s: s["n"],
     )
-    per_doc = per_doc.withColumn("n_hit", covered)
+    # Written once: the texts are cut and hashed a single time for both uses.
+    per_doc = written(per_doc.withColumn("n_hit", covered), "hits")
     pairs = (
         per_doc.where(F.size("_hits") > 0)
         .select("_row", F.explode(F.array_distinct(F.transform("_hits", lambda h: F.struct(h["k"].alias("k"), h["wid"].alias("wid"))))).alias("h"))
