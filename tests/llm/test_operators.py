@@ -347,6 +347,23 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rank", [1, 4, 64])
+def test_embeddings_lose_no_link(spark, rank):
+    rng = np.random.default_rng(rank)
+    axes, base = np.linalg.qr(rng.normal(size=(64, rank)))[0], embeddings.unit(rng.normal(size=(600, 64)))
+    offset = embeddings.unit(rng.normal(size=(600, rank)) @ axes.T)
+    x = np.concatenate([base, base + 0.42 * offset, base[:1] + 0.25 * embeddings.unit(rng.normal(size=(200, 64)))]).astype(np.float32)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = embeddings.unit(x.astype(float))
+    link = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
+    got = {r["id"]: r for r in embeddings.near_duplicates(d, block=128).collect()}
+    assert [got[i]["n_links"] for i in range(len(x))] == link.sum(1).tolist() and link.sum() > 1_000
+    low = np.arange(len(x))
+    for _ in range(30):
+        low = np.where(link, low[None, :], low[:, None]).min(1)
+    assert [got[i]["component_id"] for i in range(len(x))] == low.tolist()
+
+
 # -- pipeline
 
 
