@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines are cut; a document that held nothing else goes with them."""
-    cut = line_dedup.without_repeated_lines(docs)
+    cut = line_dedup.without_repeated_lines(docs, exact_chars=1)
     return _with_length(cut.where("n_removed = 0 or trim(text) <> ''"), docs)
 
 

@@ -161,6 +161,24 @@ def test_line_dedup_against_brute_force(spark, docs, none, odd):
     assert line_dedup.without_repeated_lines(none).count() == 0 and line_dedup.without_repeated_lines(odd).count() == len(ODD)
 
 
+def test_short_lines_are_grouped_when_equal(spark):
+    from tidegauge.llm import queries
+
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = {r["doc_id"]: set(r["removed_lines"]) for r in queries.op2_line_dedup(spark, SF).collect()}
+    at = defaultdict(list)
+    for i, t in sorted(docs):
+        for n, line in enumerate(t.split("\n")):
+            if 0 < len(line.strip()) < 10:
+                at[line.strip()].append((i, n))
+    assert any(len(p) > 1 for p in at.values())
+    for places in at.values():
+        assert [n in got[i] for i, n in places] == [False] + [True] * (len(places) - 1)
+    d = spark.createDataFrame([(1, "Les.\n\nLet."), (2, " Les. \n\nLes\nLet.")], "doc_id long, text string")
+    cut = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_lines(d, exact_chars=1).collect()}
+    assert cut == {1: "Les.\n\nLet.", 2: "\nLes"}
+
+
 # -- 3
 
 

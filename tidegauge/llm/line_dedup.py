@@ -13,8 +13,12 @@ Lines that meet in a bucket are verified by a banded bit-parallel distance.
 Linked lines form groups; the occurrence of the lowest document id, and in it
 the first, is kept and the others go.
 
-Edge cases: lines of fewer than ``MIN_CHARS`` characters are neither compared
-nor removed; null and empty texts pass unchanged; rows of one id have one rank:
+Lines of fewer than ``min_chars`` characters (``MIN_CHARS``) may not differ at
+all and stay out of the edit join; those of ``exact_chars`` characters or more
+are still grouped when they are equal.
+
+Edge cases: lines of fewer than ``exact_chars`` characters, and empty ones, are
+neither compared nor removed; null and empty texts pass unchanged; rows of one id have one rank:
 each keeps its first occurrence; rows with a null id rank last; further
 columns pass through, those named like a result column are replaced.
 """
@@ -195,14 +199,17 @@ def linked_lines(source: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     return clusters(_entries(source, edits, min_chars), payloads, lambda a, b: _verify(a, b, edits), one_by_one(lambda a, b: similar(a.decode(), b.decode(), edits)))
 
 
-def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` without repeated lines, and ``n_lines, n_removed, removed_lines`` (0-based line numbers) added."""
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
+    """``docs`` without repeated lines, and ``n_lines, n_removed, removed_lines`` (0-based line numbers) added.
+
+    Equal lines count from ``exact_chars`` characters on, by default from ``min_chars``; 1 takes every line that is not empty.
+    """
     keep = [f for f in docs.schema if f.name not in RESULT]
     names = [f.name for f in keep]
     row = F.xxhash64(docs[id_col], docs[text_col])
     source = docs.select(row.alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
     parts = linked_lines(source, edits, min_chars)
-    lines = occurrences(source, min_chars).join(parts, "node", "left").select("row", "id", "line", F.coalesce("component", "node").alias("g"))
+    lines = occurrences(source, min_chars if exact_chars is None else max(1, exact_chars)).join(parts, "node", "left").select("row", "id", "line", F.coalesce("component", "node").alias("g"))
     # One entry a document and group; rows that repeat a whole document count once.
     held = lines.groupBy("row", "id", "g").agg(F.sort_array(F.collect_set("line")).alias("lines"))
     groups = held.groupBy("g").agg(F.min("id").alias("low"), F.sum(F.size("lines")).alias("n")).where("n > 1")

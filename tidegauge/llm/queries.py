@@ -48,7 +48,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), exact_chars=1)
     return cut.select("doc_id", "n_lines", "n_removed", "removed_lines", F.sha2("text", 256).alias("text_sha256"))
 
 
