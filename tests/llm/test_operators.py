@@ -236,6 +236,13 @@ def test_minhash_against_brute_force(spark, docs, odd, none):
     assert {r["doc_id"] for r in kept} == {1, 2, 3, 4, 5, 8, 9, 10, None} and minhash.groups(none).count() == 0
 
 
+def test_minhash_keeps_each_text_of_an_id(spark):
+    a, b = BASE, " ".join(f"other{i} thing{i % 13}" for i in range(80))
+    d = spark.createDataFrame([(3, a), (5, a), (5, b), (5, None), (9, b), (9, b + " tail")], "doc_id long, text string")
+    assert {r["id"]: (r["component_id"], r["kept"]) for r in minhash.groups(d).collect()} == {3: (3, True), 5: (5, True), 9: (5, False)}
+    assert {(r["doc_id"], r["text"]) for r in minhash.deduplicated(d).collect()} == {(3, a), (5, b), (5, None)}
+
+
 def test_links_of_a_block():
     texts = [BASE, BASE + " tail", BASE[:400] + " x y z", LONG[:900], BASE + " " + BASE]
     p = [payload(t) for t in texts]

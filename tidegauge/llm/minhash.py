@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm import text as tx
@@ -165,7 +165,7 @@ def _links(payloads: list[bytes], parts: np.ndarray, least: float) -> Iterator[t
 
 
 def signatures(source: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``id, digest, keys`` of ``source(id, text)``; texts without words are left out."""
+    """``row, id, digest, keys`` of ``source(row, id, text)``; texts without words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -175,9 +175,11 @@ def signatures(source: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 keys = band_keys(registers(h, doc, weight, len(c))).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1)))
                 some = pa.array(np.bincount(doc, minlength=len(c)) > 0)
-                yield pa.record_batch([b.column("id").slice(c.first, len(c)), pa.array(digest), lists], names=["id", "digest", "keys"]).filter(some)
+                yield pa.record_batch(
+                    [b.column("row").slice(c.first, len(c)), b.column("id").slice(c.first, len(c)), pa.array(digest), lists], names=["row", "id", "digest", "keys"]
+                ).filter(some)
 
-    return source.mapInArrow(run, "id long, digest long, keys array<long>")
+    return source.mapInArrow(run, "row long, id long, digest long, keys array<long>")
 
 
 def _payloads(source: DataFrame, shingle: int) -> DataFrame:
@@ -192,9 +194,14 @@ def _payloads(source: DataFrame, shingle: int) -> DataFrame:
     return source.mapInArrow(run, "node long, payload binary")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """``id, component_id, kept`` of every id: groups of near copies, named by and keeping their smallest id."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
+def _row(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """A hash that tells rows of one id with unlike texts apart."""
+    return F.xxhash64(docs[id_col].cast("long"), docs[text_col])
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: float, shingle: int) -> DataFrame:
+    """``row, id, component_id`` of every row with words: the smallest id of the group of its text."""
+    source = docs.select(_row(docs, id_col, text_col).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
     signed = written(signatures(source, shingle), "signatures")
     # Equal words make one class; its first document stands for it where texts are needed.
     classes = signed.groupBy("digest").agg(F.min("id").alias("first"))
@@ -209,14 +216,24 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     named = classes.join(parts.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "first", F.coalesce("component", "digest").alias("root"))
     low = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of_class = named.join(low, "root").select("digest", "component_id")
-    of_id = signed.select("id", "digest").join(of_class, "digest").groupBy("id").agg(F.min("component_id").alias("component_id"))
+    return signed.select("row", "id", "digest").join(of_class, "digest").select("row", "id", "component_id")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """``id, component_id, kept`` of every id: groups of near copies, named by and keeping their smallest id.
+
+    An id with unlike texts may be in several groups; it is kept when it is the
+    smallest of any, so each group has a kept id, and else named by the smallest.
+    """
+    low, top = F.min("component_id"), F.max("component_id")
+    of_id = _grouped(docs, id_col, text_col, similarity, shingle).groupBy("id").agg(F.when(top == F.col("id"), top).otherwise(low).alias("component_id"))
     return (
-        source.select("id").distinct().join(of_id, "id", "left")
+        docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct().join(of_id, "id", "left")
         .select("id", F.coalesce("component_id", "id").alias("component_id"), (F.coalesce("component_id", "id") == F.col("id")).alias("kept"))
     )
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each group."""
-    gone = groups(docs, id_col, text_col, **options).where("not kept").select(F.col("id").alias("_gone"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with the rows of one id of each group; each row goes by its own text."""
+    gone = _grouped(docs, id_col, text_col, similarity, shingle).where("component_id <> id").select(F.col("id").alias("_gone"), F.col("row").alias("_row"))
+    return docs.join(gone, (docs[id_col].cast("long") == F.col("_gone")) & (_row(docs, id_col, text_col) == F.col("_row")), "left_anti")
