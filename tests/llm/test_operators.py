@@ -333,6 +333,19 @@ def test_substrings(spark, odd, none):
     assert left[-1] == "delta" and len(left) < 20
 
 
+def test_every_copy_of_more_than_fifty_words_loses_some(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(3_000)]
+    some = lambda n, of: " ".join(rng.choice(of, n))
+    rows = []
+    for i in range(400):
+        passage = some(51, words if i % 2 else [f"p{i}x{k}" for k in range(6)])
+        rows += [(i, f"{some(30, words)} {passage} {some(30, words)}"), (1_000 + i, f"{some(25, words)} {passage} {some(25, words)}")]
+    got = {r["doc_id"]: r for r in substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(20 <= got[1_000 + i]["n_removed"] <= 51 for i in range(400))
+    assert all(got[i]["n_removed"] == 0 for i in range(1, 400, 2))
+
+
 # -- 9
 
 

@@ -2,18 +2,23 @@
 
 Words are lower-cased runs of letters and digits.  Two kinds of unit are
 hashed: whole lines of ``MIN_LINE_WORDS`` words or more, and stretches between
-anchors.  An anchor is a word whose hash falls in one of ``ANCHOR`` classes, so
-a passage that is copied into the middle of another line is cut at the same
-words there as in its first place; a unit spans two neighbouring cuts' stretches,
-which keeps chance repeats of a few common words out.
+anchors.  An anchor is the word of the lowest hash in some ``WINDOW``
+neighbouring words of a text, so there is one in every ``WINDOW`` words, and a
+passage that is copied into the middle of another line is cut at the same words
+there as in its first place, except in the ``WINDOW - 1`` words at its ends.  A
+unit spans ``SPAN`` neighbouring stretches, which keeps chance repeats of a few
+common words out.
+
+Of a passage of n words at least ``n - 4 * WINDOW + 3`` lie between its first and
+last shared anchors: 22 of 51, so no passage of more than 50 words stays whole.
 
 Digests are grouped over the corpus with pre-aggregation; the occurrence of the
 lowest document id, and in it the first, is kept and the others are repeats.
 Overlapping and touching repeats of a document are joined; a joined stretch is
 removed when it has ``MIN_WORDS`` words or more, and a repeated line always.
 ``removed`` keeps the byte offsets of what went, in the original text.  Where a
-copy begins or ends inside a line, the words up to the next anchor (six on
-average) stay.
+copy begins or ends inside a line, the words up to the next shared anchor stay,
+at most ``2 * WINDOW - 2`` at each end.
 
 Edge cases: null and empty texts have no units and pass unchanged; rows of one
 id have one rank and are not repeats of each other; rows with a null id rank
@@ -33,10 +38,10 @@ from pyspark.sql import types as T
 
 from tidegauge.llm import text as tx
 
-#: One word in so many is an anchor.
-ANCHOR = 6
-#: Longest stretch; bounds those without an anchor.
-MAX_STRETCH = 64
+#: One word at least in so many neighbouring ones is an anchor.
+WINDOW = 8
+#: Stretches of a unit.
+SPAN = 3
 MIN_WORDS = 20
 MIN_LINE_WORDS = 5
 RESULT = ("n_words", "n_removed", "removed")
@@ -61,6 +66,20 @@ class _Ranges:
         return tx.mix((self.sums[stop] - self.sums[first]) * self.inverse[first] + (stop - first).astype(np.uint64))
 
 
+def anchors(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Words that have the lowest hash, and are the last that have it, of ``WINDOW`` words of one text."""
+    h = tx.mix(hashes ^ np.uint64(0xA5))
+    m = len(h) - WINDOW + 1
+    if m <= 0:
+        return np.zeros(0, np.int64)
+    low, at = h[:m].copy(), np.arange(m)
+    for k in range(1, WINDOW):
+        less = np.flatnonzero(h[k : k + m] <= low)
+        low[less] = h[k + less]
+        at[less] = less + k
+    return np.unique(at[doc[:m] == doc[WINDOW - 1 :]])
+
+
 def cut_units(c: tx.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, digest, place and first-in-text flag of each unit; a place packs the kind and the range of word numbers."""
     w = tx.words(c)
@@ -73,26 +92,24 @@ def cut_units(c: tx.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     line_first = text_first.copy()
     line_first[1:] |= line[1:] != line[:-1]
     first = text_first.copy()
-    first[1:] |= tx.mix(w.hash[:-1] ^ np.uint64(0xA5)) % np.uint64(ANCHOR) == 0
-    first[1:] |= w.hash[1:] == w.hash[:-1]  # a repeated word has no anchor of its own to align runs by
-    at = np.flatnonzero(first)
-    first |= (np.arange(n) - np.repeat(at, np.diff(np.append(at, n)))) % MAX_STRETCH == 0
+    first[anchors(w.hash, w.doc)] = True
 
     digest = _Ranges(w.hash)
-    base = np.concatenate([[0], np.cumsum(w.count)])[:-1]  # first word of each text
+    base = np.concatenate([[0], np.cumsum(w.count)])  # first word of each text
     at = np.flatnonzero(first)
-    stop = np.append(at[1:], n)
-    # A stretch with the next one of its text, or a text that is one stretch.
-    paired = np.append(w.doc[at[1:]] == w.doc[at[:-1]], False)
-    alone = ~paired & text_first[at]
-    pair_stop = np.where(paired, np.append(stop[1:], n), stop)
-    use = paired | alone
+    # A stretch with the next ones of its text, or a text of too few stretches.
+    ahead = np.append(at, np.full(SPAN, n))
+    whole = np.zeros(len(at), bool)
+    whole[: len(at) - SPAN + 1] = w.doc[at[SPAN - 1 :]] == w.doc[at[: len(at) - SPAN + 1]] if len(at) >= SPAN else False
+    alone = ~whole & text_first[at]
+    span_stop = np.where(whole, ahead[SPAN:], base[w.doc[at] + 1])
+    use = whole | alone
     lines = np.flatnonzero(line_first)
     line_stop = np.append(lines[1:], n)
     long = line_stop - lines >= MIN_LINE_WORDS
 
     begin = np.concatenate([at[use], lines[long]])
-    end = np.concatenate([pair_stop[use], line_stop[long]])
+    end = np.concatenate([span_stop[use], line_stop[long]])
     kind = np.concatenate([np.zeros(use.sum(), np.uint64), np.full(long.sum(), _LINE)])
     h = digest(begin, end) ^ (kind >> np.uint64(1))
     doc = w.doc[begin]
