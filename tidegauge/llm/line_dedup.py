@@ -20,7 +20,8 @@ are still grouped when they are equal.
 Edge cases: lines of fewer than ``exact_chars`` characters, and empty ones, are
 neither compared nor removed; null and empty texts pass unchanged; rows of one id have one rank:
 each keeps its first occurrence; rows with a null id rank last; further
-columns pass through, those named like a result column are replaced.
+columns pass through, those named like a result column are replaced.  Equal
+64-bit hashes stand for equal lines.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm import text as tx
-from tidegauge.llm.clusters import clusters, one_by_one
+from tidegauge.llm.clusters import clusters, one_against_many
 from tidegauge.llm.pretokens import WHITE
+from tidegauge.llm.shared import dealt_join, pass_through, restored, written
 
 EDITS = 2
 MIN_CHARS = 10
@@ -97,47 +99,94 @@ def bucket_keys(hasher: tx.Hasher, lo: np.ndarray, length: np.ndarray, edits: in
                     yield mine[use], tx.mix(h + (size[use] * (edits + 1) + i).astype(np.uint64) * tx._BASE)
 
 
-def within(a: str, b: str, edits: int) -> bool:
-    """Whether the edit distance of ``a`` and ``b`` is at most ``edits``.
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts, one after another, and where each begins and ends."""
+    size = np.array([len(t) for t in texts], np.int64)
+    end = np.cumsum(size)
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), end - size, end
+
+
+def _shared(pa_: np.ndarray, a: np.ndarray, pb: np.ndarray, b: np.ndarray, n: np.ndarray, step: int) -> np.ndarray:
+    """How many of the ``n`` code points from ``a`` and from ``b`` on (or back, for a ``step`` of -1) agree before one differs."""
+    out = n.copy()
+    some = np.flatnonzero(n > 0)
+    if len(some):
+        size = n[some]
+        first = np.cumsum(size) - size
+        k = np.arange(int(size.sum())) - np.repeat(first, size)
+        unlike = pa_[np.repeat(a[some], size) + step * k] != pb[np.repeat(b[some], size) + step * k]
+        out[some] = np.minimum.reduceat(np.where(unlike, k, np.iinfo(np.int64).max), first)
+    return np.minimum(out, n)
 
-    One word for each number of errors holds a bit for each diagonal of the
-    band: bit ``edits + d`` of ``state[e]`` tells that the first i characters of
-    ``a`` turn into the first i + d of ``b`` with e errors or fewer.
+
+def within_each(a: list[str], b: list[str], edits: np.ndarray) -> np.ndarray:
+    """For each pair whether its edit distance is at most its number of ``edits``.
+
+    What the pair shares at its ends is set aside.  For the middle, one word for
+    each number of errors holds a bit for each diagonal of the band: bit
+    ``top + d`` of ``state[e]`` tells that the first i characters of ``a`` turn
+    into the first i + d of ``b`` with e errors or fewer.  All pairs take a step
+    together, and those that are decided leave.
     """
-    shift = len(b) - len(a)
-    if abs(shift) > edits:
-        return False
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return True
-    pa_, pb = np.frombuffer(a[:n].encode("utf-32-le"), np.uint32), np.frombuffer(b[:n].encode("utf-32-le"), np.uint32)
-    head = int((pa_ != pb).argmax())
-    a, b = a[head:], b[head:]
-    full = (1 << (2 * edits + 1)) - 1
-    state = [1 << edits]
-    for _ in range(edits):
+    edits = np.asarray(edits, np.int64)
+    top = int(edits.max(initial=0))
+    (xa, sa, ea), (xb, sb, eb) = _points(a), _points([*b, "."])  # never without code points
+    sb, eb = sb[:-1], eb[:-1]
+    ok = np.abs((ea - sa) - (eb - sb)) <= edits
+    at = np.flatnonzero(ok)
+    sa, ea, sb, eb, least = sa[at], ea[at], sb[at], eb[at], edits[at]
+    head = _shared(xa, sa, xb, sb, np.minimum(ea - sa, eb - sb), 1)
+    sa, sb = sa + head, sb + head
+    tail = _shared(xa, ea - 1, xb, eb - 1, np.minimum(ea - sa, eb - sb), -1)
+    na, nb = ea - tail - sa, eb - tail - sb
+    full = (1 << (2 * top + 1)) - 1
+    state = [np.full(len(at), 1 << top, np.int64)]
+    for _ in range(top):
         state.append((state[-1] | state[-1] << 1) & full)
-    goal = 1 << (edits + shift)
-    for i, ch in enumerate(a):
-        match = 0
-        for d in range(-edits, edits + 1):
-            if 0 <= i + d < len(b) and b[i + d] == ch:
-                match |= 1 << (edits + d)
+    i = 0
+    while len(at):
+        done = na == i
+        if done.any():
+            reached = np.choose(least[done], [s[done] for s in state]) >> (top + nb[done] - na[done]) & 1
+            ok[at[done]] = reached > 0
+        dead = ~done & (state[top] == 0)
+        ok[at[dead]] = False
+        on = ~(done | dead)
+        at, sa, sb, na, nb, least = at[on], sa[on], sb[on], na[on], nb[on], least[on]
+        state = [s[on] for s in state]
+        if not len(at):
+            break
+        match = np.zeros(len(at), np.int64)
+        ch = xa[sa + i]
+        for d in range(-top, top + 1):
+            real = (i + d >= 0) & (i + d < nb)
+            match |= (real & (xb[np.where(real, sb + i + d, 0)] == ch)).astype(np.int64) << (top + d)
         new = [state[0] & match]
-        for e in range(1, edits + 1):
+        for e in range(1, top + 1):
             new.append(((state[e] & match) | state[e - 1] | state[e - 1] >> 1 | new[e - 1] << 1) & full)
-        state = new
-        if not state[edits]:
-            return False
-    return bool(state[edits] & goal)
+        state, i = new, i + 1
+    return ok
+
+
+def within(a: str, b: str, edits: int) -> bool:
+    return bool(within_each([a], [b], np.array([edits]))[0])
+
+
+def similar_each(a: list[str], b: list[str], edits: int = EDITS) -> np.ndarray:
+    least = np.minimum([len(x) for x in a], [len(x) for x in b]) // 10
+    return within_each(a, b, np.minimum(edits, least))
 
 
 def similar(a: str, b: str, edits: int = EDITS) -> bool:
-    return within(a, b, min(edits, min(len(a), len(b)) // 10))
+    return bool(similar_each([a], [b], edits)[0])
 
 
 def _verify(a: list[bytes], b: list[bytes], edits: int) -> list[bool]:
-    return [similar(x.decode(), y.decode(), edits) for x, y in zip(a, b, strict=True)]
+    return similar_each([x.decode() for x in a], [y.decode() for y in b], edits).tolist()
+
+
+def _verify_many(a: bytes, b: list[bytes], edits: int) -> np.ndarray:
+    return similar_each([a.decode()] * len(b), [y.decode() for y in b], edits)
 
 
 def occurrences(source: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -196,7 +245,7 @@ def linked_lines(source: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
         few = nodes.count() <= BROADCAST_NODES
         return _payloads(source, min_chars).join(F.broadcast(nodes) if few else nodes, "node", "left_semi").groupBy("node").agg(F.max("payload").alias("payload"))
 
-    return clusters(_entries(source, edits, min_chars), payloads, lambda a, b: _verify(a, b, edits), one_by_one(lambda a, b: similar(a.decode(), b.decode(), edits)))
+    return clusters(_entries(source, edits, min_chars), payloads, lambda a, b: _verify(a, b, edits), one_against_many(lambda a, b: _verify_many(a, b, edits)))
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
@@ -204,24 +253,23 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     Equal lines count from ``exact_chars`` characters on, by default from ``min_chars``; 1 takes every line that is not empty.
     """
-    keep = [f for f in docs.schema if f.name not in RESULT]
-    names = [f.name for f in keep]
     row = F.xxhash64(docs[id_col], docs[text_col])
     source = docs.select(row.alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
     parts = linked_lines(source, edits, min_chars)
     lines = occurrences(source, min_chars if exact_chars is None else max(1, exact_chars)).join(parts, "node", "left").select("row", "id", "line", F.coalesce("component", "node").alias("g"))
     # One entry a document and group; rows that repeat a whole document count once.
-    held = lines.groupBy("row", "id", "g").agg(F.sort_array(F.collect_set("line")).alias("lines"))
-    groups = held.groupBy("g").agg(F.min("id").alias("low"), F.sum(F.size("lines")).alias("n")).where("n > 1")
+    held = written(lines.groupBy("row", "id", "g").agg(F.sort_array(F.collect_set("line")).alias("lines")), "held")
+    groups = held.groupBy("g").agg(F.min("id").alias("low"), F.count("*").alias("docs"), F.sum(F.size("lines")).alias("n")).where("n > 1").drop("n")
     later = F.col("id").isNull() & F.col("low").isNotNull() | (F.col("id") > F.col("low"))
-    gone = held.join(groups, "g").select("row", F.when(later, F.col("lines")).otherwise(F.slice("lines", 2, F.size("lines"))).alias("lines"))
+    gone = dealt_join(held, written(groups, "groups"), "g", "docs", "row")
+    gone = gone.select("row", F.when(later, F.col("lines")).otherwise(F.slice("lines", 2, F.size("lines"))).alias("lines"))
     gone = gone.where(F.size("lines") > 0).groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("lines"))).alias("gone"))
-    wide = docs.select(F.struct(*names).alias("_doc"), row.alias("row")).join(gone, "row", "left")
-    text = F.col(f"_doc.`{text_col}`")
+    wide = docs.select(*pass_through(docs, RESULT), row.alias("row")).join(gone, "row", "left")
+    text = F.col("doc").getField(text_col)
     split = F.split(text, "\n")
     cut = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("gone", i)), "\n")
     return wide.select(
-        *[F.when(F.col("gone").isNull(), text).otherwise(cut).alias(n) if n == text_col else F.col(f"_doc.`{n}`").alias(n) for n in names],
+        *[F.when(F.col("gone").isNull(), text).otherwise(cut).alias(n) if n == text_col else c for n, c in zip([c for c in docs.columns if c not in RESULT], restored(docs, RESULT), strict=True)],
         F.when(text.isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
         F.coalesce("gone", F.array().cast("array<int>")).alias("removed_lines"),

@@ -15,7 +15,10 @@ their shingles, and linked classes form groups.
 Edge cases: texts of fewer than ``SHINGLE`` words, but not none, are one
 shingle of all their words; texts without words, nulls included, link with
 nothing; rows with a null id are kept and never compared; rows of one id share
-one verdict; an empty table gives an empty result.
+one verdict, and rows with the id and the text of a kept row are kept; ids may
+be of any type that has an order; further columns pass through whatever their
+names; an empty table gives an empty result.  Equal 64-bit hashes stand for
+equal words and word sequences.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm import text as tx
 from tidegauge.llm.clusters import clusters
-from tidegauge.llm.shared import written
+from tidegauge.llm.shared import pass_through, restored, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -133,8 +136,8 @@ def _pass(a: list[bytes], b: list[bytes], least: float) -> list[bool]:
     return [probability_jaccard(x, y) >= least - 1e-12 for x, y in zip(a, b, strict=True)]
 
 
-def _links(payloads: list[bytes], parts: np.ndarray, least: float) -> Iterator[tuple[int, int]]:
-    """Links among documents of different components, from the matrix of their shared shingles.
+def _links(payloads: list[bytes], parts: np.ndarray, least: float, sides: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Links among documents of different components (and sides, if given), from the matrix of their shared shingles.
 
     With X and Y the shares of the two documents' weight that is common, the
     similarity is at most XY / (Y + (1 - Y) X), and that exactly when all
@@ -158,7 +161,10 @@ def _links(payloads: list[bytes], parts: np.ndarray, least: float) -> Iterator[t
     bound = x * y / np.maximum(y + (1 - y) * x, 1e-9)
     plain = total == size
     root = parts.copy()
-    for i, j in zip(*np.nonzero(np.triu((bound >= least - 1e-5) & (parts[:, None] != parts[None, :]), 1)), strict=True):
+    open_ = (bound >= least - 1e-5) & (parts[:, None] != parts[None, :])
+    if sides is not None:
+        open_ &= sides[:, None] != sides[None, :]
+    for i, j in zip(*np.nonzero(np.triu(open_, 1)), strict=True):
         if root[i] != root[j] and (plain[i] and plain[j] and bound[i, j] >= least + 1e-5 or probability_jaccard(payloads[i], payloads[j]) >= least - 1e-12):
             root[root == root[j]] = root[i]
             yield int(i), int(j)
@@ -166,6 +172,7 @@ def _links(payloads: list[bytes], parts: np.ndarray, least: float) -> Iterator[t
 
 def signatures(source: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``row, id, digest, keys`` of ``source(row, id, text)``; texts without words are left out."""
+    kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,7 +186,7 @@ def signatures(source: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     [b.column("row").slice(c.first, len(c)), b.column("id").slice(c.first, len(c)), pa.array(digest), lists], names=["row", "id", "digest", "keys"]
                 ).filter(some)
 
-    return source.mapInArrow(run, "row long, id long, digest long, keys array<long>")
+    return source.mapInArrow(run, f"row long, id {kind}, digest long, keys array<long>")
 
 
 def _payloads(source: DataFrame, shingle: int) -> DataFrame:
@@ -196,12 +203,12 @@ def _payloads(source: DataFrame, shingle: int) -> DataFrame:
 
 def _row(docs: DataFrame, id_col: str, text_col: str) -> Column:
     """A hash that tells rows of one id with unlike texts apart."""
-    return F.xxhash64(docs[id_col].cast("long"), docs[text_col])
+    return F.xxhash64(docs[id_col], docs[text_col])
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: float, shingle: int) -> DataFrame:
     """``row, id, component_id`` of every row with words: the smallest id of the group of its text."""
-    source = docs.select(_row(docs, id_col, text_col).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
+    source = docs.select(_row(docs, id_col, text_col).alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text")).where(F.col("id").isNotNull())
     signed = written(signatures(source, shingle), "signatures")
     # Equal words make one class; its first document stands for it where texts are needed.
     classes = signed.groupBy("digest").agg(F.min("id").alias("first"))
@@ -212,7 +219,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: float, shi
         texts = source.join(wanted, "id", "left_semi")
         return _payloads(texts, shingle).join(nodes, "node", "left_semi").groupBy("node").agg(F.max("payload").alias("payload"))
 
-    parts = clusters(entries, payloads, lambda a, b: _pass(a, b, similarity), lambda p, parts: _links(p, parts, similarity))
+    parts = clusters(entries, payloads, lambda a, b: _pass(a, b, similarity), lambda p, parts, sides: _links(p, parts, similarity, sides))
     named = classes.join(parts.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "first", F.coalesce("component", "digest").alias("root"))
     low = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of_class = named.join(low, "root").select("digest", "component_id")
@@ -228,12 +235,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     low, top = F.min("component_id"), F.max("component_id")
     of_id = _grouped(docs, id_col, text_col, similarity, shingle).groupBy("id").agg(F.when(top == F.col("id"), top).otherwise(low).alias("component_id"))
     return (
-        docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct().join(of_id, "id", "left")
+        docs.select(docs[id_col].alias("id")).where("id is not null").distinct().join(of_id, "id", "left")
         .select("id", F.coalesce("component_id", "id").alias("component_id"), (F.coalesce("component_id", "id") == F.col("id")).alias("kept"))
     )
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with the rows of one id of each group; each row goes by its own text."""
-    gone = _grouped(docs, id_col, text_col, similarity, shingle).where("component_id <> id").select(F.col("id").alias("_gone"), F.col("row").alias("_row"))
-    return docs.join(gone, (docs[id_col].cast("long") == F.col("_gone")) & (_row(docs, id_col, text_col) == F.col("_row")), "left_anti")
+    gone = _grouped(docs, id_col, text_col, similarity, shingle).where("component_id <> id").select("id", "row")
+    wide = docs.select(*pass_through(docs), docs[id_col].alias("id"), _row(docs, id_col, text_col).alias("row"))
+    return wide.join(gone, ["id", "row"], "left_anti").select(*restored(docs))

@@ -1,8 +1,8 @@
 """Lineage cuts, skew-safe joins and connected components shared by the operators.
 
 Tables that cut lineage go to the folder the session names in
-``spark.checkpoint.dir``; a folder of our own is made only when that is unset,
-which is the case in tests on one machine.
+``spark.checkpoint.dir``; a folder of our own is made only when that is unset
+and driver and executors are one process, as in tests.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_folder is None:
         _own_folder = "file://" + tempfile.mkdtemp(prefix="spark-")
     return _own_folder
@@ -39,6 +42,31 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pass_through(docs: DataFrame, result: tuple[str, ...] = ()) -> list:
+    """The columns of ``docs`` in one struct, ``doc``, without those that ``result`` names: inside it no name can clash."""
+    return [F.struct(F.lit(0).alias("_"), *[docs[c] for c in docs.columns if c not in result]).alias("doc")]
+
+
+def restored(docs: DataFrame, result: tuple[str, ...] = ()) -> list:
+    """The columns that :func:`pass_through` packed."""
+    return [F.col("doc").getField(c).alias(c) for c in docs.columns if c not in result]
+
+
+def dealt_join(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: str, pieces: int = 1_024) -> DataFrame:
+    """``rows`` with the columns of their group (one row a ``key``), without the largest groups landing in one task.
+
+    ``size`` is a group's number of rows.  A group with more than one of
+    ``pieces`` parts of all rows is dealt by a hash of ``spread``; there are fewer
+    than ``pieces`` such groups at any scale, so their list is fit to be broadcast.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 1
+    hot = groups.where(F.col(size) * pieces > total).select(key, F.ceil(F.col(size) * pieces / F.lit(total)).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("_parts")
+    right = groups.join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return left.join(right, [key, "_part"]).drop("_part")
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a folder through Hadoop's file system (metadata work on the driver)."""
     jvm = spark.sparkContext._jvm
