@@ -27,6 +27,8 @@ ODD = [
     (7, BASE + " delta", None, "b", "c"), (None, BASE, "a", "b", "c"), (8, "Étude naïve, l'été's café!\n½² Ⅷ 漢字 🙂", "a", "b", "c"), (9, "one two", "a", "b", "c"), (10, "in " * 300, "a", "b", "c"),
 ]
 
+SPECIAL = [(20, "hello <|endoftext|> x"), (21, "<|endoftext|><|endoftext|>"), (22, "<|endoftext"), (23, "|> a <|endoftext|>\n<|endoftext|> b")]
+
 
 @pytest.fixture(scope="module")
 def odd(spark):
@@ -284,15 +286,15 @@ def test_token_files(spark, odd, none, tmp_path):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
+    odd = odd.select("doc_id", "text").unionAll(spark.createDataFrame(SPECIAL, "doc_id long, text string"))
     token_files.write(odd, str(tmp_path / "t"), path)
     got = sorted(token_files.with_crc32(token_files.read(spark, str(tmp_path / "t"))).collect(), key=lambda r: r["start"])
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     want = defaultdict(list)
-    for i, x, *_ in ODD:
+    for i, x, *_ in [*ODD, *SPECIAL]:
         ids = t.encode(x or "", add_special_tokens=False).ids + [2]
         want[i].append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-    assert [r["doc_id"] for r in got] == sorted((i for i, *_ in ODD), key=lambda i: (i is not None, i))
+    assert [r["doc_id"] for r in got] == sorted((i for i, *_ in [*ODD, *SPECIAL]), key=lambda i: (i is not None, i))
     at = 0
     for r in got:
         assert r["start"] == at and (r["n_tokens"], r["ids_crc32"]) in want[r["doc_id"]]
@@ -308,7 +310,8 @@ def test_byte_bpe(spark, odd, none):
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    want = sorted((repr(i), len(ids := e.encode_ordinary(x or "")), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((x or "").encode()).hexdigest()) for i, x, *_ in ODD)
+    odd = odd.select("doc_id", "text").unionAll(spark.createDataFrame(SPECIAL, "doc_id long, text string"))
+    want = sorted((repr(i), len(ids := e.encode_ordinary(x or "")), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((x or "").encode()).hexdigest()) for i, x, *_ in [*ODD, *SPECIAL])
     got = sorted((repr(r["id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.round_trip_digests(odd, path).collect())
     assert got == want
     enc = bpe.encode(odd.where("doc_id = 8"), path)

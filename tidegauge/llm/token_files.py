@@ -8,7 +8,10 @@ the row index and the Bloom filter.
 
 Edge cases: null and empty texts give the end id alone; equal document ids are
 ordered by a hash of the text; null document ids come first; a repeated row is
-written again; an empty table gives an empty, readable folder.
+written again; further columns are not carried; an empty table gives an empty,
+readable folder.  The string of an added token in a text becomes that token, as
+the library has it; with ``added_as_text`` it is ordinary text.  A worker knows
+words again by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -47,9 +50,9 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model, self.alphabet = tokenizer.model, _byte_alphabet()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.alphabet = self.tokenizer.model, _byte_alphabet()
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self):
@@ -88,22 +91,50 @@ class WordEncoder:
         return start, size
 
 
+    def whole(self, text: str) -> np.ndarray:
+        """Ids of a text by the library from end to end."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 @cache
 def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def encode_chunk(c: tx.Chunk, encoder: WordEncoder, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+def _holding(c: tx.Chunk, added: list[bytes]) -> np.ndarray:
+    """Texts of a chunk that hold one of the strings."""
+    raw, found = c.data.tobytes(), set()
+    for token in added:
+        at = raw.find(token)
+        while at >= 0:
+            text = int(np.searchsorted(c.offsets, at, "right")) - 1
+            if at + len(token) <= c.offsets[text + 1]:
+                found.add(text)
+            at = raw.find(token, at + 1)
+    return np.array(sorted(found), np.int64)
+
+
+def encode_chunk(c: tx.Chunk, encoder: WordEncoder, end_id: int, added_as_text: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a chunk, each text closed by ``end_id``, and the number of each text."""
     p = pretokens(c)
     h, at, inverse = np.unique(p.hash, return_index=True, return_inverse=True)
     start, size = encoder(c.data, p.start[at], p.end[at], h)
     ids = spans(encoder.pool, start[inverse], start[inverse] + size[inverse])
     each = np.concatenate([[0], np.cumsum(size[inverse])])[np.concatenate([[0], np.cumsum(p.count)])]
-    return np.insert(ids, each[1:], np.uint32(end_id)), np.diff(each) + 1
-
-
-def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
+    ids, count = np.insert(ids, each[1:], np.uint32(end_id)), np.diff(each) + 1
+    special = _holding(c, encoder.added) if not added_as_text else []
+    if len(special):
+        cut = np.concatenate([[0], np.cumsum(count)])
+        parts = [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        for k in special.tolist():
+            text = c.data[c.offsets[k] : c.offsets[k + 1]].tobytes().decode()
+            parts[k] = np.append(encoder.whole(text), np.uint32(end_id))
+            count[k] = len(parts[k])
+        ids = np.concatenate(parts)
+    return ids, count
+
+
+def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", added_as_text: bool = False) -> None:
     """Encode ``docs`` into the folder ``path`` in ascending order of ``id_col``."""
     kind = dict(docs.dtypes)[id_col]
 
@@ -112,7 +143,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_c
         file = TaskContext.get().partitionId()
         for b in batches:
             for c in tx.chunks(b.column("text"), CHUNK_BYTES):
-                ids, count = encode_chunk(c, encoder, end_id)
+                ids, count = encode_chunk(c, encoder, end_id, added_as_text)
                 cut = np.concatenate([[0], np.cumsum(count)])
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids.view(np.int32)))
                 yield pa.record_batch(
