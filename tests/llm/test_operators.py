@@ -361,9 +361,14 @@ def test_decontamination(spark, odd, none):
     assert got == sorted([(1, 22, 20, ["a", "b"], True), (2, 5, 2, ["c"], True), (3, 2, 0, [], False), (4, 0, 0, [], False), (5, 720, 20, ["a", "b"], False), (1, 1, 0, [], False)], key=repr)
     shuffled = decontaminate.contamination(d, bench, broadcast_windows=0)
     assert sorted(r["n_hit"] for r in shuffled.collect()) == [0, 0, 0, 2, 20, 20]
-    assert {r["doc_id"] for r in decontaminate.decontaminated(d, bench).collect()} == {3, 4, 5}
-    spans = {r["doc_id"]: r["text"] for r in decontaminate.decontaminated(d.where("doc_id <> 1"), bench, remove="spans").collect()}
-    assert spans[2].split() == ["has", "a", "inside"] and spans[3] == "clean text"
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in shuffled.collect()), key=repr) == got
+    assert sorted((r["doc_id"], r["text"]) for r in decontaminate.decontaminated(d, bench).collect()) == [(1, "clean"), (3, "clean text"), (4, None), (5, rows[4][1])]
+    spans = {r["doc_id"]: r["text"] for r in decontaminate.decontaminated(d.where("text <> 'clean'"), bench, remove="spans").collect()}
+    assert spans[1].split() == ["start", "stop"] and spans[2].split() == ["has", "a", "inside"] and spans[3] == "clean text"
+    shared = spark.createDataFrame([(None, f"a {item} b", "x"), (None, "words of a clean row", "x"), (7, f"{item}", "y"), (7, " ".join(f"c{i}" for i in range(14)), "y")], "doc_id long, text string, _hits string")
+    assert {r["text"] for r in decontaminate.decontaminated(shared, bench).collect()} == {"words of a clean row", " ".join(f"c{i}" for i in range(14))}
+    cut = sorted(r["text"] for r in decontaminate.decontaminated(shared, bench, remove="spans").collect())
+    assert [len(t.split()) for t in cut] == [0, 2, 14, 5] and "words of a clean row" in cut
     assert decontaminate.contamination(none, bench).count() == 0 and decontaminate.contamination(odd, bench.limit(0)).where("contaminated").count() == 0
 
 

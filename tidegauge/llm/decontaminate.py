@@ -3,13 +3,19 @@
 Words are ``[0-9a-z]`` runs and non-ASCII runs after lower-casing A-Z.  An item
 gives every window of ``window`` consecutive words; an item with fewer words,
 but not none, is one window.  A document word inside any occurrence of a window
-is *hit*.  Only DataFrame functions run: the words of a document are exploded
-with positions, each position's window is hashed, the hash probes the broadcast
-set, and a hash match counts only when the words themselves agree.
+is *hit*.  Only DataFrame functions run: the windows of a document are hashed
+and exploded with their positions, the hashes probe the broadcast set, and a
+hash match counts only when the words themselves agree.
+
+The set, and the table of the items of each window, are broadcast when their
+counted rows are at most ``BROADCAST_WINDOWS``.  A larger set is joined by a
+shuffle of (row, position, hash) alone; the words of a document are only looked
+at again where it has hits.
 
 Edge cases: null and empty texts have no words and no hits; repeated rows are
 judged one by one; null item ids count as windows but are never listed; an
-empty benchmark leaves every document clean; further columns pass through.
+empty benchmark leaves every document clean; further columns pass through, those
+named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.shared import written
+from tidegauge.llm.shared import pass_through, restored, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]*"
@@ -81,37 +87,20 @@ def contamination(
     is read once; only documents that have hits take part in the second
     aggregation.
     """
-    columns = [c for c in docs.columns if c != text_col and c not in RESULT]
+    result = (*RESULT, text_col)
     windows = item_windows(benchmark, window, id_col, text_col)
-    # The benchmark's window lengths (at most `window` of them) and the number of windows.
-    lengths = {r["k"]: r["n"] for r in windows.groupBy("k").agg(F.count("*").alias("n")).collect()}
-    small = sum(lengths.values()) <= broadcast_windows
-    probe = windows.select("k", "wid", "wtext", F.lit(True).alias("known"))
-    ks = sorted(lengths) or [window]
-
-    words = docs.select(
-        F.monotonically_increasing_id().alias("_row"),
-        F.struct(*([docs[c] for c in columns] or [F.lit(True)])).alias("_cols"),
-        _words(text_col).alias("_w"),
-    )
-    # Position 0 stands for the document itself and always survives the join.
-    at = words.select("_row", "_cols", "_w", F.explode(F.sequence(F.lit(0), F.size("_w"))).alias("p"))
-    at = at.select("*", F.explode(F.array(*map(F.lit, ks))).alias("k")) if len(ks) > 1 else at.withColumn("k", F.lit(ks[0]))
-    whole = (F.col("p") > 0) & (F.col("p") + F.col("k") - 1 <= F.size("_w"))
-    at = at.withColumn("wid", F.when(whole, F.xxhash64(F.slice("_w", F.greatest("p", F.lit(1)), F.col("k")))))
-    at = at.alias("d").join(
-        (F.broadcast(probe) if small else probe).alias("b"),
-        (F.col("d.wid") == F.col("b.wid")) & (F.col("d.k") == F.col("b.k"))
-        & (F.array_join(F.slice("d._w", F.greatest("d.p", F.lit(1)), F.col("d.k")), " ") == F.col("b.wtext")),
-        "left",
-    )
-    first_k = F.lit(ks[0])
-    at = at.where(F.col("known") | ((F.col("d.p") == 0) & (F.col("d.k") == first_k)))
-    per_doc = at.groupBy("_row").agg(
-        F.first(F.when(F.col("d.p") == 0, F.col("_cols")), ignorenulls=True).alias("_cols"),
-        F.max(F.size("_w")).cast("long").alias("n_words"),
-        F.sort_array(F.collect_list(F.when(F.col("known"), F.struct(F.col("d.p").alias("p"), F.col("d.k").alias("k"), F.col("d.wid").alias("wid"))))).alias("_hits"),
-    )
+    # The benchmark's window lengths (at most `window` of them), the number of windows and of (window, class) pairs.
+    stats = windows.groupBy("k").agg(F.count("*").alias("n"), F.sum(F.size("classes")).alias("pairs")).collect()
+    small = sum(r["n"] for r in stats) <= broadcast_windows
+    small_pairs = sum(r["pairs"] for r in stats) <= broadcast_windows
+    probe = windows.select("k", "wid", "wtext")
+    ks = sorted(r["k"] for r in stats) or [window]
+
+    words = docs.select(F.monotonically_increasing_id().alias("_row"), *pass_through(docs, result), _words(text_col).alias("_w"))
+    if not small:
+        # The row numbers are used in two joins: fix them.
+        words = written(words, "texts")
+    per_doc = _hits_by_broadcast(words, probe, ks) if small else _hits_by_shuffle(words, probe, ks)
     # Words covered by the sorted windows: carry the last covered position and the sum.
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(
@@ -132,7 +121,7 @@ def contamination(
     )
     to_class = windows.select("k", "wid", F.explode("classes").alias("class")).distinct()
     listed = (
-        pairs.join(F.broadcast(to_class) if small else to_class, ["k", "wid"])
+        pairs.join(F.broadcast(to_class) if small_pairs else to_class, ["k", "wid"])
         .select("_row", "class")
         .distinct()
         .join(_item_classes(benchmark, id_col, text_col), "class")
@@ -141,7 +130,7 @@ def contamination(
     )
     out = per_doc.join(listed, "_row", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return out.select(
-        *[F.col("_cols")[c].alias(c) for c in columns],
+        *restored(docs, result),
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
@@ -151,6 +140,45 @@ def contamination(
     )
 
 
+def _window_hash(w: str, p, k):
+    return F.xxhash64(F.slice(w, p, k))
+
+
+def _hits_by_broadcast(words: DataFrame, probe: DataFrame, ks: list[int]) -> DataFrame:
+    """``_row, doc, n_words, _hits`` in one pass: no row leaves its task before it is known to be a hit.
+
+    Position 0 stands for the document itself and always survives the join.
+    """
+    at = words.select("_row", "doc", "_w", F.explode(F.sequence(F.lit(0), F.size("_w"))).alias("p"))
+    at = at.select("*", F.explode(F.array(*map(F.lit, ks))).alias("k")) if len(ks) > 1 else at.withColumn("k", F.lit(ks[0]))
+    whole = (F.col("p") > 0) & (F.col("p") + F.col("k") - 1 <= F.size("_w"))
+    at = at.withColumn("wid", F.when(whole, _window_hash("_w", F.greatest("p", F.lit(1)), F.col("k"))))
+    at = at.alias("d").join(
+        F.broadcast(probe.withColumn("known", F.lit(True))).alias("b"),
+        (F.col("d.wid") == F.col("b.wid")) & (F.col("d.k") == F.col("b.k"))
+        & (F.array_join(F.slice("d._w", F.greatest("d.p", F.lit(1)), F.col("d.k")), " ") == F.col("b.wtext")),
+        "left",
+    )
+    at = at.where(F.col("known") | ((F.col("d.p") == 0) & (F.col("d.k") == ks[0])))
+    return at.groupBy("_row").agg(
+        F.first(F.when(F.col("d.p") == 0, F.col("doc")), ignorenulls=True).alias("doc"),
+        F.max(F.size("_w")).cast("long").alias("n_words"),
+        F.sort_array(F.collect_list(F.when(F.col("known"), F.struct(F.col("d.p").alias("p"), F.col("d.k").alias("k"), F.col("d.wid").alias("wid"))))).alias("_hits"),
+    )
+
+
+def _hits_by_shuffle(words: DataFrame, probe: DataFrame, ks: list[int]) -> DataFrame:
+    """The same from a written ``words``: hashes go to the windows, hits come back to the rows that have any."""
+    size = F.size("_w")
+    each = lambda k: F.when(size >= k, F.transform(F.sequence(F.lit(1), F.greatest(size - k + 1, F.lit(1))), lambda p: F.struct(F.lit(k).alias("k"), p.alias("p"), _window_hash("_w", p, F.lit(k)).alias("wid")))).otherwise(F.array())
+    at = words.select("_row", F.explode(F.concat(*map(each, ks))).alias("x")).select("_row", "x.k", "x.p", "x.wid")
+    maybe = at.join(probe, ["k", "wid"]).groupBy("_row").agg(F.collect_list(F.struct("p", "k", "wid", "wtext")).alias("_maybe"))
+    true = F.filter("_maybe", lambda h: F.array_join(F.slice("_w", h["p"], h["k"]), " ") == h["wtext"])
+    hits = F.sort_array(F.transform(true, lambda h: F.struct(h["p"].alias("p"), h["k"].alias("k"), h["wid"].alias("wid"))))
+    none = F.array().cast("array<struct<p:int,k:int,wid:bigint>>")
+    return words.join(maybe, "_row", "left").select("_row", "doc", size.cast("long").alias("n_words"), F.coalesce(hits, none).alias("_hits"))
+
+
 def without_spans(text, hits):
     """``text`` without its hit words and what stands between them (a Column)."""
     lowered = F.translate(text, UPPER, LOWER)
@@ -162,16 +190,18 @@ def without_spans(text, hits):
 def decontaminated(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", doc_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without contaminated documents, or with their hit spans cut out (``remove='spans'``).
 
-    The text is not carried through the aggregation: verdicts are joined back
-    on ``doc_col``.  Rows with a null id are kept unless their own verdict says
-    otherwise; rows that share an id share the verdict of the worst of them.
+    The text is not carried through the aggregation: verdicts are joined back on
+    ``doc_col`` and a hash of the text, so each row, of whatever id, null included,
+    goes or stays by its own text.
     """
     text_col = options.get("text_col", "text")
-    verdicts = contamination(docs.select(doc_col, text_col), benchmark, **options).where("contaminated")
+    digest = lambda: F.xxhash64(docs[text_col])
+    verdicts = contamination(docs.select(docs[doc_col].alias("id"), digest().alias("digest"), docs[text_col].alias(text_col)), benchmark, **options).where("contaminated")
+    spans = verdicts.groupBy("id", "digest").agg(F.max("hits").alias("cut")).toDF("bad", "digest", "cut")
+    wide = docs.select(*pass_through(docs), docs[doc_col].alias("id"), digest().alias("own"))
+    same = wide["id"].eqNullSafe(spans["bad"]) & (wide["own"] == spans["digest"])
     if remove == "documents":
-        bad = verdicts.select(F.col(doc_col).alias("_bad")).distinct()
-        return docs.join(bad, docs[doc_col].eqNullSafe(bad["_bad"]), "left_anti")
-    spans = verdicts.groupBy(F.col(doc_col).alias("_bad")).agg(F.max("hits").alias("_hits"))
-    joined = docs.join(spans, docs[doc_col].eqNullSafe(spans["_bad"]), "left")
-    text = F.when(F.col("_hits").isNull(), docs[text_col]).otherwise(without_spans(docs[text_col], F.col("_hits")))
-    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
+        return wide.join(spans, same, "left_anti").select(*restored(docs))
+    text = F.col("doc").getField(text_col)
+    cut = F.when(F.col("cut").isNull(), text).otherwise(without_spans(text, F.col("cut")))
+    return wide.join(spans, same, "left").select(*[cut.alias(c) if c == text_col else x for c, x in zip(docs.columns, restored(docs), strict=True)])
