@@ -15,7 +15,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from tidegauge.llm import bpe, decontaminate, embeddings, line_dedup, minhash, quality, substrings, token_files, toxicity
 from tidegauge.llm import text as tx
 from tidegauge.llm.pretokens import pack, pattern, pretokens, unpack
-from tidegauge.llm.shards import ShardStore
+from tidegauge.llm.shards import Conflict, ShardStore
 from tidegauge.llm.shared import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -184,20 +184,73 @@ def test_short_lines_are_grouped_when_equal(spark):
 # -- 3
 
 
-def test_shards(spark, odd, tmp_path):
+def contents(df):
+    return sorted(map(repr, df.collect()))
+
+
+def test_shards(spark, odd, none, tmp_path):
     store = ShardStore(spark, str(tmp_path / "s"), target_bytes=1 << 20, fanout=3, small_bytes=1 << 12)
+    with pytest.raises(ValueError):
+        store.read()
+    named = odd.withColumnRenamed("row", "_metadata2").withColumnRenamed("score", "shard")
     for _ in range(4):
-        store.append(odd)
+        store.append(named)
     assert store.versions() == [1, 2, 3, 4]
-    before = store.read(4).count()
+    want = contents(named.unionAll(named).unionAll(named).unionAll(named))
+    assert contents(store.read(4)) == want
     version = store.settle("doc_id")
-    assert version > 4 and store.read().count() == before == 4 * len(ODD) and store.read(4).count() == before
-    assert len(store.manifest()) < len(store.manifest(4))
-    assert store.vacuum() > 0 and store.read().count() == before
-    with pytest.raises(RuntimeError):
-        store._commit([], version - 1)  # another writer was first
+    assert version > 4 and contents(store.read()) == want and contents(store.read(4)) == want
+    merged = store.manifest()
+    assert len(merged.shards) < len(store.manifest(4).shards) and sum(s.rows for s in merged.shards) == 4 * len(ODD)
+    assert store.append(none.limit(0).withColumnRenamed("row", "_metadata2").withColumnRenamed("score", "shard")) == version + 1
+    assert store.manifest().shards == merged.shards
+    assert store.vacuum() == 0 and contents(store.read(2)) == contents(named.unionAll(named))  # all young, all kept
+    assert store.vacuum(keep=2, age=0) > 0 and contents(store.read()) == want and contents(store.read(version)) == want
+    assert store.versions() == [version, version + 1]
+    empty = ShardStore(spark, str(tmp_path / "e"))
+    empty.append(none)
+    assert empty.read().columns == none.columns and empty.read().count() == 0 and empty.compact("doc_id") is None
+    empty.append(odd.withColumn("late", F.lit(1)))
+    assert empty.read().columns == [*none.columns, "late"] and empty.read().count() == len(ODD)
     with pytest.raises(ValueError):
-        ShardStore(spark, str(tmp_path / "new")).read()
+        empty.append(odd.withColumn("late", F.lit("text")))
+
+
+def test_shards_lose_no_racing_writer(spark, odd, tmp_path):
+    store = ShardStore(spark, str(tmp_path / "s"), fanout=2)
+    one = odd.select("doc_id").coalesce(1)
+    for _ in range(3):
+        store.append(one)
+    plan = store.plan
+
+    def late(shards):  # another writer commits while this one merges
+        store.plan = plan
+        store.append(one)
+        return plan(shards)
+
+    store.plan = late
+    assert store.compact("doc_id") == 5 and store.read().count() == 4 * len(ODD)
+    kinds = sorted(s.path[5] for s in store.manifest().shards)
+    assert kinds == ["a", "c"]
+
+    def twice(shards):  # another writer merges the same shards first
+        store.plan = plan
+        assert store.compact("doc_id") == 6
+        return plan(shards)
+
+    store.plan = twice
+    assert store.compact("doc_id") is None and store.read().count() == 4 * len(ODD)
+    with pytest.raises(Conflict):
+        store._commit(store.manifest(5), [], None)
+
+
+def test_sharding_query_compacts(spark):
+    from tidegauge.llm import queries
+
+    rows = queries.op3_sharding(spark, SF).collect()
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert all(r["compacted"] for r in rows) and len(rows) == len(docs)
+    assert {r["doc_id"]: (r["n_bytes"], r["text_sha256"]) for r in rows} == {i: (len(t.encode()), hashlib.sha256(t.encode()).hexdigest()) for i, t in docs.items()}
 
 
 # -- 4

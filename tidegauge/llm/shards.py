@@ -2,38 +2,60 @@
 
 Arrivals are appended as small immutable shards.  Runs of similar size are
 merged, a tier at a time, into files near ``target_bytes``; every change is one
-new manifest version, committed by an atomic rename, so a reader sees the
-shards of the old version or of the new one, never a mixture.  Data move only
-through DataFrame reads and writes; the driver handles file names and sizes.
-
-Edge cases: an empty arrival commits a version without new shards; null ids
-and texts are stored as they are; repeated rows stay repeated; any columns are
-accepted, but those named like a partition folder (``_arrival``, ``_run``) are
-refused by name.
+new manifest version.  A version is claimed by creating its manifest, which
+fails when it exists, so two writers never commit the same one; the loser takes
+the newer manifest and puts its own change on top, or gives up a merge whose
+shards are gone.  A reader sees the shards of one version, never a mixture.
+Data move only through DataFrame reads and writes; the driver handles file
+names, row counts and sizes.
+
+Edge cases: an empty arrival commits a version without new shards; a store
+without shards reads as no rows; null ids and texts are stored as they are;
+repeated rows stay repeated, ties of the sorting column lie in any order; a
+column that an arrival adds is null in the rows before it, and one of another
+type is refused; any column names are accepted.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TARGET_BYTES = 128 << 20
 FANOUT = 4
 SMALL_BYTES = 4 << 20
+#: Versions that stay readable, and the age in seconds from which a file that none of them names is garbage.
+KEEP_VERSIONS = 8
+GARBAGE_AGE = 24 * 3600
 
 
 @dataclass(frozen=True)
 class Shard:
     path: str
     bytes: int
+    rows: int
     born: int  # manifest version that added it
 
 
+@dataclass(frozen=True)
+class Manifest:
+    version: int
+    schema: T.StructType | None
+    shards: tuple[Shard, ...]
+
+
+class Conflict(RuntimeError):
+    """Another writer committed first."""
+
+
 class ShardStore:
     """A folder of immutable Parquet shards and the manifests that name them."""
 
@@ -54,53 +76,73 @@ class ShardStore:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path("manifests"))]
         return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
-    def manifest(self, version: int | None = None) -> list[Shard]:
-        versions = self.versions()
-        if not versions:
-            return []
-        version = versions[-1] if version is None else version
-        text = self.spark.read.text(f"{self.folder}/manifests/v{version:08d}.json", wholetext=True).first()[0]
-        return [Shard(**s) for s in json.loads(text)["shards"]]
-
-    def _commit(self, shards: list[Shard], based_on: int) -> int:
-        """Write the manifest beside its place and rename it there; fails if another writer was first."""
-        version = based_on + 1
-        target, temp = self._path(f"manifests/v{version:08d}.json"), self._path(f"pending/{uuid.uuid4().hex}")
+    def manifest(self, version: int | None = None) -> Manifest:
+        """One version, by default the newest; version 0 is the empty store."""
+        if version is None:
+            version = (self.versions() or [0])[-1]
+        if version == 0:
+            return Manifest(0, None, ())
+        text = self.spark.read.text(f"{self.folder}/manifests/v{version:08d}.json", wholetext=True).first()
+        try:
+            m = json.loads(text[0])
+        except (TypeError, ValueError):
+            raise Conflict(f"version {version} is being committed; retry") from None
+        return Manifest(version, T.StructType.fromJson(m["schema"]) if m["schema"] else None, tuple(Shard(**s) for s in m["shards"]))
+
+    def _commit(self, base: Manifest, shards: list[Shard], schema: T.StructType | None) -> int:
+        """Claim the version after ``base`` by creating its manifest."""
+        version = base.version + 1
+        body = json.dumps({"version": version, "schema": schema.jsonValue() if schema else None, "shards": [asdict(s) for s in shards]})
         self._fs.mkdirs(self._path("manifests"))
-        out = self._fs.create(temp, False)
-        out.write(bytearray(json.dumps({"version": version, "shards": [asdict(s) for s in shards]}).encode()))
+        try:
+            out = self._fs.create(self._path(f"manifests/v{version:08d}.json"), False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception):
+                raise Conflict(f"version {version} was committed by another writer") from e
+            raise
+        out.write(bytearray(body.encode()))
         out.close()
-        if self._fs.exists(target) or not self._fs.rename(temp, target):
-            self._fs.delete(temp, False)
-            raise RuntimeError(f"version {version} was committed by another writer; retry")
         return version
 
-    def _files(self, folder: str) -> list[tuple[str, int]]:
-        """Parquet files under a folder as (path below the store, bytes)."""
-        found, todo, base = [], [self._path(folder)], self._fs.makeQualified(self._path("")).toString().rstrip("/")
-        while todo:
-            for s in self._fs.listStatus(todo.pop()):
-                if s.isDirectory():
-                    todo.append(s.getPath())
-                elif s.getPath().getName().endswith(".parquet"):
-                    found.append((s.getPath().toString()[len(base) + 1 :], s.getLen()))
-        return sorted(found)
+    def _retried(self, change, tries: int = 20) -> int | None:
+        """Commit what ``change`` makes of the newest manifest; on a conflict, of the one that won."""
+        for attempt in range(tries):
+            try:
+                base = self.manifest()
+                made = change(base)
+                return None if made is None else self._commit(base, *made)
+            except Conflict:
+                time.sleep(0.05 * attempt)
+        raise Conflict("other writers kept committing first")
+
+    def _written(self, rows: DataFrame, kind: str) -> list[Shard]:
+        """Write rows to a new folder; the shards it got, without files that hold no row."""
+        name = f"data/{kind}-{uuid.uuid4().hex}"
+        rows.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
+        counts = self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{name}").groupBy(F.col("_metadata.file_name").alias("f")).count().collect()
+        rows_of, found = {r["f"]: r["count"] for r in counts}, []
+        for s in self._fs.listStatus(self._path(name)):
+            file = s.getPath().getName()
+            if file in rows_of:
+                found.append(Shard(f"{name}/{file}", s.getLen(), rows_of[file], 0))
+        return sorted(found, key=lambda s: s.path)
 
     # -- writing ---------------------------------------------------------
 
     def append(self, arrivals: DataFrame) -> int:
         """Append rows as they come: every input partition becomes one small shard, no shuffle."""
-        version = (self.versions() or [0])[-1]
-        name = f"data/a{version + 1:08d}-{uuid.uuid4().hex}"
-        arrivals.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
-        new = [Shard(p, n, version + 1) for p, n in self._files(name)]
-        return self._commit(self.manifest() + new, version)
+        new = self._written(arrivals, "a")
+
+        def change(base: Manifest):
+            return [*base.shards, *_born(new, base)], _merged(base.schema, arrivals.schema)
+
+        return self._retried(change)
 
     def _tier(self, size: int) -> int:
         return 0 if size <= self.small_bytes else 1 + int(math.log(size / self.small_bytes, self.fanout))
 
-    def plan(self, shards: list[Shard]) -> list[list[Shard]]:
-        """Runs to merge: shards of one tier, when there are at least ``fanout`` of them below target size."""
+    def plan(self, shards) -> list[list[Shard]]:
+        """Runs to merge: shards of one tier, when there are at least ``fanout`` of them below half the target size."""
         tiers: dict[int, list[Shard]] = {}
         for s in sorted(shards, key=lambda s: (s.bytes, s.path)):
             if s.bytes < self.target_bytes // 2:
@@ -108,46 +150,79 @@ class ShardStore:
         return [run for _, run in sorted(tiers.items()) if len(run) >= self.fanout]
 
     def compact(self, sort_by: str) -> int | None:
-        """Merge the runs that :meth:`plan` names and commit; ``None`` if there were none.
+        """Merge the lowest run that :meth:`plan` names and commit; ``None`` if there is none.
 
-        All runs of a round are merged by one job.  Rows are ranged by
-        ``sort_by`` and then by a hash of the whole row, so equal keys spread
-        over several files, into as many files as the run's bytes fill.
+        Rows are ranged by ``sort_by`` and then by a hash of the whole row, so
+        equal keys spread over several files, into as many files as the run's
+        bytes fill.
         """
-        shards = self.manifest()
-        runs = self.plan(shards)
+        base = self.manifest()
+        runs = self.plan(base.shards)
         if not runs:
             return None
-        old = [s for run in runs for s in run]
-        version = self.versions()[-1]
-        n = max(1, math.ceil(sum(s.bytes for s in old) / self.target_bytes))
-        name = f"data/c{version + 1:08d}-{uuid.uuid4().hex}"
-        rows = self.read(shards=old)
-        spread = F.xxhash64(*[c for c, t in rows.dtypes if "map<" not in t])
-        rows.repartitionByRange(n, F.col(sort_by), spread).write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
+        old = runs[0]
         gone = {s.path for s in old}
-        new = [Shard(p, b, version + 1) for p, b in self._files(name)]
-        return self._commit([s for s in shards if s.path not in gone] + new, version)
+        rows = self._read(old, base.schema)
+        spread = F.xxhash64(*[c for c, t in rows.dtypes if "map<" not in t])
+        n = max(1, math.ceil(sum(s.bytes for s in old) / self.target_bytes))
+        new = self._written(rows.repartitionByRange(n, F.col(sort_by), spread).sortWithinPartitions(sort_by), "c")
+
+        def change(latest: Manifest):
+            if not gone <= {s.path for s in latest.shards}:
+                return None  # another compaction took them; what was written is garbage
+            return [*(s for s in latest.shards if s.path not in gone), *_born(new, latest)], latest.schema
+
+        return self._retried(change)
 
-    def settle(self, sort_by: str, rounds: int = 16) -> int:
+    def settle(self, sort_by: str, rounds: int = 64) -> int:
         """Compact until no tier has enough runs."""
         for _ in range(rounds):
             if self.compact(sort_by) is None:
                 break
-        return self.versions()[-1]
-
-    def vacuum(self) -> int:
-        """Delete data files that the newest manifest does not name; returns how many."""
-        live, gone = {s.path for s in self.manifest()}, 0
-        for path, _ in self._files("data"):
-            if path not in live:
-                gone += bool(self._fs.delete(self._path(path), False))
+        return self.manifest().version
+
+    def vacuum(self, keep: int = KEEP_VERSIONS, age: float = GARBAGE_AGE) -> int:
+        """Delete manifests before the last ``keep`` and old data files that no kept one names; returns how many files.
+
+        Files younger than ``age`` seconds may belong to writers that have not
+        committed yet and stay.
+        """
+        versions = self.versions()
+        kept = versions[-max(1, keep) :]
+        live, gone = {s.path for v in kept for s in self.manifest(v).shards}, 0
+        for v in versions[: -len(kept)] if kept else []:
+            self._fs.delete(self._path(f"manifests/v{v:08d}.json"), False)
+        before = (time.time() - age) * 1000
+        for folder in self._fs.listStatus(self._path("data")) if self._fs.exists(self._path("data")) else []:
+            for s in self._fs.listStatus(folder.getPath()):
+                path = f"data/{folder.getPath().getName()}/{s.getPath().getName()}"
+                if path.endswith(".parquet") and path not in live and s.getModificationTime() <= before:
+                    gone += bool(self._fs.delete(self._path(path), False))
         return gone
 
     # -- reading ---------------------------------------------------------
 
-    def read(self, version: int | None = None, shards: list[Shard] | None = None) -> DataFrame:
-        shards = self.manifest(version) if shards is None else shards
+    def _read(self, shards, schema: T.StructType | None) -> DataFrame:
+        if schema is None:
+            raise ValueError("nothing was ever appended to this store")
         if not shards:
-            raise ValueError("the manifest names no shards")
-        return self.spark.read.parquet(*[f"{self.folder}/{s.path}" for s in shards])
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{s.path}" for s in shards])
+
+    def read(self, version: int | None = None) -> DataFrame:
+        m = self.manifest(version)
+        return self._read(m.shards, m.schema)
+
+
+def _born(new: list[Shard], base: Manifest) -> list[Shard]:
+    return [Shard(s.path, s.bytes, s.rows, base.version + 1) for s in new]
+
+
+def _merged(old: T.StructType | None, new: T.StructType) -> T.StructType:
+    """The fields of both, nullable; a field that changes its type is refused."""
+    fields = {f.name: T.StructField(f.name, f.dataType) for f in (old or T.StructType())}
+    for f in new:
+        if f.name in fields and fields[f.name].dataType != f.dataType:
+            raise ValueError(f"column {f.name!r} was {fields[f.name].dataType.simpleString()} and comes as {f.dataType.simpleString()}")
+        fields.setdefault(f.name, T.StructField(f.name, f.dataType))
+    return T.StructType(list(fields.values()))
