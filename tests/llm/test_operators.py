@@ -446,6 +446,26 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_embeddings_of_any_magnitude_and_length(spark):
+    d = spark.createDataFrame(
+        [(1, [1e-60, 2e-60]), (2, [1e-300, 2e-300]), (3, [1e300, 2e300]), (4, [1.0, 0.0]), (5, [1.0, 2.0, 3.0]), (6, [2.0, 4.0, 6.1]), (7, [1.0, 0.0]), (7, [1.0, 0.0]), (8, [1.0, 0.0]), (9, [])], "vec_id int, embedding array<double>"
+    )
+    got = {r["id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(d).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (2, 4, True), 7: (2, 4, False), 8: (2, 4, False), 5: (1, 5, True), 6: (1, 5, False), 9: (0, 9, True)}
+    with pytest.raises(ValueError):
+        embeddings.near_duplicates(d.withColumn("vec_id", F.lit("a")))
+
+
+def test_codes_bound_the_distance():
+    rng = np.random.default_rng(2)
+    x = embeddings.unit(np.concatenate([rng.normal(size=(900, 10)), rng.normal(size=(1, 10)) + 0.01 * rng.normal(size=(300, 10))]))
+    index = embeddings.train(x, len(x), block=100)
+    _, own = index.nearest(x)
+    code, rest = index.encode(x, own)
+    y = index.decode(code, own)
+    assert np.allclose(np.linalg.norm(x - y, axis=1), rest) and rest.mean() < 0.6 * np.linalg.norm(x - index.centroid[own], axis=1).mean()
+
+
 @pytest.mark.parametrize("rank", [1, 4, 64])
 def test_embeddings_lose_no_link(spark, rank):
     rng = np.random.default_rng(rank)
