@@ -20,11 +20,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.llm import text as tx
 from tidegauge.llm.sample import labelled_sample
+from tidegauge.llm.shared import pass_through, restored
 
 #: Labelled rows the model learns from, at most.
 TRAIN_ROWS = 5_000
@@ -121,7 +121,7 @@ def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Table:
     sample = labelled_sample(docs, labels, label, rows, id_col, text_col)
-    featured = sample.mapInArrow(_featurise, "id long, label int, features binary, share binary")
+    featured = sample.mapInArrow(_featurise, f"id {dict(sample.dtypes)['id']}, label int, features binary, share binary")
     # One task sees the bounded sample's features; the texts stay where they were read.
     blob = featured.repartition(1).mapInArrow(_fit_task, "model binary").first()
     m = np.load(io.BytesIO(blob["model"]))
@@ -140,14 +140,14 @@ def score_chunk(chunk: tx.Chunk, m: Table) -> np.ndarray:
 
 def scored(docs: DataFrame, model: Table, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold``) added."""
-    keep = [f for f in docs.schema if f.name not in ("score", "predicted")]
-    schema = T.StructType([*keep, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    result = ("score", "predicted")
+    wide = docs.select(*pass_through(docs, result), docs[text_col].alias("text"))
+    schema = T.StructType([wide.schema["doc"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     model = docs.sparkSession.sparkContext.broadcast(model)
-    names = [f.name for f in keep]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = np.concatenate([score_chunk(c, model.value) for c in tx.chunks(b.column("_text"))] or [np.zeros(0)])
-            yield pa.record_batch([*(b.column(n) for n in names), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+            s = np.concatenate([score_chunk(c, model.value) for c in tx.chunks(b.column("text"))] or [np.zeros(0)])
+            yield pa.record_batch([b.column("doc"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc", *result])
 
-    return docs.select(*names, F.col(text_col).alias("_text")).mapInArrow(score, schema)
+    return wide.mapInArrow(score, schema).select(*restored(docs, result), *result)
