@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import re
 import zlib
 from collections import defaultdict
 
@@ -378,7 +379,9 @@ def test_byte_bpe(spark, odd, none):
 def test_substrings(spark, odd, none):
     passage = " ".join(f"shared{i}w passage{i * 7 % 13}" for i in range(40))
     rows = [(1, f"own words here first {passage} and an end"), (2, f"other start of text\nquite different {passage} tail tail2"), (3, "A repeated line of six words\nunique three"), (4, "first of four\nA repeated line of six words\nend"), (5, "nothing in common with any of these at all")]
-    got = {r["doc_id"]: r for r in substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] > 0 for r in substrings.without_repeats(d).collect()} == {1: False, 2: True, 3: False, 4: False, 5: False}
+    got = {r["doc_id"]: r for r in substrings.without_repeats(d, short_lines=True).collect()}
     assert got[1]["n_removed"] == 0 and got[3]["n_removed"] == 0 and got[5]["text"] == rows[4][1]
     assert got[2]["n_removed"] >= 55 and got[4]["text"] == "first of four\nend"
     (span,) = got[2]["removed"]
@@ -402,6 +405,67 @@ def test_every_copy_of_more_than_fifty_words_loses_some(spark):
     assert all(got[i]["n_removed"] == 0 for i in range(1, 400, 2))
 
 
+def slow_repeats(docs):
+    """Byte spans to remove from each text, from the units' definition, word by word."""
+    at, out = defaultdict(list), {}
+    for i, t in docs:
+        b, words, line = (t or "").encode(), [], 0
+        for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+|\n", b):
+            if m.group() == b"\n":
+                line += 1
+            else:
+                words.append((m.start(), m.end(), m.group().lower() if m.group().isascii() else bytes(c + 32 if 65 <= c <= 90 else c for c in m.group()), line))
+        h = {w: int(tx.mix(tx.words(next(tx.chunks(pa.array([w.decode()])))).hash ^ np.uint64(0xA5))[0]) for w in {x[2] for x in words}}
+        n, cut = len(words), {0} if words else set()
+        for k in range(n - substrings.WINDOW + 1):
+            least = min(h[w[2]] for w in words[k : k + substrings.WINDOW])
+            cut.add(max(j for j in range(k, k + substrings.WINDOW) if h[words[j][2]] == least))
+        cut = sorted(cut)
+        units = [("s", cut[k], (cut + [n])[k + substrings.SPAN]) for k in range(len(cut) - substrings.SPAN + 1)] or ([("s", 0, n)] if n else [])
+        first = [k for k in range(n) if not k or words[k][3] != words[k - 1][3]]
+        units += [("l", a, z) for a, z in zip(first, first[1:] + [n]) if z - a >= substrings.MIN_LINE_WORDS]
+        out[i] = (words, len(b), set())
+        for kind, a, z in units:
+            at[kind, tuple(w[2] for w in words[a:z])].append((i, a, z))
+    for places in at.values():
+        for i, a, z in sorted(places)[1:]:
+            out[i][2].update(range(a, z))
+    spans = {}
+    for i, (words, size, gone) in out.items():
+        runs, ends = [], [w[0] for w in words] + [size]
+        for k in sorted(gone):
+            if runs and runs[-1][1] == k:
+                runs[-1][1] = k + 1
+            else:
+                runs.append([k, k + 1])
+        spans[i] = [(ends[a], ends[z]) for a, z in runs if z - a >= substrings.MIN_WORDS]
+    return spans
+
+
+def test_substrings_against_brute_force(spark, docs):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    rows += [(9000, rows[3][1]), (9001, rows[5][1] + "\n" + rows[7][1]), (9002, "\n".join(rows[9][1].split("\n")[::-1]))]
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["removed"]] for r in substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == slow_repeats(rows) and sum(map(bool, got.values())) > 10
+
+
+def test_names_that_clash(spark):
+    names = ["doc_id", "text", "_text", "doc", "row", "id", "_gone", "_row", "places", "_places", "node", "gone", "digest", "_w", "_part", "g"]
+    rows = [(i, t, *["x"] * (len(names) - 2)) for i, t, *_ in ODD]
+    d = spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    bench = spark.createDataFrame([("a", BASE)], "item_id string, text string")
+    model = toxicity.fit(d, spark.createDataFrame([(5, 1), (7, 0)], "doc_id long, toxic int"))
+    for out in (toxicity.scored(d, model), line_dedup.without_repeated_lines(d), minhash.deduplicated(d), substrings.without_repeats(d), decontaminate.decontaminated(d, bench), decontaminate.decontaminated(d, bench, remove="spans")):
+        assert set(names) <= set(out.columns) and {r["_text"] + r["doc"] + r["row"] + r["_gone"] for r in out.collect()} == {"xxxx"}
+
+
+def test_ids_that_are_text(spark):
+    d = spark.createDataFrame([(None if i is None else f"d{i:02}", t) for i, t, *_ in ODD], "doc_id string, text string")
+    assert {r["doc_id"] for r in minhash.deduplicated(d).collect()} == {"d01", "d02", "d03", "d04", "d05", "d08", "d09", "d10", None}
+    labels = spark.createDataFrame([("d05", 1, 1), ("d07", 0, 0)], "doc_id string, toxic int, quality int")
+    assert all(m.scored(d, m.fit(d, labels)).count() == len(ODD) for m in (toxicity, quality))
+
+
 # -- 9
 
 

@@ -15,15 +15,17 @@ last shared anchors: 22 of 51, so no passage of more than 50 words stays whole.
 Digests are grouped over the corpus with pre-aggregation; the occurrence of the
 lowest document id, and in it the first, is kept and the others are repeats.
 Overlapping and touching repeats of a document are joined; a joined stretch is
-removed when it has ``MIN_WORDS`` words or more, and a repeated line always.
+removed when it has ``min_words`` words or more.  A shorter repeat that stands
+alone, such as a stock line or a phrase, stays: short lines are the work of line
+dedup; with ``short_lines`` a repeated line goes however short it is.
 ``removed`` keeps the byte offsets of what went, in the original text.  Where a
 copy begins or ends inside a line, the words up to the next shared anchor stay,
 at most ``2 * WINDOW - 2`` at each end.
 
 Edge cases: null and empty texts have no units and pass unchanged; rows of one
 id have one rank and are not repeats of each other; rows with a null id rank
-last; further columns pass through, those named like a result column are
-replaced.
+last; further columns pass through whatever their names, those named like a
+result column are replaced.  Equal 64-bit digests stand for equal units.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.llm import text as tx
+from tidegauge.llm.shared import pass_through
 
 #: One word at least in so many neighbouring ones is an anchor.
 WINDOW = 8
@@ -139,7 +142,7 @@ def units(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"row long, id {kind}, digest long, place long, first boolean")
 
 
-def joined_repeats(place: np.ndarray, min_words: int = MIN_WORDS) -> np.ndarray:
+def joined_repeats(place: np.ndarray, min_words: int = MIN_WORDS, short_lines: bool = False) -> np.ndarray:
     """Ranges of words to remove (n x 2), from the places of one text's repeats."""
     place = place.view(np.uint64)
     line = (place & _LINE) > 0
@@ -153,8 +156,9 @@ def joined_repeats(place: np.ndarray, min_words: int = MIN_WORDS) -> np.ndarray:
         return np.stack([lo[new], hi[np.append(new[1:], len(hi)) - 1]], 1)
 
     whole = union(lo, hi)
-    whole = whole[whole[:, 1] - whole[:, 0] >= min_words]
-    keep = np.concatenate([whole, np.stack([lo[line], hi[line]], 1)])
+    keep = whole[whole[:, 1] - whole[:, 0] >= min_words]
+    if short_lines:
+        keep = np.concatenate([keep, np.stack([lo[line], hi[line]], 1)])
     return union(keep[:, 0], keep[:, 1]) if len(keep) else keep
 
 
@@ -169,35 +173,33 @@ def repeats(source: DataFrame) -> DataFrame:
     return later.unionByName(again).groupBy("row").agg(F.collect_set("place").alias("places"))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, short_lines: bool = False) -> DataFrame:
     """``docs`` with repeats cut from the text, and ``n_words, n_removed, removed`` (byte offsets) added."""
-    keep = [f for f in docs.schema if f.name not in RESULT]
-    names = [f.name for f in keep]
     row = F.xxhash64(docs[id_col], docs[text_col])
     found = repeats(docs.select(row.alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text")))
-    wide = docs.select(F.struct(*names).alias("_doc"), row.alias("row")).join(found, "row", "left")
-    wide = wide.select(*[F.col(f"_doc.`{n}`") for n in names], F.col("places").alias("_places"))
-    schema = T.StructType([*keep, *T._parse_datatype_string("n_words long, n_removed long, removed array<struct<start:int,end:int>>").fields])
+    wide = docs.select(*pass_through(docs, (*RESULT, text_col)), docs[text_col].alias("text"), row.alias("row")).join(found, "row", "left").select("doc", "text", "places")
+    schema = T.StructType([wide.schema["doc"], *T._parse_datatype_string("text string, n_words long, n_removed long, removed array<struct<start:int,end:int>>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c in tx.chunks(b.column(text_col)):
-                yield _cut(b.slice(c.first, len(c)), c, names, text_col, min_words)
+            for c in tx.chunks(b.column("text")):
+                yield _cut(b.slice(c.first, len(c)), c, min_words, short_lines)
 
-    return wide.mapInArrow(run, schema)
+    columns = [F.col("text").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns if c not in RESULT]
+    return wide.mapInArrow(run, schema).select(*columns, *RESULT)
 
 
-def _cut(b: pa.RecordBatch, c: tx.Chunk, names: list[str], text_col: str, min_words: int) -> pa.RecordBatch:
+def _cut(b: pa.RecordBatch, c: tx.Chunk, min_words: int, short_lines: bool) -> pa.RecordBatch:
     w = tx.words(c)
     base = np.concatenate([[0], np.cumsum(w.count)])
     raw = c.data.tobytes()
-    texts, spans, removed = b.column(text_col).to_pylist(), [], []
-    for i, places in enumerate(b.column("_places").to_pylist()):
+    texts, spans, removed = b.column("text").to_pylist(), [], []
+    for i, places in enumerate(b.column("places").to_pylist()):
         mine, gone = [], 0
         if places:
             start = np.append(w.start[base[i] : base[i + 1]], c.offsets[i + 1])
             at, parts = int(c.offsets[i]), []
-            for lo, hi in joined_repeats(np.array(places, np.int64), min_words).tolist():
+            for lo, hi in joined_repeats(np.array(places, np.int64), min_words, short_lines).tolist():
                 parts.append(raw[at : start[lo]])
                 at = int(start[hi])
                 mine.append({"start": int(start[lo] - c.offsets[i]), "end": int(at - c.offsets[i])})
@@ -207,6 +209,5 @@ def _cut(b: pa.RecordBatch, c: tx.Chunk, names: list[str], text_col: str, min_wo
                 texts[i] = b"".join(parts).decode()
         spans.append(mine)
         removed.append(gone)
-    columns = [pa.array(texts, pa.string()) if n == text_col else b.column(n) for n in names]
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    return pa.record_batch([*columns, pa.array(w.count, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind)], names=[*names, *RESULT])
+    return pa.record_batch([b.column("doc"), pa.array(texts, pa.string()), pa.array(w.count, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, kind)], names=["doc", "text", *RESULT])
