@@ -150,7 +150,8 @@ class ShardStore:
         return [run for _, run in sorted(tiers.items()) if len(run) >= self.fanout]
 
     def compact(self, sort_by: str) -> int | None:
-        """Merge the lowest run that :meth:`plan` names and commit; ``None`` if there is none.
+        """Merge the lowest run that :meth:`plan` names and commit; ``None`` if there is none, or if
+        the merge would leave as many files.
 
         Rows are ranged by ``sort_by`` and then by a hash of the whole row, so
         equal keys spread over several files, into as many files as the run's
@@ -166,6 +167,9 @@ class ShardStore:
         spread = F.xxhash64(*[c for c, t in rows.dtypes if "map<" not in t])
         n = max(1, math.ceil(sum(s.bytes for s in old) / self.target_bytes))
         new = self._written(rows.repartitionByRange(n, F.col(sort_by), spread).sortWithinPartitions(sort_by), "c")
+        if len(new) >= len(old):  # no fewer files than before: nothing is won
+            self._fs.delete(self._path(new[0].path).getParent(), True)
+            return None
 
         def change(latest: Manifest):
             if not gone <= {s.path for s in latest.shards}:
