@@ -1,19 +1,22 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
 Encoding: texts are cut into pre-tokens; every chunk of texts keeps the
-sequence of its words as positions in the chunk's word list, and gives a row for
-each distinct word.  A distinct over the corpus leaves each word once, there it
-is encoded, and a join on the word brings its ids back to the chunks, where they
-are put in the places of the word.  Decoding replaces ids by the bytes of the
-token table, whose size is fixed and which every task has at hand: a map-side
-join.
-
-A frequent word costs one row a chunk, whatever its occurrences; a chunk is
-bounded by its bytes of text, and no task keeps words between chunks.
+sequence of its words as positions in the chunk's word list and sends each
+distinct word once, packed by hash bucket, to the bucket's group.  There each
+distinct word of the corpus is encoded once.  The ids go back to the chunks by
+a join on the chunk, where they are put in the place of the words.  Decoding
+replaces ids by the bytes of the (fixed-size) token table.
+
+A bucket holds a fixed share of the distinct words of every chunk, never
+occurrences, so a frequent word costs one entry a chunk; a chunk is bounded by
+its bytes of text.  A bucket's group streams through its task, which remembers
+its distinct words: ``BUCKETS`` is so large that they fit in memory for tens of
+billions of distinct words, and the entries a chunk sends stay in proportion to
+its words.  Decoding is a map-side join: the token table's size is fixed.
 
 Edge cases: a null or empty text has no ids; a repeated row is repeated in the
 result; null ids of documents are kept; other columns are not carried.  Words
-of one chunk are told apart by 64-bit hashes, words of the corpus by their bytes.
+are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,12 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tidegauge.llm import text as tx
-from tidegauge.llm.pretokens import pack, pretokens, spans, unpack
-from tidegauge.llm.shared import written
+from tidegauge.llm.pretokens import Known, pack, pretokens, spans, unpack
 
-CHUNK_BYTES = 3 << 20
-#: Words encoded between two Arrow batches.
-ENCODE_ROWS = 20_000
+CHUNK_BYTES = 8 << 20
+#: Shares of the words, at least.
+BUCKETS = 1_024
 
 
 @cache
@@ -78,28 +80,30 @@ class _Chunks:
         return pa.concat_arrays(ids), tx.Chunk(0, np.concatenate(parts), np.concatenate([[0], np.cumsum(size)]))
 
 
-def _listed(c: tx.Chunk):
-    """Key of a chunk; its pre-tokens; where its distinct words first stand, by falling frequency; the sequence of their ranks."""
+def _listed(ids: pa.Array, c: tx.Chunk, buckets: int):
+    """Key of a chunk; its distinct words by falling frequency: first places, buckets; the sequence of their ranks."""
     p = pretokens(c)
     _, at, inverse, count = np.unique(p.hash, return_index=True, return_inverse=True, return_counts=True)
     order = np.argsort(-count, kind="stable")
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
+    at = at[order]
     digest = hashlib.blake2b(c.data.tobytes(), digest_size=8)
     digest.update(c.offsets.tobytes())
-    return int.from_bytes(digest.digest(), "little", signed=True), p, at[order], rank[inverse] if len(inverse) else rank
+    key = int.from_bytes(digest.digest(), "little", signed=True)
+    return key, p, at, (p.hash[at] % np.uint64(buckets)).astype(np.uint32), rank[inverse] if len(inverse) else rank
 
 
-def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """``id, n_tokens, ids`` (little-endian unsigned 32-bit integers) of every row of ``docs``."""
-    return _assembled(docs, ranks_path, id_col, text_col, lambda e: [("n_tokens", pa.array(e.count)), ("ids", pa.array(e.id_bytes(), pa.binary()))], "n_tokens long, ids binary")
+    return _assembled(docs, ranks_path, id_col, text_col, buckets, lambda e: [("n_tokens", pa.array(e.count)), ("ids", pa.array(e.id_bytes(), pa.binary()))], "n_tokens long, ids binary")
 
 
-def round_trip_digests(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip_digests(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """``id, n_tokens, ids_sha256, decoded_sha256``: encode, decode, and hash both where they are made."""
     sha = lambda rows: pa.array([hashlib.sha256(r).hexdigest() for r in rows], pa.string())
     return _assembled(
-        docs, ranks_path, id_col, text_col,
+        docs, ranks_path, id_col, text_col, buckets,
         lambda e: [("n_tokens", pa.array(e.count)), ("ids_sha256", sha(e.id_bytes())), ("decoded_sha256", sha(e.decoded()))],
         "n_tokens long, ids_sha256 string, decoded_sha256 string",
     )
@@ -137,49 +141,63 @@ class Encoded:
         return [out[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def _assembled(docs, ranks_path, id_col, text_col, results, columns) -> DataFrame:
+def _assembled(docs, ranks_path, id_col, text_col, buckets, results, columns) -> DataFrame:
+    spark = docs.sparkSession
+    buckets = buckets or max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     id_field = source.schema["id"]
 
-    def word_rows(batches):
-        for _, c in _Chunks()(batches):
-            key, p, at, _ = _listed(c)
+    def word_lists(batches):
+        for ids, c in _Chunks()(batches):
+            key, p, at, bucket, _ = _listed(ids, c, buckets)
+            order = np.argsort(bucket, kind="stable")  # by bucket, then rank
+            at, bucket = at[order], bucket[order]
             start, end = p.start[at], p.end[at]
-            offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
-            words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(spans(c.data, start, end))])
-            yield pa.record_batch([pa.array(np.full(len(at), key)), pa.array(np.arange(len(at), dtype=np.int32)), words], names=["chunk", "rank", "word"])
+            cut = np.searchsorted(bucket, np.arange(buckets + 1))
+            used = np.flatnonzero(np.diff(cut))
+            blobs = [pack((end[a:b] - start[a:b]).astype(np.uint32), spans(c.data, start[a:b], end[a:b])) for a, b in zip(cut[used], cut[used + 1], strict=True)]
+            yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), key)), pa.array(blobs, pa.binary())], names=["bucket", "chunk", "words"])
         pa.default_memory_pool().release_unused()
 
-    def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode_bucket(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, _, _ = vocabulary(ranks_path)
-        for b in batches:
-            for at in range(0, b.num_rows, ENCODE_ROWS):
-                words = b.column("word").slice(at, ENCODE_ROWS)
-                ids = [np.array(encoding._encode_single_piece(w), "<u4").tobytes() for w in words.to_pylist()]
-                yield pa.record_batch([words, pa.array(ids, pa.binary())], names=["word", "ids"])
+        known = Known(np.uint16 if encoding.n_vocab <= 1 << 16 else np.uint32)
+        for b in rows:
+            out = []
+            for blob in b.column("words").to_pylist():
+                size, data = unpack(blob)
+                end = np.cumsum(size, dtype=np.int64)
+                h = tx.Hasher(data)(end - size, end)
+                start, count, new = known.find(h)
+                if len(new):
+                    raw = data.tobytes()
+                    start[new], count[new] = known.add(h[new], [encoding._encode_single_piece(raw[end[k] - size[k] : end[k]]) for k in new.tolist()])
+                out.append(pack(count.astype(np.uint32), spans(known.pool, start, start + count)))
+            yield pa.record_batch([b.column("chunk"), b.column("bucket"), pa.array(out, pa.binary())], names=["chunk", "bucket", "ids"])
 
     def sequences(batches):
         for ids, c in _Chunks()(batches):
-            key, p, at, seq = _listed(c)
+            key, p, _, bucket, seq = _listed(ids, c, buckets)
             docs_of = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            yield pa.record_batch([pa.array([key]), docs_of, pa.array([pack(np.array([len(at)], np.uint32), p.count.astype(np.uint32), seq)], pa.binary())], names=["chunk", "docs", "sequence"])
+            yield pa.record_batch([pa.array([key]), docs_of, pa.array([pack(p.count.astype(np.uint32), bucket, seq)], pa.binary())], names=["chunk", "docs", "sequence"])
         pa.default_memory_pool().release_unused()
 
     def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        # A chunk that occurs twice has every word as often, with the same ids.
-        rank, first = np.unique(right.column("rank").to_numpy(), return_index=True)
-        ids_of = right.column("ids").combine_chunks() if right.num_rows else pa.array([], pa.binary())
-        ids_of = ids_of.take(pa.array(first))
-        off = np.frombuffer(ids_of.buffers()[1], np.int32, len(ids_of) + 1, 4 * ids_of.offset).astype(np.int64) // 4 if len(ids_of) else np.zeros(1, np.int64)
-        pool = np.frombuffer(ids_of.buffers()[2], "<u4") if len(ids_of) and ids_of.buffers()[2] is not None else np.zeros(0, "<u4")
+        lists = dict(zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist(), strict=True))
+        unpacked = [unpack(lists[k]) for k in sorted(lists)]
+        size = np.concatenate([u[0] for u in unpacked]).astype(np.int64) if unpacked else np.zeros(0, np.int64)
+        pool = np.concatenate([u[1] for u in unpacked]) if unpacked else np.zeros(0, np.uint32)
+        off = np.concatenate([[0], np.cumsum(size)])
         tables = []
         for ids, blob in zip(left.column("docs"), left.column("sequence").to_pylist(), strict=True):
-            n, count, seq = unpack(blob)
-            if len(rank) != n[0]:
+            count, bucket, seq = unpack(blob)
+            if len(bucket) != len(size):
                 raise RuntimeError("a chunk's words changed between two reads of the input; write the input to a table first")
-            size = (off[1:] - off[:-1])[seq]
-            all_ids = spans(pool, off[seq], off[seq] + size)
-            each = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(count, dtype=np.int64)])]
+            place = np.empty(len(bucket), np.int64)
+            place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))
+            at = place[seq]
+            all_ids = spans(pool, off[at], off[at + 1])
+            each = np.concatenate([[0], np.cumsum(size[at])])[np.concatenate([[0], np.cumsum(count, dtype=np.int64)])]
             e = Encoded(all_ids, np.diff(each), ranks_path)
             tables.append(pa.table([ids.values, *(a for _, a in results(e))], names=["id", *names]))
         return pa.concat_tables(tables) if tables else empty
@@ -190,8 +208,7 @@ def _assembled(docs, ranks_path, id_col, text_col, results, columns) -> DataFram
 
     empty = to_arrow_schema(schema).empty_table()
     kind = id_field.dataType.simpleString()
-    words = written(source.mapInArrow(word_rows, "chunk long, rank int, word binary"), "words")
-    ids = words.select("word").distinct().mapInArrow(encode_words, "word binary, ids binary")
-    known = words.join(ids, "word").select("chunk", "rank", "ids")
+    words = source.mapInArrow(word_lists, "bucket int, chunk long, words binary")
+    encoded = words.groupBy("bucket").applyInArrow(encode_bucket, "chunk long, bucket int, ids binary")
     seq = source.mapInArrow(sequences, f"chunk long, docs array<{kind}>, sequence binary")
-    return seq.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(reassemble, schema)
+    return seq.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(reassemble, schema)

@@ -93,7 +93,58 @@ def pretokens(chunk: tx.Chunk) -> Pretokens:
     start = lead[at]
     end = np.append(start[1:], len(data))
     count = np.diff(np.searchsorted(at, first))
-    return Pretokens(start, end, count, tx.Hasher(data)(start, end))
+    return Pretokens(start, end, count, _hashes(data, start, end))
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = tx.CHUNK_BYTES) -> np.ndarray:
+    """Hashes of ascending spans, from some ``step`` bytes at a time."""
+    out, i = np.empty(len(start), np.uint64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + step, "right")))
+        a = start[i]
+        out[i:j] = tx.Hasher(data[a : end[j - 1]])(start[i:j] - a, end[i:j] - a)
+        i = j
+    return out
+
+
+class Known:
+    """Ids of words by the words' hashes.
+
+    Hashes lie in sorted runs, each at least twice as long as the next, so a
+    word is moved a logarithmic number of times; the ids lie in a pool that
+    doubles when it is full.
+    """
+
+    def __init__(self, dtype):
+        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.pool, self.used, self.words = np.zeros(1024, dtype), 0, 0
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each word begin, how many they are, and which words are not known."""
+        start, size, left = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), np.arange(len(h))
+        for known, s, n in self.runs:
+            i = np.minimum(np.searchsorted(known, h[left]), len(known) - 1)
+            hit = known[i] == h[left]
+            start[left[hit]], size[left[hit]] = s[i[hit]], n[i[hit]]
+            left = left[~hit]
+        return start, size, left
+
+    def add(self, h: np.ndarray, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Remember distinct new words; returns where their ids begin and how many they are."""
+        size = np.array([len(i) for i in ids], np.int64)
+        start = self.used + np.cumsum(size) - size
+        flat = np.fromiter((i for x in ids for i in x), self.pool.dtype, int(size.sum()))
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.used, self.words = self.used + len(flat), self.words + len(h)
+        order = np.argsort(h)
+        self.runs.append((h[order], start[order], size[order]))
+        while len(self.runs) > 1 and len(self.runs[-2][0]) < 2 * len(self.runs[-1][0]):
+            parts = [np.concatenate(x) for x in zip(self.runs.pop(), self.runs.pop(), strict=True)]
+            order = np.argsort(parts[0])
+            self.runs.append(tuple(p[order] for p in parts))
+        return start, size
 
 
 def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm import text as tx
-from tidegauge.llm.pretokens import pretokens, spans
+from tidegauge.llm.pretokens import Known, pretokens, spans
 
 #: Distinct words a Python worker remembers before it starts anew.
 REMEMBERED = 800_000
@@ -56,41 +56,19 @@ class WordEncoder:
         self._forget()
 
     def _forget(self):
-        self.known: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # sorted hashes, starts and sizes in the pool
-        self.pool = np.zeros(0, np.uint32)
-
-    def _find(self, h: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Fill the places of the hashes that are known; returns the others' positions."""
-        left = np.arange(len(h))
-        for known, s, n in self.known:
-            i = np.minimum(np.searchsorted(known, h[left]), len(known) - 1)
-            hit = known[i] == h[left]
-            start[left[hit]], size[left[hit]] = s[i[hit]], n[i[hit]]
-            left = left[~hit]
-        return left
+        self.known = Known(np.uint32)
 
     def __call__(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the pool (start, size) of distinct words, given by sorted hashes and spans."""
-        if sum(len(k) for k, _, _ in self.known) > REMEMBERED:
+        """Places in the pool (start, size) of distinct words, given by hashes and spans."""
+        if self.known.words > REMEMBERED:
             self._forget()
-        start, size = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-        new = self._find(h, start, size)
+        start, size, new = self.known.find(h)
         if len(new):
-            raw, found = data.tobytes(), []
-            for k in new.tolist():
-                word = raw[begin[k] : end[k]].decode("latin-1").translate(self.alphabet)
-                found.append([t.id for t in self.model.tokenize(word)])
-            size[new] = [len(f) for f in found]
-            start[new] = len(self.pool) + np.concatenate([[0], np.cumsum(size[new])[:-1]])
-            self.pool = np.concatenate([self.pool, np.array([i for f in found for i in f], np.uint32)])
-            self.known.append((h[new], start[new], size[new]))
-            if len(self.known) > 6:
-                parts = [np.concatenate(x) for x in zip(*self.known, strict=True)]
-                order = np.argsort(parts[0])
-                self.known = [tuple(p[order] for p in parts)]
+            raw = data.tobytes()
+            words = (raw[begin[k] : end[k]].decode("latin-1").translate(self.alphabet) for k in new.tolist())
+            start[new], size[new] = self.known.add(h[new], [[t.id for t in self.model.tokenize(w)] for w in words])
         return start, size
 
-
     def whole(self, text: str) -> np.ndarray:
         """Ids of a text by the library from end to end."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -119,7 +97,7 @@ def encode_chunk(c: tx.Chunk, encoder: WordEncoder, end_id: int, added_as_text:
     p = pretokens(c)
     h, at, inverse = np.unique(p.hash, return_index=True, return_inverse=True)
     start, size = encoder(c.data, p.start[at], p.end[at], h)
-    ids = spans(encoder.pool, start[inverse], start[inverse] + size[inverse])
+    ids = spans(encoder.known.pool, start[inverse], start[inverse] + size[inverse])
     each = np.concatenate([[0], np.cumsum(size[inverse])])[np.concatenate([[0], np.cumsum(p.count)])]
     ids, count = np.insert(ids, each[1:], np.uint32(end_id)), np.diff(each) + 1
     special = _holding(c, encoder.added) if not added_as_text else []
