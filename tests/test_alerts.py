@@ -6,11 +6,11 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.config import Feature, Gate, Model, Profile
+from tidegauge.config import Feature, Gate, Metric, Model, Profile
 from tidegauge.operators import alerts as al
 from tidegauge.operators import streaks as st
 from tidegauge.operators.drift import drift
-from tidegauge.operators.profile import baseline_profile, frozen_bins
+from tidegauge.operators.profile import baseline_profile, freeze, frozen_bins
 from tidegauge.operators.shape import with_window
 from tidegauge.operators.validate import validated
 from tidegauge.sources import ingest as ig
@@ -90,6 +90,34 @@ def test_outbox_gives_up_after_five(spark):
         assert box.first()["attempt"] == attempt
         delivered = spark.createDataFrame(al.after_delivery(box.withColumns({"ok": F.lit(False), "error": F.lit("down")})).collect(), "model_id string, kind string, signal_name string, feature_name string, segment_dimension string, segment_value string, opened_window timestamp, last_notified_status string, notification_attempts int, last_notification_error string")
     assert al.outbox(a, delivered).count() == 0
+    # The next transition is announced by the run that made it, once.
+    later = al.alert_lifecycle(al.alert_events(results(spark, [B, B, B, B]), None, P), P)
+    now = results(spark, [B, B, B, B]).where(F.col("window_end") == T0 + dt.timedelta(hours=3))
+    assert al.outbox(later, delivered).count() == 0 and al.outbox(later, delivered, evaluated=now).first()["attempt"] == 6
+    assert al.touched(later, now).count() == 1 and al.touched(later, now.limit(0)).count() == 0
+
+
+def test_only_the_newest_revision_counts(spark):
+    metric = Profile(gates=GATES, metrics=(Metric("pr_auc", gate=Gate(0.3, 0.5, "below")),), fire_persistence=2, escalate_persistence=4, resolve_persistence=3, not_computable_persistence=2, history_scan_windows=6)
+    rows = [("m", "pr_auc", None, None, T0 + dt.timedelta(hours=h), "computed", v, None, rev, rev) for h, v, rev in ((0, 0.1, 1), (0, 0.2, 2), (0, 0.25, 3), (1, 0.9, 1), (2, 0.1, 1), (2, 0.9, 2))]
+    r = spark.createDataFrame(rows, "model_id string, metric_name string, segment_dimension string, segment_value string, window_end timestamp, status string, metric_value double, not_computable_reason string, revision_id long, computed_at long")
+    events = al.alert_events(None, r, metric)
+    assert sorted((e["class"], e["streak"], e["value"]) for e in events.where("kind = 'performance'").collect()) == [("breach", 1, 0.25), ("clear", 1, 0.9), ("clear", 2, 0.9)]
+    assert al.alert_lifecycle(events, metric).count() == 0
+
+
+def test_trace_of_a_lifecycle(spark):
+    e = al.alert_events(results(spark, [C, B, B, B, B, C, C, C, B]), None, P)
+    t = al.lifecycle_trace(e.where("kind = 'drift'"), al.alert_lifecycle(e, P)).orderBy("window_end")
+    assert [r["phase"] for r in t.collect()] == ["quiet", "counting", "open", "open", "escalated", "escalated", "escalated", "quiet", "counting"]
+
+
+def test_label_noise_takes_any_key(spark):
+    from tidegauge.plans.reports import label_noise
+
+    d = spark.createDataFrame([(10**18 + i, 1.0) for i in range(2_000)], "k long, y double")
+    share = label_noise(d, "y", F.col("k"), 0.7, F.lit(True)).agg(F.avg("y")).first()[0]
+    assert 0.25 < share < 0.35 and label_noise(d, "y", F.col("k"), 0.7, F.lit(False)).agg(F.avg("y")).first()[0] == 1
 
 
 def test_validation(spark):
@@ -117,6 +145,11 @@ def test_baseline_is_not_replaced_silently(spark, tmp_path):
         ig.register_baseline(rows, str(tmp_path), "m", 2)
     ig.register_baseline(rows, str(tmp_path), "m", 2, replace_active=True)
     assert [r["baseline_id"] for r in ig.active_baseline(spark, str(tmp_path), "m").collect()] == [2]
+    model = Model((Feature("x", "continuous"),), score=None)
+    bad = ig.register_baseline(spark.createDataFrame([(1.0,), (None,)], "x double"), str(tmp_path), "n", 1, model)
+    assert [r["errors"] for r in bad.collect()] == [["feature 'x' is required"]]
+    assert ig.register_baseline(spark.createDataFrame([(float(i),) for i in range(20)], "x double"), str(tmp_path), "n", 1, model) is None
+    assert ig.active_baseline(spark, str(tmp_path), "n", "bins").first()["edges"][-1] == 19 and ig.active_baseline(spark, str(tmp_path), "n", "profiles").first()["n_baseline"] == 20
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -140,10 +173,34 @@ def test_stream_equals_batch(spark, tmp_path):
     norm = lambda df: sorted(repr([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.select(cols).collect())
     assert norm(mon.table("drift")) == norm(want)
     assert mon.table("late").agg(F.sum("late_prediction_count")).first()[0] == 1
+    # The same batch again replaces itself; an id with another payload is kept out.
+    again = spark.read.schema(live.schema).parquet(source).where("prediction_id = 5000").withColumn("x", F.lit(-1.0))
+    before = mon.table("predictions").count()
+    for _ in range(2):
+        mon.on_predictions(again, 90)
+    assert mon.table("predictions").count() == before and [r["against"] for r in mon.table("rejected").collect()] == ["store"]
+    assert mon.alerts().count() == al.alert_lifecycle(al.alert_events(want, None, p), p).count()
     labels = spark.createDataFrame([("m", i, i, float(i % 2), T0 + dt.timedelta(days=1)) for i in range(0, 60)], "model_id string, prediction_id long, label_id long, label_value double, received_at timestamp")
     assert labels.count() == 60
 
 
+def test_backfill_is_repeatable(spark, tmp_path):
+    from tidegauge.plans.backfill import Store
+
+    model = Model((Feature("x", "continuous"),), score=None)
+    p = replace(P, window="12h", min_window_size=10, continuous=("psi",))
+    live = with_window(spark.createDataFrame([("m", i, T0 + dt.timedelta(hours=i / 4), float(i % 17)) for i in range(480)], "model_id string, prediction_id long, predicted_at timestamp, x double"), "predicted_at", "12h")
+    base = spark.createDataFrame([(float(i % 17),) for i in range(300)], "x double")
+    frozen = freeze(base, model)
+    store = Store(spark, str(tmp_path), model, p, base, frozen, baseline_profile(base, model, simulate=False, frozen=frozen), gated=False)
+    rows = lambda: sorted(map(repr, store.table("drift").drop("config_hash").collect()))
+    assert store.evaluate(live, None, "2026-01-01", "2026-01-02") == 4 and store.evaluate(live, None, "2026-01-01", "2026-01-02") == 0
+    first = rows()
+    assert store.evaluate(live, None, "2026-01-01", "2026-01-02", force=True) == 4 and rows() == first
+    assert store.evaluate(live, None, "2026-01-01", "2026-01-05") == 6 and store.table("windows").count() == 10 and len(rows()) == 10
+    assert store.fold_alerts().count() >= 0
+
+
 def test_watermarked_counts(spark, tmp_path):
     rows = spark.createDataFrame([(T0 + dt.timedelta(minutes=i),) for i in range(0, 200, 5)], "at timestamp")
     rows.write.parquet(str(tmp_path / "in"))

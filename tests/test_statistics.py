@@ -31,6 +31,24 @@ def test_edges(spark):
     assert len(skewed) < 11 and skewed == sorted(set(skewed))
 
 
+def test_edges_keep_small_scales_and_extremes(spark):
+    tiny = [i * 1e-13 for i in range(1, 101)]
+    e = edges(spark, tiny)
+    assert len(e) == 11 and e[0] == tiny[0] and e[-1] == tiny[-1]
+    import numpy as np
+
+    values = np.random.default_rng(3).normal(size=2_000).round(2).tolist()
+    assert edges(spark, values) == pytest.approx(sorted(set(np.quantile(values, np.linspace(0, 1, 11)).tolist())))
+
+
+def test_fine_buckets_rise_with_the_value(spark):
+    values = sorted([-1e9, -50.0, -3.0, 0.0, 0.4, 1.0, 1.5, 2.0, 2.9, 3.0, 3.1, 9.0, 70.0, 1e9, float("inf"), float("-inf")])
+    e = arr([0, 1, 3])
+    got = [scalar(spark, col.fine_bucket(F.lit(v), e)) for v in values]
+    assert got == sorted(got) and [g // 16 for g in got] == [scalar(spark, col.bucket_of(F.lit(v), e)) for v in values] and len(set(got)) > 9
+    assert scalar(spark, col.fine_bucket(F.lit(5.0), arr([5, 5]))) == 16
+
+
 def scalar(spark, c):
     return spark.range(1).select(c.alias("r")).first()["r"]
 

@@ -11,10 +11,22 @@ EPSILON = 1e-4
 
 def bucket_of(value: Column, edges: Column) -> Column:
     """Number of edges at or below ``value``: 0 underflow, ``size(edges)`` overflow; the last edge belongs to the last bin."""
-    last = F.element_at(edges, -1)
+    last = F.try_element_at(edges, F.lit(-1))
     return F.when(value == last, F.size(edges) - 1).otherwise(F.size(F.filter(edges, lambda e: e <= value)))
 
 
+def fine_bucket(value: Column, edges: Column, parts: int = 16) -> Column:
+    """A refinement of :func:`bucket_of` that rises with ``value``: even parts of each bin, and parts of growing width of the two open ends."""
+    b, n = bucket_of(value, edges), F.size(edges)
+    at = lambda i: F.try_element_at(edges, i)
+    lo, hi = at(F.lit(1)), at(F.lit(-1))
+    span = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
+    far = lambda d: F.least(F.lit(parts - 1), F.floor(4 * F.log2(1 + d / span)))
+    inside = F.least(F.lit(parts - 1), F.floor(F.coalesce(F.try_divide(parts * (value - at(b)), at(b + 1) - at(b)), F.lit(0.0))))
+    sub = F.when(F.isnan(value), parts - 1).when(n == 0, 0).when(b == 0, parts - 1 - far(lo - value)).when(b == n, far(value - hi)).otherwise(inside)
+    return (b * parts + sub).cast("int")
+
+
 def category_of(value: Column, categories: Column) -> Column:
     """Position of ``value`` in the frozen categories; their number for a category they lack."""
     at = F.array_position(categories, value)

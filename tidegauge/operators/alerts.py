@@ -174,11 +174,33 @@ def alert_lifecycle(events: DataFrame, profile: Profile, rollup: bool = True) ->
     return _folded(alone, one, profile, False).unionByName(_folded(together, group, profile, True))
 
 
-def outbox(alerts: DataFrame, delivered: DataFrame, max_attempts: int = 5) -> DataFrame:
+def touched(alerts: DataFrame, windows: DataFrame) -> DataFrame:
+    """Alerts that the evaluation of ``windows(model_id, window_end)`` opened or changed: those last seen in one of them."""
+    w = windows.select("model_id", F.col("window_end").alias("last_seen_window")).distinct()
+    return alerts.join(w, ["model_id", "last_seen_window"], "left_semi")
+
+
+def lifecycle_trace(events: DataFrame, alerts: DataFrame) -> DataFrame:
+    """``events`` with the ``phase`` of their signal after each window: quiet, counting, open or escalated."""
+    identity = [*SIGNAL]
+    a = alerts.where(~F.col("is_aggregate")).select(*[F.col(c).alias(f"_{c}") for c in identity], "opened_window", "escalated_window", "resolved_window")
+    at, cond = F.col("window_end"), None
+    for c in identity:
+        eq = events[c] == a[f"_{c}"] if c in ("model_id", "kind", "signal_name") else events[c].eqNullSafe(a[f"_{c}"])
+        cond = eq if cond is None else cond & eq
+    on = cond & (at >= F.col("opened_window")) & (F.col("resolved_window").isNull() | (at < F.col("resolved_window")))
+    counting = F.col("class") == F.when(F.col("kind") == "not_computable", "not_computable").otherwise("breach")
+    phase = F.when(F.col("escalated_window") <= at, "escalated").when(F.col("opened_window").isNotNull(), "open").when(counting, "counting").otherwise("quiet")
+    return events.join(a, on, "left").select(*[events[c] for c in events.columns], phase.alias("phase"))
+
+
+def outbox(alerts: DataFrame, delivered: DataFrame, max_attempts: int = 5, evaluated: DataFrame | None = None) -> DataFrame:
     """Status transitions still to be announced.
 
     ``delivered`` has ``SIGNAL``, ``opened_window``, ``last_notified_status`` and
     ``notification_attempts``; an alert that is not in it was never announced.
+    Retries end with ``max_attempts``; an alert that the windows just
+    ``evaluated`` touched is announced even after an earlier status was given up.
     """
     keys = [*SIGNAL, "opened_window"]
     d = delivered.select(*[F.col(c).alias(f"_{c}") for c in keys], "last_notified_status", "notification_attempts")
@@ -189,7 +211,15 @@ def outbox(alerts: DataFrame, delivered: DataFrame, max_attempts: int = 5) -> Da
     j = alerts.join(d, cond, "left").drop(*[f"_{c}" for c in keys])
     attempts = F.coalesce("notification_attempts", F.lit(0))
     event = F.when(F.col("status") == "open", "opened").otherwise(F.col("status"))
-    return j.where(~F.col("status").eqNullSafe(F.col("last_notified_status")) & (attempts < max_attempts)).withColumn("event", event).withColumn("attempt", attempts + 1)
+    due = attempts < max_attempts
+    if evaluated is not None:
+        w = evaluated.select(F.col("model_id").alias("_m"), F.col("window_end").alias("_w")).distinct()
+        j = j.join(w, (F.col("model_id") == F.col("_m")) & (F.col("last_seen_window") == F.col("_w")), "left")
+        due = due | F.col("_w").isNotNull()
+        j = j.withColumn("_due", due).drop("_m", "_w")
+    else:
+        j = j.withColumn("_due", due)
+    return j.where(~F.col("status").eqNullSafe(F.col("last_notified_status")) & F.col("_due")).drop("_due").withColumn("event", event).withColumn("attempt", attempts + 1)
 
 
 def after_delivery(sent: DataFrame, max_attempts: int = 5) -> DataFrame:

@@ -19,6 +19,7 @@ from tidegauge.operators.profile import SLICE, bucketed, ceiling_at, slice_count
 from tidegauge.operators.shape import long_features, slices
 
 KEYS = ["model_id", "window_start", "window_end"]
+#: Reasons, here and in the texts of `_judged` and `_refusal`.
 NO_BASELINE = "baseline sample is empty"
 NO_LIVE = "live sample is empty"
 NO_EDGES = "no frozen bin edges available (e.g. all-null baseline feature)"
@@ -63,15 +64,17 @@ def ks_statistic(live: DataFrame, baseline: DataFrame, bins: DataFrame, model: M
 
     D is reached at a live value or just below it, so the baseline's
     distribution is needed at live values only.  Values are counted once per
-    slice before any sort; running counts are taken within the frozen buckets
-    and offset by the buckets below, so no sort holds a whole feature.
+    slice before any sort; running counts are taken within parts of the frozen
+    buckets, the open ones at both ends included, and offset by the parts below,
+    so no sort holds a whole feature, wherever live values drift to.
     """
     names = [f.name for f in model.features if f.dtype == "continuous"]
 
     def counted(df, keys):
         rows = long_features(slices(df, model), model, [*keys, *SLICE]).where(F.col("feature_name").isin(names))
         rows = rows.where("segment_dimension is null or segment_dimension <> feature_name")
-        return bucketed(rows, bins).groupBy(*keys, *SLICE, "feature_name", "bucket", "num").agg(F.count("*").alias("n"))
+        fine = col.fine_bucket(F.col("num"), F.col("edges"))
+        return bucketed(rows, bins).withColumn("bucket", fine).groupBy(*keys, *SLICE, "feature_name", "bucket", "num").agg(F.count("*").alias("n"))
 
     sig = [*SLICE, "feature_name"]
 

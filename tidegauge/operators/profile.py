@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.config import SCORE, Model
@@ -21,38 +21,60 @@ NULL_SIZES = [10, 20, 30, 50, 75, 100, 150, 200, 300, 500, 750, 1000, 1500, 2000
 NULL_DRAWS = 200
 
 
-def frozen_bins(baseline: DataFrame, model: Model, bins: int = BINS, approximate: int | None = None, digits: int = 9) -> DataFrame:
+def _quantiles(rows: DataFrame, bins: int, approximate: int | None) -> DataFrame:
+    """``feature_name, q``: the ``bins + 1`` evenly spaced quantiles of each feature, minimum and maximum included.
+
+    Exact ones interpolate between order statistics.  Values are counted before
+    they are ranked, and ranked inside ranges that a sketch cuts, so no task
+    holds or sorts a whole feature.
+    """
+    rows = rows.where("num is not null")
+    if approximate:
+        return rows.groupBy("feature_name").agg(F.percentile_approx("num", F.array(*[F.lit(i / bins) for i in range(bins + 1)]), approximate).alias("q"))
+    cuts = rows.groupBy("feature_name").agg(F.percentile_approx("num", F.array(*[F.lit(i / 64) for i in range(1, 64)]), 1_000).alias("cuts"))
+    counted = rows.groupBy("feature_name", "num").agg(F.count("*").alias("n")).join(F.broadcast(cuts), "feature_name")
+    counted = counted.select("feature_name", "num", "n", F.size(F.filter("cuts", lambda c: c <= F.col("num"))).alias("part"))
+    whole = Window.partitionBy("feature_name")
+    below = F.coalesce(F.sum("m").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = counted.groupBy("feature_name", "part").agg(F.sum("n").alias("m")).select("feature_name", "part", below.alias("below"), F.sum("m").over(whole).alias("total"))
+    upto = F.sum("n").over(Window.partitionBy("feature_name", "part").orderBy("num").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.withColumn("upto", upto).join(F.broadcast(parts), ["feature_name", "part"])  # 64 rows a feature
+    ranked = ranked.withColumn("stop", F.col("upto") + F.col("below")).withColumn("start", F.col("stop") - F.col("n"))
+    wanted = []
+    for i in range(bins + 1):
+        at = (F.col("total") - 1) * i / F.lit(bins)
+        low = F.floor(at)
+        holds = lambda r: (r >= F.col("start")) & (r < F.col("stop"))
+        wanted.append(F.when(holds(low) | holds(F.ceil(at)), F.struct(F.lit(i).alias("i"), (at - low).alias("share"))))
+    found = ranked.select("feature_name", "num", F.explode(F.array_compact(F.array(*wanted))).alias("w"))
+    one = F.min("num") + (F.max("num") - F.min("num")) * F.max("w.share")
+    found = found.groupBy("feature_name", "w.i").agg(F.when(F.min("num") == F.max("num"), F.min("num")).otherwise(one).alias("x"))
+    return found.groupBy("feature_name").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("q"))
+
+
+def frozen_bins(baseline: DataFrame, model: Model, bins: int = BINS, approximate: int | None = None) -> DataFrame:
     """``feature_name, edges, categories``: exact interpolated quantiles, or sketched ones of the given accuracy.
 
     Edges rise strictly, except for a constant feature, which has its value
-    twice; they are rounded to ``digits`` decimals.  All-null features have
-    empty edges.
+    twice.  All-null features have empty edges.  Categories are frozen as a
+    list, so a feature's distinct categories are expected to fit in one row.
     """
     rows = long_features(baseline, model, [])
-    inner = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    q = F.percentile_approx("num", inner, approximate) if approximate else F.percentile("num", inner)
-    rounded = lambda c: F.transform(c, lambda x: F.round(x, digits))
-    edges = F.concat(F.array("lo"), "q", F.array("hi"))
-    found = rows.groupBy("feature_name").agg(
-        F.min("num").alias("lo"), F.max("num").alias("hi"), q.alias("q"), F.sort_array(F.collect_set("cat")).alias("categories")
-    )
-    found = found.select(
-        "feature_name",
-        F.when(F.col("lo").isNull(), F.array().cast("array<double>"))
-        .when(F.col("lo") == F.col("hi"), F.array("lo", "hi"))
-        .otherwise(F.array_distinct(rounded(edges)))
-        .alias("edges"),
-        "categories",
-    )
+    q = _quantiles(rows, bins, approximate)
+    categories = rows.where("cat is not null").select("feature_name", "cat").distinct().groupBy("feature_name").agg(F.sort_array(F.collect_list("cat")).alias("categories"))
+    lo, hi = F.element_at("q", 1), F.element_at("q", -1)
+    edges = q.select("feature_name", F.when(lo == hi, F.array(lo, hi)).otherwise(F.array_distinct("q")).alias("edges"))
     names = [(f.name, f.dtype) for f in model.features] + ([(SCORE, "continuous")] if model.score else [])
     declared = baseline.sparkSession.createDataFrame(names, "feature_name string, dtype string")
-    return declared.join(F.broadcast(found), "feature_name", "left").select(
+    return declared.join(F.broadcast(edges), "feature_name", "left").join(F.broadcast(categories), "feature_name", "left").select(
         "feature_name", "dtype", F.coalesce("edges", F.array().cast("array<double>")).alias("edges"), F.coalesce("categories", F.array().cast("array<string>")).alias("categories")
     )
 
 
-def effective_bins(edges):
-    return F.greatest(F.size(edges) - 1, F.lit(0))
+def freeze(baseline: DataFrame, model: Model, bins: int = BINS, approximate: int | None = None) -> DataFrame:
+    """:func:`frozen_bins` computed now, once for all plans that use them: one row a declared feature."""
+    found = frozen_bins(baseline, model, bins, approximate)
+    return baseline.sparkSession.createDataFrame(found.collect(), found.schema)
 
 
 def bucketed(rows: DataFrame, bins: DataFrame) -> DataFrame:
@@ -111,12 +133,12 @@ def null_tables(profiled: DataFrame, sizes: list[int] | None = None, draws: int
     return rows.groupBy(*SLICE, "feature_name").applyInPandas(run, _NULLS)
 
 
-def baseline_profile(baseline: DataFrame, model: Model, bins: int = BINS, simulate: bool = True, approximate: int | None = None) -> DataFrame:
+def baseline_profile(baseline: DataFrame, model: Model, bins: int = BINS, simulate: bool = True, approximate: int | None = None, frozen: DataFrame | None = None) -> DataFrame:
     """One row per (feature, slice): bins, dense counts, rows, chi-square quantile and (optionally) the null table.
 
     Segment slices use the bins of the whole baseline.
     """
-    frozen = frozen_bins(baseline, model, bins, approximate)
+    frozen = frozen_bins(baseline, model, bins, approximate) if frozen is None else frozen
     counted = slice_counts(baseline, model, frozen, [])
     buckets = F.when(F.col("dtype") == "continuous", F.size("edges") + 1).otherwise(F.size("categories") + 1)
     out = counted.join(F.broadcast(frozen), "feature_name").withColumn("buckets", buckets)

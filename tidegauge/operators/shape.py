@@ -28,7 +28,8 @@ def window_grid(spark, start, end, duration: str) -> DataFrame:
 
 def in_range(df: DataFrame, start, end, at: str) -> DataFrame:
     """Half-open range of event time."""
-    return df.where((F.col(at) >= F.lit(start).cast("timestamp")) & (F.col(at) < F.lit(end).cast("timestamp")))
+    bound = lambda x: F.lit(x).cast("timestamp").cast(dict(df.dtypes)[at])
+    return df.where((F.col(at) >= bound(start)) & (F.col(at) < bound(end)))
 
 
 def windows_meeting(df: DataFrame, start, end) -> DataFrame:
@@ -40,15 +41,6 @@ def calendar_range(first_day: str, last_day: str) -> tuple[Column, Column]:
     return F.to_timestamp(F.lit(first_day)), F.date_add(F.to_date(F.lit(last_day)), 1).cast("timestamp")
 
 
-def segment_values(df: DataFrame, dimensions: tuple[str, ...]) -> Column:
-    """Map of dimension to text value, without nulls."""
-    kinds = dict(df.dtypes)
-    if not dimensions:
-        return F.create_map().cast("map<string,string>")
-    filled = F.map_from_arrays(F.array(*map(F.lit, dimensions)), F.array(*[python_str(F.col(d), kinds[d]) for d in dimensions]))
-    return F.map_filter(filled, lambda _, v: v.isNotNull())
-
-
 def slices(df: DataFrame, model: Model) -> DataFrame:
     """Each row once for the whole and once for each non-null segment value; not a cube."""
     kinds = dict(df.dtypes)

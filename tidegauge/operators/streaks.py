@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidegauge.config import Gate, Profile
 
 IDENTITY = ["model_id", "feature_name", "segment_dimension", "segment_value", "test_method"]
+METRIC_IDENTITY = ["model_id", "metric_name", "segment_dimension", "segment_value"]
 
 
 def classify(value: Column, status: Column, gate: Gate | dict[str, Gate], key: Column | None = None) -> Column:
@@ -30,12 +31,14 @@ def classify(value: Column, status: Column, gate: Gate | dict[str, Gate], key: C
 
 
 def classified_drift(results: DataFrame, profile: Profile) -> DataFrame:
+    results = newest_only(results, IDENTITY)
     return results.withColumn("class", classify(F.col("statistic"), F.col("status"), profile.gates, F.col("test_method")))
 
 
 def classified_metrics(results: DataFrame, profile: Profile) -> DataFrame:
-    """Rows of metrics that alert; others are informational."""
+    """The newest revision of the rows of metrics that alert; others are informational."""
     gates = {m.name: m.gate for m in profile.metrics if m.gate}
+    results = newest_only(results, METRIC_IDENTITY)
     return results.where(F.col("metric_name").isin(*gates)).withColumn("class", classify(F.col("metric_value"), F.col("status"), gates, F.col("metric_name")))
 
 
@@ -77,6 +80,13 @@ def latest_revision(results: DataFrame, by: list[str]) -> DataFrame:
     return results.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct("computed_at", "revision_id")).alias("_r")).select(*by, "_r.*")
 
 
+def newest_only(results: DataFrame, identity: list[str]) -> DataFrame:
+    """Results without superseded revisions; results that carry no revisions are as they are."""
+    if not {"computed_at", "revision_id"} <= set(results.columns):
+        return results
+    return latest_revision(results, [*identity, "window_end"])
+
+
 def first_and_latest_revision(results: DataFrame, by: list[str]) -> DataFrame:
     """Two rows per row of ``by``, marked ``initial`` and ``latest`` in ``revision``; the same one when there is one."""
     rest = [c for c in results.columns if c not in by]

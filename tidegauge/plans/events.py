@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.config import Feature, Gate, Metric, Model, Profile
 from tidegauge.operators.drift import drift
-from tidegauge.operators.profile import baseline_profile, frozen_bins
+from tidegauge.operators.profile import baseline_profile, freeze
 from tidegauge.operators.shape import with_window
 
 #: Events before this day are the baseline.
@@ -33,8 +35,6 @@ DAILY = Profile(
 
 def only(*methods: str, **change) -> Profile:
     """The daily profile with some drift methods."""
-    from dataclasses import replace
-
     return replace(DAILY, continuous=tuple(m for m in methods if m in ("psi", "ks")), categorical=tuple(m for m in methods if m == "chi_square"), **change)
 
 
@@ -58,9 +58,19 @@ def baseline_and_live(spark, sf_dir, window: str = "1d") -> tuple[DataFrame, Dat
     return p.where(F.col("predicted_at") < at), p.where(F.col("predicted_at") >= at)
 
 
-def drift_of(spark, sf_dir, profile: Profile, model: Model = EVENTS, gated: bool = True, window: str = "1d", simulate: bool = False) -> DataFrame:
+def measured_by(model: Model, methods: tuple[str, ...]) -> Model:
+    """The model with the features and the score that some of the methods test."""
+    kinds = {k for k, ms in (("continuous", ("psi", "ks")), ("categorical", ("chi_square",))) if set(ms) & set(methods)}
+    return replace(model, features=tuple(f for f in model.features if f.dtype in kinds), score=model.score if "jsd" in methods else None)
+
+
+def drift_of(spark, sf_dir, profile: Profile, model: Model = EVENTS, gated: bool = True, window: str = "1d", simulate: bool = False, methods: tuple[str, ...] | None = None) -> DataFrame:
+    """Drift of live events; with ``methods``, of these alone: other features are not even counted."""
     base, live = baseline_and_live(spark, sf_dir, window)
-    return drift(live, base, baseline_profile(base, model, simulate=simulate), frozen_bins(base, model), model, profile, gated)
+    model = measured_by(model, methods) if methods else model
+    frozen = freeze(base, model)
+    r = drift(live, base, baseline_profile(base, model, simulate=simulate, frozen=frozen), frozen, model, profile, gated)
+    return r.where(F.col("test_method").isin(*methods)) if methods else r
 
 
 def labels(spark, sf_dir) -> DataFrame:

@@ -15,7 +15,7 @@ lf AS (
   UNION ALL SELECT id, ts, w, d, v, 'user_group', NULL, user_group FROM sl WHERE user_group IS NOT NULL
   UNION ALL SELECT id, ts, w, d, v, 'event_type', NULL, event_type FROM sl WHERE event_type IS NOT NULL AND d IS NULL),
 q AS (SELECT f, min(num) AS lo, max(num) AS hi, quantile_cont(num, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM lf WHERE d IS NULL AND ts < TIMESTAMP '2024-01-11' AND num IS NOT NULL GROUP BY f),
-edges AS (SELECT f, CASE WHEN lo = hi THEN [lo, hi] ELSE list_sort(list_distinct(list_transform(list_concat([lo], q, [hi]), lambda x: round(x, 9)))) END AS e FROM q),
+edges AS (SELECT f, CASE WHEN lo = hi THEN [lo, hi] ELSE list_sort(list_distinct(list_concat([lo], q, [hi]))) END AS e FROM q),
 cats AS (SELECT f, list_sort(list(DISTINCT cat)) AS c FROM lf WHERE d IS NULL AND ts < TIMESTAMP '2024-01-11' AND cat IS NOT NULL GROUP BY f),
 bins AS (SELECT f, e, CAST(NULL AS VARCHAR[]) AS c, len(e) + 1 AS nb FROM edges UNION ALL SELECT f, NULL, c, len(c) + 1 FROM cats),
 bk AS (SELECT lf.*, nb, CASE WHEN e IS NULL THEN coalesce(list_position(c, cat) - 1, len(c)) WHEN num = e[-1] THEN len(e) - 1 ELSE len(list_filter(e, lambda x: x <= num)) END AS bucket FROM lf JOIN bins USING (f)),
@@ -95,32 +95,43 @@ ga AS (SELECT psi.*, ws.n AS nw, ss.ns, bs.ns AS nbs, bins.nb AS bu, (bins.nb -
 gb AS (SELECT *, CASE WHEN nw < 50 THEN 'window has ' || nw || ' predictions, below configured minimum of 50'
   WHEN d IS NOT NULL AND ns < 30 THEN 'segment ' || d || '=''' || v || ''' has ' || ns || ' live predictions, below configured minimum of 30' ELSE {_REASON} END AS reason FROM ga)"""
 
-#: Daily PSI of the whole, classed by the noisy gates, in runs.
+#: Results of every method and slice, classed by the noisy gates, in runs.
 NOISY = """
-cl AS (SELECT w, f, round(x, 6) AS x, CASE WHEN round(x, 6) >= 0.03 THEN 'breach' WHEN round(x, 6) <= 0.02 THEN 'clear' ELSE 'dead_zone' END AS k FROM psi WHERE d IS NULL),
-ch AS (SELECT *, CASE WHEN k = lag(k) OVER (PARTITION BY f ORDER BY w) THEN 0 ELSE 1 END AS c FROM cl),
-ru AS (SELECT *, sum(c) OVER (PARTITION BY f ORDER BY w) AS run FROM ch),
-st AS (SELECT *, least(6, row_number() OVER (PARTITION BY f, run ORDER BY w)) AS streak, row_number() OVER (PARTITION BY f ORDER BY w) AS rn FROM ru)"""
+cl AS (SELECT w, m, f, d, v, concat_ws('|', m, f, coalesce(d, ''), coalesce(v, '')) AS id, round(x, 6) AS x, x AS raw, fire, CASE WHEN round(x, 6) >= fire THEN 'breach' WHEN round(x, 6) <= clr THEN 'clear' ELSE 'dead_zone' END AS k FROM (
+  SELECT w, d, v, f, x, 'psi' AS m, CAST(0.03 AS DOUBLE) AS fire, CAST(0.02 AS DOUBLE) AS clr FROM psi UNION ALL SELECT w, d, v, f, x, 'ks', 0.05, 0.035 FROM ks
+  UNION ALL SELECT w, d, v, f, x, 'chi_square', 0.04, 0.03 FROM chi UNION ALL SELECT w, d, v, f, x, 'jsd', 0.004, 0.003 FROM jsd)),
+nm AS (SELECT DISTINCT id, m, f, d, v, fire FROM cl),
+ch AS (SELECT *, CASE WHEN k = lag(k) OVER (PARTITION BY id ORDER BY w) THEN 0 ELSE 1 END AS c FROM cl),
+ru AS (SELECT *, sum(c) OVER (PARTITION BY id ORDER BY w) AS run FROM ch),
+st AS (SELECT *, least(6, row_number() OVER (PARTITION BY id, run ORDER BY w)) AS streak, row_number() OVER (PARTITION BY id ORDER BY w) AS rn FROM ru)"""
 
-#: The state machine of one alert kind, a window at a time; a closed alert leaves as status resolved.
+#: The state machine of one signal, a window at a time; a closed alert leaves as status resolved.
 FOLD = """
-ev AS (SELECT f, w, x, streak, rn, kind, CASE WHEN kind = 'drift' THEN k ELSE 'clear' END AS k FROM st, (SELECT unnest(['drift']) AS kind)),
 fo AS (
-  SELECT f, kind, 0 AS rn, NULL::VARCHAR AS status, NULL::TIMESTAMP AS opened, NULL::TIMESTAMP AS seen, NULL::TIMESTAMP AS esc, NULL::TIMESTAMP AS res, 0 AS br, 0 AS cl, NULL::DOUBLE AS e1, NULL::DOUBLE AS e2 FROM (SELECT DISTINCT f, kind FROM ev)
+  SELECT id, 0 AS rn, NULL::TIMESTAMP AS w, NULL::VARCHAR AS status, NULL::TIMESTAMP AS opened, NULL::TIMESTAMP AS esc, NULL::TIMESTAMP AS res, 0 AS br, 0 AS cl, NULL::DOUBLE AS e1, NULL::DOUBLE AS e2, NULL::VARCHAR AS k, 0::BIGINT AS streak FROM nm
   UNION ALL
-  SELECT o.f, o.kind, e.rn,
+  SELECT o.id, e.rn, e.w,
     CASE WHEN o.status IS NULL OR o.status = 'resolved' THEN CASE WHEN e.k = 'breach' AND e.streak >= 2 THEN 'open' END
          WHEN e.k = 'breach' AND o.status = 'open' AND e.streak >= 3 THEN 'escalated' WHEN e.k = 'clear' AND e.streak >= 2 THEN 'resolved' ELSE o.status END,
     CASE WHEN o.status IS NULL OR o.status = 'resolved' THEN CASE WHEN e.k = 'breach' AND e.streak >= 2 THEN e.w END ELSE o.opened END,
-    e.w,
     CASE WHEN o.status IS NULL OR o.status = 'resolved' THEN NULL WHEN e.k = 'breach' AND o.status = 'open' AND e.streak >= 3 THEN e.w ELSE o.esc END,
     CASE WHEN o.status IN ('open', 'escalated') AND e.k = 'clear' AND e.streak >= 2 THEN e.w END,
     CASE WHEN e.k = 'breach' THEN CAST(e.streak AS INT) WHEN e.k IN ('clear', 'dead_zone') THEN 0 ELSE o.br END,
     CASE WHEN e.k = 'clear' THEN CAST(e.streak AS INT) WHEN e.k IN ('breach', 'dead_zone') THEN 0 ELSE o.cl END,
     CASE WHEN o.status IS NULL OR o.status = 'resolved' THEN e.x ELSE o.e1 END,
-    CASE WHEN o.status IS NULL OR o.status = 'resolved' THEN NULL WHEN e.k = 'breach' AND o.status = 'open' AND e.streak >= 3 THEN e.x ELSE o.e2 END
-  FROM fo o JOIN ev e ON e.f = o.f AND e.kind = o.kind AND e.rn = o.rn + 1),
-al AS (SELECT * FROM fo WHERE status IS NOT NULL QUALIFY row_number() OVER (PARTITION BY f, kind, opened ORDER BY rn DESC) = 1)"""
+    CASE WHEN o.status IS NULL OR o.status = 'resolved' THEN NULL WHEN e.k = 'breach' AND o.status = 'open' AND e.streak >= 3 THEN e.x ELSE o.e2 END, e.k, e.streak
+  FROM fo o JOIN st e ON e.id = o.id AND e.rn = o.rn + 1),
+al AS (SELECT fo.*, fo.w AS seen, m, f, d, v, fire FROM fo JOIN nm USING (id) WHERE status IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fo.id, opened ORDER BY rn DESC) = 1)"""
+_ALERT = "m AS signal_name, f AS feature_name, d AS segment_dimension, v AS segment_value"
+_TEST = "m AS test_method, f AS feature_name, d AS segment_dimension, v AS segment_value"
+
+#: Runs of performance rows by their newest revision.
+METRIC_RUNS = """
+mr AS (SELECT w, d, v, metric_name AS m, reason, CASE WHEN reason IS NULL THEN round(x, 6) END AS x FROM m2 WHERE metric_name = 'pr_auc'
+  UNION ALL SELECT w, d, v, metric_name, reason, CASE WHEN reason IS NULL THEN round(x, 6) END FROM m1 WHERE metric_name = 'pr_auc' AND NOT EXISTS (SELECT 1 FROM m2 WHERE m1.w = m2.w AND m1.d IS NOT DISTINCT FROM m2.d AND m1.v IS NOT DISTINCT FROM m2.v AND m1.metric_name = m2.metric_name)),
+mk AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'not_computable' WHEN x <= 0.25 THEN 'breach' WHEN x >= 0.32 THEN 'clear' ELSE 'dead_zone' END AS k FROM mr),
+mc AS (SELECT *, CASE WHEN k = lag(k) OVER (PARTITION BY m, d, v ORDER BY w) THEN 0 ELSE 1 END AS c FROM mk),
+mu AS (SELECT *, sum(c) OVER (PARTITION BY m, d, v ORDER BY w) AS run FROM mc)"""
 #: Windows are named by their end: the day after their start.
 _END = "{0} + INTERVAL 1 DAY"
 
@@ -206,30 +217,61 @@ SELECT d AS segment_dimension, v AS segment_value, unnest(['pr_auc', 'roc_auc',
         "SELECT f AS feature_name, 'psi' AS test_method, CAST(0.1 AS DOUBLE) AS fire, x FROM psi WHERE d IS NULL AND w = TIMESTAMP '2024-01-17' UNION ALL SELECT f, 'ks', 0.08, x FROM ks WHERE d IS NULL AND w = TIMESTAMP '2024-01-17' "
         "UNION ALL SELECT f, 'chi_square', 0.06, x FROM chi WHERE d IS NULL AND w = TIMESTAMP '2024-01-17' UNION ALL SELECT f, 'jsd', 0.02, x FROM jsd WHERE d IS NULL AND w = TIMESTAMP '2024-01-17')"
     ),
-    "streaks": _q("SELECT f AS feature_name, k AS class, CAST(streak AS INT) AS streak FROM st QUALIFY row_number() OVER (PARTITION BY f ORDER BY w DESC) = 1", NOISY),
+    "streaks": _q(f"SELECT {_TEST}, k AS class, CAST(streak AS INT) AS streak FROM st QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC) = 1", NOISY),
     "suppressed_episodes": _q(
-        f"SELECT f AS feature_name, {day(_END.format('min(w)'), 'first_window')}, {day(_END.format('max(w)'), 'last_window')}, count(*) AS length, round(max(x), 6) AS peak, 'breach' AS kind FROM st WHERE k = 'breach' GROUP BY f, run HAVING count(*) < 3",
+        f"SELECT {_TEST}, {day(_END.format('min(w)'), 'first_window')}, {day(_END.format('max(w)'), 'last_window')}, count(*) AS length, round(max(x), 6) AS peak, 'breach' AS kind FROM st WHERE k = 'breach' GROUP BY id, m, f, d, v, run HAVING count(*) < 3",
         NOISY,
     ),
+    "suppressed_report": _q(
+        f"SELECT {_TEST}, 'breach' AS kind, {day(_END.format('min(w)'), 'first_window')}, {day(_END.format('max(w)'), 'last_window')}, count(*) AS length, round(max(x), 6) AS peak FROM st WHERE k = 'breach' GROUP BY id, m, f, d, v, run HAVING count(*) < 2 "
+        f"UNION ALL SELECT m, NULL, d, v, k, {day(_END.format('min(w)'), 'first_window')}, {day(_END.format('max(w)'), 'last_window')}, count(*), round(max(x), 6) FROM mu WHERE k IN ('breach', 'not_computable') GROUP BY m, d, v, k, run HAVING count(*) < 2",
+        LABELS + ", " + _EARLY + "," + _metrics("1", "le") + "," + _metrics("2", "lb") + "," + NOISY + "," + METRIC_RUNS,
+    ),
     "alert_lifecycle": _q(
-        f"SELECT kind, 'psi' AS signal_name, f AS feature_name, status, {day(_END.format('opened'), 'opened_window')}, {day(_END.format('seen'), 'last_seen_window')}, {day(_END.format('esc'), 'escalated_window')}, {day(_END.format('res'), 'resolved_window')}, br AS breaching, cl AS clear, round(e1, 6) AS evidence_statistic, CAST(0.03 AS DOUBLE) AS evidence_threshold, round(e2, 6) AS escalation_statistic FROM al",
+        f"SELECT 'drift' AS kind, {_ALERT}, status, {day(_END.format('opened'), 'opened_window')}, {day(_END.format('seen'), 'last_seen_window')}, {day(_END.format('esc'), 'escalated_window')}, {day(_END.format('res'), 'resolved_window')}, br AS breaching, cl AS clear, round(e1, 6) AS evidence_statistic, fire AS evidence_threshold, round(e2, 6) AS escalation_statistic FROM al",
+        NOISY + "," + FOLD,
+    ),
+    "lifecycle_trace": _q(
+        f"SELECT {_ALERT}, {day(_END.format('w'), 'window_end')}, k AS class, CAST(streak AS INT) AS streak, CASE WHEN status IN ('open', 'escalated') THEN status WHEN k = 'breach' THEN 'counting' ELSE 'quiet' END AS phase FROM fo JOIN nm USING (id) WHERE rn > 0",
         NOISY + "," + FOLD,
     ),
+    "touched_alerts": _q(
+        f"SELECT 'drift' AS kind, {_ALERT}, status, {day(_END.format('opened'), 'opened_window')}, {day(_END.format('seen'), 'last_seen_window')} FROM al WHERE seen >= TIMESTAMP '2024-01-26' AND seen IN (SELECT w FROM p)", NOISY + "," + FOLD
+    ),
+    "run_totals": _q(
+        "SELECT 'windows' AS item, count(DISTINCT w) AS n FROM p WHERE ts >= TIMESTAMP '2024-01-11' UNION ALL SELECT 'drift_results', count(*) FROM cl UNION ALL SELECT 'drift_computed', count(*) FROM cl UNION ALL SELECT 'drift_significant', count(*) FROM cl WHERE raw >= fire "
+        "UNION ALL SELECT 'performance_results', count(*) FROM mx UNION ALL SELECT 'performance_computed', count(*) FROM mx WHERE reason IS NULL UNION ALL SELECT 'alerts', count(*) FROM al "
+        "UNION ALL SELECT 'alerts_' || s, count(id) FROM (SELECT unnest(['open', 'escalated', 'resolved']) AS s) LEFT JOIN al ON status = s GROUP BY s",
+        LABELS + "," + _metrics("x", "lb") + "," + NOISY + "," + FOLD,
+    ),
+    "evaluated_range": _q(
+        f"SELECT {day('w')}, f AS feature_name, d AS segment_dimension, v AS segment_value, round(x, 6) AS statistic, CAST(nl AS BIGINT) AS n_live, CASE WHEN w < TIMESTAMP '2024-01-14' THEN 1 WHEN w < TIMESTAMP '2024-01-16' THEN 3 ELSE 2 END AS evaluation FROM psi WHERE w >= TIMESTAMP '2024-01-12' AND w < TIMESTAMP '2024-01-20'"
+    ),
     "alert_history": _q(
-        f"SELECT 'psi' AS signal_name, f AS feature_name, status, {day(_END.format('opened'), 'opened_window')}, {day(_END.format('seen'), 'last_seen_window')} FROM al WHERE seen + INTERVAL 1 DAY > TIMESTAMP '2024-01-15' AND opened + INTERVAL 1 DAY < TIMESTAMP '2024-01-20'",
+        f"SELECT 'drift' AS kind, {_ALERT}, status, {day(_END.format('opened'), 'opened_window')}, {day(_END.format('seen'), 'last_seen_window')} FROM al WHERE seen + INTERVAL 1 DAY > TIMESTAMP '2024-01-15' AND opened + INTERVAL 1 DAY < TIMESTAMP '2024-01-20'",
         NOISY + "," + FOLD,
     ),
     "outbox": _q(
-        f"SELECT 'psi' AS signal_name, f AS feature_name, {day(_END.format('opened'), 'opened_window')}, status, CASE WHEN status = 'open' THEN 'opened' ELSE status END AS event, 1 AS attempt FROM al WHERE NOT (opened + INTERVAL 1 DAY < TIMESTAMP '2024-01-20' AND status = 'open')",
+        f"SELECT 'drift' AS kind, {_ALERT}, {day(_END.format('opened'), 'opened_window')}, status, CASE WHEN status = 'open' THEN 'opened' ELSE status END AS event, CASE WHEN opened + INTERVAL 1 DAY < TIMESTAMP '2024-01-16' THEN 6 ELSE 1 END AS attempt FROM al "
+        "WHERE NOT (opened + INTERVAL 1 DAY < TIMESTAMP '2024-01-20' AND status = 'open') AND (opened + INTERVAL 1 DAY >= TIMESTAMP '2024-01-16' OR seen >= TIMESTAMP '2024-01-28')",
         NOISY + "," + FOLD,
     ),
+    "run_expectations": _q(
+        "SELECT 'windows_loaded' AS name, count(DISTINCT w) >= 10 AS passed, CAST(count(DISTINCT w) AS VARCHAR) AS detail FROM p WHERE ts >= TIMESTAMP '2024-01-11' "
+        "UNION ALL SELECT 'no_significant_readings', count(*) = 0, CAST(count(*) AS VARCHAR) FROM cl WHERE raw >= fire UNION ALL SELECT 'max_psi_of_value_below_0.25', max(x) < 0.25, CAST(round(max(x), 5) AS VARCHAR) FROM cl WHERE m = 'psi' AND f = 'value' AND d IS NULL "
+        "UNION ALL SELECT 'no_unexpected_alerts', count(*) = 0, CAST(count(*) AS VARCHAR) FROM al WHERE NOT (m = 'psi' AND f IN ('value', 'k')) "
+        "UNION ALL SELECT 'psi_of_value_opened_escalated_resolved', count(*) = 1 AND count(esc) = 1 AND count(res) = 1, CAST(count(*) AS VARCHAR) FROM al WHERE m = 'psi' AND f = 'value' AND d IS NULL "
+        "UNION ALL SELECT 'suppressed_episodes', count(*) = 5, CAST(count(*) AS VARCHAR) FROM (SELECT 1 FROM st WHERE k = 'breach' GROUP BY id, run HAVING count(*) < 3) "
+        "UNION ALL SELECT 'pr_auc_drops', coalesce(a >= 0.32 AND b <= 0.25, FALSE), coalesce(printf('%.3f to %.3f', a, b), 'no data') FROM (SELECT avg(x) FILTER (w < TIMESTAMP '2024-01-16') AS a, avg(x) FILTER (w >= TIMESTAMP '2024-01-16') AS b FROM mx WHERE metric_name = 'pr_auc' AND d IS NULL AND reason IS NULL)",
+        LABELS + "," + _metrics("x", "lb") + "," + NOISY + "," + FOLD,
+    ),
     "policy_backtest": _q(
-        "SELECT f AS feature_name, policy, coalesce(max(CASE WHEN k = 'breach' THEN len END), 0) AS longest_breach, coalesce(max(CASE WHEN k = 'breach' THEN len END), 0) >= max(persistence) AS opens, CAST(0 AS BIGINT) AS refused, CAST(sum(CAST(k = 'clear' AS INT)) AS BIGINT) AS clear_windows, round(max(x), 6) AS peak FROM pz GROUP BY f, policy",
+        "SELECT f AS feature_name, d AS segment_dimension, v AS segment_value, policy, coalesce(max(CASE WHEN k = 'breach' THEN len END), 0) AS longest_breach, coalesce(max(CASE WHEN k = 'breach' THEN len END), 0) >= max(persistence) AS opens, CAST(0 AS BIGINT) AS refused, CAST(sum(CAST(k = 'clear' AS INT)) AS BIGINT) AS clear_windows, round(max(x), 6) AS peak FROM pz GROUP BY f, d, v, policy",
         "\npo AS (SELECT unnest(['loose', 'middle', 'strict']) AS policy, unnest([0.02, 0.03, 0.05]) AS fire, unnest([0.01, 0.02, 0.03]) AS clear, unnest([1, 2, 3]) AS persistence),"
-        "\npc AS (SELECT f, w, round(x, 6) AS x, po.*, CASE WHEN round(x, 6) >= fire THEN 'breach' WHEN round(x, 6) <= clear THEN 'clear' ELSE 'dead_zone' END AS k FROM psi, po WHERE d IS NULL),"
-        "\npd AS (SELECT *, CASE WHEN k = lag(k) OVER (PARTITION BY f, policy ORDER BY w) THEN 0 ELSE 1 END AS c FROM pc),"
-        "\npe AS (SELECT *, sum(c) OVER (PARTITION BY f, policy ORDER BY w) AS run FROM pd),"
-        "\npz AS (SELECT *, row_number() OVER (PARTITION BY f, policy, run ORDER BY w) AS len FROM pe)",
+        "\npc AS (SELECT f, d, v, w, round(x, 6) AS x, po.*, CASE WHEN round(x, 6) >= fire THEN 'breach' WHEN round(x, 6) <= clear THEN 'clear' ELSE 'dead_zone' END AS k FROM psi, po),"
+        "\npd AS (SELECT *, CASE WHEN k = lag(k) OVER (PARTITION BY f, d, v, policy ORDER BY w) THEN 0 ELSE 1 END AS c FROM pc),"
+        "\npe AS (SELECT *, sum(c) OVER (PARTITION BY f, d, v, policy ORDER BY w) AS run FROM pd),"
+        "\npz AS (SELECT *, row_number() OVER (PARTITION BY f, d, v, policy, run ORDER BY w) AS len FROM pe)",
     ),
     "shift_injection": (
         _q(f"SELECT {day('w')}, d AS segment_dimension, v AS segment_value, round(x, 6) AS statistic FROM psi WHERE f = 'value'").replace(
@@ -237,10 +279,10 @@ SELECT d AS segment_dimension, v AS segment_value, unnest(['pr_auc', 'roc_auc',
         )
     ),
     "label_noise": f"""WITH {LABELS.strip()}
-SELECT strftime(received_at, '%Y-%m-%d') AS day, count(*) AS n, sum(CASE WHEN received_at >= TIMESTAMP '2024-01-20' AND (id * 2654435761) % 4294967296 < {int(0.7 * (1 << 32))} THEN 1 - y ELSE y END) AS positives FROM lb WHERE label_id % 2 = 0 GROUP BY 1""",
+SELECT strftime(received_at, '%Y-%m-%d') AS day, count(*) AS n, sum(CASE WHEN received_at >= TIMESTAMP '2024-01-20' AND CAST('0x' || substr(md5('0:' || CAST(id AS VARCHAR)), 1, 8) AS BIGINT) < {int(0.7 * (1 << 32))} THEN 1 - y ELSE y END) AS positives FROM lb GROUP BY 1""",
     "data_range": "SELECT 'events' AS model_id, strftime(min(date_trunc('day', ts)), '%Y-%m-%d') AS first_day, strftime(max(date_trunc('day', ts)) + INTERVAL 1 DAY, '%Y-%m-%d') AS last_day, count(DISTINCT date_trunc('day', ts)) AS windows FROM events",
     "ingest_predictions": """
-WITH e AS (SELECT event_id AS id FROM events WHERE ts >= TIMESTAMP '2024-01-21')
+WITH e AS (SELECT event_id AS id FROM events)
 SELECT id AS prediction_id, CASE WHEN id % 11 = 0 THEN 'reject' WHEN id % 20 = 0 THEN 'conflict' WHEN id % 2 = 0 THEN 'skip' ELSE 'insert' END AS outcome FROM e""",
     "ingest_labels": f"""
 WITH {LABELS.strip()}, x AS (SELECT DISTINCT id, label_id, y, id % 13 <> 0 AS known, id % 2 = 0 AND label_id % 2 = 0 AS stored FROM lb)
@@ -254,8 +296,8 @@ UNION ALL SELECT id, 'unknown', y FROM x WHERE NOT known""",
     "validation_errors": """
 WITH e AS (SELECT event_id AS i, event_type FROM events),
 x AS (SELECT i, list_concat(
-  CASE WHEN i % 5 = 0 AND i % 7 = 0 THEN ['unknown features: [''bad_value'', ''extra'']'] WHEN i % 5 = 0 THEN ['unknown features: [''bad_value'']'] WHEN i % 7 = 0 THEN ['unknown features: [''extra'']'] ELSE [] END,
-  CASE WHEN i % 5 = 0 THEN ['feature ''value'' is required'] ELSE [] END, CASE WHEN i % 4 <> 0 THEN ['feature ''user_group'' is required'] ELSE [] END,
+  CASE WHEN i % 7 = 0 THEN ['unknown features: [''extra'']'] ELSE [] END, CASE WHEN i % 5 = 0 THEN ['feature ''value'' must be numeric'] ELSE [] END, CASE WHEN i % 2 <> 0 AND i % 11 = 0 THEN ['feature ''k'' must be numeric'] ELSE [] END,
+  CASE WHEN i % 4 = 1 THEN ['feature ''user_group'' must be a string or boolean'] WHEN i % 4 = 3 THEN ['feature ''user_group'' is required'] ELSE [] END,
   CASE WHEN i % 3 = 0 OR event_type IS NULL THEN ['feature ''event_type'' is required'] ELSE [] END) AS errors FROM e)
 SELECT i AS event_id, CAST(len(errors) AS INT) AS n_errors, coalesce(array_to_string(errors, '; '), '') AS errors FROM x""",
     "trace_export": _q(

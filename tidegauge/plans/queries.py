@@ -17,6 +17,7 @@ from tidegauge.operators import streaks as st
 from tidegauge.operators.correction import benjamini_hochberg
 from tidegauge.operators.shape import slices
 from tidegauge.operators.validate import validated
+from tidegauge.plans import backfill as bf
 from tidegauge.plans import events as ev
 from tidegauge.plans import reports as rp
 from tidegauge.sources import ingest as ig
@@ -54,12 +55,12 @@ def baseline_slices(spark, sf_dir):
 
 def bucket_counts(spark, sf_dir):
     base, live = ev.baseline_and_live(spark, sf_dir)
-    c = pf.slice_counts(live, ev.EVENTS, pf.frozen_bins(base, ev.EVENTS), ["window_start"])
+    c = pf.slice_counts(live, ev.EVENTS, pf.freeze(base, ev.EVENTS), ["window_start"])
     return c.select(_day(), "feature_name", *SLICE, F.explode("counts").alias("bucket", "n"))
 
 
 def _stat(spark, sf_dir, method, where):
-    r = ev.drift_of(spark, sf_dir, ev.only(method), gated=False).where((F.col("test_method") == method) & F.expr(where))
+    r = ev.drift_of(spark, sf_dir, ev.only(method), gated=False, methods=(method,)).where(where)
     return r.select(_day(), "feature_name", *SLICE, _r("statistic"), "n_baseline", "n_live")
 
 
@@ -101,14 +102,13 @@ def floors_closed_form(spark, sf_dir):
 
 
 def drift_gated(spark, sf_dir):
-    r = ev.drift_of(spark, sf_dir, ev.only("psi"))
-    r = r.where(F.col("test_method") == "psi")
+    r = ev.drift_of(spark, sf_dir, ev.only("psi"), methods=("psi",))
     return r.select(_day(), "feature_name", *SLICE, "status", _r("statistic"), "is_significant", "not_computable_reason", "n_baseline", "n_live")
 
 
 def bh_correction(spark, sf_dir):
     """Kolmogorov-Smirnov p-values of all slices of a day, corrected together."""
-    r = ev.drift_of(spark, sf_dir, ev.only("ks"), gated=False).where("test_method = 'ks'").drop("corrected_p_value")
+    r = ev.drift_of(spark, sf_dir, ev.only("ks"), gated=False, methods=("ks",)).drop("corrected_p_value")
     r = benjamini_hochberg(r.withColumn("p_value", F.round("p_value", 9)), ["model_id", "window_start"], alpha=0.1)
     return r.select(_day(), "feature_name", *SLICE, _r("p_value"), _r("corrected_p_value"), "passes_fdr")
 
@@ -195,7 +195,7 @@ def performance_timeline(spark, sf_dir):
 
 def _results(spark, sf_dir, *methods, gated=False):
     """Drift results and their windows, every fifth day left out as if it had never been evaluated."""
-    r = ev.drift_of(spark, sf_dir, ev.only(*methods), gated=gated).where("day(window_start) % 5 <> 0")
+    r = ev.drift_of(spark, sf_dir, ev.only(*methods), gated=gated, methods=methods).where("day(window_start) % 5 <> 0")
     _, live = ev.baseline_and_live(spark, sf_dir)
     return r, live.select("model_id", "window_start", "window_end").distinct().where("day(window_start) % 5 <> 0")
 
@@ -218,69 +218,116 @@ def attribution(spark, sf_dir):
     return a.select("feature_name", "test_method", _r("statistic"), "fire_threshold", _r("ratio"), "is_significant", "state")
 
 
-#: A profile whose gates lie inside the tables' noise, so that streaks of every kind occur.
-NOISY = replace(ev.DAILY, gates={m: replace(g, fire=f, clear=c) for (m, g), (f, c) in zip(ev.GATES.items(), ((0.03, 0.02), (0.05, 0.035), (0.04, 0.03), (0.004, 0.003)), strict=True)}, max_alerts_per_run=25)
+#: A profile whose gates lie inside the tables' noise, so that streaks of every kind occur; its cap is never reached.
+NOISY = replace(ev.DAILY, gates={m: replace(g, fire=f, clear=c) for (m, g), (f, c) in zip(ev.GATES.items(), ((0.03, 0.02), (0.05, 0.035), (0.04, 0.03), (0.004, 0.003)), strict=True)}, max_alerts_per_run=1_000)
+TEST = ["test_method", "feature_name", *SLICE]
 
 
 def _noisy(spark, sf_dir, *methods):
-    p = replace(NOISY, continuous=tuple(m for m in methods if m in ("psi", "ks")), categorical=tuple(m for m in methods if m == "chi_square"))
-    r = ev.drift_of(spark, sf_dir, p, gated=False).where(F.col("segment_dimension").isNull() & F.col("test_method").isin(*methods))
-    return r.withColumn("statistic", F.round("statistic", R6)), p
+    """Ungated results of all slices under the noisy profile: of all methods, or of some."""
+    r = ev.drift_of(spark, sf_dir, NOISY, gated=False, methods=methods or None)
+    return r.withColumn("statistic", F.round("statistic", R6))
 
 
 def streaks(spark, sf_dir):
-    r, p = _noisy(spark, sf_dir, "psi")
-    return st.current_streaks(st.classified_drift(r, p), ["feature_name"], p.history_scan_windows)
+    return st.current_streaks(st.classified_drift(_noisy(spark, sf_dir), NOISY), TEST, NOISY.history_scan_windows)
 
 
 def suppressed_episodes(spark, sf_dir):
-    r, p = _noisy(spark, sf_dir, "psi")
-    e = st.suppressed_episodes(st.classified_drift(r, p), ["feature_name"], p.fire_persistence + 1, "breach")
-    return e.select("feature_name", _day("first_window"), _day("last_window"), "length", _r("peak"), "kind")
+    e = st.suppressed_episodes(st.classified_drift(_noisy(spark, sf_dir), NOISY), TEST, NOISY.fire_persistence + 1, "breach")
+    return e.select(*TEST, _day("first_window"), _day("last_window"), "length", _r("peak"), "kind")
+
+
+def _noisy_metrics(spark, sf_dir):
+    """Performance in two revisions, of which only the newest counts."""
+    return _revisions(spark, sf_dir).withColumn("metric_value", F.round("metric_value", R6))
 
 
 def suppressed_report(spark, sf_dir):
-    r = ev.drift_of(spark, sf_dir, NOISY)
-    e = rp.all_suppressed(r, _performance(spark, sf_dir), NOISY)
-    return e.select("test_method", "feature_name", *SLICE, "kind", _day("first_window"), _day("last_window"), "length", _r("peak"))
+    """Runs too short to alert, of drift and of performance, by its newest revision."""
+    e = rp.all_suppressed(_noisy(spark, sf_dir), _noisy_metrics(spark, sf_dir), NOISY)
+    return e.select(*TEST, "kind", _day("first_window"), _day("last_window"), "length", _r("peak"))
+
+
+def _events(spark, sf_dir):
+    return al.alert_events(_noisy(spark, sf_dir), None, NOISY)
 
 
 def _alerts(spark, sf_dir):
-    r, p = _noisy(spark, sf_dir, "psi")
-    return al.alert_lifecycle(al.alert_events(r, None, p), p)
+    return al.alert_lifecycle(_events(spark, sf_dir), NOISY)
+
+
+ALERT = ["signal_name", "feature_name", *SLICE]
 
 
 def alert_lifecycle(spark, sf_dir):
     a = _alerts(spark, sf_dir)
-    return a.select("kind", "signal_name", "feature_name", "status", _day("opened_window"), _day("last_seen_window"), _day("escalated_window"), _day("resolved_window"),
+    return a.select("kind", *ALERT, "status", _day("opened_window"), _day("last_seen_window"), _day("escalated_window"), _day("resolved_window"),
                     "breaching", "clear", _r("evidence_statistic"), "evidence_threshold", _r("escalation_statistic"))
 
 
+def lifecycle_trace(spark, sf_dir):
+    """What every signal's state machine says after each window."""
+    e = _events(spark, sf_dir)
+    t = al.lifecycle_trace(e.where("kind = 'drift'"), al.alert_lifecycle(e, NOISY))
+    return t.select(*ALERT, _day("window_end"), "class", "streak", "phase")
+
+
+def touched_alerts(spark, sf_dir):
+    """Alerts that the windows of the last five days opened or changed."""
+    _, live = ev.baseline_and_live(spark, sf_dir)
+    w = live.where("window_start >= timestamp_ntz'2024-01-26'").select("model_id", "window_end").distinct()
+    return al.touched(_alerts(spark, sf_dir), w).select("kind", *ALERT, "status", _day("opened_window"), _day("last_seen_window"))
+
+
+def run_totals(spark, sf_dir):
+    _, live = ev.baseline_and_live(spark, sf_dir)
+    r = _noisy(spark, sf_dir)
+    return rp.run_totals(live.select("model_id", "window_start").distinct(), r, _performance(spark, sf_dir), al.alert_lifecycle(al.alert_events(r, None, NOISY), NOISY))
+
+
 def alert_rollup(spark, sf_dir):
     """All signals of events with a cap of three opens a run, so that runs roll up."""
     p = replace(NOISY, max_alerts_per_run=3)
     r = ev.drift_of(spark, sf_dir, p)
     a = al.alert_lifecycle(al.alert_events(r, _performance(spark, sf_dir), p), p)
-    return a.select("kind", "signal_name", "feature_name", *SLICE, "status", _day("opened_window"), _day("last_seen_window"), "is_aggregate", "aggregated_signal_count", "aggregated_signals", "evidence_reason")
+    return a.select("kind", *ALERT, "status", _day("opened_window"), _day("last_seen_window"), "is_aggregate", "aggregated_signal_count", "aggregated_signals", "evidence_reason")
 
 
 def alert_history(spark, sf_dir):
     h = rp.alert_history(_alerts(spark, sf_dir), "2024-01-15", "2024-01-20")
-    return h.select("signal_name", "feature_name", "status", _day("opened_window"), _day("last_seen_window"))
+    return h.select("kind", *ALERT, "status", _day("opened_window"), _day("last_seen_window"))
 
 
 def outbox(spark, sf_dir):
-    """Transitions to announce when alerts opened before 2024-01-20 have had their opening announced."""
+    """Transitions to announce when alerts opened before 2024-01-20 have had their opening announced, those before 2024-01-16 given up, and the last three days were just evaluated."""
     a = _alerts(spark, sf_dir)
-    sent = a.where(F.col("opened_window") < F.lit("2024-01-20").cast("timestamp_ntz")).select(*al.SIGNAL, "opened_window", F.lit("open").alias("last_notified_status"), F.lit(0).alias("notification_attempts"))
-    return al.outbox(a, sent).select("signal_name", "feature_name", _day("opened_window"), "status", "event", "attempt")
+    at = lambda d: F.lit(d).cast("timestamp_ntz")
+    tries = F.when(F.col("opened_window") < at("2024-01-16"), 5).otherwise(0)
+    sent = a.where(F.col("opened_window") < at("2024-01-20")).select(*al.SIGNAL, "opened_window", F.lit("open").alias("last_notified_status"), tries.alias("notification_attempts"))
+    _, live = ev.baseline_and_live(spark, sf_dir)
+    evaluated = live.where("window_start >= timestamp_ntz'2024-01-28'").select("model_id", "window_end").distinct()
+    return al.outbox(a, sent, evaluated=evaluated).select("kind", *ALERT, _day("opened_window"), "status", "event", "attempt")
+
+
+def evaluated_range(spark, sf_dir):
+    """The store after a backfill of 2024-01-12 to 15, one to 19 that skips what is done, and a forced one of 14 and 15."""
+    base, live = ev.baseline_and_live(spark, sf_dir)
+    model = ev.measured_by(ev.EVENTS, ("psi",))
+    frozen = pf.freeze(base, model)
+    store = bf.Store(spark, bf.scratch_folder(spark), model, ev.only("psi"), base, frozen, pf.baseline_profile(base, model, simulate=False, frozen=frozen), gated=False)
+    labels = ev.labels(spark, sf_dir)
+    for first, last, force in (("2024-01-12", "2024-01-15", False), ("2024-01-12", "2024-01-19", False), ("2024-01-14", "2024-01-15", True)):
+        store.evaluate(live, labels, first, last, force=force)
+    r = store.table("drift").join(store.table("windows").select("window_start", "evaluation"), "window_start")
+    return r.select(_day(), "feature_name", *SLICE, _r("statistic"), "n_live", "evaluation")
 
 
 def policy_backtest(spark, sf_dir):
-    r, _ = _noisy(spark, sf_dir, "psi")
+    r = _noisy(spark, sf_dir, "psi")
     policies = spark.createDataFrame([("loose", 0.02, 0.01, 1), ("middle", 0.03, 0.02, 2), ("strict", 0.05, 0.03, 3)], "policy string, fire double, clear double, persistence int")
-    b = rp.policy_backtest(r, policies, ["feature_name"])
-    return b.select("feature_name", "policy", "longest_breach", "opens", "refused", "clear_windows", _r("peak"))
+    b = rp.policy_backtest(r, policies, ["feature_name", *SLICE])
+    return b.select("feature_name", *SLICE, "policy", "longest_breach", "opens", "refused", "clear_windows", _r("peak"))
 
 
 def shift_injection(spark, sf_dir):
@@ -289,24 +336,24 @@ def shift_injection(spark, sf_dir):
     late = F.col("predicted_at") >= F.lit("2024-01-20").cast("timestamp_ntz")
     live = rp.mean_shift(live, "value", 30.0, late & (F.col("event_type") == "click"))
     model = Model(ev.EVENTS.features[:1], ("event_type",))
-    r = dr.drift(live, base, pf.baseline_profile(base, model, simulate=False), pf.frozen_bins(base, model), model, ev.only("psi"), False)
-    return r.where("test_method = 'psi'").select(_day(), *SLICE, _r("statistic"))
+    model, frozen = replace(model, score=None), pf.freeze(base, model)
+    r = dr.drift(live, base, pf.baseline_profile(base, model, simulate=False, frozen=frozen), frozen, model, ev.only("psi"), False)
+    return r.select(_day(), *SLICE, _r("statistic"))
 
 
 def label_noise(spark, sf_dir):
-    labels = ev.labels(spark, sf_dir).where("label_id % 2 = 0")
-    noisy = rp.label_noise(labels, "label_value", F.col("prediction_id"), 0.7, F.col("received_at") >= F.lit("2024-01-20").cast("timestamp_ntz"))
+    noisy = rp.label_noise(ev.labels(spark, sf_dir), "label_value", F.col("prediction_id"), 0.7, F.col("received_at") >= F.lit("2024-01-20").cast("timestamp_ntz"))
     return noisy.groupBy(F.date_format("received_at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.sum("label_value").alias("positives"))
 
 
 def run_expectations(spark, sf_dir):
-    r, p = _noisy(spark, sf_dir, "psi")
+    r = _noisy(spark, sf_dir)
     _, live = ev.baseline_and_live(spark, sf_dir)
-    a = al.alert_lifecycle(al.alert_events(r, None, p), p)
+    a = al.alert_lifecycle(al.alert_events(r, None, NOISY), NOISY)
     expected = spark.createDataFrame([("psi", "value"), ("psi", "k")], "s string, f string")
     checks = [
         rp.expect_windows(live.select("window_start").distinct(), 10), rp.expect_no_significant(r), rp.expect_max_below(r, "value", "psi", 0.25), rp.expect_no_unexpected(a, expected), rp.expect_lifecycle(a, "psi", "value"),
-        rp.expect_episodes(st.suppressed_episodes(st.classified_drift(r, p), ["feature_name"], 3, "breach"), 5),
+        rp.expect_episodes(st.suppressed_episodes(st.classified_drift(r, NOISY), TEST, 3, "breach"), 5), rp.expect_mean_drop(_performance(spark, sf_dir), "pr_auc", "2024-01-16", NOISY.metrics[0].gate),
     ]
     out = checks[0]
     for c in checks[1:]:
@@ -320,8 +367,8 @@ def data_range(spark, sf_dir):
 
 
 def _ingest_batch(spark, sf_dir):
-    """Events of the last ten days as a batch: every seventh is sent twice, every eleventh twice with different payloads; half of the rest is stored already, some with another payload."""
-    e = ev.table(spark, sf_dir, "events").where("ts >= timestamp_ntz'2024-01-21'").select(F.lit("events").alias("model_id"), F.col("event_id").alias("prediction_id"), "event_type", "value")
+    """All events as a batch: every seventh is sent twice, every eleventh twice with different payloads; half of the rest is stored already, some with another payload."""
+    e = ev.table(spark, sf_dir, "events").select(F.lit("events").alias("model_id"), F.col("event_id").alias("prediction_id"), "event_type", "value")
     again = e.where("prediction_id % 7 = 0").unionAll(e.where("prediction_id % 11 = 0").withColumn("value", F.col("value") + 1))
     stored = e.where("prediction_id % 2 = 0").withColumn("value", F.when(F.col("prediction_id") % 20 == 0, F.col("value") - 1).otherwise(F.col("value")))
     return e.unionAll(again), ig.with_hash(stored, ["event_type", "value"])
@@ -372,20 +419,20 @@ def unevaluated_windows(spark, sf_dir):
 
 
 def validation_errors(spark, sf_dir):
-    """Events as JSON rows, some of them damaged, against a declared schema."""
-    e = ev.table(spark, sf_dir, "events")
+    """Events as JSON rows, some of them damaged: text for a number, a number for a category, missing and undeclared features."""
     i = F.col("event_id")
-    row = F.struct(
-        F.when(i % 5 == 0, F.concat(F.lit("v"), F.col("value").cast("string"))).alias("bad_value"), F.when(i % 5 != 0, F.col("value")).alias("value"),
-        F.when(i % 3 != 0, F.col("event_type")).alias("event_type"), F.when(i % 7 == 0, i).alias("extra"), F.when(i % 4 == 0, F.lit(True)).alias("user_group"),
-    )
-    text = F.to_json(row)
-    v = validated(e.select("event_id", text.alias("features")), ev.EVENTS)
+    number, text = F.format_string('"value":%s', F.col("value").cast("string")), F.format_string('"value":"v%d"', i)
+    group = F.when(i % 4 == 0, F.lit('"user_group":true')).when(i % 4 == 1, F.format_string('"user_group":%d', i)).when(i % 4 == 2, F.lit('"user_group":"7"'))
+    kind = F.when(i % 3 != 0, F.concat(F.lit('"event_type":"'), F.col("event_type"), F.lit('"')))
+    extra = F.when(i % 7 == 0, F.lit('"extra":1'))
+    k = F.when(i % 2 == 0, F.lit('"k":null')).when(i % 11 == 0, F.lit('"k":[1]'))
+    features = F.concat(F.lit("{"), F.array_join(F.array(F.when(i % 5 == 0, text).otherwise(number), group, kind, extra, k), ","), F.lit("}"))
+    v = validated(ev.table(spark, sf_dir, "events").select("event_id", features.alias("features")), ev.EVENTS)
     return v.select("event_id", F.size("errors").alias("n_errors"), F.array_join("errors", "; ").alias("errors"))
 
 
 def trace_export(spark, sf_dir):
-    r = ev.drift_of(spark, sf_dir, ev.only("psi"), gated=False)
+    r = ev.drift_of(spark, sf_dir, ev.only("psi"), gated=False, methods=("psi",))
     _, live = ev.baseline_and_live(spark, sf_dir)
     t = ig.trace(live.select("model_id", "window_start", "window_end").distinct(), r, "value", "psi")
     return t.select("model_id", F.explode("points").alias("p"), "windows", "significant").select("model_id", "p.i", "p.value", "windows", "significant")
@@ -396,7 +443,7 @@ QUERIES = {
     for f in (
         baseline_edges, baseline_categories, baseline_slices, bucket_counts, psi_daily, psi_by_segment, ks_daily, ks_by_segment, cramers_v_daily, jsd_score_daily, floors_closed_form, drift_gated,
         bh_correction, null_floor_table, drift_simulated_floor, perf_daily, perf_regression, perf_documents, perf_user_metric, latest_label, window_labels, revisions_first_latest, performance_timeline,
-        drift_timeline, segment_view, attribution, streaks, suppressed_episodes, suppressed_report, alert_lifecycle, alert_rollup, alert_history, outbox, policy_backtest, shift_injection, label_noise,
+        drift_timeline, segment_view, attribution, streaks, suppressed_episodes, suppressed_report, alert_lifecycle, lifecycle_trace, touched_alerts, run_totals, evaluated_range, alert_rollup, alert_history, outbox, policy_backtest, shift_injection, label_noise,
         run_expectations, data_range, ingest_predictions, ingest_labels, late_counts, stale_windows, unevaluated_windows, validation_errors, trace_export,
     )
 }

@@ -9,21 +9,15 @@ from pyspark.sql import functions as F
 
 from tidegauge.config import Gate, Model, Profile, signals
 from tidegauge.operators.shape import window_grid, windows_meeting
-from tidegauge.operators.streaks import IDENTITY, classified_drift, classified_metrics, classify, first_and_latest_revision, suppressed_episodes, with_runs
+from tidegauge.operators.streaks import IDENTITY, METRIC_IDENTITY, classified_drift, classified_metrics, classify, first_and_latest_revision, suppressed_episodes, with_runs
 
 NO_WINDOW = "not evaluated -- no window exists for this time slot"
-METRIC_IDENTITY = ["model_id", "metric_name", "segment_dimension", "segment_value"]
 
 
 def state_of(evaluated: Column, status: Column) -> Column:
     return F.when(~evaluated, "missing").when(status.isNull(), "not_configured").otherwise(status)
 
 
-def display_state(state: Column, value: Column, gate: Gate) -> Column:
-    breach = value >= gate.fire if gate.direction == "above" else value <= gate.fire
-    return F.when(state == "computed", F.when(breach, "breach").otherwise("normal")).otherwise(state)
-
-
 def _grid(windows: DataFrame, start, end, duration: str) -> DataFrame:
     """Expected windows with a flag for those that were evaluated."""
     kind = dict(windows.dtypes)["window_start"]
@@ -120,9 +114,10 @@ def mean_shift(df: DataFrame, feature: str, amount: float, when: Column) -> Data
     return df.withColumn(feature, F.when(when, F.col(feature) + amount).otherwise(F.col(feature)))
 
 
-def label_noise(df: DataFrame, label: str, key: Column, probability: float, when: Column) -> DataFrame:
-    """Flips 0/1 labels with a probability (at most 0.99), decided by ``key`` (an integer) and so repeatable."""
-    hit = F.pmod(key * F.lit(2654435761), F.lit(1 << 32)) < F.lit(int(min(probability, 0.99) * (1 << 32)))
+def label_noise(df: DataFrame, label: str, key: Column, probability: float, when: Column, seed: int = 0) -> DataFrame:
+    """Flips 0/1 labels with a probability (at most 0.99), decided by ``key`` and ``seed`` and so repeatable."""
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 8), 16, 10).cast("long")
+    hit = draw < F.lit(int(min(probability, 0.99) * (1 << 32)))
     return df.withColumn(label, F.when(when & hit, 1 - F.col(label)).otherwise(F.col(label)))
 
 
@@ -164,13 +159,27 @@ def expect_mean_drop(metrics: DataFrame, metric: str, split, gate: Gate) -> Data
     one = metrics.where((F.col("metric_name") == metric) & F.col("segment_dimension").isNull() & (F.col("status") == "computed"))
     early = F.avg(F.when(F.col("window_start") < F.lit(split), F.col("metric_value")))
     late = F.avg(F.when(F.col("window_start") >= F.lit(split), F.col("metric_value")))
-    return _check(f"{metric}_drops", one, (early >= gate.clear) & (late <= gate.fire), F.format_string("%.3f to %.3f", early, late))
+    told = F.when(early.isNotNull() & late.isNotNull(), F.format_string("%.3f to %.3f", early, late)).otherwise("no data")
+    return _check(f"{metric}_drops", one, F.coalesce((early >= gate.clear) & (late <= gate.fire), F.lit(False)), told)
 
 
 def expect_episodes(episodes: DataFrame, n: int) -> DataFrame:
     return _check("suppressed_episodes", episodes, F.count("*") == n, F.count("*"))
 
 
+def run_totals(windows: DataFrame, results: DataFrame, metrics: DataFrame, alerts: DataFrame) -> DataFrame:
+    """``item, n``: what a run over a history produced, in one row an item."""
+    some = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0)).cast("long")
+    parts = [
+        (windows, {"windows": F.count("*")}),
+        (results, {"drift_results": F.count("*"), "drift_computed": some(F.col("status") == "computed"), "drift_significant": some(F.coalesce("is_significant", F.lit(False)))}),
+        (metrics, {"performance_results": F.count("*"), "performance_computed": some(F.col("status") == "computed")}),
+        (alerts, {"alerts": F.count("*"), **{f"alerts_{s}": some(F.col("status") == s) for s in ("open", "escalated", "resolved")}}),
+    ]
+    rows = [df.agg(*[c.alias(n) for n, c in items.items()]).select(F.explode(F.array(*[F.struct(F.lit(n).alias("item"), F.col(n).alias("n")) for n in items])).alias("r")).select("r.*") for df, items in parts]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def data_range(windows: DataFrame) -> DataFrame:
     return windows.groupBy("model_id").agg(F.to_date(F.min("window_start")).alias("first_day"), F.to_date(F.max("window_end")).alias("last_day"), F.count("*").alias("windows"))
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge.config import Model
 from tidegauge.functions.columns import fingerprint
+from tidegauge.operators.profile import baseline_profile, freeze
 
 PREDICTION = ["model_id", "prediction_id"]
 
@@ -78,29 +80,44 @@ def ready(windows: DataFrame, as_of, watermark: str) -> DataFrame:
     return windows.where(F.col("window_end") + F.expr(f"interval {interval(watermark)}") <= F.lit(as_of).cast("timestamp"))
 
 
-def register_baseline(rows: DataFrame, store: str, model_id: str, baseline_id: int, replace_active: bool = False) -> None:
-    """Append a baseline and make it the model's active one; refuses to replace one silently (a driver action on a small table)."""
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def register_baseline(rows: DataFrame, store: str, model_id: str, baseline_id: int, model: Model | None = None, replace_active: bool = False, simulate: bool = True) -> DataFrame | None:
+    """Append a baseline, with its profile, and make it the model's active one; refuses to replace one silently.
+
+    With a ``model``, rows are checked first: the first hundred that lack a
+    required feature are returned and nothing is stored.  ``None`` means stored.
+    """
     spark = rows.sparkSession
     registry = f"{store}/active"
-    try:
-        active = spark.read.parquet(registry).where(F.col("model_id") == model_id)
-        have = active.count() > 0
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        have = False
-    if have and not replace_active:
+    if exists(spark, registry) and not replace_active and spark.read.parquet(registry).where(F.col("model_id") == model_id).limit(1).count():
         raise ValueError(f"model {model_id!r} has an active baseline")
     if rows.limit(1).count() == 0:
         raise ValueError("a baseline needs rows")
-    rows.withColumns({"model_id": F.lit(model_id), "baseline_id": F.lit(baseline_id)}).write.mode("append").partitionBy("model_id", "baseline_id").parquet(f"{store}/rows")
+    if model is not None:
+        required = [f.name for f in model.features if not f.nullable]
+        lacking = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(f"feature '{c}' is required")) for c in required])) if required else F.array().cast("array<string>")
+        bad = rows.withColumn("errors", lacking).where(F.size("errors") > 0)
+        if bad.limit(1).count():
+            return bad.limit(100)
+    key = lambda df: df.withColumns({"model_id": F.lit(model_id), "baseline_id": F.lit(baseline_id)}).write.mode("append").partitionBy("model_id", "baseline_id")
+    key(rows).parquet(f"{store}/rows")
+    if model is not None:
+        frozen = freeze(rows, model)
+        key(baseline_profile(rows, model, simulate=simulate, frozen=frozen)).parquet(f"{store}/profiles")
+        key(frozen).parquet(f"{store}/bins")
     new = spark.createDataFrame([(baseline_id, model_id)], "baseline_id int, model_id string")
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model_id").parquet(registry)
+    return None
 
 
-def active_baseline(spark, store: str, model_id: str) -> DataFrame:
+def active_baseline(spark, store: str, model_id: str, part: str = "rows") -> DataFrame:
+    """The ``rows``, ``bins`` or ``profiles`` of the active baseline."""
     active = spark.read.parquet(f"{store}/active").where(F.col("model_id") == model_id).select("model_id", "baseline_id")
-    rows = spark.read.parquet(f"{store}/rows").where(F.col("model_id") == model_id)
+    rows = spark.read.parquet(f"{store}/{part}").where(F.col("model_id") == model_id)
     return rows.join(F.broadcast(active), ["model_id", "baseline_id"])  # one row
 
 

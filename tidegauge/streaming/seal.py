@@ -11,13 +11,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.config import Model, Profile, interval
+from tidegauge.operators.alerts import alert_events, alert_lifecycle
 from tidegauge.operators.drift import drift
 from tidegauge.operators.metrics import performance
 from tidegauge.operators.shape import with_window
+from tidegauge.sources import ingest
 
 
 @dataclass
@@ -34,45 +37,66 @@ class Monitor:
     gated: bool = True
 
     def table(self, name: str) -> DataFrame | None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return self.spark.read.parquet(f"{self.folder}/{name}") if fs.exists(path) else None
+        path = f"{self.folder}/{name}"
+        if not ingest.exists(self.spark, path):
+            return None
+        try:
+            return self.spark.read.parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() == "UNABLE_TO_INFER_SCHEMA":  # no batch has put a row there yet
+                return None
+            raise
 
     def _put(self, df: DataFrame, name: str, batch: int) -> None:
-        df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{self.folder}/{name}")
+        by = ["batch", "window_date"] if "window_date" in df.columns else ["batch"]
+        df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{self.folder}/{name}")
 
     def _before(self, name: str, batch: int) -> DataFrame | None:
         """A table as it stood before this batch."""
         t = self.table(name)
         return None if t is None else t.where(F.col("batch") < batch)
 
+    def _upto(self, name: str, batch: int) -> DataFrame | None:
+        t = self.table(name)
+        return None if t is None else t.where(F.col("batch") <= batch)
+
     def on_predictions(self, arrived: DataFrame, batch: int) -> None:
-        """``foreachBatch`` of the prediction stream; rows carry model_id, prediction_id, predicted_at and the features."""
-        rows = with_window(arrived, "predicted_at", self.profile.window).dropDuplicates(["model_id", "prediction_id"])
+        """``foreachBatch`` of the prediction stream; rows carry model_id, prediction_id, predicted_at and the features.
+
+        An id that comes with contradicting payloads, in the batch or against the
+        store, is kept out and recorded in ``rejected``.
+        """
+        payload = [c for c in arrived.columns if c not in ingest.PREDICTION]
         stored = self._before("predictions", batch)
-        if stored is not None:
-            rows = rows.join(stored.select("model_id", "prediction_id"), ["model_id", "prediction_id"], "left_anti")
-        rows = rows.persist()
+        known = stored.select(*ingest.PREDICTION, "payload_hash") if stored is not None else ingest.with_hash(arrived.limit(0), payload)
+        parts = ingest.predictions(arrived, known, payload)
+        refused = parts.reject.select(*ingest.PREDICTION, F.lit("batch").alias("against")).unionByName(parts.conflict.select(*ingest.PREDICTION, F.lit("store").alias("against"))).distinct()
+        self._put(refused, "rejected", batch)
+        rows = with_window(parts.insert, "predicted_at", self.profile.window).withColumn("window_date", F.to_date("window_start")).persist()
         sealed = self._before("windows", batch)
         if sealed is not None:
-            late = rows.join(sealed.select("model_id", "window_start"), ["model_id", "window_start"]).groupBy("model_id", "window_start").agg(F.count("*").alias("late_prediction_count"))
-            self._put(late, "late", batch)
+            self._put(ingest.late_counts(rows, sealed), "late", batch)
         self._put(rows, "predictions", batch)
+        # What sealing needs to know of a batch: its windows and its newest event time, a few rows.
+        self._put(rows.groupBy("model_id", "window_start", "window_end", "window_date").agg(F.max("predicted_at").alias("newest"), F.count("*").alias("n")), "progress", batch)
         rows.unpersist()
         self._seal(batch, sealed)
 
     def _seal(self, batch: int, sealed: DataFrame | None) -> None:
-        everything = self.table("predictions")
-        newest = everything.groupBy("model_id").agg(F.max("predicted_at").alias("newest"))
-        due = everything.select("model_id", "window_start", "window_end").distinct().join(newest, "model_id")
+        progress = self._upto("progress", batch)
+        newest = progress.groupBy("model_id").agg(F.max("newest").alias("newest"))
+        due = progress.select("model_id", "window_start", "window_end", "window_date").distinct().join(newest, "model_id")
         due = due.where(F.col("window_end") + F.expr(f"interval {interval(self.profile.watermark)}") <= F.col("newest")).drop("newest")
         if sealed is not None:
             due = due.join(sealed.select("model_id", "window_start"), ["model_id", "window_start"], "left_anti")
         due = due.persist()
         if due.limit(1).count():
-            live = everything.join(F.broadcast(due.select("model_id", "window_start")), ["model_id", "window_start"], "left_semi")
+            # Only the batches that hold a row of a due window are read.
+            batches = [r["batch"] for r in progress.join(due.select("model_id", "window_start"), ["model_id", "window_start"], "left_semi").select("batch").distinct().collect()]
+            live = self._upto("predictions", batch).where(F.col("batch").isin(batches))
+            live = live.join(F.broadcast(due.select("model_id", "window_start")), ["model_id", "window_start"], "left_semi")
             self._put(drift(live, self.baseline, self.profiled, self.bins, self.model, self.profile, self.gated), "drift", batch)
-            self._put(due, "windows", batch)
+            self._put(due.drop("window_date"), "windows", batch)
         due.unpersist()
 
     def on_labels(self, arrived: DataFrame, batch: int) -> None:
@@ -82,10 +106,11 @@ class Monitor:
         if predictions is None or sealed is None:
             return
         keys = arrived.select("model_id", "prediction_id").distinct()
-        touched = predictions.join(keys, ["model_id", "prediction_id"], "left_semi").select("model_id", "window_start").distinct()
+        touched = predictions.join(keys, ["model_id", "prediction_id"], "left_semi").select("model_id", "window_start", "window_date").distinct()
         touched = touched.join(sealed.select("model_id", "window_start"), ["model_id", "window_start"], "left_semi")
-        rows = predictions.join(touched, ["model_id", "window_start"], "left_semi")
-        found = performance(rows, self.table("labels"), self.model, self.profile)
+        rows = predictions.join(touched.select("model_id", "window_start"), ["model_id", "window_start"], "left_semi")
+        labels = self._upto("labels", batch).join(rows.select("model_id", "prediction_id"), ["model_id", "prediction_id"], "left_semi")
+        found = performance(rows, labels, self.model, self.profile)
         if before is None:
             found = found.withColumn("is_retroactive", F.lit(False))
         else:
@@ -93,6 +118,10 @@ class Monitor:
             found = found.join(done, ["model_id", "window_start"], "left").withColumn("is_retroactive", F.coalesce("_d", F.lit(False))).drop("_d")
         self._put(found.withColumns({"revision_id": F.lit(batch).cast("long"), "computed_at": F.lit(batch).cast("long")}), "performance", batch)
 
+    def alerts(self) -> DataFrame:
+        """Alerts folded from the stored drift and the newest revisions of the stored performance."""
+        return alert_lifecycle(alert_events(self.table("drift"), self.table("performance"), self.profile), self.profile)
+
     def start(self, stream: DataFrame, handler: str, checkpoint: str, **trigger):
         """Start a query; ``handler`` is ``on_predictions`` or ``on_labels``."""
         writer = stream.writeStream.foreachBatch(getattr(self, handler)).option("checkpointLocation", checkpoint)
