@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -73,6 +73,7 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
         to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
         yield Chunk(at, data[off[at] : off[to]], off[at : to + 1] - off[at])
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 class Hasher:
