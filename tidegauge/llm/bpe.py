@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from tidegauge.llm import text as tx
 from tidegauge.llm.pretokens import Known, pack, pretokens, spans, unpack
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Shares of the words, at least.
 BUCKETS = 1_024
 
