@@ -226,7 +226,8 @@ TEST = ["test_method", "feature_name", *SLICE]
 def _noisy(spark, sf_dir, *methods):
     """Ungated results of all slices under the noisy profile: of all methods, or of some."""
     r = ev.drift_of(spark, sf_dir, NOISY, gated=False, methods=methods or None)
-    return r.withColumn("statistic", F.round("statistic", R6))
+    # One row a window and signal, used several times by most callers: kept, so that events are read once.
+    return r.withColumn("statistic", F.round("statistic", R6)).persist()
 
 
 def streaks(spark, sf_dir):
