@@ -168,7 +168,7 @@ def test_short_lines_are_grouped_when_equal(spark):
     from tidegauge.llm import queries
 
     docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    got = {r["doc_id"]: set(r["removed_lines"]) for r in queries.op2_line_dedup(spark, SF).collect()}
+    got = {r["doc_id"]: set(map(int, filter(None, r["removed_lines"].split(",")))) for r in queries.op2_line_dedup(spark, SF).collect()}
     at = defaultdict(list)
     for i, t in sorted(docs):
         for n, line in enumerate(t.split("\n")):

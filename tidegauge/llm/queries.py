@@ -49,7 +49,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_dedup.without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), exact_chars=1)
-    return cut.select("doc_id", "n_lines", "n_removed", "removed_lines", F.sha2("text", 256).alias("text_sha256"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.array_join("removed_lines", ",").alias("removed_lines"), F.sha2("text", 256).alias("text_sha256"))
 
 
 #: Arrivals of unlike size: the sixteenths of the ids' hash that each takes.
@@ -104,6 +104,42 @@ QUERIES = {
 }
 
 ORACLES = {
+    # DuckDB's distance counts bytes: each character becomes one, by the remainder of its code in one column and the quotient in the other.
+    "op2_line_dedup": r"""
+WITH RECURSIVE d AS (SELECT doc_id, text, string_split(text, chr(10)) AS s FROM documents),
+p AS (SELECT doc_id, i, s[i + 1] AS l FROM (SELECT doc_id, s, unnest(range(len(s))) AS i FROM d)),
+o AS (SELECT doc_id, i, regexp_replace(l, '^[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '', 'g') AS l FROM p),
+c AS (SELECT l, length(l) AS n, row_number() OVER (ORDER BY l) AS k, list_transform(string_split(l, ''), lambda x: ord(x)) AS codes FROM (SELECT DISTINCT l FROM o WHERE length(l) >= 10)),
+u AS (SELECT l, n, k, array_to_string(list_transform(codes, lambda x: chr(x % 127 + 1)), '') AS low, array_to_string(list_transform(codes, lambda x: chr(x // 127 % 127 + 1)), '') AS high FROM c),
+e AS (SELECT a.k AS a, b.k AS b FROM (SELECT *, unnest([0, 1, 2]) AS more FROM u) a JOIN u b ON b.n = a.n + a.more AND a.k <> b.k
+      WHERE levenshtein(a.low, b.low) <= least(2, a.n // 10) AND levenshtein(a.high, b.high) <= least(2, a.n // 10)),
+pairs AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(a, b) AS (SELECT k, k FROM u UNION SELECT r.a, pairs.b FROM r JOIN pairs ON r.b = pairs.a),
+g AS (SELECT u.l, min(r.b) AS root FROM r JOIN u ON u.k = r.a GROUP BY u.l),
+x AS (SELECT doc_id, i, row_number() OVER (PARTITION BY root, CASE WHEN root IS NULL THEN o.l END ORDER BY doc_id, i) AS place FROM o LEFT JOIN g ON g.l = o.l WHERE o.l <> ''),
+z AS (SELECT doc_id, list(i ORDER BY i) AS gone FROM x WHERE place > 1 GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(s), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, coalesce(array_to_string(gone, ','), '') AS removed_lines,
+       sha256(CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_transform(list_filter(range(len(s)), lambda i: NOT list_contains(gone, i)), lambda i: s[i + 1]), chr(10)), '') END) AS text_sha256
+FROM d LEFT JOIN z USING (doc_id)
+""",
+    # A pair's similarity is at most the share of either's shingles that is common; only pairs above that bound are computed.
+    "op4_minhash": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+c AS (SELECT w, min(doc_id) AS a FROM d WHERE len(w) > 0 GROUP BY w),
+s AS (SELECT a, array_to_string(w[p:p + least(len(w), 5) - 1], ' ') AS shingle FROM (SELECT a, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS p FROM c)),
+k AS (SELECT a, shingle, count(*) AS n FROM s GROUP BY a, shingle),
+t AS (SELECT a, sum(n) AS total FROM k GROUP BY a),
+m AS (SELECT i.a, j.a AS b, i.n AS x, j.n AS y, count(*) AS n FROM k i JOIN k j ON i.shingle = j.shingle AND i.a < j.a GROUP BY ALL),
+f AS (SELECT a, b, sum(x * n) AS sx, sum(y * n) AS sy FROM m GROUP BY a, b),
+q AS (SELECT f.a, f.b, ta.total - sx AS rest_x, tb.total - sy AS rest_y FROM f JOIN t ta ON ta.a = f.a JOIN t tb ON tb.a = f.b WHERE sx >= 0.79 * ta.total AND sy >= 0.79 * tb.total),
+v AS (SELECT q.a, q.b, i.x, i.y, i.n, any_value(rest_x) / i.x + any_value(rest_y) / i.y + sum(j.n * greatest(j.x / i.x, j.y / i.y)) AS whole
+      FROM q JOIN m i ON i.a = q.a AND i.b = q.b JOIN m j ON j.a = q.a AND j.b = q.b GROUP BY q.a, q.b, i.x, i.y, i.n),
+l AS (SELECT a, b FROM v GROUP BY a, b HAVING sum(n / whole) >= 0.8 - 1e-12),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT a, a FROM c UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+g AS (SELECT a, min(b) AS low FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(g.low, d.doc_id) AS component_id, coalesce(g.low, d.doc_id) = d.doc_id AS kept FROM d LEFT JOIN c ON c.w = d.w LEFT JOIN g ON g.a = c.a
+""",
     # At this size every arrival is a small shard and all of them are merged.
     "op3_sharding": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256, true AS compacted FROM documents",
     "op10_embeddings": """
