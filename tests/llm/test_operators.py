@@ -130,13 +130,12 @@ def test_banded_distance_and_buckets():
             assert keys[0] & keys[1]
 
 
-def test_line_dedup_against_brute_force(spark, docs, none, odd):
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(9001, "A line of some length that is kept\nshort\nA line of some lengths that is kept"), (9002, "  A line of some length that is kept \nanother one entirely")]
-    got = {r["doc_id"]: r for r in line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+def slow_gone(rows, exact_chars=line_dedup.MIN_CHARS):
+    """The lines to remove from each text, by comparing all lines of like length."""
     at = defaultdict(list)
     for i, t in rows:
-        for n, line in enumerate(t.split("\n")):
-            if len(line.strip()) >= 10:
+        for n, line in enumerate((t or "").split("\n")):
+            if len(line.strip()) >= exact_chars:
                 at[line.strip()].append((i, n))
     lines = sorted(at, key=len)
     low = {x: x for x in lines}
@@ -147,7 +146,7 @@ def test_line_dedup_against_brute_force(spark, docs, none, odd):
         return x
 
     for i, a in enumerate(lines):
-        for b in lines[i + 1 :]:
+        for b in lines[i + 1 :] if len(a) >= line_dedup.MIN_CHARS else []:
             if len(b) - len(a) > 2:
                 break
             if line_dedup.similar(a, b):
@@ -155,11 +154,17 @@ def test_line_dedup_against_brute_force(spark, docs, none, odd):
     groups = defaultdict(list)
     for x in lines:
         groups[find(x)] += at[x]
-    gone = defaultdict(list)
+    gone = {i: [] for i, _ in rows}
     for places in groups.values():
         for i, n in sorted(places)[1:]:
             gone[i].append(n)
-    assert {i: sorted(gone[i]) for i, _ in rows} == {i: r["removed_lines"] for i, r in got.items()}
+    return {i: sorted(n) for i, n in gone.items()}
+
+
+def test_line_dedup_against_brute_force(spark, docs, none, odd):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(9001, "A line of some length that is kept\nshort\nA line of some lengths that is kept"), (9002, "  A line of some length that is kept \nanother one entirely")]
+    got = {r["doc_id"]: r for r in line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert slow_gone(rows) == {i: r["removed_lines"] for i, r in got.items()}
     assert got[9001]["removed_lines"] == [2] and got[9002]["text"] == "another one entirely"
     assert line_dedup.without_repeated_lines(none).count() == 0 and line_dedup.without_repeated_lines(odd).count() == len(ODD)
 
@@ -279,15 +284,20 @@ def test_probability_jaccard_and_registers():
     assert (r[0] == r[1]).mean() == pytest.approx(want, abs=0.04)
 
 
-def test_minhash_against_brute_force(spark, docs, odd, none):
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    p = {i: payload(t) for i, t in rows}
+def slow_groups(rows):
+    """The smallest id of each text's group of near copies, by comparing all pairs."""
+    p = {i: payload(t or "") for i, t in rows}
     low = {i: i for i in p}
     pairs = [(a, b) for a in p for b in p if a < b and len(p[a]) and len(p[b]) and minhash.probability_jaccard(p[a], p[b]) >= 0.8]
     for _ in range(5):
         for a, b in pairs:
             low[a] = low[b] = min(low[a], low[b])
-    assert {r["id"]: r["component_id"] for r in minhash.groups(docs).collect()} == low and len(pairs) > 3
+    return low
+
+
+def test_minhash_against_brute_force(spark, docs, odd, none):
+    low = slow_groups([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert {r["id"]: r["component_id"] for r in minhash.groups(docs).collect()} == low and sum(i != n for i, n in low.items()) > 2
     kept = minhash.deduplicated(odd).collect()
     assert {r["doc_id"] for r in kept} == {1, 2, 3, 4, 5, 8, 9, 10, None} and minhash.groups(none).count() == 0
 
@@ -357,15 +367,20 @@ def test_token_files(spark, odd, none, tmp_path):
     assert token_files.with_crc32(token_files.read(spark, str(tmp_path / "e"))).count() == 0
 
 
-def test_byte_bpe(spark, odd, none):
+def library_digests(rows):
+    """``id, n_tokens, ids_sha256, decoded_sha256`` by the tokenizer library."""
     import tiktoken
 
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    with open(path, "rb") as f:
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return sorted((repr(i), len(ids := e.encode_ordinary(x or "")), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((x or "").encode()).hexdigest()) for i, x, *_ in rows)
+
+
+def test_byte_bpe(spark, odd, none):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     odd = odd.select("doc_id", "text").unionAll(spark.createDataFrame(SPECIAL, "doc_id long, text string"))
-    want = sorted((repr(i), len(ids := e.encode_ordinary(x or "")), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((x or "").encode()).hexdigest()) for i, x, *_ in [*ODD, *SPECIAL])
+    want = library_digests([*ODD, *SPECIAL])
     got = sorted((repr(r["id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.round_trip_digests(odd, path).collect())
     assert got == want
     enc = bpe.encode(odd.where("doc_id = 8"), path)
@@ -489,6 +504,19 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.contamination(none, bench).count() == 0 and decontaminate.contamination(odd, bench.limit(0)).where("contaminated").count() == 0
 
 
+def slow_contaminated(rows, items):
+    """Ids of the texts that hold benchmark passages, word by word."""
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m.group().lower(), t or ""))
+    windows = {tuple(w[p : p + min(13, len(w))]) for w in map(cut, items) if w for p in range(max(1, len(w) - 12))}
+    sizes, out = {len(w) for w in windows}, set()
+    for i, t in rows:
+        w = cut(t)
+        hit = {q for k in sizes for p in range(len(w) - k + 1) if tuple(w[p : p + k]) in windows for q in range(p, p + k)}
+        if hit and 20 * len(hit) >= len(w):
+            out.add(i)
+    return out
+
+
 # -- 10
 
 
@@ -558,3 +586,27 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_pipeline_against_brute_force(spark, docs, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    labels, bench = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("labels", "benchmark"))
+    texts, items = [r["text"] for r in docs.orderBy("doc_id").collect()], [r["text"] for r in bench.collect()]
+    own = "\n".join(f"line {i} of a long text {i * 37 % 101} with words {i * i}" for i in range(40))
+    planted = [(9000, own), (9001, own.replace("a long text", "one lengthy document")), (9002, own.replace("\n", " ") + " tail"), (9003, texts[0]), (9004, None), (9005, items[0] + " and more"), (9006, ""), (9007, own.replace("\n", " "))]
+    docs.unionByName(spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in planted], "doc_id long, text string, lang string, source string, n_chars long")).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    all_docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in toxicity.scored(all_docs, toxicity.fit(all_docs, labels)).where("predicted = 0").collect()]
+    gone, kept = slow_gone(rows, 1), []
+    for i, t in rows:
+        left = t if not gone[i] else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i])
+        if not gone[i] or left.strip(" "):
+            kept.append((i, left))
+    low = slow_groups(kept)
+    single = [(i, t) for i, t in kept if low[i] == i]
+    dirty = slow_contaminated(single, items)
+    want = library_digests([(i, t) for i, t in single if i not in dirty])
+    assert len(kept) < len(rows) < len(texts) + len(planted) and len(single) < len(kept) and dirty
+    assert sorted((repr(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
