@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm import text as tx
-from tidegauge.llm.clusters import clusters, one_against_many
+from tidegauge.llm.clusters import clusters, pairwise
 from tidegauge.llm.pretokens import WHITE
 from tidegauge.llm.shared import dealt_join, pass_through, restored, written
 
@@ -185,10 +185,6 @@ def _verify(a: list[bytes], b: list[bytes], edits: int) -> list[bool]:
     return similar_each([x.decode() for x in a], [y.decode() for y in b], edits).tolist()
 
 
-def _verify_many(a: bytes, b: list[bytes], edits: int) -> np.ndarray:
-    return similar_each([a.decode()] * len(b), [y.decode() for y in b], edits)
-
-
 def occurrences(source: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``row, id, line, node`` of every line that takes part; node is the hash of the trimmed line."""
     kind = dict(source.dtypes)["id"]
@@ -245,7 +241,8 @@ def linked_lines(source: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
         few = nodes.count() <= BROADCAST_NODES
         return _payloads(source, min_chars).join(F.broadcast(nodes) if few else nodes, "node", "left_semi").groupBy("node").agg(F.max("payload").alias("payload"))
 
-    return clusters(_entries(source, edits, min_chars), payloads, lambda a, b: _verify(a, b, edits), one_against_many(lambda a, b: _verify_many(a, b, edits)))
+    verify = lambda a, b: _verify(a, b, edits)
+    return clusters(_entries(source, edits, min_chars), payloads, verify, pairwise(verify))
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
