@@ -15,6 +15,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from tidegauge.llm import bpe, decontaminate, embeddings, line_dedup, minhash, quality, substrings, token_files, toxicity
 from tidegauge.llm import text as tx
+from tidegauge.llm.clusters import buckets, dealt_buckets
 from tidegauge.llm.pretokens import pack, pattern, pretokens, unpack
 from tidegauge.llm.shards import Conflict, ShardStore
 from tidegauge.llm.shared import connected_components
@@ -169,6 +170,35 @@ def test_line_dedup_against_brute_force(spark, docs, none, odd):
     assert line_dedup.without_repeated_lines(none).count() == 0 and line_dedup.without_repeated_lines(odd).count() == len(ODD)
 
 
+def test_frequent_buckets_are_dealt(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for _ in range(40):  # chunks: key 5 is frequent, key 6 has few nodes in each, the others are rare
+        keys = np.concatenate([np.full(60, 5), np.full(3, 6), rng.integers(100, 400, 20), [0]])
+        node = rng.integers(-(2**62), 2**62, len(keys))
+        node[60:] = rng.choice(np.arange(-50, 50), len(keys) - 60)
+        rows += zip(keys.tolist(), node.tolist(), line_dedup._deal(keys, node).tolist(), strict=True)
+    assert sum(d > 0 for k, _, d in rows if k == 5) == 40 * 58 and not any(d for k, _, d in rows if k != 5)
+    e = spark.createDataFrame(rows, "key long, node long, deal int").na.fill(0)
+    as_set = lambda df: sorted(tuple(r) for r in df.collect())
+    members = defaultdict(set)
+    for k, n, _ in rows:
+        members[k].add(n)
+    want = sorted((k, n, min(m)) for k, m in members.items() if len(m) > 1 for n in m)
+    assert as_set(dealt_buckets(e)) == want and as_set(buckets(e)) == want
+    assert as_set(dealt_buckets(e.where("key > 5"))) == [r for r in want if r[0] > 5]
+    assert dealt_buckets(e.where("key < 0")).count() == 0
+
+
+def test_lines_of_one_template(spark):
+    """Hundreds of lines that share segments, some of them within two edits of others."""
+    rng = np.random.default_rng(11)
+    names = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(220)]
+    rows = [(i, "\n".join(f"All rights reserved by the holder {n} since then" for n in names[i::20])) for i in range(20)]
+    got = line_dedup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {r["doc_id"]: r["removed_lines"] for r in got.collect()} == slow_gone(rows)
+
+
 def test_short_lines_are_grouped_when_equal(spark):
     from tidegauge.llm import queries
 

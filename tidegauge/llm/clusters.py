@@ -74,15 +74,37 @@ def pairwise(verify: Verify) -> Links:
     return links
 
 
-def clusters(entries: DataFrame, payloads: Callable[[DataFrame], DataFrame], verify: Verify, links: Links, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def buckets(entries: DataFrame) -> DataFrame:
+    """``key, node, hub`` of the buckets in ``entries(key, node)`` that hold two nodes or more; the hub is the smallest."""
+    hubs = entries.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
+    return written(entries.join(hubs, "key").select("key", "node", "hub").distinct(), "buckets")
+
+
+def dealt_buckets(entries: DataFrame) -> DataFrame:
+    """:func:`buckets` of entries that are costly to make: they are made and shuffled once.
+
+    Entries have a third column, ``deal``, and none may be null.  Rows of ``deal`` 0
+    hold the smallest and the largest node of every key; other values set apart
+    members of frequent keys, which learn their hub by a second join.
+    """
+    e = entries.repartition("key", "deal")
+    # Aggregate and join use one exchange: a filter on either side alone would be pushed below it.
+    ends = e.groupBy("key", "deal").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "deal", "hub")
+    found = e.join(ends.hint("shuffle_hash"), ["key", "deal"], "left").where("hub is not null or deal <> 0")
+    found = written(found.select("key", "deal", "node", F.when(F.col("deal") == 0, F.col("hub")).alias("hub")).distinct(), "buckets")
+    plain, apart = found.where("deal = 0").select("key", "node", "hub"), found.where("deal <> 0").select("key", "node")
+    if apart.isEmpty():
+        return plain
+    return plain.unionByName(written(apart.join(plain.select("key", "hub").distinct(), "key").select("key", "node", "hub"), "apart"))
+
+
+def clusters(live: DataFrame, payloads: Callable[[DataFrame], DataFrame], verify: Verify, links: Links, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``node, component`` of every node that has a verified link.
 
-    ``entries`` has ``key`` and ``node``: members of candidate buckets.
+    ``live`` is a table of ``key, node, hub``, as :func:`buckets` gives it.
     ``payloads`` gets the nodes (column ``node``) that share a bucket and returns
     ``node, payload``.
     """
-    hubs = entries.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")
-    live = written(entries.join(hubs, "key").select("key", "node", "hub").distinct(), "buckets")
     items = written(payloads(live.select("node").distinct()).select("node", "payload", F.octet_length("payload").alias("bytes")), "items")
     pairs = live.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     parts = written(connected_components(verified(pairs, items, verify)), "parts")

@@ -34,12 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm import text as tx
-from tidegauge.llm.clusters import clusters, pairwise
+from tidegauge.llm.clusters import clusters, dealt_buckets, pairwise
 from tidegauge.llm.pretokens import WHITE
 from tidegauge.llm.shared import dealt_join, pass_through, restored, written
 
 EDITS = 2
 MIN_CHARS = 10
+#: Lines of a chunk that one bucket takes without being dealt.
+MANY = 16
 #: Hashes of candidate lines (8 bytes each) that may be broadcast.
 BROADCAST_NODES = 1_000_000
 RESULT = ("n_lines", "n_removed", "removed_lines")
@@ -204,6 +206,20 @@ def occurrences(source: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return source.mapInArrow(run, f"row long, id {kind}, line int, node long")
 
 
+def _deal(keys: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """0, but other numbers for the inner members of keys that more than ``MANY`` of these nodes share."""
+    deal = np.zeros(len(keys), np.int32)
+    ordered = np.sort(keys)
+    if (ordered[MANY:] == ordered[:-MANY]).any():
+        order = np.lexsort((node, keys))
+        new = np.append(True, ordered[1:] != ordered[:-1])
+        last = np.append(new[1:], True)
+        size = np.diff(np.append(np.flatnonzero(new), len(new)))
+        inner = order[~new & ~last & np.repeat(size > MANY, size)]
+        deal[inner] = 1 + (node[inner] & 0xFFFFF)
+    return deal
+
+
 def _entries(source: DataFrame, edits: int, min_chars: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -212,11 +228,12 @@ def _entries(source: DataFrame, edits: int, min_chars: int) -> DataFrame:
                 hasher = tx.Hasher(x.point)
                 use = np.flatnonzero(x.hi - x.lo >= min_chars)
                 node, first = np.unique(hasher(x.lo[use], x.hi[use]), return_index=True)
-                use = use[first]
+                use, node = use[first], node.view(np.int64)
                 for at, keys in bucket_keys(hasher, x.lo[use], x.hi[use] - x.lo[use], edits, min_chars):
-                    yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(node[at].view(np.int64))], names=["key", "node"])
+                    keys = keys.view(np.int64)
+                    yield pa.record_batch([pa.array(keys), pa.array(node[at]), pa.array(_deal(keys, node[at]))], names=["key", "node", "deal"])
 
-    return source.select("text").mapInArrow(run, "key long, node long")
+    return source.select("text").mapInArrow(run, "key long not null, node long not null, deal int not null")
 
 
 def _payloads(source: DataFrame, min_chars: int) -> DataFrame:
@@ -242,7 +259,7 @@ def linked_lines(source: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
         return _payloads(source, min_chars).join(F.broadcast(nodes) if few else nodes, "node", "left_semi").groupBy("node").agg(F.max("payload").alias("payload"))
 
     verify = lambda a, b: _verify(a, b, edits)
-    return clusters(_entries(source, edits, min_chars), payloads, verify, pairwise(verify))
+    return clusters(dealt_buckets(_entries(source, edits, min_chars)), payloads, verify, pairwise(verify))
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:

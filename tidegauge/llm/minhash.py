@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm import text as tx
-from tidegauge.llm.clusters import clusters
+from tidegauge.llm.clusters import buckets, clusters
 from tidegauge.llm.shared import pass_through, restored, written
 
 SHINGLE = 5
@@ -219,7 +219,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: float, shi
         texts = source.join(wanted, "id", "left_semi")
         return _payloads(texts, shingle).join(nodes, "node", "left_semi").groupBy("node").agg(F.max("payload").alias("payload"))
 
-    parts = clusters(entries, payloads, lambda a, b: _pass(a, b, similarity), lambda p, parts, sides: _links(p, parts, similarity, sides))
+    parts = clusters(buckets(entries), payloads, lambda a, b: _pass(a, b, similarity), lambda p, parts, sides: _links(p, parts, similarity, sides))
     named = classes.join(parts.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "first", F.coalesce("component", "digest").alias("root"))
     low = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of_class = named.join(low, "root").select("digest", "component_id")
