@@ -199,6 +199,24 @@ def test_lines_of_one_template(spark):
     assert {r["doc_id"]: r["removed_lines"] for r in got.collect()} == slow_gone(rows)
 
 
+def test_links_of_a_block_of_lines(monkeypatch):
+    rng = np.random.default_rng(5)
+    names = ["".join(rng.choice(list("abcé"), rng.integers(3, 7))) for _ in range(150)]
+    texts = [f"of one template {n} and more" for n in names] + ["", "a line", "ten chars.", "ten chars,"]
+    side = rng.random(len(texts)) < 0.5
+    part = np.arange(len(texts)) // 2
+    similar = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if levenshtein(a, b) <= min(2, len(a) // 10, len(b) // 10)}
+    given = [(i, i - 1) for i in range(1, len(texts)) if part[i] == part[i - 1]]
+    joined = lambda es: {frozenset(c) for c in _sets([*es, *given], range(len(texts)))}
+    for step, points in ((line_dedup.STEP_PAIRS, line_dedup.STEP_POINTS), (300, 100)):
+        monkeypatch.setattr(line_dedup, "STEP_PAIRS", step)
+        monkeypatch.setattr(line_dedup, "STEP_POINTS", points)
+        for sides in (None, side):
+            want = {(i, j) for i, j in similar if sides is None or sides[i] != sides[j]}
+            found = {(max(p), min(p)) for p in line_dedup.block_links([t.encode() for t in texts], part, sides)}
+            assert found <= want and joined(found) == joined(want) and 0 < len(found) < len(texts)
+
+
 def test_short_lines_are_grouped_when_equal(spark):
     from tidegauge.llm import queries
 

@@ -27,8 +27,6 @@ BLOCK = 256
 BLOCK_BYTES = 4 << 20
 #: Bytes of payloads that a verification step opens at once.
 STEP_BYTES = 2 << 20
-#: Pairs of a block that are tested at once, beyond those of a single member.
-STEP_PAIRS = 2_000
 
 #: Which of the pairs of payloads pass.
 Verify = Callable[[list[bytes], list[bytes]], list[bool]]
@@ -51,29 +49,6 @@ def verified(pairs: DataFrame, items: DataFrame, verify: Verify) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
-def pairwise(verify: Verify) -> Links:
-    """Links by a test of pairs, those of some rows at once; pairs that earlier links have joined are not tested again."""
-
-    def links(payloads: list[bytes], parts: np.ndarray, sides: np.ndarray | None) -> Iterator[tuple[int, int]]:
-        root, every = parts.copy(), np.arange(len(payloads))
-        step = max(1, min(STEP_PAIRS // len(payloads), STEP_BYTES // max(1, sum(map(len, payloads)))))
-        for at in range(0, len(payloads), step):
-            rows = every[at : at + step, None]
-            open_ = (rows < every) & (root[rows] != root)
-            if sides is not None:
-                open_ &= sides[rows] != sides
-            i, j = np.nonzero(open_)
-            i += at
-            if len(i):
-                ok = np.array(verify([payloads[k] for k in i], [payloads[k] for k in j]), bool)
-                for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
-                    if root[a] != root[b]:
-                        root[root == root[b]] = root[a]
-                        yield a, b
-
-    return links
-
-
 def buckets(entries: DataFrame) -> DataFrame:
     """``key, node, hub`` of the buckets in ``entries(key, node)`` that hold two nodes or more; the hub is the smallest."""
     hubs = entries.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top").select("key", "hub")

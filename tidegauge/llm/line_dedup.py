@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm import text as tx
-from tidegauge.llm.clusters import clusters, dealt_buckets, pairwise
+from tidegauge.llm.clusters import clusters, dealt_buckets
 from tidegauge.llm.pretokens import WHITE
 from tidegauge.llm.shared import dealt_join, pass_through, restored, written
 
@@ -42,6 +42,11 @@ EDITS = 2
 MIN_CHARS = 10
 #: Lines of a chunk that one bucket takes without being dealt.
 MANY = 16
+#: Counts of characters that sift the pairs of a block.
+COUNTS = 32
+#: Pairs of a block that are sifted at once, and code points of those whose distance is tested at once.
+STEP_PAIRS = 16_384
+STEP_POINTS = 1 << 18
 #: Hashes of candidate lines (8 bytes each) that may be broadcast.
 BROADCAST_NODES = 1_000_000
 RESULT = ("n_lines", "n_removed", "removed_lines")
@@ -122,7 +127,13 @@ def _shared(pa_: np.ndarray, a: np.ndarray, pb: np.ndarray, b: np.ndarray, n: np
 
 
 def within_each(a: list[str], b: list[str], edits: np.ndarray) -> np.ndarray:
-    """For each pair whether its edit distance is at most its number of ``edits``.
+    """For each pair whether its edit distance is at most its number of ``edits``."""
+    (xa, sa, ea), (xb, sb, eb) = _points(a), _points([*b, "."])  # never without code points
+    return _within(xa, sa, ea, xb, sb[:-1], eb[:-1], np.asarray(edits, np.int64))
+
+
+def _within(xa: np.ndarray, sa: np.ndarray, ea: np.ndarray, xb: np.ndarray, sb: np.ndarray, eb: np.ndarray, edits: np.ndarray) -> np.ndarray:
+    """Whether code points ``sa`` to ``ea`` of ``xa`` turn into ``sb`` to ``eb`` of ``xb`` by at most ``edits``.
 
     What the pair shares at its ends is set aside.  For the middle, one word for
     each number of errors holds a bit for each diagonal of the band: bit
@@ -130,10 +141,7 @@ def within_each(a: list[str], b: list[str], edits: np.ndarray) -> np.ndarray:
     into the first i + d of ``b`` with e errors or fewer.  All pairs take a step
     together, and those that are decided leave.
     """
-    edits = np.asarray(edits, np.int64)
     top = int(edits.max(initial=0))
-    (xa, sa, ea), (xb, sb, eb) = _points(a), _points([*b, "."])  # never without code points
-    sb, eb = sb[:-1], eb[:-1]
     ok = np.abs((ea - sa) - (eb - sb)) <= edits
     at = np.flatnonzero(ok)
     sa, ea, sb, eb, least = sa[at], ea[at], sb[at], eb[at], edits[at]
@@ -187,6 +195,39 @@ def _verify(a: list[bytes], b: list[bytes], edits: int) -> list[bool]:
     return similar_each([x.decode() for x in a], [y.decode() for y in b], edits).tolist()
 
 
+def block_links(payloads: list[bytes], parts: np.ndarray, sides: np.ndarray | None, edits: int = EDITS) -> Iterator[tuple[int, int]]:
+    """Links of a block's lines across parts (and sides), a spanning forest of them.
+
+    An edit changes two counts of characters by one at most, so lines whose
+    counts (of code points modulo ``COUNTS``) differ by more than twice the edits
+    allowed are not similar; the others' distance is tested.
+    """
+    points, start, end = _points([p.decode() for p in payloads])
+    size, n = end - start, len(payloads)
+    count = np.bincount(np.repeat(np.arange(n), size) * COUNTS + points % COUNTS, minlength=n * COUNTS).reshape(n, COUNTS).astype(np.int32)
+    root, every = parts.copy(), np.arange(n)
+    step = max(1, STEP_PAIRS // n)
+    for at in range(0, n, step):
+        rows = every[at : at + step, None]
+        least = np.minimum(edits, np.minimum(size[rows], size) // 10)
+        open_ = (rows < every) & (root[rows] != root) & (np.abs(size[rows] - size) <= least)
+        if sides is not None:
+            open_ &= sides[rows] != sides
+        i, j = np.nonzero(open_)
+        least = least[i, j]
+        i += at
+        near = np.abs(count[i] - count[j]).sum(1) <= 2 * least
+        i, j, least = i[near], j[near], least[near]
+        turn = np.cumsum(size[i]) // STEP_POINTS
+        for t in np.unique(turn):
+            some = np.flatnonzero((turn == t) & (root[i] != root[j]))
+            ok = some[_within(points, start[i[some]], end[i[some]], points, start[j[some]], end[j[some]], least[some])]
+            for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+                if root[a] != root[b]:
+                    root[root == root[b]] = root[a]
+                    yield a, b
+
+
 def occurrences(source: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``row, id, line, node`` of every line that takes part; node is the hash of the trimmed line."""
     kind = dict(source.dtypes)["id"]
@@ -259,7 +300,7 @@ def linked_lines(source: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
         return _payloads(source, min_chars).join(F.broadcast(nodes) if few else nodes, "node", "left_semi").groupBy("node").agg(F.max("payload").alias("payload"))
 
     verify = lambda a, b: _verify(a, b, edits)
-    return clusters(dealt_buckets(_entries(source, edits, min_chars)), payloads, verify, pairwise(verify))
+    return clusters(dealt_buckets(_entries(source, edits, min_chars)), payloads, verify, lambda p, parts, sides: block_links(p, parts, sides, edits))
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
