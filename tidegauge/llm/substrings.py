@@ -14,18 +14,19 @@ last shared anchors: 22 of 51, so no passage of more than 50 words stays whole.
 
 Digests are grouped over the corpus with pre-aggregation; the occurrence of the
 lowest document id, and in it the first, is kept and the others are repeats.
-Overlapping and touching repeats of a document are joined; a joined stretch is
-removed when it has ``min_words`` words or more.  A shorter repeat that stands
-alone, such as a stock line or a phrase, stays: short lines are the work of line
-dedup; with ``short_lines`` a repeated line goes however short it is.
+Every repeated line goes.  Within lines, overlapping and touching repeats of a
+document are joined, with lines that repeat among them, and a joined stretch goes
+when it has ``min_words`` words or more: a shorter phrase inside a line stays.
 ``removed`` keeps the byte offsets of what went, in the original text.  Where a
 copy begins or ends inside a line, the words up to the next shared anchor stay,
 at most ``2 * WINDOW - 2`` at each end.
 
 Edge cases: null and empty texts have no units and pass unchanged; rows of one
 id have one rank and are not repeats of each other; rows with a null id rank
-last; further columns pass through whatever their names, those named like a
-result column are replaced.  Equal 64-bit digests stand for equal units.
+last; lines of fewer than ``MIN_LINE_WORDS`` words are no units of their own;
+further columns pass through whatever their names, those named like a result
+column are replaced.  Equal 64-bit digests stand for equal units.  A unit that very
+many documents hold is dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -39,12 +40,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.llm import text as tx
-from tidegauge.llm.shared import pass_through
+from tidegauge.llm.shared import dealt_join, pass_through, written
 
 #: One word at least in so many neighbouring ones is an anchor.
 WINDOW = 8
 #: Stretches of a unit.
 SPAN = 3
+#: Words of a repeat within lines.
 MIN_WORDS = 20
 MIN_LINE_WORDS = 5
 RESULT = ("n_words", "n_removed", "removed")
@@ -142,7 +144,7 @@ def units(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"row long, id {kind}, digest long, place long, first boolean")
 
 
-def joined_repeats(place: np.ndarray, min_words: int = MIN_WORDS, short_lines: bool = False) -> np.ndarray:
+def joined_repeats(place: np.ndarray, min_words: int = MIN_WORDS) -> np.ndarray:
     """Ranges of words to remove (n x 2), from the places of one text's repeats."""
     place = place.view(np.uint64)
     line = (place & _LINE) > 0
@@ -157,8 +159,7 @@ def joined_repeats(place: np.ndarray, min_words: int = MIN_WORDS, short_lines: b
 
     whole = union(lo, hi)
     keep = whole[whole[:, 1] - whole[:, 0] >= min_words]
-    if short_lines:
-        keep = np.concatenate([keep, np.stack([lo[line], hi[line]], 1)])
+    keep = np.concatenate([keep, np.stack([lo[line], hi[line]], 1)])
     return union(keep[:, 0], keep[:, 1]) if len(keep) else keep
 
 
@@ -167,13 +168,13 @@ def repeats(source: DataFrame) -> DataFrame:
     u = units(source)
     # One entry a document and digest; a count above 1 means several documents hold it.
     first = u.where("first").select("row", "id", "digest", "place")
-    shared = first.groupBy("digest").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1").select("digest", "low")
-    later = first.join(shared, "digest").where("id > low or (id is null and low is not null)").select("row", "place")
+    shared = written(first.groupBy("digest").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1"), "shared")
+    later = dealt_join(first, shared, "digest", "n", "row").where("id > low or (id is null and low is not null)").select("row", "place")
     again = u.where("not first").select("row", "place")
     return later.unionByName(again).groupBy("row").agg(F.collect_set("place").alias("places"))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, short_lines: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeats cut from the text, and ``n_words, n_removed, removed`` (byte offsets) added."""
     row = F.xxhash64(docs[id_col], docs[text_col])
     found = repeats(docs.select(row.alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text")))
@@ -183,13 +184,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in tx.chunks(b.column("text")):
-                yield _cut(b.slice(c.first, len(c)), c, min_words, short_lines)
+                yield _cut(b.slice(c.first, len(c)), c, min_words)
 
     columns = [F.col("text").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns if c not in RESULT]
     return wide.mapInArrow(run, schema).select(*columns, *RESULT)
 
 
-def _cut(b: pa.RecordBatch, c: tx.Chunk, min_words: int, short_lines: bool) -> pa.RecordBatch:
+def _cut(b: pa.RecordBatch, c: tx.Chunk, min_words: int) -> pa.RecordBatch:
     w = tx.words(c)
     base = np.concatenate([[0], np.cumsum(w.count)])
     raw = c.data.tobytes()
@@ -199,7 +200,7 @@ def _cut(b: pa.RecordBatch, c: tx.Chunk, min_words: int, short_lines: bool) -> p
         if places:
             start = np.append(w.start[base[i] : base[i + 1]], c.offsets[i + 1])
             at, parts = int(c.offsets[i]), []
-            for lo, hi in joined_repeats(np.array(places, np.int64), min_words, short_lines).tolist():
+            for lo, hi in joined_repeats(np.array(places, np.int64), min_words).tolist():
                 parts.append(raw[at : start[lo]])
                 at = int(start[hi])
                 mine.append({"start": int(start[lo] - c.offsets[i]), "end": int(at - c.offsets[i])})
