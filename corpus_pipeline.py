@@ -16,21 +16,30 @@ from tidegauge.llm import bpe, decontaminate, line_dedup, minhash, toxicity
 from tidegauge.llm.shared import written
 
 
-def _with_length(docs: DataFrame, like: DataFrame) -> DataFrame:
-    """The columns of ``like``; ``n_chars`` follows the text."""
-    return docs.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else docs[c] for c in like.columns])
+def _packed(docs: DataFrame) -> DataFrame:
+    """Id, text, and all other columns in one struct, where no operator's result can take their names."""
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[docs[c] for c in docs.columns if c not in ("doc_id", "text")]).alias("other"))
+
+
+def _unpacked(rows: DataFrame, like: DataFrame, new_length: bool = False) -> DataFrame:
+    """The columns of ``like``; after a cut, ``n_chars`` follows the text."""
+    other = [c for c in like.columns if c not in ("doc_id", "text")]
+    of = {c: F.col("other").getField(c).alias(c) for c in other} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if new_length and "n_chars" in other:
+        of["n_chars"] = F.length("text").cast("long").alias("n_chars")
+    return rows.select(*[of[c] for c in like.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learned from their labels, rejects go."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs, model).where("predicted = 0").select(*docs.columns)
+    return _unpacked(toxicity.scored(_packed(docs), model).where("predicted = 0"), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines are cut; a document that held nothing else goes with them."""
-    cut = line_dedup.without_repeated_lines(docs, exact_chars=1)
-    return _with_length(cut.where("n_removed = 0 or trim(text) <> ''"), docs)
+    """Repeated lines are cut; a document that held nothing else but white space goes with them."""
+    cut = line_dedup.without_repeated_lines(_packed(docs), exact_chars=1)
+    return _unpacked(cut.where(r"n_removed = 0 or text rlike '(?U)\\S'"), docs, new_length=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
