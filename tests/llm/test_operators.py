@@ -677,7 +677,7 @@ def test_pipeline_against_brute_force(spark, docs, tmp_path):
     gone, kept = slow_gone(rows, 1), []
     for i, t in rows:
         left = t if not gone[i] else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i])
-        if not gone[i] or left.strip(" "):
+        if not gone[i] or left.strip():
             kept.append((i, left))
     low = slow_groups(kept)
     single = [(i, t) for i, t in kept if low[i] == i]
@@ -685,3 +685,23 @@ def test_pipeline_against_brute_force(spark, docs, tmp_path):
     want = library_digests([(i, t) for i, t in single if i not in dirty])
     assert len(kept) < len(rows) < len(texts) + len(planted) and len(single) < len(kept) and dirty
     assert sorted((repr(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+
+
+def test_pipeline_stages_keep_columns_and_drop_blank_leftovers(spark, docs, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    lines = "the first line of a short document\n\u00a0\nthe second line of that document"
+    planted = [(9000, lines), (9001, lines.replace("\n\u00a0\n", "\n\n \t\n")), (9002, "\n \n"), (9003, lines + "\nand a line of its own")]
+    extra = ["score", "predicted", "n_lines", "n_removed", "removed_lines", "gone", "component_id", "kept", "other", "n_words", "contaminated"]
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in docs.limit(60).collect()] + [(i, t, "en", "web", len(t)) for i, t in planted]
+    wide = spark.createDataFrame([(*r, *[f"{c}{r[0]}" for c in extra]) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, str(tmp_path))
+        assert out.columns == wide.columns
+        found = out.collect()
+        assert found and all(r[c] == f"{c}{r['doc_id']}" for r in found for c in extra)
+        if name == "line_dedup":
+            left = {r["doc_id"]: r["text"] for r in found}
+            assert left[9000] == lines and 9001 not in left and left[9002] == "\n \n" and left[9003].strip() == "and a line of its own"
+            assert all(r["n_chars"] == len(r["text"]) for r in found)
