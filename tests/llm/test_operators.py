@@ -298,6 +298,64 @@ def test_shards_lose_no_racing_writer(spark, odd, tmp_path):
         store._commit(store.manifest(5), [], None)
 
 
+def test_shards_outlive_crashed_writers(spark, odd, tmp_path, monkeypatch):
+    """Whatever a dying writer leaves, others read the last whole version and commit after it."""
+    folder = tmp_path / "s"
+    store, one = ShardStore(spark, str(folder)), odd.select("doc_id").coalesce(1)
+    for _ in range(2):
+        store.append(one)
+
+    class Killed(BaseException):
+        pass
+
+    def killed(draft, target):  # the draft is written, its name not yet taken
+        raise Killed
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_publish", killed)
+        m.setattr(store, "_fs", type("NoDelete", (), {"__getattr__": lambda _, n, fs=store._fs: (lambda *a: False) if n == "delete" else getattr(fs, n)})())
+        with pytest.raises(Killed):
+            store.append(one)
+    assert any(f.name.startswith("draft-") for f in (folder / "manifests").iterdir())
+    assert store.versions() == [1, 2] and store.read().count() == 2 * len(ODD)
+    (folder / "manifests" / "v00000003.json").touch()  # a claim without a body, and half a body
+    (folder / "manifests" / "v00000004.json").write_text('{"version": 4, "schema": nul')
+    fresh = ShardStore(spark, str(folder))
+    assert fresh.manifest().version == 2 and fresh.read().count() == 2 * len(ODD)
+    with pytest.raises(ValueError):
+        fresh.read(4)
+    assert fresh.append(one) == 5 and fresh.read().count() == 3 * len(ODD)
+    assert fresh.settle("doc_id") >= 5 and fresh.vacuum(keep=1, age=0) >= 1  # the shard of the killed writer is garbage
+    assert fresh.read().count() == 3 * len(ODD) and not any(f.name.startswith("draft-") for f in (folder / "manifests").iterdir())
+
+
+def test_readers_never_wait_for_writers(spark, tmp_path):
+    """Two writers commit in threads while a third reads: every read is of one version, and no row is lost."""
+    import threading
+
+    folder, rows = str(tmp_path / "s"), spark.range(10).toDF("doc_id").coalesce(1)
+    ShardStore(spark, folder).append(rows)
+    failed = []
+
+    def write():
+        try:
+            for _ in range(4):
+                ShardStore(spark, folder).append(rows)
+        except Exception as e:  # noqa: BLE001
+            failed.append(e)
+
+    threads = [threading.Thread(target=write) for _ in range(2)]
+    for t in threads:
+        t.start()
+    seen = []
+    while any(t.is_alive() for t in threads):
+        seen.append(ShardStore(spark, folder).read().count())
+    for t in threads:
+        t.join()
+    assert not failed and all(n % 10 == 0 and n > 0 for n in seen) and seen == sorted(seen)
+    assert ShardStore(spark, folder).read().count() == 90 and ShardStore(spark, folder).versions() == list(range(1, 10))
+
+
 def test_sharding_query_compacts(spark):
     from tidegauge.llm import queries
 

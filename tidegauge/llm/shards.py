@@ -2,10 +2,14 @@
 
 Arrivals are appended as small immutable shards.  Runs of similar size are
 merged, a tier at a time, into files near ``target_bytes``; every change is one
-new manifest version.  A version is claimed by creating its manifest, which
-fails when it exists, so two writers never commit the same one; the loser takes
-the newer manifest and puts its own change on top, or gives up a merge whose
-shards are gone.  A reader sees the shards of one version, never a mixture.
+new manifest version.  A manifest is written whole under a name of its own and
+then given its version's name by a rename that refuses to replace (on a local file
+system, by a hard link), so it is there whole or not at all, a writer that dies
+leaves garbage only, and two writers never commit the same version; the loser
+takes the newer manifest and puts its own change on top, or gives up a merge whose
+shards are gone.  A reader sees the shards of one version, never a mixture, and
+never waits for a commit under way.  A manifest that cannot be read, as another
+program may leave one, is passed over by readers, and its number by writers.
 Data move only through DataFrame reads and writes; the driver handles file
 names, row counts and sizes.
 
@@ -22,7 +26,7 @@ import json
 import math
 import time
 import uuid
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +54,8 @@ class Manifest:
     version: int
     schema: T.StructType | None
     shards: tuple[Shard, ...]
+    #: The highest number taken when this version was read; the next commit takes the one after it.
+    taken: int = 0
 
 
 class Conflict(RuntimeError):
@@ -76,34 +82,57 @@ class ShardStore:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path("manifests"))]
         return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
-    def manifest(self, version: int | None = None) -> Manifest:
-        """One version, by default the newest; version 0 is the empty store."""
-        if version is None:
-            version = (self.versions() or [0])[-1]
-        if version == 0:
-            return Manifest(0, None, ())
-        text = self.spark.read.text(f"{self.folder}/manifests/v{version:08d}.json", wholetext=True).first()
+    def _parsed(self, version: int) -> Manifest | None:
+        """A version's manifest; ``None`` if it is not whole."""
+        row = self.spark.read.text(f"{self.folder}/manifests/v{version:08d}.json", wholetext=True).first()
         try:
-            m = json.loads(text[0])
-        except (TypeError, ValueError):
-            raise Conflict(f"version {version} is being committed; retry") from None
-        return Manifest(version, T.StructType.fromJson(m["schema"]) if m["schema"] else None, tuple(Shard(**s) for s in m["shards"]))
+            m = json.loads(row[0])
+            return Manifest(version, T.StructType.fromJson(m["schema"]) if m["schema"] else None, tuple(Shard(**s) for s in m["shards"]), version)
+        except (TypeError, ValueError, KeyError):
+            return None
+
+    def manifest(self, version: int | None = None) -> Manifest:
+        """One version, by default the newest whole one; version 0 is the empty store."""
+        if version is not None:
+            found = self._parsed(version) if version else Manifest(0, None, ())
+            if found is None:
+                raise ValueError(f"version {version} has no whole manifest")
+            return found
+        versions = self.versions()
+        for v in reversed(versions):
+            if found := self._parsed(v):
+                return replace(found, taken=versions[-1])
+        return Manifest(0, None, (), versions[-1] if versions else 0)
 
     def _commit(self, base: Manifest, shards: list[Shard], schema: T.StructType | None) -> int:
-        """Claim the version after ``base`` by creating its manifest."""
-        version = base.version + 1
+        """Put a whole manifest in the place of the version after the last one taken."""
+        version = base.taken + 1
         body = json.dumps({"version": version, "schema": schema.jsonValue() if schema else None, "shards": [asdict(s) for s in shards]})
         self._fs.mkdirs(self._path("manifests"))
+        draft, target = self._path(f"manifests/draft-{uuid.uuid4().hex}"), self._path(f"manifests/v{version:08d}.json")
+        out = self._fs.create(draft, False)
+        out.write(bytearray(body.encode()))
+        out.close()
         try:
-            out = self._fs.create(self._path(f"manifests/v{version:08d}.json"), False)
+            self._publish(draft, target)
         except Py4JJavaError as e:
             if "AlreadyExists" in str(e.java_exception):
                 raise Conflict(f"version {version} was committed by another writer") from e
             raise
-        out.write(bytearray(body.encode()))
-        out.close()
+        finally:
+            self._fs.delete(draft, False)
         return version
 
+    def _publish(self, draft, target) -> None:
+        """Give ``draft`` its final name, unless that exists."""
+        jvm = self._jvm
+        if self._fs.getUri().getScheme() == "file":
+            paths = [jvm.java.io.File(p.toUri().getPath()).toPath() for p in (target, draft)]
+            jvm.java.nio.file.Files.createLink(*paths)
+            return
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, target, none)
+
     def _retried(self, change, tries: int = 20) -> int | None:
         """Commit what ``change`` makes of the newest manifest; on a conflict, of the one that won."""
         for attempt in range(tries):
@@ -191,12 +220,17 @@ class ShardStore:
         Files younger than ``age`` seconds may belong to writers that have not
         committed yet and stay.
         """
-        versions = self.versions()
-        kept = versions[-max(1, keep) :]
-        live, gone = {s.path for v in kept for s in self.manifest(v).shards}, 0
-        for v in versions[: -len(kept)] if kept else []:
-            self._fs.delete(self._path(f"manifests/v{v:08d}.json"), False)
+        whole = {v: m for v in self.versions() if (m := self._parsed(v))}
+        kept = sorted(whole)[-max(1, keep) :]
+        live, gone = {s.path for v in kept for s in whole[v].shards}, 0
+        # What is not whole stays while its number is the highest: the next commit takes the one after it.
+        for v in self.versions():
+            if kept and v < kept[-1] and v not in kept:
+                self._fs.delete(self._path(f"manifests/v{v:08d}.json"), False)
         before = (time.time() - age) * 1000
+        for s in self._fs.listStatus(self._path("manifests")) if kept else []:
+            if s.getPath().getName().startswith("draft-") and s.getModificationTime() <= before:
+                self._fs.delete(s.getPath(), False)
         for folder in self._fs.listStatus(self._path("data")) if self._fs.exists(self._path("data")) else []:
             for s in self._fs.listStatus(folder.getPath()):
                 path = f"data/{folder.getPath().getName()}/{s.getPath().getName()}"
