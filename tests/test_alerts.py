@@ -159,9 +159,94 @@ def test_backfill_is_repeatable(spark, tmp_path):
     base = spark.createDataFrame([(float(i % 17),) for i in range(300)], "x double")
     frozen = freeze(base, model)
     store = Store(spark, str(tmp_path), model, p, base, frozen, baseline_profile(base, model, simulate=False, frozen=frozen), gated=False)
-    rows = lambda: sorted(map(repr, store.table("drift").drop("config_hash").collect()))
+    rows = lambda: sorted(map(repr, store.drift().drop("evaluation").collect()))
     assert store.evaluate(live, None, "2026-01-01", "2026-01-02") == 4 and store.evaluate(live, None, "2026-01-01", "2026-01-02") == 0
     first = rows()
     assert store.evaluate(live, None, "2026-01-01", "2026-01-02", force=True) == 4 and rows() == first
-    assert store.evaluate(live, None, "2026-01-01", "2026-01-05") == 6 and store.table("windows").count() == 10 and len(rows()) == 10
-    assert store.fold_alerts().count() >= 0
+    assert store.evaluate(live, None, "2026-01-01", "2026-01-05") == 6 and store.windows().count() == 10 and len(rows()) == 10
+    assert store.windows().where("evaluation > 1").count() == 10 and store.windows().agg(F.sum("n_predictions")).first()[0] == 480
+    assert store.compact("2026-01-01", "2026-01-05") > 0 and store.windows().count() == 10 and len(rows()) == 10
+    folded = store.fold_alerts()
+    want = al.alert_lifecycle(al.alert_events(store.drift(), None, p), p)
+    assert sorted(map(repr, folded.drop("config_hash").collect())) == sorted(map(repr, want.collect()))
+
+
+def small_store(spark, folder, **more):
+    from tidegauge.plans.backfill import Store
+
+    model = Model((Feature("x", "continuous"),), score=None)
+    p = replace(P, window="12h", min_window_size=10, continuous=("psi",))
+    live = spark.createDataFrame([("m", i, T0 + dt.timedelta(hours=i / 2), float(i % 17)) for i in range(96)], "model_id string, prediction_id long, predicted_at timestamp, x double")
+    live.coalesce(1).write.mode("overwrite").parquet(f"{folder}/live")
+    live = with_window(spark.read.parquet(f"{folder}/live"), "predicted_at", "12h")
+    base = spark.createDataFrame([(float(i % 17),) for i in range(300)], "x double")
+    frozen = freeze(base, model)
+    return Store(spark, f"{folder}/store", model, p, base, frozen, baseline_profile(base, model, simulate=False, frozen=frozen), gated=False, **more), live
+
+
+def test_racing_evaluations_leave_one(spark, tmp_path):
+    import threading
+
+    store, live = small_store(spark, tmp_path)
+    counts = []
+    threads = [threading.Thread(target=lambda: counts.append(store.evaluate(live, None, "2026-01-01", "2026-01-02"))) for _ in range(3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sum(counts) == 4 and len(counts) == 3 and store.windows().count() == 4 and store.drift().count() == 4
+    assert store._windows.all().count() == 4 and store._keyed("drift").all().count() == 4  # nothing was computed twice
+
+
+def test_claims_of_failed_and_dead_processes(spark, tmp_path, monkeypatch):
+    from tidegauge.plans import backfill
+
+    store, live = small_store(spark, tmp_path)
+    with monkeypatch.context() as m:
+        m.setattr(backfill, "drift", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.evaluate(live, None, "2026-01-01", "2026-01-01")
+    assert store.windows() is None
+    store._claimed([("m", dt.date(2026, 1, 1))])  # a process that died after its claim
+    assert store.evaluate(live, None, "2026-01-01", "2026-01-02") == 2  # the other day alone
+    store.claim_seconds = 0
+    assert store.evaluate(live, None, "2026-01-01", "2026-01-02") == 2 and store.windows().count() == 4
+
+
+def test_one_day_reads_one_day(spark, tmp_path, capsys):
+    """Both bounds of the event time reach the scan."""
+    store, live = small_store(spark, tmp_path)
+    from tidegauge.operators.shape import calendar_range
+
+    store._within(live, *calendar_range("2026-01-02", "2026-01-02"), "predicted_at").explain("formatted")
+    pushed = next(line for line in capsys.readouterr().out.splitlines() if "PushedFilters" in line)
+    assert "GreaterThanOrEqual(predicted_at" in pushed and "LessThan(predicted_at" in pushed
+
+
+def test_marks_during_a_recompute_stay(spark, tmp_path, monkeypatch):
+    """A label that comes while its window is computed leaves the window stale."""
+    from tidegauge.plans import backfill
+
+    store, live = small_store(spark, tmp_path)
+    store.model, store.profile = replace(store.model, score="x"), replace(store.profile, metrics=(Metric("rmse"),))
+    store.profiled = baseline_profile(store.baseline, store.model, simulate=False, frozen=(frozen := freeze(store.baseline, store.model)))
+    store.bins = frozen
+    labels = lambda *ids: spark.createDataFrame([("m", i, i, 1.0, T0) for i in ids], "model_id string, prediction_id long, label_id long, label_value double, received_at timestamp")
+    assert store.evaluate(live, labels(1), "2026-01-01", "2026-01-02") == 4
+    store.note(live, labels(2), live.where("prediction_id = 30"))
+    stale = lambda: [(r["window_start"], r["n_labels"], r["late_prediction_count"]) for r in store.windows().where("performance_stale").collect()]
+    assert stale() == [(T0, 1, 0)] and store.windows().agg(F.sum("late_prediction_count")).first()[0] == 1
+    before = backfill.performance
+
+    def meanwhile(*a):
+        store.note(live, labels(3))
+        return before(*a)
+
+    with monkeypatch.context() as m:
+        m.setattr(backfill, "performance", meanwhile)
+        assert store.recompute(live, labels(1, 2)) == 1
+    assert [s[0] for s in stale()] == [T0]
+    assert store.recompute(live, labels(1, 2, 3)) == 1 and stale() == [] and store.recompute(live, labels(1, 2, 3)) == 0
+    assert store.windows().where("n_labels = 3").count() == 1
+    revisions = store.performance().where(F.col("window_start") == T0).orderBy("revision_id").collect()
+    assert [(r["n_labeled"], r["is_retroactive"]) for r in revisions] == [(1, False), (2, True), (3, True)]

@@ -247,6 +247,14 @@ SELECT d AS segment_dimension, v AS segment_value, unnest(['pr_auc', 'roc_auc',
     "evaluated_range": _q(
         f"SELECT {day('w')}, f AS feature_name, d AS segment_dimension, v AS segment_value, round(x, 6) AS statistic, CAST(nl AS BIGINT) AS n_live, CASE WHEN w < TIMESTAMP '2024-01-14' THEN 1 WHEN w < TIMESTAMP '2024-01-16' THEN 3 ELSE 2 END AS evaluation FROM psi WHERE w >= TIMESTAMP '2024-01-12' AND w < TIMESTAMP '2024-01-20'"
     ),
+    "evaluation_windows": _q(
+        f"SELECT 'events' AS model_id, {day('w')}, {day(_END.format('w'), 'window_end')}, 7 AS baseline_id, TRUE AS current_config, '2024-02-10 00:00:00' AS evaluated_at, CASE WHEN late > 0 THEN '2024-02-11 00:00:00' ELSE '2024-02-10 00:00:00' END AS performance_computed_at, "
+        "strftime(CASE WHEN late > 0 THEN watermark ELSE early_watermark END, '%Y-%m-%d %H:%M:%S') AS label_watermark, on_time AS n_predictions, CASE WHEN late > 0 THEN labelled ELSE early END AS n_labels, w = TIMESTAMP '2024-01-16' AS performance_stale, n - on_time AS late_prediction_count, "
+        "CASE WHEN late > 0 THEN 2 ELSE 1 END AS revisions, CASE WHEN late > 0 THEN 1 ELSE 0 END AS retroactive FROM ("
+        "SELECT p.w, count(*) AS n, count(*) FILTER (p.id % 9 <> 0) AS on_time, count(b.id) AS labelled, max(b.received_at) AS watermark, count(a.id) FILTER (p.id % 9 <> 0) AS early, max(a.received_at) FILTER (p.id % 9 <> 0) AS early_watermark, "
+        "sum((SELECT count(*) FROM lb x WHERE x.id = p.id AND x.received_at >= x.ts + INTERVAL 24 HOUR)) AS late FROM p LEFT JOIN nb b ON b.id = p.id LEFT JOIN na a ON a.id = p.id WHERE p.w >= TIMESTAMP '2024-01-12' AND p.w < TIMESTAMP '2024-01-20' GROUP BY p.w)",
+        LABELS + ", " + _EARLY + f", nb AS ({_NEWEST.format('lb')}), na AS ({_NEWEST.format('le')})",
+    ),
     "alert_history": _q(
         f"SELECT 'drift' AS kind, {_ALERT}, status, {day(_END.format('opened'), 'opened_window')}, {day(_END.format('seen'), 'last_seen_window')} FROM al WHERE seen + INTERVAL 1 DAY > TIMESTAMP '2024-01-15' AND opened + INTERVAL 1 DAY < TIMESTAMP '2024-01-20'",
         NOISY + "," + FOLD,

@@ -320,8 +320,31 @@ def evaluated_range(spark, sf_dir):
     labels = ev.labels(spark, sf_dir)
     for first, last, force in (("2024-01-12", "2024-01-15", False), ("2024-01-12", "2024-01-19", False), ("2024-01-14", "2024-01-15", True)):
         store.evaluate(live, labels, first, last, force=force)
-    r = store.table("drift").join(store.table("windows").select("window_start", "evaluation"), "window_start")
-    return r.select(_day(), "feature_name", *SLICE, _r("statistic"), "n_live", "evaluation")
+    return store.drift().select(_day(), "feature_name", *SLICE, _r("statistic"), "n_live", "evaluation")
+
+
+def evaluation_windows(spark, sf_dir):
+    """Records of the days from 2024-01-12 to 19, evaluated without every ninth event and with the labels of one day;
+    then those events and all labels come, and the windows they touch are computed again, but for labels of the 16th."""
+    base, live = ev.baseline_and_live(spark, sf_dir)
+    model = replace(ev.EVENTS, features=ev.EVENTS.features[:1])
+    frozen = pf.freeze(base, model)
+    profile = ev.only("psi")
+    store = bf.Store(spark, bf.scratch_folder(spark), model, profile, base, frozen, pf.baseline_profile(base, model, simulate=False, frozen=frozen), gated=False, baseline_id=7)
+    every, labels = F.col("prediction_id") % 9 == 0, ev.labels(spark, sf_dir)
+    at = live.select("model_id", "prediction_id", "predicted_at", "window_start")
+    early = labels.join(at, ["model_id", "prediction_id"]).where(F.col("received_at") < F.col("predicted_at") + F.expr("interval 24 hours")).select(*labels.columns)
+    store.evaluate(live.where(~every), early, "2024-01-12", "2024-01-19", as_of="2024-02-10 00:00:00")
+    store.note(live, labels.join(early, ["model_id", "label_id"], "left_anti"), live.where(every))
+    store.recompute(live, labels, as_of="2024-02-11 00:00:00")
+    sixteenth = labels.join(at.where("to_date(window_start) = date'2024-01-16'"), ["model_id", "prediction_id"], "left_semi")
+    store.note(live, sixteenth)
+    r = store.performance().where("metric_name = 'pr_auc' and segment_dimension is null").groupBy("model_id", "window_start").agg(F.count("*").alias("revisions"), F.sum(F.col("is_retroactive").cast("int")).alias("retroactive"))
+    w = store.windows().join(r, ["model_id", "window_start"])
+    return w.select(
+        "model_id", _day(), _day("window_end"), "baseline_id", (F.col("config_hash") == profile.fingerprint()).alias("current_config"), _day("evaluated_at"), _day("performance_computed_at"), _day("label_watermark"),
+        "n_predictions", "n_labels", "performance_stale", "late_prediction_count", "revisions", "retroactive",
+    )
 
 
 def policy_backtest(spark, sf_dir):
@@ -444,7 +467,7 @@ QUERIES = {
     for f in (
         baseline_edges, baseline_categories, baseline_slices, bucket_counts, psi_daily, psi_by_segment, ks_daily, ks_by_segment, cramers_v_daily, jsd_score_daily, floors_closed_form, drift_gated,
         bh_correction, null_floor_table, drift_simulated_floor, perf_daily, perf_regression, perf_documents, perf_user_metric, latest_label, window_labels, revisions_first_latest, performance_timeline,
-        drift_timeline, segment_view, attribution, streaks, suppressed_episodes, suppressed_report, alert_lifecycle, lifecycle_trace, touched_alerts, run_totals, evaluated_range, alert_rollup, alert_history, outbox, policy_backtest, shift_injection, label_noise,
+        drift_timeline, segment_view, attribution, streaks, suppressed_episodes, suppressed_report, alert_lifecycle, lifecycle_trace, touched_alerts, run_totals, evaluated_range, evaluation_windows, alert_rollup, alert_history, outbox, policy_backtest, shift_injection, label_noise,
         run_expectations, data_range, ingest_predictions, ingest_labels, late_counts, stale_windows, unevaluated_windows, validation_errors, trace_export,
     )
 }

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,5 +89,16 @@ class KeyedTable:
 
 def claim(spark: SparkSession, folder: str, name: str) -> bool:
     """Whether the caller is the first to create the file ``name`` in ``folder``; the file system decides between racing callers."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).createNewFile(path)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path.getParent())
+    if files.getUri().getScheme() == "file":  # whose streams are opened by a look first, then a creation
+        return jvm.java.io.File(path.toUri().getPath()).createNewFile()
+    try:
+        files.create(path, False).close()
+    except Py4JJavaError as e:
+        if "AlreadyExists" in str(e.java_exception):
+            return False
+        raise
+    return True
