@@ -11,9 +11,7 @@ claims end with it, or after ``claim_seconds`` if its process died.
 
 from __future__ import annotations
 
-import tempfile
 import time
-import uuid
 from dataclasses import dataclass
 from urllib.parse import quote
 
@@ -36,17 +34,6 @@ RECORD = [
 ]
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder where the session keeps checkpoints; a local one only when driver and executors are one process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{folder.rstrip('/')}/store-{uuid.uuid4().hex}"
-
-
 @dataclass
 class Store:
     """The stored evaluations of models that share a description and a baseline."""

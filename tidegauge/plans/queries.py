@@ -21,6 +21,7 @@ from tidegauge.plans import backfill as bf
 from tidegauge.plans import events as ev
 from tidegauge.plans import reports as rp
 from tidegauge.sources import ingest as ig
+from tidegauge.sources.scratch import scratch_folder
 
 R6 = 6
 RANGE = ("2024-01-09", "2024-02-02")
@@ -316,7 +317,7 @@ def evaluated_range(spark, sf_dir):
     base, live = ev.baseline_and_live(spark, sf_dir)
     model = ev.measured_by(ev.EVENTS, ("psi",))
     frozen = pf.freeze(base, model)
-    store = bf.Store(spark, bf.scratch_folder(spark), model, ev.only("psi"), base, frozen, pf.baseline_profile(base, model, simulate=False, frozen=frozen), gated=False)
+    store = bf.Store(spark, scratch_folder(spark), model, ev.only("psi"), base, frozen, pf.baseline_profile(base, model, simulate=False, frozen=frozen), gated=False)
     labels = ev.labels(spark, sf_dir)
     for first, last, force in (("2024-01-12", "2024-01-15", False), ("2024-01-12", "2024-01-19", False), ("2024-01-14", "2024-01-15", True)):
         store.evaluate(live, labels, first, last, force=force)
@@ -330,7 +331,7 @@ def evaluation_windows(spark, sf_dir):
     model = replace(ev.EVENTS, features=ev.EVENTS.features[:1])
     frozen = pf.freeze(base, model)
     profile = ev.only("psi")
-    store = bf.Store(spark, bf.scratch_folder(spark), model, profile, base, frozen, pf.baseline_profile(base, model, simulate=False, frozen=frozen), gated=False, baseline_id=7)
+    store = bf.Store(spark, scratch_folder(spark), model, profile, base, frozen, pf.baseline_profile(base, model, simulate=False, frozen=frozen), gated=False, baseline_id=7)
     every, labels = F.col("prediction_id") % 9 == 0, ev.labels(spark, sf_dir)
     at = live.select("model_id", "prediction_id", "predicted_at", "window_start")
     early = labels.join(at, ["model_id", "prediction_id"]).where(F.col("received_at") < F.col("predicted_at") + F.expr("interval 24 hours")).select(*labels.columns)
