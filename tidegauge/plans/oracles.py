@@ -132,9 +132,45 @@ mr AS (SELECT w, d, v, metric_name AS m, reason, CASE WHEN reason IS NULL THEN r
 mk AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'not_computable' WHEN x <= 0.25 THEN 'breach' WHEN x >= 0.32 THEN 'clear' ELSE 'dead_zone' END AS k FROM mr),
 mc AS (SELECT *, CASE WHEN k = lag(k) OVER (PARTITION BY m, d, v ORDER BY w) THEN 0 ELSE 1 END AS c FROM mk),
 mu AS (SELECT *, sum(c) OVER (PARTITION BY m, d, v ORDER BY w) AS run FROM mc)"""
+#: Events of drift and performance under both kinds: o opens, e escalates, r resolves.
+KINDS = """
+ea AS (SELECT 'drift' AS src, m, f, d, v, w, k, x, fire, CAST(NULL AS VARCHAR) AS reason FROM cl UNION ALL SELECT 'performance', m, NULL, d, v, w, k, x, 0.25, reason FROM mk),
+eb AS (SELECT *, concat_ws('|', src, m, coalesce(f, ''), coalesce(d, ''), coalesce(v, '')) AS id FROM ea),
+ec AS (SELECT *, CASE WHEN k = lag(k) OVER (PARTITION BY id ORDER BY w) THEN 0 ELSE 1 END AS c FROM eb),
+ed AS (SELECT *, sum(c) OVER (PARTITION BY id ORDER BY w) AS run FROM ec),
+ee AS (SELECT *, CAST(least(6, row_number() OVER (PARTITION BY id, run ORDER BY w)) AS INT) AS streak, row_number() OVER (PARTITION BY id ORDER BY w) AS rn FROM ed),
+eg AS (SELECT *, kind || '|' || id AS kid, kind || '|' || src AS g FROM (
+  SELECT src AS kind, k = 'breach' AND streak >= 2 AS o, k = 'breach' AND streak >= 3 AS e, k = 'clear' AND streak >= 2 AS r, ee.* FROM ee
+  UNION ALL SELECT 'not_computable', k = 'not_computable' AND streak >= 2, FALSE, k <> 'not_computable', ee.* FROM ee))"""
+#: Which runs of a group roll up: the open alerts, run by run.
+ROLLED = """
+gw AS (SELECT g, w, row_number() OVER (PARTITION BY g ORDER BY w) AS n, coalesce(list(kid) FILTER (o), []) AS o_ids, coalesce(list(kid) FILTER (r), []) AS r_ids FROM eg GROUP BY g, w),
+de AS (
+  SELECT g, CAST(0 AS BIGINT) AS n, CAST(NULL AS TIMESTAMP) AS w, CAST([] AS VARCHAR[]) AS ids, CAST([] AS VARCHAR[]) AS fresh, FALSE AS rolled FROM gw WHERE n = 1
+  UNION ALL
+  SELECT g, n, w, CASE WHEN len(fresh) > {cap} THEN kept ELSE list_concat(kept, fresh) END, fresh, len(fresh) > {cap} FROM (
+    SELECT o.g, e.n, e.w, list_filter(o.ids, lambda x: NOT list_contains(e.r_ids, x)) AS kept, list_filter(e.o_ids, lambda x: NOT list_contains(o.ids, x)) AS fresh FROM de o JOIN gw e ON e.g = o.g AND e.n = o.n + 1))"""
+#: The state machine of each kind, where runs that roll up open nothing.
+MACHINE = """
+eh AS ({events}),
+mo AS (
+  SELECT kid, CAST(0 AS BIGINT) AS rn, CAST(NULL AS TIMESTAMP) AS w, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS TIMESTAMP) AS opened, CAST(NULL AS TIMESTAMP) AS esc, CAST(NULL AS TIMESTAMP) AS res, 0 AS br, 0 AS cl, CAST(NULL AS DOUBLE) AS e1, CAST(NULL AS DOUBLE) AS e2, CAST(NULL AS VARCHAR) AS why FROM eh WHERE rn = 1
+  UNION ALL
+  SELECT p.kid, e.rn, e.w, CASE WHEN p.status IS NULL OR p.status = 'resolved' THEN CASE WHEN e.o THEN 'open' END WHEN e.r THEN 'resolved' WHEN e.e THEN 'escalated' ELSE p.status END,
+    CASE WHEN p.status IS NULL OR p.status = 'resolved' THEN CASE WHEN e.o THEN e.w END ELSE p.opened END,
+    CASE WHEN p.status IS NULL OR p.status = 'resolved' THEN NULL WHEN e.e AND p.status = 'open' THEN e.w ELSE p.esc END,
+    CASE WHEN p.status IN ('open', 'escalated') AND e.r THEN e.w END,
+    CASE WHEN e.kind = 'not_computable' THEN 0 WHEN e.k = 'breach' THEN e.streak WHEN e.k IN ('clear', 'dead_zone') THEN 0 ELSE p.br END,
+    CASE WHEN e.kind = 'not_computable' THEN 0 WHEN e.k = 'clear' THEN e.streak WHEN e.k IN ('breach', 'dead_zone') THEN 0 ELSE p.cl END,
+    CASE WHEN p.status IS NULL OR p.status = 'resolved' THEN e.x ELSE p.e1 END,
+    CASE WHEN p.status IS NULL OR p.status = 'resolved' THEN NULL WHEN e.e AND p.status = 'open' THEN e.x ELSE p.e2 END,
+    CASE WHEN p.status IS NULL OR p.status = 'resolved' THEN e.reason ELSE p.why END
+  FROM mo p JOIN eh e ON e.kid = p.kid AND e.rn = p.rn + 1),
+ma AS (SELECT mo.*, mo.w AS seen, kind, src, m, f, d, v, CASE WHEN kind <> 'not_computable' THEN fire END AS fire FROM mo JOIN (SELECT DISTINCT kid, kind, src, m, f, d, v, fire FROM eh) USING (kid) WHERE status IS NOT NULL QUALIFY row_number() OVER (PARTITION BY mo.kid, opened ORDER BY rn DESC) = 1)"""
 #: Windows are named by their end: the day after their start.
 _END = "{0} + INTERVAL 1 DAY"
 
+_BOTH = LABELS + ", " + _EARLY + "," + _metrics("1", "le") + "," + _metrics("2", "lb") + "," + NOISY + "," + METRIC_RUNS
 _TL = f"CASE WHEN s.w IS NULL THEN 'missing' WHEN g.f IS NULL THEN 'not_configured' WHEN g.reason IS NULL THEN 'computed' ELSE 'not_computable' END"
 
 ORACLES = {
@@ -231,6 +267,18 @@ SELECT d AS segment_dimension, v AS segment_value, unnest(['pr_auc', 'roc_auc',
         f"SELECT 'drift' AS kind, {_ALERT}, status, {day(_END.format('opened'), 'opened_window')}, {day(_END.format('seen'), 'last_seen_window')}, {day(_END.format('esc'), 'escalated_window')}, {day(_END.format('res'), 'resolved_window')}, br AS breaching, cl AS clear, round(e1, 6) AS evidence_statistic, fire AS evidence_threshold, round(e2, 6) AS escalation_statistic FROM al",
         NOISY + "," + FOLD,
     ),
+    "alert_kinds": _q(
+        f"SELECT kind, src AS source, {_ALERT}, status, {day(_END.format('opened'), 'opened_window')}, {day(_END.format('seen'), 'last_seen_window')}, {day(_END.format('esc'), 'escalated_window')}, {day(_END.format('res'), 'resolved_window')}, br AS breaching, cl AS clear, "
+        "round(e1, 6) AS evidence_statistic, fire AS evidence_threshold, why AS evidence_reason, round(e2, 6) AS escalation_statistic FROM ma",
+        _BOTH + "," + KINDS + "," + MACHINE.format(events="SELECT * FROM eg"),
+    ),
+    "rolled_up_alerts": _q(
+        f"SELECT kind, src AS source, {_ALERT}, status, {day(_END.format('opened'), 'opened_window')}, {day(_END.format('seen'), 'last_seen_window')}, {day(_END.format('esc'), 'escalated_window')}, {day(_END.format('res'), 'resolved_window')}, FALSE AS is_aggregate, CAST(NULL AS INT) AS aggregated_signal_count, CAST(NULL AS VARCHAR) AS signals, why AS evidence_reason FROM ma "
+        f"UNION ALL SELECT split_part(g, '|', 1), split_part(g, '|', 2), 'aggregate-' || split_part(g, '|', 1), NULL, NULL, NULL, CASE WHEN res IS NULL THEN 'open' ELSE 'resolved' END, {day(_END.format('opened'), 'opened_window')}, {day(_END.format('seen'), 'last_seen_window')}, NULL, {day(_END.format('res'), 'resolved_window')}, TRUE, CAST(len(last) AS INT), array_to_string(list_sort(last), ','), "
+        "len(first) || ' signals opened in one evaluation run, rolled up (cap=2)' FROM (SELECT g, series, min(w) FILTER (rolled) AS opened, max(w) FILTER (rolled) AS seen, max(w) FILTER (NOT rolled) AS res, arg_min(fresh, n) FILTER (rolled) AS first, arg_max(fresh, n) FILTER (rolled) AS last "
+        "FROM (SELECT *, coalesce(sum(CAST(NOT rolled AS INT)) OVER (PARTITION BY g ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS series FROM de WHERE n > 0) GROUP BY g, series HAVING bool_or(rolled))",
+        _BOTH + "," + KINDS + "," + ROLLED.format(cap=2) + "," + MACHINE.format(events="SELECT eg.* REPLACE (eg.o AND NOT coalesce(de.rolled, FALSE) AS o) FROM eg LEFT JOIN de ON de.g = eg.g AND de.w = eg.w"),
+    ),
     "lifecycle_trace": _q(
         f"SELECT {_ALERT}, {day(_END.format('w'), 'window_end')}, k AS class, CAST(streak AS INT) AS streak, CASE WHEN status IN ('open', 'escalated') THEN status WHEN k = 'breach' THEN 'counting' ELSE 'quiet' END AS phase FROM fo JOIN nm USING (id) WHERE rn > 0",
         NOISY + "," + FOLD,

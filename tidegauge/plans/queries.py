@@ -21,7 +21,7 @@ from tidegauge.plans import backfill as bf
 from tidegauge.plans import events as ev
 from tidegauge.plans import reports as rp
 from tidegauge.sources import ingest as ig
-from tidegauge.sources.scratch import scratch_folder
+from tidegauge.sources.scratch import scratch_folder, written
 
 R6 = 6
 RANGE = ("2024-01-09", "2024-02-02")
@@ -227,8 +227,7 @@ TEST = ["test_method", "feature_name", *SLICE]
 def _noisy(spark, sf_dir, *methods):
     """Ungated results of all slices under the noisy profile: of all methods, or of some."""
     r = ev.drift_of(spark, sf_dir, NOISY, gated=False, methods=methods or None)
-    # One row a window and signal, used several times by most callers: kept, so that events are read once.
-    return r.withColumn("statistic", F.round("statistic", R6)).persist()
+    return r.withColumn("statistic", F.round("statistic", R6))
 
 
 def streaks(spark, sf_dir):
@@ -284,10 +283,28 @@ def touched_alerts(spark, sf_dir):
 
 def run_totals(spark, sf_dir):
     _, live = ev.baseline_and_live(spark, sf_dir)
-    r = _noisy(spark, sf_dir)
+    r = written(_noisy(spark, sf_dir), "noisy")  # used by several of the items
     return rp.run_totals(live.select("model_id", "window_start").distinct(), r, _performance(spark, sf_dir), al.alert_lifecycle(al.alert_events(r, None, NOISY), NOISY))
 
 
+def alert_kinds(spark, sf_dir):
+    """Alerts of all three kinds, of drift and of the newest revisions of performance."""
+    a = al.alert_lifecycle(al.alert_events(_noisy(spark, sf_dir), _noisy_metrics(spark, sf_dir), NOISY), NOISY)
+    return a.select("kind", "source", *ALERT, "status", _day("opened_window"), _day("last_seen_window"), _day("escalated_window"), _day("resolved_window"),
+                    "breaching", "clear", _r("evidence_statistic"), "evidence_threshold", "evidence_reason", _r("escalation_statistic"))
+
+
+def rolled_up_alerts(spark, sf_dir):
+    """The same signals with a cap of two opens a run, so that runs roll up."""
+    p = replace(NOISY, max_alerts_per_run=2)
+    a = al.alert_lifecycle(al.alert_events(_noisy(spark, sf_dir), _noisy_metrics(spark, sf_dir), p), p)
+    name = lambda s: F.concat_ws("|", "kind", "source", s["signal_name"], *[F.coalesce(s[c], F.lit("")) for c in ("feature_name", *SLICE)])
+    return a.select(
+        "kind", "source", *ALERT, "status", _day("opened_window"), _day("last_seen_window"), _day("escalated_window"), _day("resolved_window"), "is_aggregate", "aggregated_signal_count",
+        F.array_join(F.array_sort(F.transform("aggregated_signals", name)), ",").alias("signals"), "evidence_reason",
+    )
+
+
 def alert_rollup(spark, sf_dir):
     """All signals of events with a cap of three opens a run, so that runs roll up."""
     p = replace(NOISY, max_alerts_per_run=3)
@@ -372,7 +389,7 @@ def label_noise(spark, sf_dir):
 
 
 def run_expectations(spark, sf_dir):
-    r = _noisy(spark, sf_dir)
+    r = written(_noisy(spark, sf_dir), "noisy")  # used by several of the checks
     _, live = ev.baseline_and_live(spark, sf_dir)
     a = al.alert_lifecycle(al.alert_events(r, None, NOISY), NOISY)
     expected = spark.createDataFrame([("psi", "value"), ("psi", "k")], "s string, f string")
@@ -468,7 +485,7 @@ QUERIES = {
     for f in (
         baseline_edges, baseline_categories, baseline_slices, bucket_counts, psi_daily, psi_by_segment, ks_daily, ks_by_segment, cramers_v_daily, jsd_score_daily, floors_closed_form, drift_gated,
         bh_correction, null_floor_table, drift_simulated_floor, perf_daily, perf_regression, perf_documents, perf_user_metric, latest_label, window_labels, revisions_first_latest, performance_timeline,
-        drift_timeline, segment_view, attribution, streaks, suppressed_episodes, suppressed_report, alert_lifecycle, lifecycle_trace, touched_alerts, run_totals, evaluated_range, evaluation_windows, alert_rollup, alert_history, outbox, policy_backtest, shift_injection, label_noise,
+        drift_timeline, segment_view, attribution, streaks, suppressed_episodes, suppressed_report, alert_lifecycle, lifecycle_trace, touched_alerts, run_totals, evaluated_range, evaluation_windows, alert_kinds, rolled_up_alerts, alert_rollup, alert_history, outbox, policy_backtest, shift_injection, label_noise,
         run_expectations, data_range, ingest_predictions, ingest_labels, late_counts, stale_windows, unevaluated_windows, validation_errors, trace_export,
     )
 }
