@@ -63,6 +63,45 @@ def test_bucket_of(spark):
     assert got == [0, 1, 1, 2, 2, 3, 3]
 
 
+def test_many_categories_stay_rows(spark):
+    """A million categories are numbered and looked up by a join; nothing of them comes to the driver."""
+    base = spark.range(1_000_000).select(F.format_string("c%07d", "id").alias("c"))
+    model = Model((Feature("c", "categorical"),), score=None)
+    counted = pf.value_counts(base, model, [])
+    bins = pf.freeze(base, model, counted=counted)
+    assert bins.count() == 1_000_000 and pf.shapes(bins).first()["buckets"] == 1_000_001
+    live = spark.createDataFrame([("c0000000",), ("c0999999",), ("new",), ("c0500000",)], "c string")
+    found = {r["cat"]: r["bucket"] for r in pf.bucketed(pf.value_counts(live, model, []).where("cat is not null"), bins).collect()}
+    assert found == {"c0000000": 0, "c0999999": 999_999, "c0500000": 500_000, "new": 1_000_000}
+    assert sp.chi2_ppf(0.975, 1_000_000) == pytest.approx(1_002_773.3, abs=1.0) and sp.chi2_sf(999.9, 1_000) == pytest.approx(0.4958, abs=1e-3)
+
+
+def test_drift_reads_each_side_once(spark, tmp_path, monkeypatch):
+    """Of the tables that are written and of the result, two read the events: one the baseline, one the live rows."""
+    from tidegauge.operators import profile
+    from tidegauge.plans import events as ev
+    from tidegauge.sources import scratch
+
+    spark.range(4_000).select(
+        F.col("id").alias("event_id"), F.expr("timestamp_ntz'2024-01-05' + make_dt_interval(0, 0, cast(id * 5 as int))").alias("ts"), (F.col("id") % 97).cast("double").alias("value"), F.lit('{"k": 1}').alias("props"),
+        F.col("id").alias("user_id"), F.lit("click").alias("event_type"),
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    reads = []
+
+    def count(df):
+        reads.append(df._jdf.queryExecution().optimizedPlan().toString().count("event_id") > 0 or "props" in df._jdf.queryExecution().optimizedPlan().toString())
+
+    def written(df, name):
+        count(df)
+        return scratch.written(df, name)
+
+    monkeypatch.setattr(profile, "written", written)
+    monkeypatch.setattr(dr, "written", written)
+    r = ev.drift_of(spark, str(tmp_path), ev.only("psi", "ks"), gated=False)
+    count(r)
+    assert r.count() > 0 and sum(reads) == 2
+
+
 def test_psi_and_jsd(spark):
     want = 2 * 0.1 * math.log(2) + 2 * -0.1 * math.log(0.75)
     assert scalar(spark, col.psi(arr([1, 4, 4, 1]), arr([2, 3, 3, 2]))) == pytest.approx(want)

@@ -27,12 +27,6 @@ def fine_bucket(value: Column, edges: Column, parts: int = 16) -> Column:
     return (b * parts + sub).cast("int")
 
 
-def category_of(value: Column, categories: Column) -> Column:
-    """Position of ``value`` in the frozen categories; their number for a category they lack."""
-    at = F.array_position(categories, value)
-    return F.when(at > 0, (at - 1).cast("int")).otherwise(F.size(categories))
-
-
 def dense(counts: Column, buckets: Column) -> Column:
     """A map bucket -> count as an array over all buckets."""
     return F.transform(F.sequence(F.lit(0), buckets - 1), lambda i: F.coalesce(F.element_at(counts, i), F.lit(0).cast("long")))

@@ -1,6 +1,8 @@
 """Drift of every window, slice and feature against a frozen baseline profile.
 
-All windows, models and segments are one job.  A signal that cannot be
+All windows, models and segments are one job.  Live rows are read once, into
+counts by window, slice, feature and bucket, and by value where KS asks for it;
+sizes and every statistic come from these counts.  A signal that cannot be
 computed is a row with a reason.
 """
 
@@ -15,8 +17,8 @@ from tidegauge.config import Model, Profile, signals
 from tidegauge.functions import columns as col
 from tidegauge.functions.special import chi2_tail, kolmogorov_ppf, kolmogorov_tail
 from tidegauge.operators.correction import benjamini_hochberg
-from tidegauge.operators.profile import SLICE, bucketed, ceiling_at, slice_counts
-from tidegauge.operators.shape import long_features, slices
+from tidegauge.operators.profile import ROWS, SLICE, bucketed, ceiling_at, value_counts
+from tidegauge.sources.scratch import written
 
 KEYS = ["model_id", "window_start", "window_end"]
 #: Reasons, here and in the texts of `_judged` and `_refusal`.
@@ -59,75 +61,80 @@ def _of_slice(left: DataFrame, right: DataFrame, on: list[str], how: str = "left
     return out.drop(*[f"_{c}" for c in on])
 
 
-def ks_statistic(live: DataFrame, baseline: DataFrame, bins: DataFrame, model: Model) -> DataFrame:
-    """``KEYS, slice, feature_name, ks``: exact two-sample D of continuous features.
+def parted(counts: DataFrame, bins: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
+    """``keys, segment, feature_name, bucket, part, num, n`` of counted values.
 
-    D is reached at a live value or just below it, so the baseline's
-    distribution is needed at live values only.  Values are counted once per
-    slice before any sort; running counts are taken within parts of the frozen
-    buckets, the open ones at both ends included, and offset by the parts below,
-    so no sort holds a whole feature, wherever live values drift to.
+    Values of the features in ``names`` are kept, with the part of their bucket;
+    of others only the bucket is.
     """
-    names = [f.name for f in model.features if f.dtype == "continuous"]
+    kept = F.col("feature_name").isin(names)
+    part = F.when(kept, col.fine_bucket(F.col("num"), F.col("edges")))
+    rows = bucketed(counts, bins).select(*keys, *SLICE, "feature_name", "bucket", part.alias("part"), F.when(kept, F.col("num")).alias("num"), "n")
+    return rows.groupBy(*keys, *SLICE, "feature_name", "bucket", "part", "num").agg(F.sum("n").alias("n"))
+
 
-    def counted(df, keys):
-        rows = long_features(slices(df, model), model, [*keys, *SLICE]).where(F.col("feature_name").isin(names))
-        rows = rows.where("segment_dimension is null or segment_dimension <> feature_name")
-        fine = col.fine_bucket(F.col("num"), F.col("edges"))
-        return bucketed(rows, bins).withColumn("bucket", fine).groupBy(*keys, *SLICE, "feature_name", "bucket", "num").agg(F.count("*").alias("n"))
+def ks_statistic(live: DataFrame, baseline: DataFrame) -> DataFrame:
+    """``KEYS, slice, feature_name, ks``: exact two-sample D, from two tables of :func:`parted` counts.
 
+    D is reached at a live value or just below it, so the baseline's
+    distribution is needed at live values only.  Running counts are taken within
+    parts of the frozen buckets, the open ones at both ends included, and offset by
+    the parts below, so no sort holds a whole feature, wherever live values drift to.
+    """
     sig = [*SLICE, "feature_name"]
 
     def running(df, keys, name):
-        inside = Window.partitionBy(*keys, *sig, "bucket").orderBy("num")
-        per = df.groupBy(*keys, *sig, "bucket").agg(F.sum("n").alias("_n"))
-        below = Window.partitionBy(*keys, *sig).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        inside = Window.partitionBy(*keys, *sig, "part").orderBy("num")
+        per = df.groupBy(*keys, *sig, "part").agg(F.sum("n").alias("_n"))
+        below = Window.partitionBy(*keys, *sig).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         whole = Window.partitionBy(*keys, *sig)
-        per = per.select(*keys, *sig, "bucket", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_below"), F.sum("_n").over(whole).alias(f"total_{name}"))
+        per = per.select(*keys, *sig, "part", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_below"), F.sum("_n").over(whole).alias(f"total_{name}"))
         out = df.withColumn(f"upto_{name}", F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        out = _of_slice(out, per, [*keys, *sig, "bucket"])
+        out = _of_slice(out, per, [*keys, *sig, "part"])
         return out.withColumn(f"upto_{name}", F.col(f"upto_{name}") + F.col("_below")).drop("_below")
 
-    lv = running(counted(live, KEYS), KEYS, "l")
+    values = lambda df, *keys: df.where("part is not null").select(*keys, *sig, "part", "num", "n")
+    lv = running(values(live, *KEYS), KEYS, "l")
     # The baseline's distribution at each live value: its running count, carried to the values between.
-    bl = counted(baseline, [])
-    both = bl.select(*sig, "bucket", "num", F.col("n").alias("nb")).unionByName(lv.select(*sig, "bucket", "num").distinct().withColumn("nb", F.lit(0).cast("long")))
-    both = both.groupBy(*sig, "bucket", "num").agg(F.sum("nb").alias("n"))
-    at = running(both, [], "b").select(*sig, "bucket", "num", "upto_b", "total_b", F.col("n").alias("at_b"))
-    j = _of_slice(lv, at, [*sig, "bucket", "num"], "inner")
+    both = values(baseline).select(*sig, "part", "num", F.col("n").alias("nb")).unionByName(values(live).select(*sig, "part", "num").distinct().withColumn("nb", F.lit(0).cast("long")))
+    both = both.groupBy(*sig, "part", "num").agg(F.sum("nb").alias("n"))
+    at = running(both, [], "b").select(*sig, "part", "num", "upto_b", "total_b", F.col("n").alias("at_b"))
+    j = _of_slice(lv, at, [*sig, "part", "num"], "inner")
     fb, fl = F.col("upto_b") / F.col("total_b"), F.col("upto_l") / F.col("total_l")
     fb0, fl0 = (F.col("upto_b") - F.col("at_b")) / F.col("total_b"), (F.col("upto_l") - F.col("n")) / F.col("total_l")
     d = F.greatest(F.abs(fb - fl), F.abs(fb0 - fl0))
     return j.where("total_b > 0").groupBy(*KEYS, *sig).agg(F.max(d).alias("ks"))
 
 
-def window_sizes(live: DataFrame) -> DataFrame:
-    return live.groupBy(*KEYS).agg(F.count("*").alias("n_predictions"))
-
-
-def drift(live: DataFrame, baseline: DataFrame, profiled: DataFrame, bins: DataFrame, model: Model, profile: Profile, gated: bool = True) -> DataFrame:
+def drift(live: DataFrame, baseline: DataFrame, profiled: DataFrame, bins: DataFrame, model: Model, profile: Profile, gated: bool = True, counted: DataFrame | None = None) -> DataFrame:
     """One row per window and configured signal (columns ``RESULT``).
 
     ``live`` carries ``KEYS`` and the declared columns; ``bins`` is the output
-    of ``frozen_bins`` and ``profiled`` that of ``baseline_profile``.  With
-    ``gated=False`` statistics are given however small the samples.
+    of ``frozen_bins``, ``profiled`` that of ``baseline_profile`` and ``counted``
+    the baseline's ``value_counts``, which are taken anew where they are not given.
+    With ``gated=False`` statistics are given however small the samples.
     """
     spark = live.sparkSession
     tests = spark.createDataFrame(signals(model, profile), "feature_name string, test_method string")
-    sizes = slices(live, model).groupBy(*KEYS, *SLICE).agg(F.count("*").alias("n_slice"))
-    whole = window_sizes(live)
-    base_sizes = slices(baseline, model).groupBy(*SLICE).agg(F.count("*").alias("n_base_slice"))
+    names = [f.name for f in model.features if f.dtype == "continuous"] if "ks" in profile.continuous else []
+    counts = written(parted(value_counts(live, model, KEYS), bins, names, KEYS), "live-counts")
+    counted = value_counts(baseline, model, []) if counted is None else counted
+    of_rows = F.col("feature_name") == ROWS
+    sizes = counts.where(of_rows).select(*KEYS, *SLICE, F.col("n").alias("n_slice"))
+    whole = sizes.where("segment_dimension is null").select(*KEYS, F.col("n_slice").alias("n_predictions"))
+    base_sizes = counted.where(of_rows).select(*SLICE, F.col("n").alias("n_base_slice"))
     grid = sizes.join(whole, KEYS).join(F.broadcast(tests))  # one row per configured test
     grid = grid.where("segment_dimension is null or segment_dimension <> feature_name")
     if gated:
         grid = grid.where((F.col("n_predictions") >= profile.min_window_size) | F.col("segment_dimension").isNull())
     on = ["feature_name", *SLICE]
-    counted = slice_counts(live, model, bins, KEYS).select(*KEYS, *on, F.col("counts").alias("live"), F.col("n").alias("n_l"))
+    per_bucket = counts.where(~of_rows).groupBy(*KEYS, *on, "bucket").agg(F.sum("n").alias("n"))
+    per_slice = per_bucket.groupBy(*KEYS, *on).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("live"), F.sum("n").alias("n_l"))
     r = _of_slice(grid, base_sizes, SLICE)
     r = _of_slice(r, profiled.withColumnRenamed("counts", "base"), on)
-    r = _of_slice(r, counted, [*KEYS, *on])
-    if "ks" in profile.continuous:
-        r = _of_slice(r, ks_statistic(live, baseline, bins, model), [*KEYS, *on])
+    r = _of_slice(r, per_slice, [*KEYS, *on])
+    if names:
+        r = _of_slice(r, ks_statistic(counts, parted(counted.where(F.col("feature_name").isin(names)), bins, names, [])), [*KEYS, *on])
     else:
         r = r.withColumn("ks", F.lit(None).cast("double"))
     live_counts = F.when(F.col("live").isNotNull(), col.dense(F.col("live"), F.col("buckets")))

@@ -1,4 +1,9 @@
-"""Baseline profiling: frozen bins, categories, counts and null floors, once per baseline."""
+"""Baseline profiling: frozen bins, categories, counts and null floors, once per baseline.
+
+A baseline is read once: its values are counted by slice and feature
+(:func:`value_counts`), and quantiles, categories, bucket counts, sizes and the
+distribution behind KS all come from these counts.
+"""
 
 from __future__ import annotations
 
@@ -10,35 +15,55 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.config import SCORE, Model
-from tidegauge.functions.columns import EPSILON, bucket_of, category_of, dense
+from tidegauge.functions.columns import EPSILON, bucket_of, dense
 from tidegauge.functions.special import chi2_quantile
 from tidegauge.operators.shape import long_features, slices
+from tidegauge.sources.scratch import written
 
 SLICE = ["segment_dimension", "segment_value"]
 BINS = 10
+#: Stands for the rows of a slice among its features.
+ROWS = "__rows__"
 #: Live sizes at which the null distribution is simulated.
 NULL_SIZES = [10, 20, 30, 50, 75, 100, 150, 200, 300, 500, 750, 1000, 1500, 2000, 3000, 5000]
 NULL_DRAWS = 200
 
 
+def value_counts(df: DataFrame, model: Model, keys: list[str]) -> DataFrame:
+    """``keys, segment, feature_name, num, cat, n``: the values of each slice, and its rows under the name ``ROWS``.
+
+    A feature is left out in its own dimension.  One pass over ``df``; counts are
+    added up before the shuffle.
+    """
+    by = [*keys, *SLICE]
+    rows = long_features(slices(df, model), model, by, ROWS).where("segment_dimension is null or segment_dimension <> feature_name")
+    return rows.groupBy(*by, "feature_name", "num", "cat").agg(F.count("*").alias("n"))
+
+
+def counted_once(baseline: DataFrame, model: Model) -> DataFrame:
+    """The baseline's :func:`value_counts`, written down: what several plans start from."""
+    return written(value_counts(baseline, model, []), "baseline-counts")
+
+
 def _quantiles(rows: DataFrame, bins: int, approximate: int | None) -> DataFrame:
     """``feature_name, q``: the ``bins + 1`` evenly spaced quantiles of each feature, minimum and maximum included.
 
-    Exact ones interpolate between order statistics.  Values are counted before
-    they are ranked, and ranked inside ranges that a sketch cuts, so no task
-    holds or sorts a whole feature.
+    ``rows`` are counted values.  Exact quantiles interpolate between order
+    statistics; values are ranked inside ranges that a sketch of the distinct ones
+    cuts, so no task sorts a whole feature.  Approximate ones are those of the
+    ranges' borders, of the given accuracy.
     """
     rows = rows.where("num is not null")
-    if approximate:
-        return rows.groupBy("feature_name").agg(F.percentile_approx("num", F.array(*[F.lit(i / bins) for i in range(bins + 1)]), approximate).alias("q"))
-    cuts = rows.groupBy("feature_name").agg(F.percentile_approx("num", F.array(*[F.lit(i / 64) for i in range(1, 64)]), 1_000).alias("cuts"))
-    counted = rows.groupBy("feature_name", "num").agg(F.count("*").alias("n")).join(F.broadcast(cuts), "feature_name")
+    parts = min(max(64, 4 * bins), approximate or 64) if approximate else 64
+    cuts = rows.groupBy("feature_name").agg(F.percentile_approx("num", F.array(*[F.lit(i / parts) for i in range(1, parts)]), max(1_000, approximate or 0)).alias("cuts"))
+    # One row a feature, as many as are declared.
+    counted = rows.select("feature_name", "num", "n").join(F.broadcast(cuts), "feature_name")
     counted = counted.select("feature_name", "num", "n", F.size(F.filter("cuts", lambda c: c <= F.col("num"))).alias("part"))
     whole = Window.partitionBy("feature_name")
     below = F.coalesce(F.sum("m").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = counted.groupBy("feature_name", "part").agg(F.sum("n").alias("m")).select("feature_name", "part", below.alias("below"), F.sum("m").over(whole).alias("total"))
+    sums = counted.groupBy("feature_name", "part").agg(F.sum("n").alias("m")).select("feature_name", "part", below.alias("below"), F.sum("m").over(whole).alias("total"))
     upto = F.sum("n").over(Window.partitionBy("feature_name", "part").orderBy("num").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumn("upto", upto).join(F.broadcast(parts), ["feature_name", "part"])  # 64 rows a feature
+    ranked = counted.withColumn("upto", upto).join(F.broadcast(sums), ["feature_name", "part"])  # as many rows a feature as ranges
     ranked = ranked.withColumn("stop", F.col("upto") + F.col("below")).withColumn("start", F.col("stop") - F.col("n"))
     wanted = []
     for i in range(bins + 1):
@@ -52,48 +77,61 @@ def _quantiles(rows: DataFrame, bins: int, approximate: int | None) -> DataFrame
     return found.groupBy("feature_name").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("q"))
 
 
-def frozen_bins(baseline: DataFrame, model: Model, bins: int = BINS, approximate: int | None = None) -> DataFrame:
-    """``feature_name, edges, categories``: exact interpolated quantiles, or sketched ones of the given accuracy.
+def frozen_bins(baseline: DataFrame, model: Model, bins: int = BINS, approximate: int | None = None, counted: DataFrame | None = None) -> DataFrame:
+    """``feature_name, dtype, edges, category, position, n_categories``: a row per continuous feature and per category.
 
-    Edges rise strictly, except for a constant feature, which has its value
-    twice.  All-null features have empty edges.  Categories are frozen as a
-    list, so a feature's distinct categories are expected to fit in one row.
+    Edges are interpolated quantiles and rise strictly, except for a constant
+    feature, which has its value twice; an all-null feature has none.  Categories
+    are numbered in ascending order; a feature without any has one row with a null
+    category.  They stay rows, so there may be any number.
     """
-    rows = long_features(baseline, model, [])
+    counted = value_counts(baseline, model, []) if counted is None else counted
+    rows = counted.where(F.col("segment_dimension").isNull() & (F.col("feature_name") != ROWS))
     q = _quantiles(rows, bins, approximate)
-    categories = rows.where("cat is not null").select("feature_name", "cat").distinct().groupBy("feature_name").agg(F.sort_array(F.collect_list("cat")).alias("categories"))
     lo, hi = F.element_at("q", 1), F.element_at("q", -1)
     edges = q.select("feature_name", F.when(lo == hi, F.array(lo, hi)).otherwise(F.array_distinct("q")).alias("edges"))
     names = [(f.name, f.dtype) for f in model.features] + ([(SCORE, "continuous")] if model.score else [])
-    declared = baseline.sparkSession.createDataFrame(names, "feature_name string, dtype string")
-    return declared.join(F.broadcast(edges), "feature_name", "left").join(F.broadcast(categories), "feature_name", "left").select(
-        "feature_name", "dtype", F.coalesce("edges", F.array().cast("array<double>")).alias("edges"), F.coalesce("categories", F.array().cast("array<string>")).alias("categories")
+    declared = F.broadcast(baseline.sparkSession.createDataFrame(names, "feature_name string, dtype string"))
+    categories = rows.where("cat is not null").select("feature_name", F.col("cat").alias("category"))
+    order = Window.partitionBy("feature_name")
+    categories = categories.withColumns({"position": F.row_number().over(order.orderBy("category")) - 1, "n_categories": F.count("*").over(order)})
+    none = F.array().cast("array<double>")
+    numbers = declared.where("dtype = 'continuous'").join(F.broadcast(edges), "feature_name", "left").select(
+        "feature_name", "dtype", F.coalesce("edges", none).alias("edges"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("int").alias("position"), F.lit(0).cast("long").alias("n_categories")
     )
+    words = declared.where("dtype = 'categorical'").join(categories, "feature_name", "left").select("feature_name", "dtype", none.alias("edges"), "category", "position", F.coalesce("n_categories", F.lit(0)).cast("long").alias("n_categories"))
+    return numbers.unionByName(words)
 
 
-def freeze(baseline: DataFrame, model: Model, bins: int = BINS, approximate: int | None = None) -> DataFrame:
-    """:func:`frozen_bins` computed now, once for all plans that use them: one row a declared feature."""
-    found = frozen_bins(baseline, model, bins, approximate)
-    return baseline.sparkSession.createDataFrame(found.collect(), found.schema)
+def freeze(baseline: DataFrame, model: Model, bins: int = BINS, approximate: int | None = None, counted: DataFrame | None = None) -> DataFrame:
+    """:func:`frozen_bins` computed now, as a table for all plans that use them."""
+    return written(frozen_bins(baseline, model, bins, approximate, counted), "bins")
 
 
-def bucketed(rows: DataFrame, bins: DataFrame) -> DataFrame:
-    """Adds ``bucket`` and the number of ``buckets``; ``bins`` has a row per declared feature, so it is broadcast."""
-    continuous = F.col("dtype") == "continuous"
-    b = F.when(continuous, bucket_of(F.col("num"), F.col("edges"))).otherwise(category_of(F.col("cat"), F.col("categories")))
-    return rows.join(F.broadcast(bins), "feature_name").withColumn("bucket", b)
+def shapes(bins: DataFrame) -> DataFrame:
+    """``feature_name, dtype, edges, n_categories, buckets``: one row a declared feature, fit to be broadcast."""
+    s = bins.groupBy("feature_name", "dtype").agg(F.first("edges").alias("edges"), F.max("n_categories").alias("n_categories"))
+    return s.withColumn("buckets", (F.when(F.col("dtype") == "continuous", F.size("edges")).otherwise(F.col("n_categories")) + 1).cast("int"))
 
 
-def slice_counts(df: DataFrame, model: Model, bins: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, segment, feature_name, counts (map), n``: bucket counts of each slice, without a feature in its own dimension.
+def bucketed(counts: DataFrame, bins: DataFrame) -> DataFrame:
+    """Counted values with their ``bucket``, and the feature's ``edges``; rows under ``ROWS`` have none.
 
-    Counts are added up before the shuffle, so what moves is one row per
-    slice, feature and bucket.
+    A category is looked up by a hash join on (feature, category), which Spark
+    broadcasts when the dictionary's bytes allow; one that it lacks falls in the last bucket.
     """
-    by = [*keys, *SLICE]
-    rows = long_features(slices(df, model), model, by).where("segment_dimension is null or segment_dimension <> feature_name")
-    per_bucket = bucketed(rows, bins).groupBy(*by, "feature_name", "bucket").agg(F.count("*").alias("n"))
-    return per_bucket.groupBy(*by, "feature_name").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("counts"), F.sum("n").alias("n"))
+    known = bins.where("category is not null").select("feature_name", F.col("category").alias("cat"), "position")
+    j = counts.join(F.broadcast(shapes(bins)), "feature_name", "left").join(known, ["feature_name", "cat"], "left")
+    bucket = F.when(F.col("dtype") == "continuous", bucket_of(F.col("num"), F.col("edges"))).otherwise(F.coalesce("position", F.col("n_categories").cast("int")))
+    return j.withColumn("bucket", bucket).drop("position", "n_categories")
+
+
+def slice_counts(df: DataFrame, model: Model, bins: DataFrame, keys: list[str], counted: DataFrame | None = None) -> DataFrame:
+    """``keys, segment, feature_name, counts (map), n``: bucket counts of each slice, without a feature in its own dimension."""
+    by = [*keys, *SLICE, "feature_name"]
+    counted = value_counts(df, model, keys) if counted is None else counted
+    per_bucket = bucketed(counted.where(F.col("feature_name") != ROWS), bins).groupBy(*by, "bucket").agg(F.sum("n").alias("n"))
+    return per_bucket.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("counts"), F.sum("n").alias("n"))
 
 
 def simulate_null(counts: np.ndarray, sizes: list[int], draws: int, seed: int, statistic: str) -> tuple[list[float], list[float]]:
@@ -133,17 +171,18 @@ def null_tables(profiled: DataFrame, sizes: list[int] | None = None, draws: int
     return rows.groupBy(*SLICE, "feature_name").applyInPandas(run, _NULLS)
 
 
-def baseline_profile(baseline: DataFrame, model: Model, bins: int = BINS, simulate: bool = True, approximate: int | None = None, frozen: DataFrame | None = None) -> DataFrame:
+def baseline_profile(
+    baseline: DataFrame, model: Model, bins: int = BINS, simulate: bool = True, approximate: int | None = None, frozen: DataFrame | None = None, counted: DataFrame | None = None
+) -> DataFrame:
     """One row per (feature, slice): bins, dense counts, rows, chi-square quantile and (optionally) the null table.
 
     Segment slices use the bins of the whole baseline.
     """
-    frozen = frozen_bins(baseline, model, bins, approximate) if frozen is None else frozen
-    counted = slice_counts(baseline, model, frozen, [])
-    buckets = F.when(F.col("dtype") == "continuous", F.size("edges") + 1).otherwise(F.size("categories") + 1)
-    out = counted.join(F.broadcast(frozen), "feature_name").withColumn("buckets", buckets)
+    counted = value_counts(baseline, model, []) if counted is None else counted
+    frozen = frozen_bins(baseline, model, bins, approximate, counted) if frozen is None else frozen
+    out = slice_counts(baseline, model, frozen, [], counted).join(F.broadcast(shapes(frozen)), "feature_name")
     out = out.select(
-        *SLICE, "feature_name", "dtype", "edges", "categories", "buckets", dense(F.col("counts"), F.col("buckets")).alias("counts"), F.col("n").alias("n_baseline"),
+        *SLICE, "feature_name", "dtype", "edges", "buckets", dense(F.col("counts"), F.col("buckets")).alias("counts"), F.col("n").alias("n_baseline"),
         chi2_quantile(F.lit(0.975), F.col("buckets") - 1).alias("chi2_q"),
     )
     if simulate:

@@ -50,8 +50,8 @@ def slices(df: DataFrame, model: Model) -> DataFrame:
     return out.withColumns({"segment_dimension": F.col("_s.d"), "segment_value": F.col("_s.v")}).drop("_s")
 
 
-def long_features(df: DataFrame, model: Model, keys: list[str]) -> DataFrame:
-    """``keys, feature_name, num, cat``: one row per non-null declared feature (and score)."""
+def long_features(df: DataFrame, model: Model, keys: list[str], rows: str | None = None) -> DataFrame:
+    """``keys, feature_name, num, cat``: one row per non-null declared feature (and score), and one without values under the name ``rows``."""
     kinds = dict(df.dtypes)
 
     def entry(name: str, col: str, continuous: bool):
@@ -64,5 +64,7 @@ def long_features(df: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     entries = [entry(f.name, f.name, f.dtype == "continuous") for f in model.features]
     if model.score:
         entries.append(entry(SCORE, model.score, True))
+    if rows:
+        entries.append(F.struct(F.lit(rows).alias("feature_name"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("string").alias("cat")))
     out = df.select(*keys, F.explode(F.array(*entries)).alias("_f")).select(*keys, "_f.*")
-    return out.where("num is not null or cat is not null")
+    return out.where(F.col("num").isNotNull() | F.col("cat").isNotNull() | (F.col("feature_name") == F.lit(rows)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.config import Feature, Gate, Metric, Model, Profile
 from tidegauge.operators.drift import drift
-from tidegauge.operators.profile import baseline_profile, freeze
+from tidegauge.operators.profile import baseline_profile, counted_once, freeze
 from tidegauge.operators.shape import with_window
 
 #: Events before this day are the baseline.
@@ -68,8 +68,9 @@ def drift_of(spark, sf_dir, profile: Profile, model: Model = EVENTS, gated: bool
     """Drift of live events; with ``methods``, of these alone: other features are not even counted."""
     base, live = baseline_and_live(spark, sf_dir, window)
     model = measured_by(model, methods) if methods else model
-    frozen = freeze(base, model)
-    r = drift(live, base, baseline_profile(base, model, simulate=simulate, frozen=frozen), frozen, model, profile, gated)
+    counted = counted_once(base, model)
+    frozen = freeze(base, model, counted=counted)
+    r = drift(live, base, baseline_profile(base, model, simulate=simulate, frozen=frozen, counted=counted), frozen, model, profile, gated, counted)
     return r.where(F.col("test_method").isin(*methods)) if methods else r
 
 

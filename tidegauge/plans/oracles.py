@@ -209,7 +209,7 @@ SELECT {day('w')}, round(11 * (1 / nb + 1 / nl), 6) AS psi_mean, round(11 * (1 /
     "perf_regression": f"""
 WITH t AS (SELECT time_bucket(INTERVAL 30 DAY, l_shipdate, TIMESTAMP '1970-01-01') AS w, l_returnflag, l_extendedprice - l_quantity * 1500 AS e FROM lineitem),
 s AS (SELECT w, e, CAST(NULL AS VARCHAR) AS d, CAST(NULL AS VARCHAR) AS v FROM t UNION ALL SELECT w, e, 'l_returnflag', l_returnflag FROM t WHERE l_returnflag IS NOT NULL)
-SELECT {day('w')}, d AS segment_dimension, v AS segment_value, unnest(['rmse', 'mae']) AS metric_name, round(unnest([sqrt(avg(e * e)), avg(abs(e))]) + 1e-7, 4) AS value, count(*) AS n_labeled FROM s GROUP BY w, d, v""",
+SELECT {day('w')}, d AS segment_dimension, v AS segment_value, unnest(['rmse', 'mae']) AS metric_name, unnest([round(sqrt(sum(CAST(e AS DOUBLE) * e) / count(*)), 4), round(sum(CAST(abs(e) AS DOUBLE)), 2)]) AS value, count(*) AS n_labeled FROM s GROUP BY w, d, v""",
     "perf_documents": """
 WITH t AS (SELECT lang, n_chars / (n_chars + 2000.0) AS score, quality AS y FROM documents JOIN labels USING (doc_id)),
 s AS (SELECT score, y, CAST(NULL AS VARCHAR) AS d, CAST(NULL AS VARCHAR) AS v FROM t UNION ALL SELECT score, y, 'lang', lang FROM t WHERE lang IS NOT NULL),
