@@ -174,6 +174,55 @@ def test_metrics(spark):
     assert value(spark, Metric("precision_at_k", {"n": 1}), [0, 1], [0.5, 0.5])["value"] == 1
 
 
+def test_ranking_by_ranges(spark):
+    """Many distinct scores are ranked in ranges; the metrics are those of one sort, ties and null slices included."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    score = np.concatenate([rng.random(4_000), rng.integers(0, 5, 500) / 5, np.repeat(0.5, 300)])
+    y = (rng.random(len(score)) < 0.2 + 0.5 * score).astype(float)
+    key = [["a", None][i % 3 == 0] for i in range(len(score))]
+    df = spark.createDataFrame(list(zip(key, y.tolist(), score.tolist(), strict=True)), "m string, label_value double, prediction_score double").repartition(4)
+    got = {(r["m"], r["metric_name"]): r["value"] for r in me.evaluate(df, (Metric("pr_auc"), Metric("roc_auc"), Metric("precision_at_k", {"n": 100})), ["m"]).collect()}
+    for m in ("a", None):
+        mine = np.array([k == m for k in key])
+        yy, pp = y[mine], score[mine]
+        pos, neg = pp[yy == 1], pp[yy == 0]
+        auc = ((pos[:, None] > neg).sum() + (pos[:, None] == neg).sum() / 2) / (len(pos) * len(neg))
+        ap = sum((yy[pp == t].sum() / yy.sum()) * (yy[pp >= t].mean()) for t in np.unique(pp))
+        top = sorted(zip(pp, yy, strict=True), reverse=True)[:100]
+        assert got[m, "roc_auc"] == pytest.approx(auc) and got[m, "pr_auc"] == pytest.approx(ap) and got[m, "precision_at_k"] == pytest.approx(sum(t[1] for t in top) / 100)
+    ranked = me._ranked(df.groupBy("m", F.col("prediction_score").alias("score")).agg(F.count("*").alias("n"), F.sum("label_value").cast("long").alias("pos"), F.lit(0.0).alias("se"), F.lit(0.0).alias("ae")), ["m"])
+    assert "part#" in ranked._jdf.queryExecution().optimizedPlan().toString()  # sorts are by slice and range
+
+
+def test_user_metrics_by_states(spark):
+    """One slice without a task of its own: tasks send states; a metric that is not computable says why; a plain function still gets all pairs."""
+
+    @me.register("spread")
+    class Spread:
+        def init(self, params):
+            return [0.0]
+
+        def update(self, state, y, p, params):
+            return [max(state[0], float(p.max()) * params["by"])]
+
+        def merge(self, a, b, params):
+            return [max(a[0], b[0])]
+
+        def finish(self, state, params):
+            if state[0] > 90:
+                raise ValueError("too wide")
+            return state[0]
+
+    me.register("median_gap")(lambda y, p, params: sorted(abs(a - b) for a, b in zip(y, p, strict=True))[len(y) // 2])
+    df = spark.range(0, 1_000, 1, 8).select(F.when(F.col("id") < 900, None).otherwise("b").alias("g"), F.timestamp_seconds(F.col("id") % 2).alias("w"), (F.col("id") % 2).cast("double").alias("label_value"), (F.col("id") / 10).alias("prediction_score"))
+    got = {(r["g"], r["w"].second, r["metric_name"]): r for r in me.evaluate(df, (Metric("spread", {"by": 1}), Metric("median_gap"), Metric("mae")), ["g", "w"]).collect()}
+    assert len(got) == 12 and {r["n_labeled"] for k, r in got.items() if k[0] is None} == {450}
+    assert got[None, 0, "spread"]["value"] == pytest.approx(89.8) and got["b", 1, "spread"]["reason"] == "too wide" and got["b", 1, "spread"]["value"] is None
+    assert got["b", 0, "median_gap"]["value"] == pytest.approx(95.0) and "spread" in me.available_metrics()
+
+
 def test_window_grid(spark):
     g = [r["window_start"].strftime("%H:%M") for r in window_grid(spark, "2026-01-01 00:30:00", "2026-01-01 02:30:00", "1h").orderBy("window_start").collect()]
     assert g == ["00:00", "01:00", "02:00"]

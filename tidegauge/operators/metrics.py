@@ -1,37 +1,68 @@
 """Performance of labelled predictions per window and slice.
 
-Rows are first counted by (slice, score), so the running sums behind the
-ranking metrics sort distinct scores, not predictions.
+Rows are first counted by (slice, score).  Ranking metrics need the counts above
+each score: scores are cut into ranges by a sketch of each slice, running sums
+are taken inside a range and offset by the sums of the ranges above, so a window
+with any number of distinct scores is sorted by many tasks.
+
+Metrics of users come in two kinds.  A :class:`PartialMetric` keeps a state of a
+few numbers, which tasks update batch by batch and merge afterwards, so a slice of
+any size needs no task of its own.  A plain function gets all pairs of a slice at
+once, in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.config import Metric, Model, Profile
 from tidegauge.operators.profile import SLICE
 from tidegauge.operators.shape import slices
+from tidegauge.sources.scratch import written
 
 KEYS = ["model_id", "window_start", "window_end"]
 ROC_UNDEFINED = "roc_auc is undefined when only one class is present in y_true"
 ROW = "metric_name string, value double, reason string"
 
-#: Metrics of users: name -> fn(y_true, y_pred, params) -> float; ValueError means not computable.
-_registered: dict[str, Callable] = {}
+#: Ranges that the distinct scores of a slice are cut into.
+RANGES = 64
+RANKING = ("pr_auc", "roc_auc", "precision_at_k")
+#: Slices whose states a task holds before it gives them out.
+HELD_SLICES = 10_000
+
+
+class PartialMetric(Protocol):
+    """A metric by states of a fixed number of floats; ``finish`` raises ValueError when it is not computable."""
+
+    def init(self, params: dict) -> list[float]: ...
+    def update(self, state: list[float], y: np.ndarray, p: np.ndarray, params: dict) -> list[float]: ...
+    def merge(self, a: list[float], b: list[float], params: dict) -> list[float]: ...
+    def finish(self, state: list[float], params: dict) -> float: ...
+
+
+#: Metrics of users by name: a PartialMetric, or fn(y_true, y_pred, params) -> float; ValueError means not computable.
+_registered: dict[str, Callable | PartialMetric] = {}
 
 
 def register(name: str):
-    def add(fn: Callable) -> Callable:
-        _registered[name] = fn
-        return fn
+    def add(metric):
+        _registered[name] = metric() if isinstance(metric, type) else metric
+        return metric
 
     return add
 
 
+def available_metrics() -> list[str]:
+    return sorted([*RANKING, "precision_at_threshold", "recall_at_threshold", "rmse", "mae", *_registered])
+
+
 def latest_label(labels: DataFrame, keys: tuple[str, ...] = ("model_id", "prediction_id")) -> DataFrame:
     """The newest label of each prediction by (received_at, label_id)."""
     rest = [c for c in labels.columns if c not in keys]
@@ -88,20 +119,90 @@ def evaluate(pairs: DataFrame, metrics: tuple[Metric, ...], by: list[str], score
     per_score = rows.groupBy(*by, "score").agg(
         F.count("*").alias("n"), F.sum((F.col("y") == 1).cast("int")).alias("pos"), F.sum(err * err).alias("se"), F.sum(F.abs(err)).alias("ae")
     )
-    down = Window.partitionBy(*by).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per_score = per_score.withColumns({"cum_n": F.sum("n").over(down), "cum_pos": F.sum("pos").over(down)})
+    if any(m.name in RANKING for m in metrics):
+        per_score = _ranked(written(per_score, "scores"), by)
     native = [(m, _native(m)) for m in metrics]
     aggs = [a for _, x in native if x for a in x[0]]
     summed = per_score.groupBy(*by).agg(F.sum("n").alias("N"), F.sum("pos").alias("P"), *aggs)
     entries = [F.struct(F.lit(m.name).alias("metric_name"), v.cast("double").alias("value"), r.alias("reason")) for m, x in native if x for v, r in [x[1]()]]
     out = summed.select(*by, F.col("N").alias("n_labeled"), F.explode(F.array(*entries)).alias("_m")).select(*by, "n_labeled", "_m.*") if entries else None
     own = [m for m, x in native if x is None]
-    if own:
-        extra = _by_user(rows, own, by)
-        out = extra if out is None else out.unionByName(extra)
+    for found, how in ((_by_states, [m for m in own if hasattr(_registered[m.name], "update")]), (_by_user, [m for m in own if not hasattr(_registered[m.name], "update")])):
+        if how:
+            extra = found(rows, how, by)
+            out = extra if out is None else out.unionByName(extra)
     return out
 
 
+def _ranked(per_score: DataFrame, by: list[str]) -> DataFrame:
+    """Counted scores with ``cum_n`` and ``cum_pos``: rows and positives of their slice at or above them."""
+    same = lambda left, right, on: [left[c].eqNullSafe(right[f"_{c}"]) for c in on]
+    renamed = lambda df, on: df.select(*[F.col(c).alias(f"_{c}") for c in on], *[c for c in df.columns if c not in on])
+    cuts = renamed(per_score.groupBy(*by).agg(F.percentile_approx("score", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), 1_000).alias("cuts")), by)
+    cut = per_score.join(cuts, same(per_score, cuts, by)).withColumn("part", F.size(F.filter("cuts", lambda c: c <= F.col("score")))).select(*by, "part", "score", "n", "pos", "se", "ae")
+    down = lambda *keys: Window.partitionBy(*keys).orderBy
+    sums = cut.groupBy(*by, "part").agg(F.sum("n").alias("sn"), F.sum("pos").alias("sp"))
+    above = down(*by)(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("long")
+    offsets = renamed(sums.select(*by, "part", F.coalesce(F.sum("sn").over(above), none).alias("above_n"), F.coalesce(F.sum("sp").over(above), none).alias("above_pos")), [*by, "part"])
+    inside = down(*by, "part")(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = cut.withColumns({"cum_n": F.sum("n").over(inside), "cum_pos": F.sum("pos").over(inside)})
+    j = cut.join(offsets, same(cut, offsets, [*by, "part"]))
+    return j.select(*by, "score", "n", "pos", "se", "ae", (F.col("cum_n") + F.col("above_n")).alias("cum_n"), (F.col("cum_pos") + F.col("above_pos")).alias("cum_pos"))
+
+
+def _by_states(rows: DataFrame, metrics: list[Metric], by: list[str]) -> DataFrame:
+    """Metrics by states: tasks keep one state a slice and metric, which are merged as they come from the shuffle."""
+    fns = [(k, m, _registered[m.name]) for k, m in enumerate(metrics)]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    keys = ", ".join(f"`{b}` {kinds[b]}" for b in by)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        schema = None
+
+        def given() -> pa.RecordBatch:
+            flat = [(*key, k, n, s) for key, (n, states) in held.items() for k, s in enumerate(states)]
+            columns = list(zip(*flat, strict=True)) if flat else [[] for _ in range(len(by) + 3)]
+            held.clear()
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, [*schema, pa.int32(), pa.int64(), pa.list_(pa.float64())], strict=True)], names=[*by, "metric", "n", "state"])
+
+        for b in batches:
+            schema = schema or [b.schema.field(c).type for c in by]
+            pdf = b.to_pandas()
+            # Keys go by their place in the batch, so that their types stay as they are.
+            number = pdf.groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+            order = np.argsort(number, kind="stable")
+            cut = np.concatenate([[0], np.cumsum(np.bincount(number))]) if len(number) else np.zeros(1, int)
+            y, p = pdf["y"].to_numpy(float), pdf["score"].to_numpy(float)
+            firsts = b.select(by).take(pa.array(order[cut[:-1]])).to_pylist() if len(number) else []
+            for first, lo, hi in zip(firsts, cut[:-1], cut[1:], strict=True):
+                key, mine = tuple(first[c] for c in by), order[lo:hi]
+                n, states = held.get(key) or (0, [fn.init(m.params) for _, m, fn in fns])
+                held[key] = (n + len(mine), [fn.update(s, y[mine], p[mine], m.params) for s, (_, m, fn) in zip(states, fns, strict=True)])
+            if len(held) > HELD_SLICES:
+                yield given()
+        if held:
+            yield given()
+
+    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, m, fn = fns[key[-1].as_py()]
+        state, n, schema = None, 0, None
+        for b in batches:
+            schema = b.schema
+            for more, s in zip(b.column("n").to_pylist(), b.column("state").to_pylist(), strict=True):
+                state, n = s if state is None else fn.merge(state, s, m.params), n + more
+        try:
+            value, reason = float(fn.finish(state, m.params)), None
+        except ValueError as e:
+            value, reason = None, str(e)
+        columns = [pa.array([k.as_py()], schema.field(c).type) for c, k in zip(by, key, strict=False)]
+        yield pa.record_batch([*columns, pa.array([n], pa.int64()), pa.array([m.name]), pa.array([value], pa.float64()), pa.array([reason], pa.string())], names=[*by, "n_labeled", "metric_name", "value", "reason"])
+
+    states = rows.mapInArrow(partial, f"{keys}, metric int, n long, state array<double>")
+    return states.groupBy(*by, "metric").applyInArrow(merge, f"{keys}, n_labeled long, {ROW}")
+
+
 def _by_user(rows: DataFrame, metrics: list[Metric], by: list[str]) -> DataFrame:
     """Metrics of users need all pairs of a slice at once: one group is one slice of one window."""
     fns = [(m, _registered[m.name]) for m in metrics]

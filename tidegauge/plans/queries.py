@@ -153,10 +153,22 @@ def perf_documents(spark, sf_dir):
 
 
 @me.register("brier")
-def brier(y_true, y_pred, params):
-    if not y_true:
-        raise ValueError("no rows")
-    return sum((a - b) ** 2 for a, b in zip(y_true, y_pred, strict=True)) / len(y_true)
+class Brier:
+    """Mean squared distance of scores from labels: the sum and the number of rows."""
+
+    def init(self, params):
+        return [0.0, 0.0]
+
+    def update(self, state, y, p, params):
+        return [state[0] + float(((y - p) ** 2).sum()), state[1] + len(y)]
+
+    def merge(self, a, b, params):
+        return [a[0] + b[0], a[1] + b[1]]
+
+    def finish(self, state, params):
+        if not state[1]:
+            raise ValueError("no rows")
+        return state[0] / state[1]
 
 
 def perf_user_metric(spark, sf_dir):
