@@ -123,6 +123,33 @@ def test_special_functions(spark):
     assert sp.chi2_sf(sp.chi2_ppf(0.9, 6), 6) == pytest.approx(0.1, abs=1e-9)
 
 
+def test_exact_ks_tail(spark):
+    """Every D of every pair of sizes up to 12, by counting all orders of the two samples."""
+    from collections import Counter
+    from math import comb
+
+    for n in range(1, 13):
+        for m in range(1, n + 1):
+            # Orders by the largest distance so far, in units of 1 / (n m).
+            ways = {(0, 0): Counter({0: 1})}
+            for i in range(n + 1):
+                for j in range(m + 1):
+                    if i or j:
+                        here = Counter()
+                        for before in ((i - 1, j), (i, j - 1)):
+                            for d, k in ways.get(before, {}).items():
+                                here[max(d, abs(i * m - j * n))] += k
+                        ways[i, j] = here
+            end, total = ways[n, m], comb(n + m, n)
+            for d in end:
+                want = sum(k for x, k in end.items() if x >= d) / total
+                assert sp.kolmogorov_exact_sf(d / (n * m), n, m) == pytest.approx(want, abs=1e-12) and sp.kolmogorov_exact_sf(d / (n * m), m, n) == pytest.approx(want, abs=1e-12)
+    assert sp.kolmogorov_exact_sf(0.04, 3_000, 2_500) == pytest.approx(sp.kolmogorov_sf(0.04 * math.sqrt(3_000 * 2_500 / 5_500)), rel=0.05)
+    # Which one is taken goes by the larger sample.
+    p = lambda n, m: scalar(spark, sp.kolmogorov_p(F.lit(0.5), F.lit(n), F.lit(m), 20))
+    assert p(20, 10) == pytest.approx(sp.kolmogorov_exact_sf(0.5, 20, 10)) and p(21, 10) == pytest.approx(scalar(spark, sp.kolmogorov_tail(F.lit(0.5), F.lit(21), F.lit(10))))
+
+
 def test_floors(spark):
     k = 1 / 225 + 1 / 75
     mean, ceiling = dr.psi_floor(F.lit(225.0), F.lit(75.0), F.lit(12))

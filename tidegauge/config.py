@@ -65,6 +65,8 @@ class Profile:
     not_computable_persistence: int = 3
     history_scan_windows: int = 12
     max_alerts_per_run: int = 25
+    #: KS p-values are exact where neither sample has more rows, and asymptotic beyond; 0: always asymptotic.
+    exact_ks: int = 10_000
 
     def __post_init__(self):
         if self.escalate_persistence < self.fire_persistence:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,6 +42,30 @@ def kolmogorov_sf(x: float) -> float:
     return max(0.0, min(1.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * (k * x) ** 2) for k in range(1, 101))))
 
 
+def kolmogorov_exact_sf(d: float, n: int, m: int) -> float:
+    """P(D >= d) of two samples of ``n`` and ``m`` values without ties, by lattice paths.
+
+    A path of n steps right and m steps up is an order of both samples; D stays
+    below d where |i / n - j / m| < d at every point.  The share of the paths to
+    (i, j) that stay inside is the mean of the shares at (i - 1, j) and (i, j - 1),
+    weighted i to j; points of one diagonal are taken at once.
+    """
+    # D is a multiple of 1 / (n m): compare with the middle between two of them.
+    bound = math.floor(d * n * m + 1e-7) - 0.5
+    if bound < 0:
+        return 1.0
+    share = np.ones(1)  # of the points i = first, first + 1, ... of a diagonal
+    first = 0
+    for k in range(1, n + m + 1):
+        low, high = max(0, k - m), min(n, k)
+        i = np.arange(low, high + 1, dtype=np.int64)
+        padded = np.zeros(high - low + 3)
+        padded[first - low + 1 : first - low + 1 + len(share)] = share  # place of i is i - low + 1
+        share = np.where(np.abs(i * m - (k - i) * n) <= bound, (i * padded[:-2] + (k - i) * padded[1:-1]) / k, 0.0)
+        first = low
+    return float(min(1.0, max(0.0, 1 - share[0])))
+
+
 def _quantile(sf, q: float) -> float:
     lo, hi = 0.0, 1.0
     while sf(hi) > 1 - q:
@@ -71,6 +96,19 @@ def chi2_quantile(q: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(b) else known[a, int(b)] for a, b in zip(q, df, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def _kolmogorov_exact(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(x) else kolmogorov_exact_sf(x, int(a), int(b)) for x, a, b in zip(d, n, m, strict=True)], dtype="float64")
+
+
+def kolmogorov_p(d: Column, n: Column, m: Column, exact_up_to: int) -> Column:
+    """Two-sample p-value of ``d``: exact if neither sample has more than ``exact_up_to`` values, else asymptotic.  For aggregated rows."""
+    small = (F.greatest(n, m) <= exact_up_to) & (F.least(n, m) > 0)
+    if exact_up_to <= 0:
+        return kolmogorov_tail(d, n, m)
+    return F.when(small, _kolmogorov_exact(F.when(small, d), n, m)).otherwise(kolmogorov_tail(d, n, m))
+
+
 def kolmogorov_tail(d: Column, n: Column, m: Column, terms: int = 20) -> Column:
     """Asymptotic two-sample p-value of ``d``, in native expressions."""
     lam = d * F.sqrt(n * m / (n + m))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.config import Model, Profile, signals
 from tidegauge.functions import columns as col
-from tidegauge.functions.special import chi2_tail, kolmogorov_ppf, kolmogorov_tail
+from tidegauge.functions.special import chi2_tail, kolmogorov_p, kolmogorov_ppf
 from tidegauge.operators.correction import benjamini_hochberg
 from tidegauge.operators.profile import ROWS, SLICE, bucketed, ceiling_at, value_counts
 from tidegauge.sources.scratch import written
@@ -175,7 +175,7 @@ def _judged(r: DataFrame, model: Model, profile: Profile, gated: bool) -> DataFr
     r = r.withColumns({
         "status": F.when(done, "computed").otherwise("not_computable"),
         "statistic": F.when(done, statistic),
-        "p_value": F.when(done & (method == "ks"), kolmogorov_tail(F.col("ks"), nb, nl)).when(done & (method == "chi_square"), chi2_tail(F.col("chi2"), F.col("filled") - 1)),
+        "p_value": F.when(done & (method == "ks"), kolmogorov_p(F.col("ks"), nb, nl, profile.exact_ks)).when(done & (method == "chi_square"), chi2_tail(F.col("chi2"), F.col("filled") - 1)),
     })
     fire = F.create_map(*[x for m, g in profile.gates.items() for x in (F.lit(m), F.lit(g.fire))])
     r = r.withColumns({

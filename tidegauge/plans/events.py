@@ -29,7 +29,7 @@ METRICS = (
     Metric("precision_at_k", {"n": 20}),
 )
 DAILY = Profile(
-    window="1d", gates=GATES, metrics=METRICS, fire_persistence=2, escalate_persistence=3, resolve_persistence=2, not_computable_persistence=2, history_scan_windows=6, max_alerts_per_run=3, fdr_alpha=0.1
+    window="1d", gates=GATES, metrics=METRICS, fire_persistence=2, escalate_persistence=3, resolve_persistence=2, not_computable_persistence=2, history_scan_windows=6, max_alerts_per_run=3, fdr_alpha=0.1, exact_ks=500
 )
 
 

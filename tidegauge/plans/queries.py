@@ -108,8 +108,8 @@ def drift_gated(spark, sf_dir):
 
 
 def bh_correction(spark, sf_dir):
-    """Kolmogorov-Smirnov p-values of all slices of a day, corrected together."""
-    r = ev.drift_of(spark, sf_dir, ev.only("ks"), gated=False, methods=("ks",)).drop("corrected_p_value")
+    """Kolmogorov-Smirnov p-values of all slices of a day, asymptotic ones, corrected together."""
+    r = ev.drift_of(spark, sf_dir, ev.only("ks", exact_ks=0), gated=False, methods=("ks",)).drop("corrected_p_value")
     r = benjamini_hochberg(r.withColumn("p_value", F.round("p_value", 9)), ["model_id", "window_start"], alpha=0.1)
     return r.select(_day(), "feature_name", *SLICE, _r("p_value"), _r("corrected_p_value"), "passes_fdr")
 
