@@ -360,4 +360,36 @@ SELECT i AS event_id, CAST(len(errors) AS INT) AS n_errors, coalesce(array_to_st
         "SELECT 'events' AS model_id, CAST(row_number() OVER (ORDER BY o.w) - 1 AS INT) AS i, round(x, 4) AS value, count(*) OVER () AS windows, CAST(sum(CAST(x >= 0.1 AS INT)) OVER () AS BIGINT) AS significant "
         "FROM (SELECT DISTINCT w FROM p WHERE ts >= TIMESTAMP '2024-01-11') o LEFT JOIN (SELECT * FROM psi WHERE f = 'value' AND d IS NULL) g ON o.w = g.w"
     ),
+    "run_trace": _q(
+        "SELECT 'drift' AS section, f AS name, 'psi' AS method, d AS segment_dimension, v AS segment_value, CAST(date_diff('day', t0, w) AS INT) AS i, CASE WHEN reason IS NULL THEN round(x, 4) END AS value, CASE WHEN reason IS NULL THEN 'computed' ELSE 'not_computable' END AS status, "
+        "CAST(CASE WHEN nw < 50 THEN 0 WHEN d IS NOT NULL AND ns < 30 THEN ns ELSE nl END AS BIGINT) AS n, CAST(NULL AS INT) AS escalated, CAST(NULL AS INT) AS resolved, CAST(NULL AS INT) AS last_seen FROM gb JOIN seen USING (w), z0 "
+        "UNION ALL SELECT section, 'pr_auc', NULL, d, v, CAST(date_diff('day', t0, w) AS INT), CASE WHEN reason IS NULL THEN round(x, 4) END, CASE WHEN reason IS NULL THEN 'computed' ELSE 'not_computable' END, n, NULL, NULL, NULL FROM ("
+        "SELECT *, 'initial' AS section FROM m1 UNION ALL SELECT *, 'final' FROM m2 "
+        "UNION ALL SELECT *, 'final' FROM m1 WHERE NOT EXISTS (SELECT 1 FROM m2 WHERE m1.w = m2.w AND m1.d IS NOT DISTINCT FROM m2.d AND m1.v IS NOT DISTINCT FROM m2.v AND m1.metric_name = m2.metric_name) "
+        "UNION ALL SELECT *, 'initial' FROM m2 WHERE NOT EXISTS (SELECT 1 FROM m1 WHERE m1.w = m2.w AND m1.d IS NOT DISTINCT FROM m2.d AND m1.v IS NOT DISTINCT FROM m2.v AND m1.metric_name = m2.metric_name)) JOIN seen USING (w), z0 WHERE metric_name = 'pr_auc' "
+        "UNION ALL SELECT 'alert', 'drift ' || f, m, d, v, CAST(date_diff('day', t0, opened) AS INT), round(e1, 4), status, NULL, CAST(date_diff('day', t0, esc) AS INT), CAST(date_diff('day', t0, res) AS INT), CAST(date_diff('day', t0, seen) AS INT) FROM al, z0 WHERE m = 'psi'",
+        GATED + "," + _SEEN + ", z0 AS (SELECT min(w) AS t0 FROM seen), " + LABELS + ", " + _EARLY + "," + _metrics("1", "le") + "," + _metrics("2", "lb") + "," + NOISY + "," + FOLD,
+    ),
+    "sensitivity_grid": _q(
+        "SELECT share, magnitude, count(*) AS signals, CAST(sum(CAST(longest >= 2 AS INT)) AS BIGINT) AS opens, CAST(count(*) - sum(CAST(longest >= 2 AS INT)) - sum(CAST(rw = windows AS INT)) AS BIGINT) AS quiet, CAST(sum(CAST(rw = windows AS INT)) AS BIGINT) AS refused, CAST(sum(rw) AS BIGINT) AS refused_windows, round(max(peak), 6) AS peak, "
+        "CASE WHEN share = 0 OR magnitude = 0 THEN round(sum(CAST(longest >= 2 AS INT)) / nullif(count(*) - sum(CAST(rw = windows AS INT)), 0), 6) END AS false_open_rate FROM ("
+        "SELECT share, magnitude, d, v, count(*) AS windows, sum(CAST(k = 'not_computable' AS INT)) AS rw, coalesce(max(CASE WHEN k = 'breach' THEN len END), 0) AS longest, max(x) AS peak FROM gz GROUP BY ALL) GROUP BY share, magnitude",
+        "\nce AS (SELECT unnest([0.0, 0.5, 0.5, 1.0, 1.0]) AS share, unnest([0.0, 0.25, 1.0, 0.25, 1.0]) AS magnitude),"
+        "\nca AS (SELECT CAST(share AS DOUBLE) AS share, CAST(magnitude AS DOUBLE) AS magnitude, round(magnitude * (SELECT stddev_samp(value) FROM p WHERE ts < TIMESTAMP '2024-01-11' AND value IS NOT NULL), 6) AS amount FROM ce),"
+        "\nsh AS (SELECT w, d, v, share, magnitude, value + CASE WHEN CAST('0x' || substr(md5('0:' || CAST(id AS VARCHAR)), 1, 8) AS BIGINT) < share * 4294967296 THEN amount ELSE 0 END AS x FROM sl, ca WHERE ts >= TIMESTAMP '2024-01-11' AND value IS NOT NULL),"
+        "\nsb AS (SELECT w, d, v, share, magnitude, CASE WHEN x = e[-1] THEN len(e) - 1 ELSE len(list_filter(e, lambda y: y <= x)) END AS bucket, len(e) + 1 AS bu FROM sh, (SELECT e FROM edges WHERE f = 'value')),"
+        "\nsn AS (SELECT w, d, v, share, magnitude, bucket, bu, count(*) AS n FROM sb GROUP BY ALL), st2 AS (SELECT w, d, v, share, magnitude, bu, sum(n) AS nl FROM sn GROUP BY ALL), wn AS (SELECT w, count(*) AS nw FROM p GROUP BY w),"
+        "\nsg AS (SELECT t.*, bn.n AS nb, unnest(range(0, bu)) AS bucket FROM st2 t JOIN bn ON bn.f = 'value' AND t.d IS NOT DISTINCT FROM bn.d AND t.v IS NOT DISTINCT FROM bn.v),"
+        "\nsq AS (SELECT g.*, greatest(coalesce(sn.n, 0) / g.nl, 1e-4) AS pl, greatest(coalesce(bc.n, 0) / g.nb, 1e-4) AS pb FROM sg g LEFT JOIN sn ON g.w = sn.w AND g.share = sn.share AND g.magnitude = sn.magnitude AND g.bucket = sn.bucket AND g.d IS NOT DISTINCT FROM sn.d AND g.v IS NOT DISTINCT FROM sn.v "
+        "LEFT JOIN bc ON bc.f = 'value' AND bc.bucket = g.bucket AND g.d IS NOT DISTINCT FROM bc.d AND g.v IS NOT DISTINCT FROM bc.v),"
+        "\nsp AS (SELECT w, d, v, share, magnitude, nl, nb, nw, sum((pl - pb) * ln(pl / pb)) AS x, (bu - 1) * (1 / nb + 1 / nl) + 2 * sqrt(2 * (bu - 1)) * (1 / nb + 1 / nl) AS c FROM sq JOIN wn USING (w) GROUP BY w, d, v, share, magnitude, nl, nb, nw, bu),"
+        "\nsk AS (SELECT *, CASE WHEN nw < 50 OR (d IS NOT NULL AND nl < 30) OR c > 0.07 THEN 'not_computable' WHEN x >= 0.1 THEN 'breach' WHEN x <= 0.07 THEN 'clear' ELSE 'dead_zone' END AS k FROM sp WHERE nw >= 50 OR d IS NULL),"
+        "\ngx AS (SELECT * REPLACE (CASE WHEN k <> 'not_computable' THEN x END AS x), CASE WHEN k = lag(k) OVER (PARTITION BY d, v, share, magnitude ORDER BY w) THEN 0 ELSE 1 END AS ch FROM sk),"
+        "\ngy AS (SELECT *, sum(ch) OVER (PARTITION BY d, v, share, magnitude ORDER BY w) AS run FROM gx),"
+        "\ngz AS (SELECT *, row_number() OVER (PARTITION BY d, v, share, magnitude, run ORDER BY w) AS len FROM gy)",
+    ),
+    "known_segments": _q("SELECT f AS feature_name, m AS test_method, d AS segment_dimension, string_agg(v, ',' ORDER BY v) AS segments FROM (SELECT DISTINCT f, CASE WHEN f IN ('value', 'k') THEN 'psi' ELSE 'chi_square' END AS m, d, v FROM ln WHERE d IS NOT NULL AND f <> '__prediction_score__') GROUP BY ALL"),
+    "metric_display": _q(
+        f"SELECT {day('w')}, d AS segment_dimension, v AS segment_value, metric_name, CASE WHEN reason IS NOT NULL THEN 'not_computable' WHEN metric_name = 'pr_auc' AND x <= 0.25 THEN 'breach' ELSE 'normal' END AS display FROM mx", LABELS + "," + _metrics("x", "lb")
+    ),
 }

@@ -493,12 +493,47 @@ def trace_export(spark, sf_dir):
     return t.select("model_id", F.explode("points").alias("p"), "windows", "significant").select("model_id", "p.i", "p.value", "windows", "significant")
 
 
+def run_trace(spark, sf_dir):
+    """A run's history by window ordinals: every fifth day is missing and leaves a gap; points and alerts, unnested."""
+    r, w = _results(spark, sf_dir, "psi", gated=True)
+    revisions = _revisions(spark, sf_dir).where("metric_name = 'pr_auc' and window_start >= timestamp_ntz'2024-01-11' and day(window_start) % 5 <> 0")
+    t = rp.run_trace(w, r, revisions, al.alert_lifecycle(al.alert_events(_noisy(spark, sf_dir, "psi"), None, NOISY), NOISY), "1d")
+    series = ["section", F.col("series.name").alias("name"), F.col("series.method").alias("method"), F.col("series.segment_dimension").alias("segment_dimension"), F.col("series.segment_value").alias("segment_value")]
+    none = lambda t, n: F.lit(None).cast(t).alias(n)
+    points = t.where("points is not null").select(*series, F.explode("points").alias("p")).select(*[c for c in ("section", "name", "method", *SLICE)], "p.i", "p.value", "p.status", "p.n", none("int", "escalated"), none("int", "resolved"), none("int", "last_seen"))
+    alerts = t.where("alerts is not null").select(*series, F.explode("alerts").alias("p")).select(
+        "section", F.concat_ws(" ", "name", "p.feature_name").alias("name"), "method", *SLICE, F.col("p.opened").alias("i"), F.col("p.evidence").alias("value"), "p.status", none("long", "n"), "p.escalated", "p.resolved", "p.last_seen"
+    )
+    return points.unionByName(alerts)
+
+
+def sensitivity_grid(spark, sf_dir):
+    """PSI of ``value`` when none, half or all rows are raised by a quarter or a whole standard deviation."""
+    base, live = ev.baseline_and_live(spark, sf_dir)
+    model = replace(ev.EVENTS, features=ev.EVENTS.features[:1], score=None)
+    counted = pf.counted_once(base, model)
+    profiled = pf.baseline_profile(base, model, simulate=False, counted=counted)
+    cells = [(0.0, 0.0), *((s, m) for s in (0.5, 1.0) for m in (0.25, 1.0))]
+    g = rp.sensitivity_grid(live, profiled, counted, model, ev.DAILY, "value", cells)
+    return g.select("share", "magnitude", "signals", "opens", "quiet", "refused", "refused_windows", _r("peak"), _r("false_open_rate"))
+
+
+def known_segments(spark, sf_dir):
+    s = rp.known_segments(ev.drift_of(spark, sf_dir, ev.only("psi", "chi_square"), gated=False, methods=("psi", "chi_square")))
+    return s.select("feature_name", "test_method", "segment_dimension", F.array_join("segments", ",").alias("segments"))
+
+
+def metric_display(spark, sf_dir):
+    d = rp.displayed(_performance(spark, sf_dir), ev.DAILY)
+    return d.select(_day(), *SLICE, "metric_name", "display")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         baseline_edges, baseline_categories, baseline_slices, bucket_counts, psi_daily, psi_by_segment, ks_daily, ks_by_segment, cramers_v_daily, jsd_score_daily, floors_closed_form, drift_gated,
         bh_correction, null_floor_table, drift_simulated_floor, perf_daily, perf_regression, perf_documents, perf_user_metric, latest_label, window_labels, revisions_first_latest, performance_timeline,
         drift_timeline, segment_view, attribution, streaks, suppressed_episodes, suppressed_report, alert_lifecycle, lifecycle_trace, touched_alerts, run_totals, evaluated_range, evaluation_windows, alert_kinds, rolled_up_alerts, alert_rollup, alert_history, outbox, policy_backtest, shift_injection, label_noise,
-        run_expectations, data_range, ingest_predictions, ingest_labels, late_counts, stale_windows, unevaluated_windows, validation_errors, trace_export,
+        run_expectations, data_range, ingest_predictions, ingest_labels, late_counts, stale_windows, unevaluated_windows, validation_errors, trace_export, run_trace, sensitivity_grid, known_segments, metric_display,
     )
 }

@@ -7,10 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.config import Gate, Model, Profile, signals
-from tidegauge.operators.shape import window_grid, windows_meeting
+from tidegauge.config import Gate, Model, Profile, parse_duration, signals
+from tidegauge.functions.columns import bucket_of, dense, psi
+from tidegauge.operators.drift import KEYS, psi_floor
+from tidegauge.operators.profile import SLICE
+from tidegauge.operators.shape import slices, window_grid, windows_meeting
 from tidegauge.operators.streaks import IDENTITY, METRIC_IDENTITY, classified_drift, classified_metrics, classify, first_and_latest_revision, suppressed_episodes, with_runs
 
+#: Fixed value: the reason of a window that was never evaluated.
 NO_WINDOW = "not evaluated -- no window exists for this time slot"
 
 
@@ -184,8 +188,94 @@ def data_range(windows: DataFrame) -> DataFrame:
     return windows.groupBy("model_id").agg(F.to_date(F.min("window_start")).alias("first_day"), F.to_date(F.max("window_end")).alias("last_day"), F.count("*").alias("windows"))
 
 
-def metric_states(metrics: DataFrame, profile: Profile) -> DataFrame:
-    """Metric rows with the state a chart would show."""
+def displayed(metrics: DataFrame, profile: Profile) -> DataFrame:
+    """Metric rows with the state a chart shows: breach or normal where a value is computed."""
     gates = {m.name: m.gate for m in profile.metrics if m.gate}
     kind = classify(F.col("metric_value"), F.col("status"), gates, F.col("metric_name"))
     return metrics.withColumn("display", F.when(F.col("status") != "computed", F.col("status")).when(kind == "breach", "breach").otherwise("normal"))
+
+
+def known_segments(results: DataFrame) -> DataFrame:
+    """``model_id, feature_name, test_method, segment_dimension, segments``: every segment value ever recorded for a signal, in order."""
+    by = ["model_id", "feature_name", "test_method", "segment_dimension"]
+    rows = results.where(F.col("segment_dimension").isNotNull()).select(*by, "segment_value").distinct()
+    return rows.groupBy(*by).agg(F.sort_array(F.collect_list("segment_value")).alias("segments"))  # values of one dimension
+
+
+def ordinal(at: Column, first: Column, duration: str) -> Column:
+    """Windows from the one that begins at ``first`` to the one that begins at ``at``; windows that are missing count."""
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    return F.floor((us(at) - us(first)) / F.lit(int(parse_duration(duration).total_seconds()) * 1_000_000)).cast("int")
+
+
+def run_trace(windows: DataFrame, results: DataFrame, revisions: DataFrame, alerts: DataFrame, duration: str) -> DataFrame:
+    """``model_id, section, series, points``: a run's history for export, one row a series.
+
+    Sections: ``drift``, ``initial`` and ``final`` (first and newest revision of a
+    metric), ``alert``.  Points name windows by their ordinal from the model's first
+    evaluated window, so a window that is missing leaves a gap.  A series has a
+    point a window; ``write.json`` exports it nested.
+    """
+    first = windows.groupBy("model_id").agg(F.min("window_start").alias("t0"))  # one row a model
+    at = ordinal(F.col("window_start"), F.col("t0"), duration)
+    end = lambda c: (ordinal(F.col(c), F.col("t0"), duration) - 1).alias(c.removesuffix("_window"))
+    points = lambda i, value, status, n, reason: F.struct(i.alias("i"), F.round(value, 4).alias("value"), F.col(status).alias("status"), F.col(n).alias("n"), F.col(reason).alias("reason"))
+
+    def listed(df: DataFrame, section: str, name: list[str], point: Column) -> DataFrame:
+        named = F.struct(*[F.col(c).cast("string").alias(n) for c, n in zip(name, ("name", "method", "segment_dimension", "segment_value"), strict=True)])
+        return df.join(F.broadcast(first), "model_id").select("model_id", F.lit(section).alias("section"), named.alias("series"), point.alias("p")).groupBy("model_id", "section", "series").agg(F.sort_array(F.collect_list("p")).alias("points"))
+
+    drift = listed(results, "drift", ["feature_name", "test_method", "segment_dimension", "segment_value"], points(at, F.col("statistic"), "status", "n_live", "not_computable_reason"))
+    both = first_and_latest_revision(revisions, [*METRIC_IDENTITY, "window_start"]).withColumn("_none", F.lit(None).cast("string"))
+    value = points(at, F.col("metric_value"), "status", "n_labeled", "not_computable_reason")
+    parts = [drift, *(listed(both.where(F.col("revision") == r), s, ["metric_name", "_none", "segment_dimension", "segment_value"], value) for r, s in (("initial", "initial"), ("latest", "final")))]
+    numbered = alerts.join(F.broadcast(first), "model_id").select(
+        "model_id", F.lit("alert").alias("section"), F.struct(F.col("kind").alias("name"), F.col("signal_name").alias("method"), "segment_dimension", "segment_value").alias("series"),
+        F.struct("feature_name", "status", end("opened_window"), end("escalated_window"), end("resolved_window"), end("last_seen_window"), F.round("evidence_statistic", 4).alias("evidence"), "evidence_threshold").alias("p"),
+    ).groupBy("model_id", "section", "series").agg(F.sort_array(F.collect_list("p")).alias("alerts"))
+    out = reduce(DataFrame.unionByName, parts)
+    return out.unionByName(numbered, allowMissingColumns=True)
+
+
+def sensitivity_grid(live: DataFrame, profiled: DataFrame, counted: DataFrame, model: Model, profile: Profile, feature: str, cells: list[tuple[float, float]], key: str = "prediction_id", seed: int = 0) -> DataFrame:
+    """What a shift of ``feature`` would do, for each cell ``(share, magnitude)``: one row a cell.
+
+    In a cell a share of the rows, drawn by a hash of ``key``, is raised by
+    ``magnitude`` standard deviations of the baseline.  Live rows are read once, for
+    all cells: what moves are counts by cell, window, slice and bucket.  Signals
+    are the slices; one whose every window is refused by its noise ceiling or its
+    size is ``refused``, one with a breach as long as the profile asks for
+    ``opens``, others are ``quiet``.  In cells that shift nothing, what opens is a
+    false alarm.
+    """
+    spark, gate = live.sparkSession, profile.gates["psi"]
+    values = counted.where((F.col("feature_name") == feature) & F.col("segment_dimension").isNull())
+    n, x = F.col("n"), F.col("num")
+    variance = (F.sum(n * x * x) - F.sum(n * x) * F.sum(n * x) / F.sum(n)) / (F.sum(n) - 1)
+    sd = values.agg(F.sqrt(variance).alias("sd"))
+    grid = spark.createDataFrame([(s, m, int(s * (1 << 32))) for s, m in cells], "share double, magnitude double, below long")
+    grid = grid.crossJoin(sd).select("share", "magnitude", "below", F.round(F.col("magnitude") * F.col("sd"), 6).alias("amount"))  # one row a cell
+    bins = profiled.where(F.col("feature_name") == feature).select(*[F.col(c).alias(f"_{c}") for c in SLICE], "edges", "buckets", F.col("counts").alias("base"), "n_baseline")
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    rows = slices(live.where(F.col(feature).isNotNull()).withColumn("draw", draw), model).select(*KEYS, *SLICE, "draw", F.col(feature).cast("double").alias("value"))
+    edges = F.broadcast(bins.where("_segment_dimension is null").select("edges"))  # one row: slices have the bins of the whole
+    shifted = rows.join(F.broadcast(grid)).join(edges).select(*KEYS, *SLICE, "share", "magnitude", bucket_of(F.col("value") + F.when(F.col("draw") < F.col("below"), F.col("amount")).otherwise(0.0), F.col("edges")).alias("bucket"))
+    counts = shifted.groupBy(*KEYS, *SLICE, "share", "magnitude", "bucket").agg(F.count("*").alias("n"))
+    sums = counts.groupBy(*KEYS, *SLICE, "share", "magnitude").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("counts"), F.sum("n").alias("n_live"))
+    whole = live.groupBy(*KEYS).agg(F.count("*").alias("n_window"))
+    j = sums.join(whole, KEYS).join(bins, F.col("segment_dimension").eqNullSafe(F.col("_segment_dimension")) & F.col("segment_value").eqNullSafe(F.col("_segment_value")))
+    as_double = lambda c: F.transform(c, lambda v: v.cast("double"))
+    statistic = psi(as_double(F.col("base")), as_double(dense(F.col("counts"), F.col("buckets"))))
+    _, ceiling = psi_floor(F.col("n_baseline"), F.col("n_live"), F.col("buckets"))
+    inside = F.col("segment_dimension").isNotNull()
+    refused = (F.col("n_window") < profile.min_window_size) | (inside & (F.col("n_live") < model.min_segment_size)) | (ceiling > gate.clear)
+    j = j.where((F.col("n_window") >= profile.min_window_size) | ~inside).withColumns({"statistic": F.when(~refused, statistic), "status": F.when(refused, "not_computable").otherwise("computed")})
+    signal = [*SLICE, "model_id", "share", "magnitude"]
+    runs = with_runs(j.withColumn("class", classify(F.col("statistic"), F.col("status"), gate)), signal)
+    longest = F.coalesce(F.max(F.when(F.col("class") == "breach", F.col("run_length"))), F.lit(0))
+    some = lambda c: F.sum(c.cast("int")).cast("long")
+    per = runs.groupBy(*signal).agg(F.count("*").alias("windows"), some(F.col("class") == "not_computable").alias("refused_windows"), longest.alias("longest"), F.max("statistic").alias("peak"))
+    gone, opens = F.col("refused_windows") == F.col("windows"), F.col("longest") >= profile.fire_persistence
+    clean = (F.col("share") == 0) | (F.col("magnitude") == 0)
+    out = per.groupBy("share", "magnitude").agg(F.count("*").alias("signals"), some(opens).alias("opens"), some(gone).alias("refused"), F.sum("refused_windows").alias("refused_windows"), F.max("peak").alias("peak"))
+    return out.withColumn("quiet", F.col("signals") - F.col("opens") - F.col("refused")).withColumn("false_open_rate", F.when(clean, F.try_divide("opens", F.col("signals") - F.col("refused"))))
