@@ -307,6 +307,10 @@ SELECT d AS segment_dimension, v AS segment_value, unnest(['pr_auc', 'roc_auc',
         f"SELECT 'drift' AS kind, {_ALERT}, status, {day(_END.format('opened'), 'opened_window')}, {day(_END.format('seen'), 'last_seen_window')} FROM al WHERE seen + INTERVAL 1 DAY > TIMESTAMP '2024-01-15' AND opened + INTERVAL 1 DAY < TIMESTAMP '2024-01-20'",
         NOISY + "," + FOLD,
     ),
+    "alert_windows": _q(
+        f"SELECT 'drift' AS kind, {_ALERT}, status, {day('opened', 'opened_start')}, a.n AS opened_predictions, {day('esc', 'escalated_start')}, b.n AS escalated_predictions, {day('seen', 'last_seen_start')}, c.n AS last_seen_predictions FROM al JOIN wz a ON a.w = opened LEFT JOIN wz b ON b.w = esc JOIN wz c ON c.w = seen",
+        NOISY + "," + FOLD + ", wz AS (SELECT w, count(*) AS n FROM p GROUP BY w)",
+    ),
     "outbox": _q(
         f"SELECT 'drift' AS kind, {_ALERT}, {day(_END.format('opened'), 'opened_window')}, status, CASE WHEN status = 'open' THEN 'opened' ELSE status END AS event, CASE WHEN opened + INTERVAL 1 DAY < TIMESTAMP '2024-01-16' THEN 6 ELSE 1 END AS attempt FROM al "
         "WHERE NOT (opened + INTERVAL 1 DAY < TIMESTAMP '2024-01-20' AND status = 'open') AND (opened + INTERVAL 1 DAY >= TIMESTAMP '2024-01-16' OR seen >= TIMESTAMP '2024-01-28')",
@@ -346,6 +350,10 @@ SELECT id AS prediction_id, 'insert' AS outcome, y AS label_value FROM x WHERE k
 UNION ALL SELECT id, 'skip', y FROM x WHERE known AND stored
 UNION ALL SELECT id, 'correction', y FROM x WHERE known AND NOT stored AND id % 2 = 0
 UNION ALL SELECT id, 'unknown', y FROM x WHERE NOT known""",
+    "bulk_loaded": "SELECT 'events' AS model_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT (event_type, value)) AS payloads FROM events GROUP BY 2",
+    "baseline_errors": """
+SELECT array_to_string(list_concat(['unknown features: [''extra'']'], CASE WHEN value IS NULL THEN ['feature ''value'' is required'] ELSE [] END, CASE WHEN event_id % 3 = 0 THEN ['feature ''k'' is required'] ELSE [] END,
+  CASE WHEN user_id IS NULL THEN ['feature ''user_group'' is required'] ELSE ['feature ''user_group'' must be a string or boolean'] END, CASE WHEN event_id % 5 = 0 OR event_type IS NULL THEN ['feature ''event_type'' is required'] ELSE [] END), '; ') AS errors, count(*) AS n FROM events GROUP BY 1""",
     "late_counts": f"SELECT {day('w')}, count(*) AS late_prediction_count FROM (SELECT date_trunc('day', ts) AS w FROM events WHERE event_id % 9 = 0) WHERE w IN (SELECT date_trunc('day', ts) FROM events WHERE event_id % 9 <> 0) GROUP BY w",
     "stale_windows": f"WITH {LABELS.strip()} SELECT {day('w')} FROM (SELECT DISTINCT date_trunc('day', ts) AS w FROM lb WHERE received_at >= TIMESTAMP '2024-01-15' AND received_at < TIMESTAMP '2024-01-16')",
     "unevaluated_windows": f"SELECT {day('w')} FROM (SELECT DISTINCT date_trunc('day', ts) AS w FROM events) WHERE day(w) % 4 = 0 AND w + INTERVAL 1 DAY + INTERVAL 10 MINUTE <= TIMESTAMP '2024-01-25 00:05:00'",

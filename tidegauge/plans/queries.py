@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.config import SCORE, Metric, Model
+from tidegauge.config import Feature, Metric, Model
 from tidegauge.functions.special import chi2_quantile
 from tidegauge.operators import alerts as al
 from tidegauge.operators import drift as dr
@@ -331,6 +331,14 @@ def alert_history(spark, sf_dir):
     return h.select("kind", *ALERT, "status", _day("opened_window"), _day("last_seen_window"))
 
 
+def alert_windows(spark, sf_dir):
+    """Alerts with the windows that opened, escalated and last touched them."""
+    _, live = ev.baseline_and_live(spark, sf_dir)
+    windows = live.groupBy("model_id", "window_start", "window_end").agg(F.count("*").alias("n_predictions"))
+    a = rp.with_windows(_alerts(spark, sf_dir), windows)
+    return a.select("kind", *ALERT, "status", _day("opened_start"), "opened_predictions", _day("escalated_start"), "escalated_predictions", _day("last_seen_start"), "last_seen_predictions")
+
+
 def outbox(spark, sf_dir):
     """Transitions to announce when alerts opened before 2024-01-20 have had their opening announced, those before 2024-01-16 given up, and the last three days were just evaluated."""
     a = _alerts(spark, sf_dir)
@@ -452,6 +460,21 @@ def ingest_labels(spark, sf_dir):
     return out
 
 
+def bulk_loaded(spark, sf_dir):
+    """All events loaded in bulk, and what lies in the table by day."""
+    path = scratch_folder(spark, "bulk")
+    ig.bulk_load(ev.predictions(spark, sf_dir).select("model_id", "prediction_id", "predicted_at", "event_type", "value"), path, ["event_type", "value"])
+    t = spark.read.parquet(path)
+    return t.groupBy("model_id", F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.count_distinct("payload_hash").alias("payloads"))
+
+
+def baseline_errors(spark, sf_dir):
+    """Events checked as baseline rows of a model that requires ``k`` and takes ``user_id`` for a category: each distinct list of errors, counted."""
+    e = ev.table(spark, sf_dir, "events").select("value", F.when(F.col("event_id") % 3 != 0, F.lit(1.0)).alias("k"), F.col("user_id").alias("user_group"), F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("event_type"), F.lit(1).alias("extra"))
+    model = Model((Feature("value", "continuous"), Feature("k", "continuous"), Feature("user_group", "categorical"), Feature("event_type", "categorical")), score=None)
+    return ig.with_errors(e, model).groupBy(F.array_join("errors", "; ").alias("errors")).agg(F.count("*").alias("n"))
+
+
 def late_counts(spark, sf_dir):
     """Every ninth event arrives after its day was sealed."""
     p = ev.predictions(spark, sf_dir)
@@ -533,7 +556,7 @@ QUERIES = {
     for f in (
         baseline_edges, baseline_categories, baseline_slices, bucket_counts, psi_daily, psi_by_segment, ks_daily, ks_by_segment, cramers_v_daily, jsd_score_daily, floors_closed_form, drift_gated,
         bh_correction, null_floor_table, drift_simulated_floor, perf_daily, perf_regression, perf_documents, perf_user_metric, latest_label, window_labels, revisions_first_latest, performance_timeline,
-        drift_timeline, segment_view, attribution, streaks, suppressed_episodes, suppressed_report, alert_lifecycle, lifecycle_trace, touched_alerts, run_totals, evaluated_range, evaluation_windows, alert_kinds, rolled_up_alerts, alert_rollup, alert_history, outbox, policy_backtest, shift_injection, label_noise,
-        run_expectations, data_range, ingest_predictions, ingest_labels, late_counts, stale_windows, unevaluated_windows, validation_errors, trace_export, run_trace, sensitivity_grid, known_segments, metric_display,
+        drift_timeline, segment_view, attribution, streaks, suppressed_episodes, suppressed_report, alert_lifecycle, lifecycle_trace, touched_alerts, run_totals, evaluated_range, evaluation_windows, alert_kinds, rolled_up_alerts, alert_rollup, alert_history, alert_windows, outbox, policy_backtest, shift_injection, label_noise,
+        run_expectations, data_range, ingest_predictions, ingest_labels, bulk_loaded, baseline_errors, late_counts, stale_windows, unevaluated_windows, validation_errors, trace_export, run_trace, sensitivity_grid, known_segments, metric_display,
     )
 }

@@ -82,6 +82,15 @@ def alert_history(alerts: DataFrame, start, end) -> DataFrame:
     return windows_meeting(seen, start, end).drop("window_start", "window_end").orderBy(F.desc("opened_window"), "signal_name", "feature_name", "segment_value")
 
 
+def with_windows(alerts: DataFrame, windows: DataFrame) -> DataFrame:
+    """``alerts`` with the start and the predictions of the windows that opened, escalated and last touched them."""
+    out = alerts
+    for name in ("opened", "escalated", "last_seen"):
+        w = windows.select(F.col("model_id").alias("_m"), F.col("window_end").alias("_e"), F.col("window_start").alias(f"{name}_start"), F.col("n_predictions").alias(f"{name}_predictions"))
+        out = out.join(w, (F.col("model_id") == F.col("_m")) & (F.col(f"{name}_window") == F.col("_e")), "left" if name == "escalated" else "inner").drop("_m", "_e")
+    return out
+
+
 def all_suppressed(results: DataFrame | None, metrics: DataFrame | None, profile: Profile) -> DataFrame:
     """Breach and not-computable runs too short to alert, of all signals at once."""
     parts = []

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.config import Model
 from tidegauge.functions.columns import fingerprint
-from tidegauge.operators.profile import baseline_profile, freeze
+from tidegauge.operators.profile import baseline_profile, counted_once, freeze
 
 PREDICTION = ["model_id", "prediction_id"]
 
@@ -85,11 +85,45 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+#: Columns that rows may carry besides what a model declares.
+META = ("model_id", "prediction_id", "predicted_at", "window_start", "window_end", "baseline_id")
+_NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+
+
+def with_errors(rows: DataFrame, model: Model, allowed: tuple[str, ...] = META) -> DataFrame:
+    """``rows`` with ``errors``: what each breaks of the declared features, as validation of JSON rows says it.
+
+    Columns that are declared nowhere and columns of a wrong type are errors of every row.
+    """
+    kinds = dict(rows.dtypes)
+    declared = {f.name for f in model.features} | set(model.segment_dimensions) | ({model.score} if model.score else set())
+    unknown = sorted(set(kinds) - declared - set(allowed))
+    errors = [F.lit(f"unknown features: {unknown}")] if unknown else []
+    for f in model.features:
+        kind = kinds.get(f.name)
+        required = F.lit(f"feature '{f.name}' is required")
+        if kind is None:
+            errors += [] if f.nullable else [required]
+            continue
+        fits = kind.startswith(_NUMERIC) if f.dtype == "continuous" else kind in ("string", "boolean")
+        present = F.col(f.name).isNotNull()
+        if not fits:
+            errors.append(F.when(present, F.lit(f"feature '{f.name}' must be " + ("numeric" if f.dtype == "continuous" else "a string or boolean"))))
+        if not f.nullable:
+            errors.append(F.when(~present, required))
+    return rows.withColumn("errors", F.array_compact(F.array(*errors)) if errors else F.array().cast("array<string>"))
+
+
+def bulk_load(rows: DataFrame, path: str, payload: list[str], at: str = "predicted_at") -> None:
+    """Append rows with their payload's hash, by model and day, without a look at what is stored."""
+    with_hash(rows, payload).withColumn("day", F.to_date(at)).write.mode("append").partitionBy("model_id", "day").parquet(path)
+
+
 def register_baseline(rows: DataFrame, store: str, model_id: str, baseline_id: int, model: Model | None = None, replace_active: bool = False, simulate: bool = True) -> DataFrame | None:
     """Append a baseline, with its profile, and make it the model's active one; refuses to replace one silently.
 
-    With a ``model``, rows are checked first: the first hundred that lack a
-    required feature are returned and nothing is stored.  ``None`` means stored.
+    With a ``model``, rows are checked first as predictions are: the first hundred
+    that break its description are returned and nothing is stored.  ``None`` means stored.
     """
     spark = rows.sparkSession
     registry = f"{store}/active"
@@ -98,16 +132,15 @@ def register_baseline(rows: DataFrame, store: str, model_id: str, baseline_id: i
     if rows.limit(1).count() == 0:
         raise ValueError("a baseline needs rows")
     if model is not None:
-        required = [f.name for f in model.features if not f.nullable]
-        lacking = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(f"feature '{c}' is required")) for c in required])) if required else F.array().cast("array<string>")
-        bad = rows.withColumn("errors", lacking).where(F.size("errors") > 0)
+        bad = with_errors(rows, model).where(F.size("errors") > 0)
         if bad.limit(1).count():
             return bad.limit(100)
     key = lambda df: df.withColumns({"model_id": F.lit(model_id), "baseline_id": F.lit(baseline_id)}).write.mode("append").partitionBy("model_id", "baseline_id")
     key(rows).parquet(f"{store}/rows")
     if model is not None:
-        frozen = freeze(rows, model)
-        key(baseline_profile(rows, model, simulate=simulate, frozen=frozen)).parquet(f"{store}/profiles")
+        counted = counted_once(rows, model)
+        frozen = freeze(rows, model, counted=counted)
+        key(baseline_profile(rows, model, simulate=simulate, frozen=frozen, counted=counted)).parquet(f"{store}/profiles")
         key(frozen).parquet(f"{store}/bins")
     new = spark.createDataFrame([(baseline_id, model_id)], "baseline_id int, model_id string")
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model_id").parquet(registry)
