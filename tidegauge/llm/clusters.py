@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.shared import connected_components, written
+from tidegauge.llm.shared import arrow_rows, connected_components, written
 
 #: Members of a block and bytes of their payloads, in expectation.
 BLOCK = 256
@@ -44,6 +44,7 @@ def verified(pairs: DataFrame, items: DataFrame, verify: Verify) -> DataFrame:
                 b = whole.slice(at, rows)
                 ok = verify(b.column("pa").to_pylist(), b.column("pb").to_pylist())
                 yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     left, right = items.select("node", "payload").toDF("a", "pa"), items.select("node", "payload").toDF("b", "pb")
     return pairs.join(right, "b").join(left, "a").select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
@@ -73,16 +74,17 @@ def dealt_buckets(entries: DataFrame) -> DataFrame:
     return plain.unionByName(written(apart.join(plain.select("key", "hub").distinct(), "key").select("key", "node", "hub"), "apart"))
 
 
-def clusters(live: DataFrame, payloads: Callable[[DataFrame], DataFrame], verify: Verify, links: Links, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def clusters(live: DataFrame, payloads: Callable[[DataFrame], DataFrame], verify: Verify, links: Links, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, batch_rows: int | None = None) -> DataFrame:
     """``node, component`` of every node that has a verified link.
 
     ``live`` is a table of ``key, node, hub``, as :func:`buckets` gives it.
     ``payloads`` gets the nodes (column ``node``) that share a bucket and returns
-    ``node, payload``.
+    ``node, payload``.  ``batch_rows`` bounds the rows with payloads that go to Python at once.
     """
-    items = written(payloads(live.select("node").distinct()).select("node", "payload", F.octet_length("payload").alias("bytes")), "items")
     pairs = live.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    parts = written(connected_components(verified(pairs, items, verify)), "parts")
+    with arrow_rows(live.sparkSession, batch_rows):
+        items = written(payloads(live.select("node").distinct()).select("node", "payload", F.octet_length("payload").alias("bytes")), "items")
+        parts = written(connected_components(verified(pairs, items, verify)), "parts")
 
     of = live.join(parts, "node", "left").select("key", "node", "hub", F.coalesce("component", "node").alias("part")).join(items.select("node", "bytes"), "node")
     home = F.col("node") == F.col("hub")

@@ -32,12 +32,14 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm import text as tx
 from tidegauge.llm.clusters import buckets, clusters
-from tidegauge.llm.shared import pass_through, restored, written
+from tidegauge.llm.shared import arrow_rows, pass_through, restored, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: At a similarity of 0.8 the chance to share none of 24 bands of 5 registers is 7e-5.
 BANDS, ROWS = 24, 5
+#: Texts, or pairs of payloads, that go to Python at once.
+BATCH_ROWS = 1_000
 _ALL = (1 << 64) - 1
 
 
@@ -209,7 +211,8 @@ def _row(docs: DataFrame, id_col: str, text_col: str) -> Column:
 def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: float, shingle: int) -> DataFrame:
     """``row, id, component_id`` of every row with words: the smallest id of the group of its text."""
     source = docs.select(_row(docs, id_col, text_col).alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text")).where(F.col("id").isNotNull())
-    signed = written(signatures(source, shingle), "signatures")
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        signed = written(signatures(source, shingle), "signatures")
     # Equal words make one class; its first document stands for it where texts are needed.
     classes = signed.groupBy("digest").agg(F.min("id").alias("first"))
     entries = signed.select(F.explode("keys").alias("key"), F.col("digest").alias("node")).distinct()
@@ -219,7 +222,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: float, shi
         texts = source.join(wanted, "id", "left_semi")
         return _payloads(texts, shingle).join(nodes, "node", "left_semi").groupBy("node").agg(F.max("payload").alias("payload"))
 
-    parts = clusters(buckets(entries), payloads, lambda a, b: _pass(a, b, similarity), lambda p, parts, sides: _links(p, parts, similarity, sides))
+    parts = clusters(buckets(entries), payloads, lambda a, b: _pass(a, b, similarity), lambda p, parts, sides: _links(p, parts, similarity, sides), batch_rows=BATCH_ROWS)
     named = classes.join(parts.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "first", F.coalesce("component", "digest").alias("root"))
     low = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of_class = named.join(low, "root").select("digest", "component_id")

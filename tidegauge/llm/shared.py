@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,19 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int | None):
+    """While a job runs, at most so many rows go to Python at once: rows of several KB would else make batches of 100 MB on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if most is not None:
+        spark.conf.set(name, str(min(most, int(before)) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def pass_through(docs: DataFrame, result: tuple[str, ...] = ()) -> list:
     """The columns of ``docs`` in one struct, ``doc``, without those that ``result`` names: inside it no name can clash."""
     return [F.struct(F.lit(0).alias("_"), *[docs[c] for c in docs.columns if c not in result]).alias("doc")]
