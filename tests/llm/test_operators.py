@@ -95,6 +95,69 @@ def test_toxicity_on_held_out_rows(spark):
         assert r["acc"] > 0.97 and r["recall"] > 0.75, (label, r)  # some 3,000 labelled rows here
 
 
+def test_ftrl_coordinate_by_coordinate():
+    """The weights of 50 texts are those of the update rule, written out for one coordinate at a time."""
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.integers(0, 60, rng.integers(0, 25))).astype(np.uint32) for _ in range(50)]
+    y = np.array([float(len(set(r) & {3, 4, 5}) > 0) for r in map(np.ndarray.tolist, rows)])
+    alpha, beta, l1, l2, epochs, least = 0.3, 1.0, 0.5, 0.1, 3, 4
+    got = toxicity.fit_ftrl(rows, y, alpha, beta, l1, l2, epochs, least)
+    often = {f for f in range(60) if sum(f in r for r in map(np.ndarray.tolist, rows)) >= least}
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f, bound):
+        if abs(z[f]) <= bound:
+            return 0.0
+        return -(z[f] - (bound if z[f] > 0 else -bound)) / ((beta + n[f] ** 0.5) / alpha + l2)
+
+    order, bias = np.random.default_rng(7), 0.0
+    for _ in range(epochs):
+        for k in order.permutation(50):
+            mine = [(f, l1) for f in rows[k].tolist() if f in often] + [("bias", 0.0)]
+            w = {f: weight(f, bound) for f, bound in mine}
+            bias = w["bias"]
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y[k]
+            for f, _ in mine:
+                step = ((n[f] + g * g) ** 0.5 - n[f] ** 0.5) / alpha
+                z[f] += g - step * w[f]
+                n[f] += g * g
+    want = {f: weight(f, l1) for f in sorted(often) if weight(f, l1)}
+    assert got.feature.tolist() == list(want) and np.allclose(got.weight, list(want.values())) and np.isclose(got.bias, bias) and 3 < len(want) < len(often)
+
+
+def test_vectors_coordinate_by_coordinate(monkeypatch):
+    """The folded table of 50 texts is that of stochastic gradient descent, written out number by number."""
+    monkeypatch.setattr(quality, "BITS", 6)
+    rng = np.random.default_rng(3)
+    features = [np.unique(rng.integers(0, 64, rng.integers(0, 12))) for _ in range(50)]
+    share = [(np.ones(len(f)) / max(1, len(f))).astype(np.float32) for f in features]
+    y = np.array([int(7 in f or 9 in f) for f in map(np.ndarray.tolist, features)])
+    dim, rate, epochs = 3, 0.5, 2
+    got = quality.fit_vectors(features, share, y, dim, rate, epochs, seed=11)
+    draw = np.random.default_rng(11)
+    v = draw.uniform(-1 / dim, 1 / dim, (64, dim)).tolist()
+    out, bias = draw.uniform(-1, 1, (dim, 2)).tolist(), [0.0, 0.0]
+    done = 0
+    for _ in range(epochs):
+        for k in draw.permutation(50):
+            lr, done = rate * (1 - done / (epochs * 50)), done + 1
+            f, x = features[k].tolist(), share[k].tolist()
+            h = [sum(a * v[i][d] for i, a in zip(f, x, strict=True)) for d in range(dim)]
+            e = [np.exp(sum(h[d] * out[d][c] for d in range(dim)) + bias[c]) for c in (0, 1)]
+            p = [e[c] / sum(e) - (y[k] == c) for c in (0, 1)]
+            back = [sum(out[d][c] * p[c] for c in (0, 1)) for d in range(dim)]
+            for d in range(dim):
+                for c in (0, 1):
+                    out[d][c] -= lr * h[d] * p[c]
+            for c in (0, 1):
+                bias[c] -= lr * 0.1 * p[c]
+            for i, a in zip(f, x, strict=True):
+                for d in range(dim):
+                    v[i][d] -= lr * a / max(x) * back[d]
+    want = [sum(v[i][d] * (out[d][1] - out[d][0]) for d in range(dim)) for i in range(64)]
+    assert np.allclose(got.logit, want, atol=1e-3) and np.isclose(got.bias, bias[1] - bias[0], atol=1e-3)
+
+
 # -- 2
 
 
@@ -473,6 +536,25 @@ def test_token_files(spark, odd, none, tmp_path):
     assert token_files.with_crc32(token_files.read(spark, str(tmp_path / "e"))).count() == 0
 
 
+def test_token_files_are_pruned_by_id(spark, tmp_path):
+    """A lookup by id reads row groups whose index and Bloom filter may hold it, and no others."""
+    n = 3 * token_files.ROW_INDEX_STRIDE
+    path = str(tmp_path / "tokens")
+    token_files.write(spark.range(n).select((F.col("id") * 7).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).coalesce(1), path, public_tokenizers.path("byte_bpe_50k.json"))
+    found = token_files.find(spark, path, [70_007, 70_008])
+    rows = found.collect()
+    assert [r["doc_id"] for r in rows] == [70_007] and rows[0]["ids"] == token_files.read(spark, path).where("doc_id = 70007").first()["ids"]
+
+    def read_rows(*ids):
+        df = token_files.find(spark, path, list(ids))
+        df.collect()
+        scan = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return scan.metrics().apply("numOutputRows").value()
+
+    assert 0 < read_rows(70_007) <= token_files.ROW_INDEX_STRIDE  # by the row index
+    assert read_rows(70_008) == 0  # within the bounds of a row group, refused by its Bloom filter
+
+
 def library_digests(rows):
     """``id, n_tokens, ids_sha256, decoded_sha256`` by the tokenizer library."""
     import tiktoken

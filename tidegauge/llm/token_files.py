@@ -155,6 +155,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(offset), "file").select("doc_id", (F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids")
 
 
+def find(spark: SparkSession, path: str, doc_ids: list) -> DataFrame:
+    """The rows of a few ids: the filter reaches the files, whose row indexes and Bloom filters rule out most of them."""
+    return spark.read.orc(path).where(F.col("doc_id").isin(doc_ids)).select("doc_id", "n_tokens", "ids")
+
+
 def with_crc32(tokens: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of the ids as little-endian unsigned 32-bit integers."""
     kind = dict(tokens.dtypes)["doc_id"]
