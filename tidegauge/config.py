@@ -125,7 +125,7 @@ def _metrics(fire, clear):
     )
 
 
-#: Fires on the first breach.
+#: Fixed values, in this profile and the next.  This one fires on the first breach.
 AGGRESSIVE = Profile(
     gates=_gates((0.10, 0.07), (0.15, 0.10), (0.10, 0.07), (0.05, 0.03)), fdr_alpha=0.10, metrics=_metrics(0.3, 0.4),
     fire_persistence=1, escalate_persistence=3, resolve_persistence=2, not_computable_persistence=2, history_scan_windows=6, max_alerts_per_run=10,

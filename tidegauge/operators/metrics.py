@@ -28,6 +28,7 @@ from tidegauge.operators.shape import slices
 from tidegauge.sources.scratch import written
 
 KEYS = ["model_id", "window_start", "window_end"]
+#: Fixed value: a reason, as are the texts of `performance`.
 ROC_UNDEFINED = "roc_auc is undefined when only one class is present in y_true"
 ROW = "metric_name string, value double, reason string"
 

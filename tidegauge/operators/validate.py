@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidegauge.config import Model
 
+#: The texts of errors below.
+
+
 def _json_kind(parsed: Column, name: str) -> Column:
     """string, number, boolean, null or other of one top-level value; null when the key is absent."""
     v = F.try_variant_get(parsed, f"$['{name}']", "variant")
