@@ -184,6 +184,23 @@ def small_store(spark, folder, **more):
     return Store(spark, f"{folder}/store", model, p, base, frozen, baseline_profile(base, model, simulate=False, frozen=frozen), gated=False, **more), live
 
 
+def test_alerts_go_on_day_by_day(spark, tmp_path):
+    """Days folded one after another, one of them tried twice, give what the whole history gives; transitions are those of the last day's windows."""
+    store, live = small_store(spark, tmp_path)
+    store.profile = replace(store.profile, window="12h", fire_persistence=1, escalate_persistence=2, resolve_persistence=1)
+    shifted = live.withColumn("x", F.when(F.col("prediction_id") >= 24, F.col("x") + 9).otherwise(F.col("x")))
+    assert store.evaluate(shifted, None, "2026-01-01", "2026-01-02") == 4
+    first = store.fold_days("2026-01-01", "2026-01-01")
+    kinds = "model_id string, kind string, signal_name string, feature_name string, segment_dimension string, segment_value string, opened_window timestamp, last_notified_status string, notification_attempts int"
+    assert [(r["kind"], r["status"]) for r in first.collect()] == [("drift", "open")]
+    second = store.fold_days("2026-01-02", "2026-01-02")
+    columns = [c for c in al.ALERTS if c != "aggregated_signals"]
+    rows = lambda df: sorted(repr([r[c] for c in columns]) for r in df.collect())
+    assert rows(second) == rows(store.fold_alerts()) and second.first()["status"] == "escalated"
+    sent = spark.createDataFrame([tuple(r[c] for c in al.SIGNAL) + (r["opened_window"], "open", 0) for r in first.collect()], kinds)
+    assert [r["event"] for r in store.transitions(second, sent, "2026-01-02", "2026-01-02").collect()] == ["escalated"]
+
+
 def test_racing_evaluations_leave_one(spark, tmp_path):
     import threading
 

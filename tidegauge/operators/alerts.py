@@ -70,11 +70,18 @@ def alert_events(drift_results: DataFrame | None, metric_results: DataFrame | No
     return with_run.drop("run").select("*", F.explode(F.array(F.col("source"), F.lit("not_computable"))).alias("kind"))
 
 
-def last_runs(events: DataFrame) -> DataFrame:
-    """The run each signal is in after its newest window: what a later day starts from."""
+def last_runs(events: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """The run each signal is in after its newest window: what a later day starts from.
+
+    Signals without a window in ``events`` are still in the run they were in ``before``.
+    """
     identity = [c for c in IDENTITY if c != "kind"]
     newest = F.max_by(F.struct("class", "run_length"), "window_end")
-    return events.where(F.col("kind") == F.col("source")).groupBy(*identity).agg(newest.alias("_r")).select(*identity, "_r.*")
+    new = events.where(F.col("kind") == F.col("source")).groupBy(*identity).agg(newest.alias("_r")).select(*identity, "_r.*")
+    if before is None:
+        return new
+    rest = _beside(before, new.select(*identity, F.lit(True).alias("_new")), identity).where("_new is null").drop("_new")
+    return new.unionByName(rest.select(*new.columns))
 
 
 _PLAIN = ("model_id", "kind", "source", "signal_name", "window_end", "opened_window")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.config import Model, Profile, interval
-from tidegauge.operators.alerts import alert_events, alert_lifecycle
+from tidegauge.operators.alerts import alert_events, alert_lifecycle, last_runs, outbox
 from tidegauge.operators.drift import drift
 from tidegauge.operators.metrics import performance, window_labels
 from tidegauge.operators.shape import calendar_range, in_range
@@ -242,6 +242,31 @@ class Store:
         days = [r[0] for r in self.spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(first_day)), F.to_date(F.lit(last_day))))).collect()]
         return self._windows.compact(days) + self._keyed("drift", *KEYS, *SIGNAL).compact(days)
 
+    def fold_days(self, first_day: str, last_day: str) -> DataFrame:
+        """Go on with the alerts over days that follow those folded so far: open ones, and all that these days finished.
+
+        Reads the results of these days, the alerts open before them and the runs
+        their signals were in; days have to come in order, each once.
+        """
+        number, state = self._number(), f"{self.folder}/alert-state"
+        files, path = self._files("alert-state")
+        files.mkdirs(path)
+        done = sorted(int(s.getPath().getName()[:-5]) for s in files.listStatus(path) if s.getPath().getName().endswith(".done"))
+        read = lambda name: self.spark.read.parquet(f"{state}/{done[-1]}/{name}") if done else None
+        within = lambda rows: None if rows is None else in_range(rows, *calendar_range(first_day, last_day), "window_start")
+        runs, before = read("runs"), read("alerts")
+        events = alert_events(within(self.drift()), within(self.performance()), self.profile, runs)
+        found = alert_lifecycle(events, self.profile, open_alerts=None if before is None else before.where("status <> 'resolved'"))
+        found.write.mode("overwrite").parquet(f"{state}/{number}/alerts")
+        last_runs(events, runs).write.mode("overwrite").parquet(f"{state}/{number}/runs")
+        claim(self.spark, state, f"{number}.done")  # a fold that broke off before this is done again from the same state
+        return self.spark.read.parquet(f"{state}/{number}/alerts")
+
+    def transitions(self, alerts: DataFrame, delivered: DataFrame, first_day: str, last_day: str) -> DataFrame:
+        """What to announce after the evaluation of these days: see :func:`outbox`."""
+        windows = in_range(self.windows(), *calendar_range(first_day, last_day), "window_start")
+        return outbox(alerts, delivered, evaluated=windows.select("model_id", "window_end"))
+
     def fold_alerts(self) -> DataFrame:
         """Fold the alerts of the whole stored history anew and replace the alert table."""
         found = alert_lifecycle(alert_events(self.drift(), self.performance(), self.profile), self.profile)

@@ -307,6 +307,12 @@ SELECT d AS segment_dimension, v AS segment_value, unnest(['pr_auc', 'roc_auc',
         f"SELECT 'drift' AS kind, {_ALERT}, status, {day(_END.format('opened'), 'opened_window')}, {day(_END.format('seen'), 'last_seen_window')} FROM al WHERE seen + INTERVAL 1 DAY > TIMESTAMP '2024-01-15' AND opened + INTERVAL 1 DAY < TIMESTAMP '2024-01-20'",
         NOISY + "," + FOLD,
     ),
+    "evaluation_totals": _q(
+        "SELECT 'windows_evaluated' AS item, CAST(count(o.w) AS BIGINT) AS n FROM slots s LEFT JOIN o USING (w) UNION ALL SELECT 'windows_skipped', count(*) - count(o.w) FROM slots s LEFT JOIN o USING (w) "
+        "UNION ALL SELECT 'predictions', count(*) FROM p WHERE w IN (SELECT w FROM o) UNION ALL SELECT 'labelled', count(*) FROM p JOIN n USING (id) WHERE w IN (SELECT w FROM o) AND score IS NOT NULL "
+        "UNION ALL SELECT 'labels_early', count(*) FROM lb WHERE received_at < ts + INTERVAL 24 HOUR UNION ALL SELECT 'labels_late', count(*) FROM lb WHERE received_at >= ts + INTERVAL 24 HOUR",
+        LABELS + f", n AS ({_NEWEST.format('lb')}), " + _SLOTS + ", o AS (SELECT DISTINCT w FROM p WHERE day(w) % 5 <> 0 AND w >= TIMESTAMP '2024-01-09' AND w < TIMESTAMP '2024-02-02')",
+    ),
     "alert_windows": _q(
         f"SELECT 'drift' AS kind, {_ALERT}, status, {day('opened', 'opened_start')}, a.n AS opened_predictions, {day('esc', 'escalated_start')}, b.n AS escalated_predictions, {day('seen', 'last_seen_start')}, c.n AS last_seen_predictions FROM al JOIN wz a ON a.w = opened LEFT JOIN wz b ON b.w = esc JOIN wz c ON c.w = seen",
         NOISY + "," + FOLD + ", wz AS (SELECT w, count(*) AS n FROM p GROUP BY w)",

@@ -300,6 +300,13 @@ def run_totals(spark, sf_dir):
     return rp.run_totals(live.select("model_id", "window_start").distinct(), r, _performance(spark, sf_dir), al.alert_lifecycle(al.alert_events(r, None, NOISY), NOISY))
 
 
+def evaluation_totals(spark, sf_dir):
+    """Totals of the days in range, of which every fifth was never evaluated."""
+    p, labels = ev.predictions(spark, sf_dir), ev.labels(spark, sf_dir)
+    windows = me.window_labels(p, labels).where("day(window_start) % 5 <> 0")
+    return rp.evaluation_totals(windows, labels, p, *RANGE, "1d", "24h")
+
+
 def alert_kinds(spark, sf_dir):
     """Alerts of all three kinds, of drift and of the newest revisions of performance."""
     a = al.alert_lifecycle(al.alert_events(_noisy(spark, sf_dir), _noisy_metrics(spark, sf_dir), NOISY), NOISY)
@@ -556,7 +563,7 @@ QUERIES = {
     for f in (
         baseline_edges, baseline_categories, baseline_slices, bucket_counts, psi_daily, psi_by_segment, ks_daily, ks_by_segment, cramers_v_daily, jsd_score_daily, floors_closed_form, drift_gated,
         bh_correction, null_floor_table, drift_simulated_floor, perf_daily, perf_regression, perf_documents, perf_user_metric, latest_label, window_labels, revisions_first_latest, performance_timeline,
-        drift_timeline, segment_view, attribution, streaks, suppressed_episodes, suppressed_report, alert_lifecycle, lifecycle_trace, touched_alerts, run_totals, evaluated_range, evaluation_windows, alert_kinds, rolled_up_alerts, alert_rollup, alert_history, alert_windows, outbox, policy_backtest, shift_injection, label_noise,
+        drift_timeline, segment_view, attribution, streaks, suppressed_episodes, suppressed_report, alert_lifecycle, lifecycle_trace, touched_alerts, run_totals, evaluated_range, evaluation_windows, evaluation_totals, alert_kinds, rolled_up_alerts, alert_rollup, alert_history, alert_windows, outbox, policy_backtest, shift_injection, label_noise,
         run_expectations, data_range, ingest_predictions, ingest_labels, bulk_loaded, baseline_errors, late_counts, stale_windows, unevaluated_windows, validation_errors, trace_export, run_trace, sensitivity_grid, known_segments, metric_display,
     )
 }

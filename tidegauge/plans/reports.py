@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.config import Gate, Model, Profile, parse_duration, signals
+from tidegauge.config import Gate, Model, Profile, interval, parse_duration, signals
 from tidegauge.functions.columns import bucket_of, dense, psi
 from tidegauge.operators.drift import KEYS, psi_floor
 from tidegauge.operators.profile import SLICE
@@ -193,6 +193,25 @@ def run_totals(windows: DataFrame, results: DataFrame, metrics: DataFrame, alert
     return reduce(DataFrame.unionByName, rows)
 
 
+def evaluation_totals(windows: DataFrame, labels: DataFrame, predictions: DataFrame, start, end, duration: str, early: str) -> DataFrame:
+    """``item, n``: windows evaluated and skipped in a range, their predictions and labelled predictions, and labels that came within ``early`` or later.
+
+    ``windows`` carry ``n_predictions`` and ``n_labels``.
+    """
+    some = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    inside = windows_meeting(windows, start, end)
+    grid = _grid(inside, start, end, duration)
+    seen = labels.select("model_id", "prediction_id", "received_at").join(predictions.select("model_id", "prediction_id", "predicted_at"), ["model_id", "prediction_id"])
+    soon = F.col("received_at") < F.col("predicted_at") + F.expr(f"interval {interval(early)}")
+    parts = [
+        (grid, {"windows_evaluated": some(F.col("evaluated").cast("int")), "windows_skipped": some((~F.col("evaluated")).cast("int"))}),
+        (inside, {"predictions": some(F.col("n_predictions")), "labelled": some(F.col("n_labels"))}),
+        (seen, {"labels_early": some(soon.cast("int")), "labels_late": some((~soon).cast("int"))}),
+    ]
+    rows = [df.agg(*[c.alias(n) for n, c in items.items()]).select(F.explode(F.array(*[F.struct(F.lit(n).alias("item"), F.col(n).alias("n")) for n in items])).alias("r")).select("r.*") for df, items in parts]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def data_range(windows: DataFrame) -> DataFrame:
     return windows.groupBy("model_id").agg(F.to_date(F.min("window_start")).alias("first_day"), F.to_date(F.max("window_end")).alias("last_day"), F.count("*").alias("windows"))
 
