@@ -253,6 +253,32 @@ def test_frequent_buckets_are_dealt(spark):
     assert dealt_buckets(e.where("key < 0")).count() == 0
 
 
+@pytest.mark.parametrize("slots", [1 << 17, 1 << 6])
+def test_a_segment_of_every_chunk_stays_few_rows_a_task(monkeypatch, slots):
+    """Key 1 is a stock line in each of 10,000 chunks, key 2 a template with a new line in each, key 3 one with twenty."""
+    monkeypatch.setattr(line_dedup, "SLOTS", slots)
+    rng = np.random.default_rng(3)
+    sent, given, rows = line_dedup.Sent(), [], []
+    for _ in range(10_000):
+        keys = np.concatenate([[1, 2], np.full(20, 3), rng.integers(10, 3_000, 30)])
+        node = rng.integers(-(2**62), 2**62, len(keys))
+        node[0], node[22:] = 77, np.arange(-15, 15)
+        given.append(np.stack([keys, node]))
+        fresh = sent.fresh(keys, node)
+        keys, node = keys[fresh], node[fresh]
+        rows.append(np.stack([keys, node, line_dedup._deal(keys, node, sent)]))
+    given, (key, node, deal) = np.concatenate(given, 1), np.concatenate(rows, 1)
+    assert set(zip(*given.tolist(), strict=True)) == set(zip(key.tolist(), node.tolist(), strict=True))
+    plain = deal == 0
+    for k in np.unique(given[0]):
+        every, ends = given[1][given[0] == k], node[plain & (key == k)]
+        assert every.min() == ends.min() and every.max() == ends.max()
+    if slots > 1 << 16:
+        assert (key == 1).sum() == 1
+        for k in (2, 3):
+            assert (plain & (key == k)).sum() <= line_dedup.MANY + 40 and (key == k).sum() == (given[0] == k).sum()
+
+
 def test_lines_of_one_template(spark):
     """Hundreds of lines that share segments, some of them within two edits of others."""
     rng = np.random.default_rng(11)

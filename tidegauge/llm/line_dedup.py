@@ -9,6 +9,9 @@ the segment's number confine to a few places.  Each distinct line so enters
 buckets keyed by (length, segment number, segment text): its own segments, and
 the substrings it would share with lines up to ``e`` characters shorter.
 Lines that meet in a bucket are verified by a banded bit-parallel distance.
+A task sends an entry that it has sent before no second time, and deals members
+of a key that has many of them apart, but for the lowest and the highest it has
+met: of a key that stands in all chunks a bucket so gets a few rows a task.
 
 Linked lines form groups; the occurrence of the lowest document id, and in it
 the first, is kept and the others go.
@@ -40,8 +43,10 @@ from tidegauge.llm.shared import dealt_join, pass_through, restored, written
 
 EDITS = 2
 MIN_CHARS = 10
-#: Lines of a chunk that one bucket takes without being dealt.
+#: Lines of a task that one bucket takes without being dealt.
 MANY = 16
+#: Entries of the tables by which a task knows what it has sent (a power of two; 50 bytes each).
+SLOTS = 1 << 17
 #: Counts of characters that sift the pairs of a block.
 COUNTS = 32
 #: Pairs of a block that are sifted at once, and code points of those whose distance is tested at once.
@@ -247,22 +252,86 @@ def occurrences(source: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return source.mapInArrow(run, f"row long, id {kind}, line int, node long")
 
 
-def _deal(keys: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """0, but other numbers for the inner members of keys that more than ``MANY`` of these nodes share."""
+class Slots:
+    """A table of bounded size: one key in each slot, with further columns.
+
+    A key that is met again gains a life and a stranger costs its slot's key one;
+    a key without lives makes room.  Keys that keep coming so stay.
+    """
+
+    def __init__(self, *columns: str):
+        self.column = {c: np.zeros(SLOTS, np.int64) for c in columns}
+        self.lives = np.full(SLOTS, -1, np.int8)
+        self._owner = np.zeros(SLOTS, np.int64)
+
+    def meet(self, slot: np.ndarray, **key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows have their key in its slot, and the rows that take a slot now; their columns are the caller's to set."""
+        known = self.lives[slot] >= 0
+        for c, v in key.items():
+            known &= self.column[c][slot] == v
+        mine = slot[known]
+        self.lives[mine] = np.minimum(self.lives[mine], 99) + 1
+        other = np.flatnonzero(~known)
+        at = slot[other]
+        taken = self.lives[at] > 0
+        self.lives[at[taken]] -= 1
+        other = other[~taken]
+        self._owner[slot[other]] = other
+        new = other[self._owner[slot[other]] == other]
+        self.lives[slot[new]] = 0
+        for c, v in key.items():
+            self.column[c][slot[new]] = v[new]
+        return known, new
+
+
+class Sent:
+    """What a task has sent: pairs of key and node, and the range and number of a key's nodes.
+
+    Both are tables of bounded size, so a key or pair may be forgotten and sent again.
+    """
+
+    def __init__(self):
+        self.pairs, self.keys = Slots("key", "node"), Slots("key", "low", "high", "n")
+
+    def fresh(self, keys: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Which pairs are not known to have been sent; all count as sent from now on."""
+        h = tx.mix(keys.view(np.uint64) * tx._BASE + node.view(np.uint64))
+        return ~self.pairs.meet((h & np.uint64(SLOTS - 1)).astype(np.int64), key=keys, node=node)[0]
+
+    def ranges(self, keys: np.ndarray, low: np.ndarray, high: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lowest, highest and number of nodes sent before for each of these distinct keys, to which the new ones are added."""
+        slot = (tx.mix(keys.view(np.uint64)) & np.uint64(SLOTS - 1)).astype(np.int64)
+        known, new = self.keys.meet(slot, key=keys)
+        c, ends = self.keys.column, np.iinfo(np.int64)
+        before = np.where(known, c["low"][slot], ends.max), np.where(known, c["high"][slot], ends.min), np.where(known, c["n"][slot], 0)
+        at = np.append(np.flatnonzero(known), new)
+        c["low"][slot[at]], c["high"][slot[at]], c["n"][slot[at]] = np.minimum(before[0], low)[at], np.maximum(before[1], high)[at], (before[2] + n)[at]
+        return before
+
+
+def _deal(keys: np.ndarray, node: np.ndarray, sent: Sent | None = None) -> np.ndarray:
+    """0, but other numbers for members of keys with more than ``MANY`` nodes that are not the lowest or highest so far."""
     deal = np.zeros(len(keys), np.int32)
-    ordered = np.sort(keys)
-    if (ordered[MANY:] == ordered[:-MANY]).any():
-        order = np.lexsort((node, keys))
-        new = np.append(True, ordered[1:] != ordered[:-1])
-        last = np.append(new[1:], True)
-        size = np.diff(np.append(np.flatnonzero(new), len(new)))
-        inner = order[~new & ~last & np.repeat(size > MANY, size)]
-        deal[inner] = 1 + (node[inner] & 0xFFFFF)
+    if not len(keys):
+        return deal
+    order = np.lexsort((node, keys))
+    ordered = keys[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    size = np.diff(np.append(first, len(keys)))
+    last = first + size - 1
+    low, high = node[order[first]], node[order[last]]
+    lowest, highest, n = (sent or Sent()).ranges(ordered[first], low, high, size)
+    inner = np.repeat(n + size > MANY, size)
+    inner[first[low < lowest]] = False
+    inner[last[high > highest]] = False
+    at = order[inner]
+    deal[at] = 1 + (node[at] & 0xFFFFF)
     return deal
 
 
 def _entries(source: DataFrame, edits: int, min_chars: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = Sent()
         for b in batches:
             for c in tx.chunks(b.column("text")):
                 x = Lines(c)
@@ -271,8 +340,10 @@ def _entries(source: DataFrame, edits: int, min_chars: int) -> DataFrame:
                 node, first = np.unique(hasher(x.lo[use], x.hi[use]), return_index=True)
                 use, node = use[first], node.view(np.int64)
                 for at, keys in bucket_keys(hasher, x.lo[use], x.hi[use] - x.lo[use], edits, min_chars):
-                    keys = keys.view(np.int64)
-                    yield pa.record_batch([pa.array(keys), pa.array(node[at]), pa.array(_deal(keys, node[at]))], names=["key", "node", "deal"])
+                    keys, member = keys.view(np.int64), node[at]
+                    fresh = sent.fresh(keys, member)
+                    keys, member = keys[fresh], member[fresh]
+                    yield pa.record_batch([pa.array(keys), pa.array(member), pa.array(_deal(keys, member, sent))], names=["key", "node", "deal"])
 
     return source.select("text").mapInArrow(run, "key long not null, node long not null, deal int not null")
 
