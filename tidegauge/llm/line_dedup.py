@@ -314,18 +314,17 @@ def _deal(keys: np.ndarray, node: np.ndarray, sent: Sent | None = None) -> np.nd
     deal = np.zeros(len(keys), np.int32)
     if not len(keys):
         return deal
-    order = np.lexsort((node, keys))
-    ordered = keys[order]
+    order = np.argsort(keys)
+    ordered, member = keys[order], node[order]
     first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
     size = np.diff(np.append(first, len(keys)))
-    last = first + size - 1
-    low, high = node[order[first]], node[order[last]]
+    low, high = np.minimum.reduceat(member, first), np.maximum.reduceat(member, first)
     lowest, highest, n = (sent or Sent()).ranges(ordered[first], low, high, size)
-    inner = np.repeat(n + size > MANY, size)
-    inner[first[low < lowest]] = False
-    inner[last[high > highest]] = False
-    at = order[inner]
-    deal[at] = 1 + (node[at] & 0xFFFFF)
+    group = np.repeat(np.arange(len(first)), size)
+    some = np.flatnonzero((n + size > MANY)[group])
+    group, member = group[some], member[some]
+    end = (member == low[group]) & (low < lowest)[group] | (member == high[group]) & (high > highest)[group]
+    deal[order[some[~end]]] = 1 + (member[~end] & 0xFFFFF)
     return deal
 
 
