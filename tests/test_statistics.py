@@ -162,12 +162,22 @@ def test_ceiling_lookup(spark):
     assert got[0] == 1.0 and got[1] == pytest.approx(0.3, abs=1e-3) and got[2] == 0.1
 
 
-def test_simulated_null_is_near_the_closed_form():
+def test_simulated_null_is_near_the_closed_form(spark):
     import numpy as np
 
-    counts = np.array([0] + [90] * 10 + [0], float)
-    mean, ceiling = pf.simulate_null(counts, [75, 5000], 400, 1, "psi")
+    counts = [0] + [90] * 10 + [0]
+    profiled = spark.createDataFrame([(f, None, None, "continuous", [0.0, 1.0], counts, 900) for f in ("a", "b")], "feature_name string, segment_dimension string, segment_value string, dtype string, edges array<double>, counts array<int>, n_baseline long")
+    a, b = (r.asDict() for r in pf.null_tables(profiled, [75, 5000], 400, 1).orderBy("feature_name").collect())
+    mean, ceiling = a["null_mean"], a["null_ceiling"]
     assert ceiling[0] > ceiling[1] and mean[0] == pytest.approx(9 * (1 / 900 + 1 / 75), rel=0.35)
+    # Beside multinomial draws of both sides; a signal's table does not depend on the others.
+    rng, p = np.random.default_rng(1), np.array(counts) / 900
+    for i, size in enumerate((75, 5000)):
+        x, q = (np.maximum(rng.multinomial(n, p, 4000) / n, 1e-4) for n in (900, size))
+        v = ((q - x) * np.log(q / x)).sum(1)
+        assert mean[i] == pytest.approx(v.mean(), rel=0.08) and ceiling[i] == pytest.approx(np.quantile(v, 0.975), rel=0.15)
+    alone = pf.null_tables(profiled.where("feature_name = 'b'"), [75, 5000], 400, 1).first().asDict()
+    assert alone == b and b["null_mean"] != mean
 
 
 def test_benjamini_hochberg(spark):

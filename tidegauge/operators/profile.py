@@ -7,15 +7,13 @@ distribution behind KS all come from these counts.
 
 from __future__ import annotations
 
-import zlib
+import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.config import SCORE, Model
-from tidegauge.functions.columns import EPSILON, bucket_of, dense
+from tidegauge.functions.columns import bucket_of, dense, jsd, psi
 from tidegauge.functions.special import chi2_quantile
 from tidegauge.operators.shape import long_features, slices
 from tidegauge.sources.scratch import written
@@ -27,6 +25,8 @@ ROWS = "__rows__"
 #: Live sizes at which the null distribution is simulated.
 NULL_SIZES = [10, 20, 30, 50, 75, 100, 150, 200, 300, 500, 750, 1000, 1500, 2000, 3000, 5000]
 NULL_DRAWS = 200
+#: Fixed values of the hash that draws.
+_MASK, _MIX = 0xFFFFFFFF, 0x45D9F3B
 
 
 def value_counts(df: DataFrame, model: Model, keys: list[str]) -> DataFrame:
@@ -134,41 +134,57 @@ def slice_counts(df: DataFrame, model: Model, bins: DataFrame, keys: list[str],
     return per_bucket.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("counts"), F.sum("n").alias("n"))
 
 
-def simulate_null(counts: np.ndarray, sizes: list[int], draws: int, seed: int, statistic: str) -> tuple[list[float], list[float]]:
-    """Mean and 97.5 % ceiling of the statistic when nothing has shifted; ceilings never rise with size."""
-    rng = np.random.default_rng(seed)
-    p, n = counts / counts.sum(), int(counts.sum())
-    mean, ceiling = [], []
-    for size in sizes:
-        b, q = rng.multinomial(n, p, draws) / n, rng.multinomial(size, p, draws) / size
-        if statistic == "psi":
-            b, q = np.maximum(b, EPSILON), np.maximum(q, EPSILON)
-            v = ((q - b) * np.log(q / b)).sum(1)
-        else:
-            m = (b + q) / 2
-            with np.errstate(divide="ignore", invalid="ignore"):
-                v = (np.where(b > 0, b * np.log2(b / m), 0) + np.where(q > 0, q * np.log2(q / m), 0)).sum(1) / 2
-        mean.append(float(v.mean()))
-        ceiling.append(float(np.quantile(v, 0.975)))
-    return mean, np.maximum.accumulate(ceiling[::-1])[::-1].tolist()
+def _mixed(x):
+    """A hash of 32 bits, in arithmetic on longs that SQL repeats."""
+    x = x.bitwiseAND(_MASK)
+    for _ in range(2):
+        x = (F.shiftright(x, 16).bitwiseXOR(x) * _MIX).bitwiseAND(_MASK)
+    return F.shiftright(x, 16).bitwiseXOR(x)
 
 
-_NULLS = "segment_dimension string, segment_value string, feature_name string, null_sizes array<int>, null_mean array<double>, null_ceiling array<double>"
+def _unit(x):
+    """A number above 0 and below 1."""
+    return (_mixed(x) + 0.5) / F.lit(4294967296.0)
 
 
-def null_tables(profiled: DataFrame, sizes: list[int] | None = None, draws: int = NULL_DRAWS, seed: int = 0) -> DataFrame:
-    """Simulated null of each continuous signal; resampling rows and bucketing them is a multinomial draw of bucket counts."""
-    sizes = sizes or NULL_SIZES
+def null_tables(profiled: DataFrame, sizes: list[int] | None = None, draws: int = NULL_DRAWS, seed: int = 0, buckets: int = BINS + 2) -> DataFrame:
+    """Mean and 97.5 % ceiling of each continuous signal's statistic when nothing has shifted, by live size.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
-        # The seed follows the signal, so a table does not depend on which others exist.
-        key = f"{r.feature_name}|{r.segment_dimension}|{r.segment_value}|{seed}".encode()
-        mean, ceiling = simulate_null(np.array(r.counts, float), sizes, draws, zlib.crc32(key), "jsd" if r.feature_name == SCORE else "psi")
-        return pd.DataFrame([[r.segment_dimension, r.segment_value, r.feature_name, sizes, mean, ceiling]], columns=["segment_dimension", "segment_value", "feature_name", "null_sizes", "null_mean", "null_ceiling"])
-
-    rows = profiled.where("dtype = 'continuous' and n_baseline > 0 and size(edges) > 0").select(*SLICE, "feature_name", "counts")
-    return rows.groupBy(*SLICE, "feature_name").applyInPandas(run, _NULLS)
+    Draws are counter-based: row ``i`` of draw ``d`` of a size hashes the signal,
+    the size, ``d`` and ``i``, so a table depends on no other signal, task or order.
+    Live rows are drawn one by one from the baseline's buckets; the baseline's own
+    noise is normal with the mean and covariance of a multinomial, as it may have
+    any number of rows.  Ceilings never rise with size.  No signal has more than ``buckets`` buckets.
+    """
+    sizes = sorted(sizes or NULL_SIZES)
+    key = F.to_json(F.array("feature_name", *SLICE), {"ignoreNullFields": "false"})
+    n = F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)
+    rows = profiled.where("dtype = 'continuous' and n_baseline > 0 and size(edges) > 0")
+    rows = rows.select(*SLICE, "feature_name", key.alias("key"), F.transform("counts", lambda c: c.cast("long")).alias("counts")).withColumn("n", n.cast("double"))
+    start = F.conv(F.substring(F.md5(F.concat("key", F.lit(f"|{seed}"))), 1, 8), 16, 10).cast("long")
+    upto = F.transform("counts", lambda _, i: F.aggregate(F.slice("counts", 1, i + 1), F.lit(0).cast("long"), lambda s, c: s + c) / F.col("n"))
+    signals = rows.withColumns({"start": start, "upto": upto})
+    # One row a signal, size and draw: they are dealt before their rows are drawn, and counted where they lie.
+    of = ["key", "size", "draw"]
+    cells = signals.select("key", "start", "upto", F.explode(F.lit(sizes)).alias("size")).select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    parts = int(profiled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stream = _mixed(F.col("start") + F.col("size")) + F.col("draw") * sizes[-1]
+    live = cells.repartition(parts, *of).select(*of, "upto", stream.alias("stream"), F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("i"))
+    live = live.select(*of, "upto", _unit(F.col("stream") + F.col("i")).alias("u"))
+    below = [F.sum(F.when(F.col("u") < F.get("upto", F.lit(k)), 1).otherwise(0)).alias(f"b{k}") for k in range(buckets)]
+    live = live.groupBy(*of).agg(*below).select(*of, F.array(*[F.col(f"b{k}") for k in range(buckets)]).alias("below"))
+    r = live.join(signals.select("key", *SLICE, "feature_name", "start", "counts", "n"), "key")
+    noise = lambda i: _mixed(F.col("start") + F.col("size") + 1_000_003) + (F.col("draw") * buckets + i) * 2
+    z = F.transform("counts", lambda c, i: F.sqrt(c / F.col("n")) * F.sqrt(-2 * F.log(_unit(noise(i)))) * F.cos(F.lit(2 * math.pi) * _unit(noise(i) + 1)))
+    r = r.withColumn("z", z).withColumn("zs", F.aggregate("z", F.lit(0.0), lambda s, x: s + x))
+    share = F.transform("counts", lambda c, i: F.greatest(F.lit(0.0), c / F.col("n") + (F.get("z", i) - c / F.col("n") * F.col("zs")) / F.sqrt("n")))
+    got = F.transform("counts", lambda c, i: (F.get("below", i) - F.coalesce(F.get("below", i - 1), F.lit(0))) / F.col("size"))
+    r = r.select(*SLICE, "feature_name", "size", share.alias("b"), got.alias("q"))
+    r = r.withColumn("x", F.when(F.col("feature_name") == SCORE, jsd(F.col("b"), F.col("q"))).otherwise(psi(F.col("b"), F.col("q"))))
+    r = r.groupBy(*SLICE, "feature_name", "size").agg(F.avg("x").alias("mean"), F.percentile("x", F.lit(0.975)).alias("ceiling"))
+    r = r.groupBy(*SLICE, "feature_name").agg(F.sort_array(F.collect_list(F.struct("size", "mean", "ceiling"))).alias("t"))
+    highest = F.transform("t.ceiling", lambda _, i: F.array_max(F.slice("t.ceiling", i + 1, F.lit(len(sizes)))))
+    return r.select(*SLICE, "feature_name", F.col("t.size").alias("null_sizes"), F.col("t.mean").alias("null_mean"), highest.alias("null_ceiling"))
 
 
 def baseline_profile(
@@ -187,9 +203,11 @@ def baseline_profile(
     )
     if simulate:
         on = ["feature_name", *SLICE]
-        nulls = null_tables(out)
-        same = (out["feature_name"] == nulls["feature_name"]) & out["segment_dimension"].eqNullSafe(nulls["segment_dimension"]) & out["segment_value"].eqNullSafe(nulls["segment_value"])
-        return out.join(nulls.select(*[F.col(c) for c in on], "null_sizes", "null_mean", "null_ceiling"), same, "left").select(*[out[c] for c in out.columns], "null_sizes", "null_mean", "null_ceiling")
+        nulls = null_tables(out, buckets=bins + 2).select(*[F.col(c).alias(f"_{c}") for c in on], "null_sizes", "null_mean", "null_ceiling")
+        same = F.lit(True)
+        for c in on:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        return out.join(nulls, same, "left").drop(*[f"_{c}" for c in on])
     empty = F.lit(None).cast("array<double>")
     return out.select("*", F.lit(None).cast("array<int>").alias("null_sizes"), empty.alias("null_mean"), empty.alias("null_ceiling"))
 

@@ -86,6 +86,36 @@ _REASON = (
     "CASE WHEN c > 0.07 THEN format('PSI sampling-noise ceiling {:.3f} (chi-square approximation, null mean {:.3f} at {} baseline vs {} live rows, {} buckets) exceeds the clear threshold 0.07; "
     "a quiet window could not reliably read as clear, so PSI is not gated on at this volume', c, mean, CAST(nb AS BIGINT), CAST(nl AS BIGINT), bu) END"
 )
+
+
+def _mixed(x: str) -> str:
+    once = lambda e: f"((xor({e} >> 16, {e}) * 73244475) & 4294967295)"
+    return f"list_transform([{x} & 4294967295], lambda e: {once('e')}).list_transform(lambda e: {once('e')}).list_transform(lambda e: xor(e >> 16, e))[1]"
+
+
+#: Draws without a shift, by counters: nt holds the mean and the ceiling of each signal and live size.
+NULLS = f"""
+ns AS (SELECT bn.f, bn.d, bn.v, bn.n, list(coalesce(bc.n, 0) ORDER BY g.bucket) AS c FROM bn JOIN (SELECT f, unnest(range(0, nb)) AS bucket FROM bins WHERE c IS NULL) g USING (f)
+  LEFT JOIN bc ON bc.f = bn.f AND bc.bucket = g.bucket AND bc.d IS NOT DISTINCT FROM bn.d AND bc.v IS NOT DISTINCT FROM bn.v GROUP BY bn.f, bn.d, bn.v, bn.n),
+nk AS (SELECT *, row_number() OVER () AS id, CAST('0x' || substr(md5(CAST(to_json([f, d, v]) AS VARCHAR) || '|0'), 1, 8) AS BIGINT) AS h, list_transform(range(1, len(c) + 1), lambda i: list_sum(c[1:i]) / n) AS upto FROM ns),
+nc AS (SELECT *, {_mixed('(h + size)')} AS st, {_mixed('(h + size + 1000003)')} AS sn FROM (SELECT *, unnest([10, 20, 30, 50, 75, 100, 150, 200, 300, 500, 750, 1000, 1500, 2000, 3000, 5000]) AS size FROM nk)),
+nd AS (SELECT nc.*, r.range AS draw FROM nc, range(200) r),
+n0 AS (SELECT id, size, draw, upto, (st + draw * 5000 + unnest(range(0, size))) & 4294967295 AS x FROM nd),
+n1 AS (SELECT id, size, draw, upto, (xor(x >> 16, x) * 73244475) & 4294967295 AS x FROM n0),
+n2 AS (SELECT id, size, draw, upto, (xor(x >> 16, x) * 73244475) & 4294967295 AS x FROM n1),
+n3 AS (SELECT id, size, draw, upto, (xor(x >> 16, x) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM n2),
+n4 AS (SELECT id, size, draw, [{', '.join(f'count(*) FILTER (u < upto[{k}])' for k in range(1, 13))}] AS below FROM n3 GROUP BY ALL),
+n5 AS (SELECT nd.*, below, list_transform(range(1, len(c) + 1), lambda i: sn + (draw * 12 + i - 1) * 2) AS s FROM nd JOIN n4 USING (id, size, draw)),
+n6 AS (SELECT *, unnest(range(1, len(c) + 1)) AS i, unnest(s) AS s1 FROM n5),
+n7 AS (SELECT id, f, d, v, size, draw, i, c[i] / n AS p, n, (below[i] - CASE WHEN i > 1 THEN below[i - 1] ELSE 0 END) / size AS q,
+  sqrt(c[i] / n) * sqrt(-2 * ln(({_mixed('s1')} + 0.5::DOUBLE) / 4294967296.0::DOUBLE)) * cos(2 * pi() * ({_mixed('(s1 + 1)')} + 0.5::DOUBLE) / 4294967296.0::DOUBLE) AS z FROM n6),
+n8 AS (SELECT *, greatest(0, p + (z - p * sum(z) OVER (PARTITION BY id, size, draw)) / sqrt(n)) AS b0 FROM n7),
+n9 AS (SELECT *, b0 / sum(b0) OVER (PARTITION BY id, size, draw) AS b FROM n8),
+nx AS (SELECT f, d, v, size, draw, sum(CASE WHEN f = '__prediction_score__' THEN (CASE WHEN b > 0 THEN b * log2(b / ((b + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((b + q) / 2)) ELSE 0 END) / 2
+  ELSE (greatest(q, 1e-4) - greatest(b, 1e-4)) * ln(greatest(q, 1e-4) / greatest(b, 1e-4)) END) AS x FROM n9 GROUP BY ALL),
+na AS (SELECT f, d, v, size, avg(x) AS mean, quantile_cont(x, 0.975) AS c FROM nx GROUP BY ALL),
+nt AS (SELECT f, d, v, size, mean, max(c) OVER (PARTITION BY f, d, v ORDER BY size DESC) AS ceiling FROM na)"""
+
 GATED = f"""
 ss AS (SELECT w, d, v, count(*) AS ns FROM sl WHERE ts >= TIMESTAMP '2024-01-11' GROUP BY ALL), bs AS (SELECT d, v, count(*) AS ns FROM sl WHERE ts < TIMESTAMP '2024-01-11' GROUP BY ALL),
 ws AS (SELECT w, count(*) AS n FROM p WHERE ts >= TIMESTAMP '2024-01-11' GROUP BY ALL),
@@ -196,6 +226,10 @@ SELECT {day('w')}, round(11 * (1 / nb + 1 / nl), 6) AS psi_mean, round(11 * (1 /
         "CASE WHEN reason IS NULL THEN x >= 0.1 END AS is_significant, reason AS not_computable_reason, CAST(CASE WHEN nw < 50 THEN 0 WHEN d IS NOT NULL AND ns < 30 THEN nbs ELSE nb END AS BIGINT) AS n_baseline, CAST(CASE WHEN nw < 50 THEN 0 WHEN d IS NOT NULL AND ns < 30 THEN ns ELSE nl END AS BIGINT) AS n_live FROM gb",
         GATED,
     ),
+    "null_floor_table": _q(
+        "SELECT f AS feature_name, d AS segment_dimension, v AS segment_value, CAST(size AS INT) AS null_sizes, round(mean, 6) AS null_mean, round(ceiling, 6) AS null_ceiling FROM nt",
+        NULLS,
+    ),
     "bh_correction": _q(
         f"SELECT {day('w')}, f AS feature_name, d AS segment_dimension, v AS segment_value, round(p, 6) AS p_value, round(least(1, min(p * m / r) OVER (PARTITION BY w ORDER BY r DESC)), 6) AS corrected_p_value, coalesce(r <= max(CASE WHEN p <= 0.1 * r / m THEN r END) OVER (PARTITION BY w), FALSE) AS passes_fdr FROM pk",
         "\nlam AS (SELECT *, x * sqrt(nl * nb / (nl + nb)) AS lam FROM ks),"

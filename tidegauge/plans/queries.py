@@ -117,7 +117,8 @@ def bh_correction(spark, sf_dir):
 def null_floor_table(spark, sf_dir):
     base, _ = ev.baseline_and_live(spark, sf_dir)
     p = pf.baseline_profile(base, ev.EVENTS).where("null_sizes is not null")
-    return p.select("feature_name", *SLICE, F.explode(F.arrays_zip("null_sizes", "null_mean", "null_ceiling")).alias("t")).select("feature_name", *SLICE, "t.*")
+    p = p.select("feature_name", *SLICE, F.explode(F.arrays_zip("null_sizes", "null_mean", "null_ceiling")).alias("t")).select("feature_name", *SLICE, "t.*")
+    return p.select("feature_name", *SLICE, "null_sizes", _r("null_mean"), _r("null_ceiling"))
 
 
 def drift_simulated_floor(spark, sf_dir):
