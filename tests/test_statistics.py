@@ -13,6 +13,7 @@ from tidegauge.operators import metrics as me
 from tidegauge.operators import profile as pf
 from tidegauge.operators.correction import benjamini_hochberg
 from tidegauge.operators.shape import window_grid
+from tidegauge.plans import reports as rp
 
 ONE = Model((Feature("x", "continuous"),), score=None)
 
@@ -276,3 +277,16 @@ def test_config_checks():
     with pytest.raises(ValueError):
         Profile(gates=AGGRESSIVE.gates, history_scan_windows=3)
     assert AGGRESSIVE.fingerprint() != PATIENT.fingerprint()
+
+
+def test_expectation_details_are_those_of_sql(spark):
+    """Small maxima have no exponent and ties after six decimals fall as SQL has them (run_expectations)."""
+    import duckdb
+
+    values = [i / 1e6 for i in range(0, 30_000, 5)] + [0.5, 1.0, 2.25, 12.345675]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    got = [r.t for r in df.select(col.plain_text(F.col("x")).alias("t")).collect()]
+    assert got == [r[0] for r in duckdb.execute("SELECT CAST(round(unnest($1::DOUBLE[]), 5) AS VARCHAR)", [values]).fetchall()]
+    one = spark.createDataFrame([("value", "psi", None, 0.000565)], "feature_name string, test_method string, segment_dimension string, statistic double")
+    assert rp.expect_max_below(one, "value", "psi", 0.25).first().detail == "0.00056"
+    assert rp.expect_max_below(one.where("false"), "value", "psi", 0.25).first().detail is None

@@ -79,6 +79,14 @@ def python_str(c: Column, dtype: str) -> Column:
     return F.when(c, "True").when(~c, "False") if dtype == "boolean" else c.cast("string")
 
 
+def plain_text(x: Column, digits: int = 5) -> Column:
+    """``x`` to at most 5 ``digits``, in the text of SQL's cast: no exponent from 0.0001 on, and half away from zero once scaled (0.000565 is 56.49... and so 0.00056)."""
+    units = F.round(x * 10**digits)
+    fixed = F.regexp_replace((units / 10**digits).cast(f"decimal(38,{digits})").cast("string"), r"(\.\d+?)0+$", "$1")
+    small = (units != 0) & (F.abs(units) < 10 ** (digits - 4))
+    return F.when(small, F.concat(units.cast("long").cast("string"), F.lit(f"e-{digits:02d}"))).otherwise(fixed)
+
+
 def fingerprint(*columns: str) -> Column:
     """sha256 of the named columns, in name order; equal rows have equal fingerprints."""
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)

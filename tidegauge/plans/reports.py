@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.config import Gate, Model, Profile, interval, parse_duration, signals
-from tidegauge.functions.columns import bucket_of, dense, psi
+from tidegauge.functions.columns import bucket_of, dense, plain_text, psi
 from tidegauge.operators.drift import KEYS, psi_floor
 from tidegauge.operators.profile import SLICE
 from tidegauge.operators.shape import slices, window_grid, windows_meeting
@@ -149,7 +149,7 @@ def expect_no_significant(results: DataFrame) -> DataFrame:
 
 def expect_max_below(results: DataFrame, feature: str, method: str, limit: float) -> DataFrame:
     one = results.where((F.col("feature_name") == feature) & (F.col("test_method") == method) & F.col("segment_dimension").isNull())
-    return _check(f"max_{method}_of_{feature}_below_{limit}", one, F.max("statistic") < limit, F.round(F.max("statistic"), 5))
+    return _check(f"max_{method}_of_{feature}_below_{limit}", one, F.max("statistic") < limit, plain_text(F.max("statistic")))
 
 
 def expect_no_unexpected(alerts: DataFrame, expected: DataFrame) -> DataFrame:
