@@ -290,3 +290,41 @@ def test_expectation_details_are_those_of_sql(spark):
     one = spark.createDataFrame([("value", "psi", None, 0.000565)], "feature_name string, test_method string, segment_dimension string, statistic double")
     assert rp.expect_max_below(one, "value", "psi", 0.25).first().detail == "0.00056"
     assert rp.expect_max_below(one.where("false"), "value", "psi", 0.25).first().detail is None
+
+
+def small_events(spark, path):
+    """Four days around the split, with null values, null types and labels that are late or corrected."""
+    spark.range(3_000).select(
+        F.col("id").alias("event_id"), F.expr("timestamp_ntz'2024-01-09' + make_dt_interval(0, 0, cast(id * 2 as int))").alias("ts"), F.when(F.col("id") % 31 != 0, (F.col("id") % 97).cast("double")).alias("value"), F.lit('{"k": 1}').alias("props"),
+        F.col("id").alias("user_id"), F.when(F.col("id") % 5 != 0, F.element_at(F.array(F.lit("click"), F.lit("view")), (F.col("id") % 2 + 1).cast("int"))).alias("event_type"),
+    ).write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_a_trace_counts_events_and_labels_once(spark, tmp_path, monkeypatch):
+    """run_trace: two drift results and two revisions come from one count of the baseline, of the live rows and of the labelled ones."""
+    from tidegauge.operators import profile
+    from tidegauge.plans import queries
+    from tidegauge.sources import scratch
+
+    names = []
+
+    def written(df, name):
+        names.append(name)
+        return scratch.written(df, name)
+
+    for module in (profile, dr, me):
+        monkeypatch.setattr(module, "written", written)
+    queries.run_trace(spark, small_events(spark, tmp_path))
+    assert sorted(names) == ["baseline-counts", "bins", "live-counts", "scores"]
+
+
+def test_both_revisions_are_those_of_two_evaluations(spark, tmp_path):
+    from tidegauge.plans import events as ev
+
+    p, labels = ev.predictions(spark, small_events(spark, tmp_path)), ev.labels(spark, str(tmp_path)).where("prediction_id < 2500 or received_at > timestamp_ntz'2024-01-13'")
+    soon = labels.join(p.select("prediction_id", "predicted_at"), "prediction_id").where("received_at < predicted_at + interval 24 hours").drop("predicted_at")
+    want = me.performance(p, soon, ev.EVENTS, ev.DAILY).unionByName(me.performance(p, labels, ev.EVENTS, ev.DAILY, True))
+    got = me.performance_revisions(p, labels, ev.EVENTS, ev.DAILY, "24h")
+    rows = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    assert got.columns == want.columns and rows(got) == rows(want) and len(rows(got)) > 20

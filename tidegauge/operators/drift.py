@@ -106,18 +106,31 @@ def ks_statistic(live: DataFrame, baseline: DataFrame) -> DataFrame:
     return j.where("total_b > 0").groupBy(*KEYS, *sig).agg(F.max(d).alias("ks"))
 
 
-def drift(live: DataFrame, baseline: DataFrame, profiled: DataFrame, bins: DataFrame, model: Model, profile: Profile, gated: bool = True, counted: DataFrame | None = None) -> DataFrame:
+def _by_value(model: Model, profile: Profile) -> list[str]:
+    """The features whose values KS asks for."""
+    return [f.name for f in model.features if f.dtype == "continuous"] if "ks" in profile.continuous else []
+
+
+def live_counts(live: DataFrame, bins: DataFrame, model: Model, profile: Profile) -> DataFrame:
+    """The live rows' counts, written down: all that :func:`drift` reads of them, under this profile or one with fewer methods."""
+    return written(parted(value_counts(live, model, KEYS), bins, _by_value(model, profile), KEYS), "live-counts")
+
+
+def drift(
+    live: DataFrame, baseline: DataFrame, profiled: DataFrame, bins: DataFrame, model: Model, profile: Profile, gated: bool = True, counted: DataFrame | None = None, counts: DataFrame | None = None
+) -> DataFrame:
     """One row per window and configured signal (columns ``RESULT``).
 
     ``live`` carries ``KEYS`` and the declared columns; ``bins`` is the output
-    of ``frozen_bins``, ``profiled`` that of ``baseline_profile`` and ``counted``
-    the baseline's ``value_counts``, which are taken anew where they are not given.
+    of ``frozen_bins``, ``profiled`` that of ``baseline_profile``, ``counted``
+    the baseline's ``value_counts`` and ``counts`` the ``live_counts``, which are
+    taken anew where they are not given.
     With ``gated=False`` statistics are given however small the samples.
     """
     spark = live.sparkSession
     tests = spark.createDataFrame(signals(model, profile), "feature_name string, test_method string")
-    names = [f.name for f in model.features if f.dtype == "continuous"] if "ks" in profile.continuous else []
-    counts = written(parted(value_counts(live, model, KEYS), bins, names, KEYS), "live-counts")
+    names = _by_value(model, profile)
+    counts = live_counts(live, bins, model, profile) if counts is None else counts
     counted = value_counts(baseline, model, []) if counted is None else counted
     of_rows = F.col("feature_name") == ROWS
     sizes = counts.where(of_rows).select(*KEYS, *SLICE, F.col("n").alias("n_slice"))
@@ -137,8 +150,7 @@ def drift(live: DataFrame, baseline: DataFrame, profiled: DataFrame, bins: DataF
         r = _of_slice(r, ks_statistic(counts, parted(counted.where(F.col("feature_name").isin(names)), bins, names, [])), [*KEYS, *on])
     else:
         r = r.withColumn("ks", F.lit(None).cast("double"))
-    live_counts = F.when(F.col("live").isNotNull(), col.dense(F.col("live"), F.col("buckets")))
-    r = r.withColumn("live", live_counts)
+    r = r.withColumn("live", F.when(F.col("live").isNotNull(), col.dense(F.col("live"), F.col("buckets"))))
     nb, nl = F.coalesce("n_baseline", F.lit(0)), F.coalesce("n_l", F.lit(0))
     r = r.withColumns({"nb": nb.cast("long"), "nl": nl.cast("long")})
     return _judged(r, model, profile, gated)

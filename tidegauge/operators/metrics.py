@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.config import Metric, Model, Profile
+from tidegauge.config import Metric, Model, Profile, interval
 from tidegauge.operators.profile import SLICE
 from tidegauge.operators.shape import slices
 from tidegauge.sources.scratch import written
@@ -223,31 +223,54 @@ def _by_user(rows: DataFrame, metrics: list[Metric], by: list[str]) -> DataFrame
     return rows.groupBy(*by).applyInPandas(run, schema)
 
 
-def performance(predictions: DataFrame, labels: DataFrame, model: Model, profile: Profile, retroactive: bool = False) -> DataFrame:
-    """One row per window, slice with labelled rows, and configured metric; predictions carry ``KEYS``.
+def _measured(pairs: DataFrame, slots: DataFrame, model: Model, profile: Profile) -> DataFrame:
+    """Metrics of labelled rows by slot (``KEYS``, and what else ``slots`` has) and slice; a slot without rows gets its global ones.
 
-    A window without any labelled row still gets its global rows.
+    The labelled rows are read once: which slots have none is seen in the results.
     """
-    pairs = slices(labelled(predictions, labels, model.score), model)
-    by = [*KEYS, *SLICE]
-    found = evaluate(pairs, profile.metrics, by, model.score)
-    windows = predictions.select(*KEYS).distinct()
-    names = predictions.sparkSession.createDataFrame([(m.name,) for m in profile.metrics], "metric_name string")
-    empty = windows.join(pairs.select(*KEYS).distinct(), KEYS, "left_anti").join(F.broadcast(names))
+    at = slots.columns
+    by = [*at, *SLICE]
+    names = slots.sparkSession.createDataFrame([(m.name,) for m in profile.metrics], "metric_name string")
     none = F.lit(None)
-    found = found.unionByName(
-        empty.select(*KEYS, none.cast("string").alias(SLICE[0]), none.cast("string").alias(SLICE[1]), F.lit(0).cast("long").alias("n_labeled"), "metric_name", none.cast("double").alias("value"), none.cast("string").alias("reason"))
+    empty = slots.join(F.broadcast(names)).select(
+        *at, none.cast("string").alias(SLICE[0]), none.cast("string").alias(SLICE[1]), F.lit(0).cast("long").alias("n_labeled"), "metric_name", none.cast("double").alias("value"), none.cast("string").alias("reason")
     )
+    most = F.max("n_labeled").over(Window.partitionBy(*at))  # over a slot's result rows
+    found = evaluate(slices(pairs, model), profile.metrics, by, model.score).unionByName(empty).withColumn("_most", most).where("n_labeled > 0 or _most = 0")
     least = F.when(F.col(SLICE[0]).isNull(), profile.min_window_size).otherwise(model.min_segment_size)
     scope = F.when(F.col(SLICE[0]).isNull(), F.lit("window")).otherwise(F.format_string("segment %s='%s'", *SLICE))
     small = F.when(F.col("n_labeled") < least, F.format_string("%s has %d labeled predictions, below configured minimum of %d", scope, "n_labeled", least))
     reason = F.coalesce(small, F.col("reason"))
     return found.select(
-        *by, "metric_name", F.when(reason.isNull(), "computed").otherwise("not_computable").alias("status"), F.when(reason.isNull(), F.col("value")).alias("metric_value"),
-        reason.alias("not_computable_reason"), "n_labeled", F.lit(retroactive).alias("is_retroactive"),
+        *KEYS, *SLICE, "metric_name", F.when(reason.isNull(), "computed").otherwise("not_computable").alias("status"), F.when(reason.isNull(), F.col("value")).alias("metric_value"),
+        reason.alias("not_computable_reason"), "n_labeled", *at[len(KEYS):],
     )
 
 
+def performance(predictions: DataFrame, labels: DataFrame, model: Model, profile: Profile, retroactive: bool = False) -> DataFrame:
+    """One row per window, slice with labelled rows, and configured metric; predictions carry ``KEYS``.
+
+    A window without any labelled row still gets its global rows.
+    """
+    found = _measured(labelled(predictions, labels, model.score), predictions.select(*KEYS).distinct(), model, profile)
+    return found.withColumn("is_retroactive", F.lit(retroactive))
+
+
+def performance_revisions(predictions: DataFrame, labels: DataFrame, model: Model, profile: Profile, early: str) -> DataFrame:
+    """:func:`performance` from labels that came within ``early`` of their prediction and, as ``is_retroactive``, from all: labels are joined and rows counted once for both."""
+    keys = ["model_id", "prediction_id"]
+    soon = F.col("received_at") < F.col("predicted_at") + F.expr(f"interval {interval(early)}")
+    newest = lambda at: F.max_by(F.struct("label_value"), at)
+    order = F.struct("received_at", "label_id")
+    known = labels.select(*keys, "label_id", "label_value", "received_at").join(predictions.select(*keys, "predicted_at"), keys)
+    both = known.groupBy(*keys).agg(newest(F.when(soon, order)).alias("_early"), newest(order).alias("_all"))
+    each = F.array(*[F.struct(F.lit(late).alias("late"), F.col(c).alias("l")) for c, late in (("_early", False), ("_all", True))])
+    pairs = predictions.where(F.col(model.score).isNotNull()).join(both, keys).withColumn("_l", F.explode(each)).where("_l.l is not null")
+    pairs = pairs.withColumns({"label_value": F.col("_l.l.label_value"), "is_retroactive": F.col("_l.late")}).drop("_early", "_all", "_l")
+    slots = predictions.select(*KEYS).distinct().withColumn("is_retroactive", F.explode(F.array(F.lit(False), F.lit(True))))
+    return _measured(pairs, slots, model, profile)
+
+
 def window_labels(predictions: DataFrame, labels: DataFrame, score: str = "prediction_score") -> DataFrame:
     """Per window: predictions, labelled predictions, newest label time."""
     n = predictions.groupBy(*KEYS).agg(F.count("*").alias("n_predictions"))

@@ -190,11 +190,9 @@ def window_labels(spark, sf_dir):
 
 def _revisions(spark, sf_dir):
     """Performance of each day as first computed (labels received within a day) and again when all had come."""
-    p = ev.predictions(spark, sf_dir).select("prediction_id", "predicted_at")
-    labels = ev.labels(spark, sf_dir)
-    early = labels.join(p, "prediction_id").where(F.col("received_at") < F.col("predicted_at") + F.expr("interval 24 hours")).drop("predicted_at")
-    one = lambda r, n: r.withColumns({"revision_id": F.lit(n).cast("long"), "computed_at": F.lit(n)})
-    return one(_performance(spark, sf_dir, early), 1).unionByName(one(_performance(spark, sf_dir).withColumn("is_retroactive", F.lit(True)), 2))
+    m = me.performance_revisions(ev.predictions(spark, sf_dir), ev.labels(spark, sf_dir), ev.EVENTS, ev.DAILY, "24h")
+    n = F.when(F.col("is_retroactive"), 2).otherwise(1)
+    return m.withColumns({"revision_id": n.cast("long"), "computed_at": n})
 
 
 def revisions_first_latest(spark, sf_dir):
@@ -209,10 +207,14 @@ def performance_timeline(spark, sf_dir):
 
 
 def _results(spark, sf_dir, *methods, gated=False):
-    """Drift results and their windows, every fifth day left out as if it had never been evaluated."""
-    r = ev.drift_of(spark, sf_dir, ev.only(*methods), gated=gated, methods=methods).where("day(window_start) % 5 <> 0")
+    """Drift results and their windows, as :func:`_evaluated`."""
+    return _evaluated(spark, sf_dir, ev.drift_of(spark, sf_dir, ev.only(*methods), gated=gated, methods=methods))
+
+
+def _evaluated(spark, sf_dir, results):
+    """Results and their windows, every fifth day left out as if it had never been evaluated."""
     _, live = ev.baseline_and_live(spark, sf_dir)
-    return r, live.select("model_id", "window_start", "window_end").distinct().where("day(window_start) % 5 <> 0")
+    return results.where("day(window_start) % 5 <> 0"), live.select("model_id", "window_start", "window_end").distinct().where("day(window_start) % 5 <> 0")
 
 
 def drift_timeline(spark, sf_dir):
@@ -526,9 +528,10 @@ def trace_export(spark, sf_dir):
 
 def run_trace(spark, sf_dir):
     """A run's history by window ordinals: every fifth day is missing and leaves a gap; points and alerts, unnested."""
-    r, w = _results(spark, sf_dir, "psi", gated=True)
+    gated, noisy = ev.drifts_of(spark, sf_dir, [(ev.only("psi"), True), (NOISY, False)], methods=("psi",))
+    r, w = _evaluated(spark, sf_dir, gated)
     revisions = _revisions(spark, sf_dir).where("metric_name = 'pr_auc' and window_start >= timestamp_ntz'2024-01-11' and day(window_start) % 5 <> 0")
-    t = rp.run_trace(w, r, revisions, al.alert_lifecycle(al.alert_events(_noisy(spark, sf_dir, "psi"), None, NOISY), NOISY), "1d")
+    t = rp.run_trace(w, r, revisions, al.alert_lifecycle(al.alert_events(noisy.withColumn("statistic", F.round("statistic", R6)), None, NOISY), NOISY), "1d")
     series = ["section", F.col("series.name").alias("name"), F.col("series.method").alias("method"), F.col("series.segment_dimension").alias("segment_dimension"), F.col("series.segment_value").alias("segment_value")]
     none = lambda t, n: F.lit(None).cast(t).alias(n)
     points = t.where("points is not null").select(*series, F.explode("points").alias("p")).select(*[c for c in ("section", "name", "method", *SLICE)], "p.i", "p.value", "p.status", "p.n", none("int", "escalated"), none("int", "resolved"), none("int", "last_seen"))

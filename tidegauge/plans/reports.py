@@ -249,14 +249,15 @@ def run_trace(windows: DataFrame, results: DataFrame, revisions: DataFrame, aler
     end = lambda c: (ordinal(F.col(c), F.col("t0"), duration) - 1).alias(c.removesuffix("_window"))
     points = lambda i, value, status, n, reason: F.struct(i.alias("i"), F.round(value, 4).alias("value"), F.col(status).alias("status"), F.col(n).alias("n"), F.col(reason).alias("reason"))
 
-    def listed(df: DataFrame, section: str, name: list[str], point: Column) -> DataFrame:
+    def listed(df: DataFrame, section: Column, name: list[str], point: Column) -> DataFrame:
         named = F.struct(*[F.col(c).cast("string").alias(n) for c, n in zip(name, ("name", "method", "segment_dimension", "segment_value"), strict=True)])
-        return df.join(F.broadcast(first), "model_id").select("model_id", F.lit(section).alias("section"), named.alias("series"), point.alias("p")).groupBy("model_id", "section", "series").agg(F.sort_array(F.collect_list("p")).alias("points"))
+        return df.join(F.broadcast(first), "model_id").select("model_id", section.alias("section"), named.alias("series"), point.alias("p")).groupBy("model_id", "section", "series").agg(F.sort_array(F.collect_list("p")).alias("points"))
 
-    drift = listed(results, "drift", ["feature_name", "test_method", "segment_dimension", "segment_value"], points(at, F.col("statistic"), "status", "n_live", "not_computable_reason"))
+    drift = listed(results, F.lit("drift"), ["feature_name", "test_method", "segment_dimension", "segment_value"], points(at, F.col("statistic"), "status", "n_live", "not_computable_reason"))
     both = first_and_latest_revision(revisions, [*METRIC_IDENTITY, "window_start"]).withColumn("_none", F.lit(None).cast("string"))
     value = points(at, F.col("metric_value"), "status", "n_labeled", "not_computable_reason")
-    parts = [drift, *(listed(both.where(F.col("revision") == r), s, ["metric_name", "_none", "segment_dimension", "segment_value"], value) for r, s in (("initial", "initial"), ("latest", "final")))]
+    # Both sections in one pass over the revisions.
+    parts = [drift, listed(both, F.when(F.col("revision") == "initial", "initial").otherwise("final"), ["metric_name", "_none", "segment_dimension", "segment_value"], value)]
     numbered = alerts.join(F.broadcast(first), "model_id").select(
         "model_id", F.lit("alert").alias("section"), F.struct(F.col("kind").alias("name"), F.col("signal_name").alias("method"), "segment_dimension", "segment_value").alias("series"),
         F.struct("feature_name", "status", end("opened_window"), end("escalated_window"), end("resolved_window"), end("last_seen_window"), F.round("evidence_statistic", 4).alias("evidence"), "evidence_threshold").alias("p"),
