@@ -328,3 +328,13 @@ def test_both_revisions_are_those_of_two_evaluations(spark, tmp_path):
     got = me.performance_revisions(p, labels, ev.EVENTS, ev.DAILY, "24h")
     rows = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
     assert got.columns == want.columns and rows(got) == rows(want) and len(rows(got)) > 20
+
+
+def test_edges_are_searched_once_a_value(spark):
+    """Parts take the bucket that is there: the plan of the counts filters the edges once (drift_simulated_floor, run_totals)."""
+    counts = spark.createDataFrame([(None, None, "x", float(i), None, 1) for i in range(50)], "segment_dimension string, segment_value string, feature_name string, num double, cat string, n long")
+    bins = spark.createDataFrame([("x", "continuous", [0.0, 10.0, 25.0, 40.0], None, None, 0)], "feature_name string, dtype string, edges array<double>, category string, position int, n_categories long")
+    got = dr.parted(counts, bins, ["x"], [])
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("filter(edges") == 1
+    want = counts.crossJoin(bins.select("edges")).select("num", col.bucket_of(F.col("num"), F.col("edges")).alias("b"), col.fine_bucket(F.col("num"), F.col("edges")).alias("p"))
+    assert sorted((r.num, r.bucket, r.part) for r in got.collect()) == sorted((r.num, r.b, r.p) for r in want.collect())

@@ -15,9 +15,12 @@ def bucket_of(value: Column, edges: Column) -> Column:
     return F.when(value == last, F.size(edges) - 1).otherwise(F.size(F.filter(edges, lambda e: e <= value)))
 
 
-def fine_bucket(value: Column, edges: Column, parts: int = 16) -> Column:
-    """A refinement of :func:`bucket_of` that rises with ``value``: even parts of each bin, and parts of growing width of the two open ends."""
-    b, n = bucket_of(value, edges), F.size(edges)
+def fine_bucket(value: Column, edges: Column, parts: int = 16, bucket: Column | None = None) -> Column:
+    """A refinement of :func:`bucket_of` that rises with ``value``: even parts of each bin, and parts of growing width of the two open ends.
+
+    It names the bucket several times: a column that holds it already spares searching the edges for each.
+    """
+    b, n = bucket_of(value, edges) if bucket is None else bucket, F.size(edges)
     at = lambda i: F.try_element_at(edges, i)
     lo, hi = at(F.lit(1)), at(F.lit(-1))
     span = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))

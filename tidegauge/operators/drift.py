@@ -68,7 +68,7 @@ def parted(counts: DataFrame, bins: DataFrame, names: list[str], keys: list[str]
     of others only the bucket is.
     """
     kept = F.col("feature_name").isin(names)
-    part = F.when(kept, col.fine_bucket(F.col("num"), F.col("edges")))
+    part = F.when(kept, col.fine_bucket(F.col("num"), F.col("edges"), bucket=F.col("bucket")))
     rows = bucketed(counts, bins).select(*keys, *SLICE, "feature_name", "bucket", part.alias("part"), F.when(kept, F.col("num")).alias("num"), "n")
     return rows.groupBy(*keys, *SLICE, "feature_name", "bucket", "part", "num").agg(F.sum("n").alias("n"))
 
