@@ -338,3 +338,14 @@ def test_edges_are_searched_once_a_value(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("filter(edges") == 1
     want = counts.crossJoin(bins.select("edges")).select("num", col.bucket_of(F.col("num"), F.col("edges")).alias("b"), col.fine_bucket(F.col("num"), F.col("edges")).alias("p"))
     assert sorted((r.num, r.bucket, r.part) for r in got.collect()) == sorted((r.num, r.b, r.p) for r in want.collect())
+
+
+def test_labelled_rows_are_joined_once(spark, tmp_path):
+    """Which windows have no labels is seen in the results: the plan that gives them joins no label again (run_totals)."""
+    from tidegauge.plans import events as ev
+
+    m = me.performance(ev.predictions(spark, small_events(spark, tmp_path)), ev.labels(spark, str(tmp_path)).where("prediction_id < 1000"), ev.EVENTS, ev.DAILY)
+    assert "received_at" not in m._jdf.queryExecution().optimizedPlan().toString()
+    empty = m.where("n_labeled = 0").collect()
+    assert {r.metric_name for r in empty} == {x.name for x in ev.METRICS} and all(r.segment_dimension is None and r.status == "not_computable" for r in empty) and len(empty) % len(ev.METRICS) == 0
+    assert m.where("n_labeled > 0").join(m.where("n_labeled = 0"), "window_start").count() == 0
