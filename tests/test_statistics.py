@@ -349,3 +349,32 @@ def test_labelled_rows_are_joined_once(spark, tmp_path):
     empty = m.where("n_labeled = 0").collect()
     assert {r.metric_name for r in empty} == {x.name for x in ev.METRICS} and all(r.segment_dimension is None and r.status == "not_computable" for r in empty) and len(empty) % len(ev.METRICS) == 0
     assert m.where("n_labeled > 0").join(m.where("n_labeled = 0"), "window_start").count() == 0
+
+
+def test_rows_are_multiplied_by_numbers_and_labels_sorted_once(spark, tmp_path):
+    """No struct is built a row and slice, no Python worker starts for names, and grouping and join of labels share an exchange and a sort (run_totals)."""
+    from tidegauge.plans import events as ev
+
+    p, labels = ev.predictions(spark, small_events(spark, tmp_path)), ev.labels(spark, str(tmp_path))
+    model = Model((Feature("value", "continuous"), Feature("flag", "categorical"), Feature("event_type", "categorical")), ("event_type", "flag"), score=None)
+    rows = p.withColumn("flag", F.expr("if(prediction_id % 3 = 0, null, prediction_id % 2 = 0)"))
+    counted = pf.value_counts(rows, model, ["window_start"])
+    want = {}
+    for r in rows.collect():
+        said = {"value": r.value, "flag": None if r.flag is None else str(r.flag), "event_type": r.event_type, pf.ROWS: ""}
+        for d in (None, "event_type", "flag"):
+            for f, v in said.items():
+                if v is not None and d != f and (d is None or said[d] is not None):
+                    key = (r.window_start, d, d and said[d], f, v if f == "value" else None, v if f in ("flag", "event_type") else None)
+                    want[key] = want.get(key, 0) + 1
+    assert {tuple(r)[:-1]: r.n for r in counted.collect()} == want
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "explode(array(" not in plan(counted) and "explode([" in plan(counted)
+    assert "ExistingRDD" not in plan(pf.frozen_bins(p, model, counted=counted))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = plan(me.labelled(p, labels))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert found.count("Exchange hash") == 2 and found.count("- Sort [") == 2

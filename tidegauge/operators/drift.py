@@ -18,6 +18,7 @@ from tidegauge.functions import columns as col
 from tidegauge.functions.special import chi2_tail, kolmogorov_p, kolmogorov_ppf
 from tidegauge.operators.correction import benjamini_hochberg
 from tidegauge.operators.profile import ROWS, SLICE, bucketed, ceiling_at, value_counts
+from tidegauge.operators.shape import listed
 from tidegauge.sources.scratch import written
 
 KEYS = ["model_id", "window_start", "window_end"]
@@ -127,8 +128,7 @@ def drift(
     taken anew where they are not given.
     With ``gated=False`` statistics are given however small the samples.
     """
-    spark = live.sparkSession
-    tests = spark.createDataFrame(signals(model, profile), "feature_name string, test_method string")
+    tests = listed(live.sparkSession, signals(model, profile), "feature_name: string, test_method: string")
     names = _by_value(model, profile)
     counts = live_counts(live, bins, model, profile) if counts is None else counts
     counted = value_counts(baseline, model, []) if counted is None else counted

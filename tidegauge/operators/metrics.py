@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.config import Metric, Model, Profile, interval
 from tidegauge.operators.profile import SLICE
-from tidegauge.operators.shape import slices
+from tidegauge.operators.shape import listed, slices
 from tidegauge.sources.scratch import written
 
 KEYS = ["model_id", "window_start", "window_end"]
@@ -72,9 +72,16 @@ def latest_label(labels: DataFrame, keys: tuple[str, ...] = ("model_id", "predic
 
 
 def labelled(predictions: DataFrame, labels: DataFrame, score: str = "prediction_score") -> DataFrame:
-    """Scored predictions with their latest label."""
-    newest = latest_label(labels).select("model_id", "prediction_id", "label_value", "received_at")
-    return predictions.where(F.col(score).isNotNull()).join(newest, ["model_id", "prediction_id"])
+    """Scored predictions with their latest label.
+
+    Labels are dealt by prediction before they are compared, as few of one prediction
+    lie in one task; where all rows are one model's, grouping and join then share this
+    one exchange and its sort (among several models the join deals them once more).
+    """
+    keys = ["prediction_id", "model_id"]
+    newest = latest_label(labels.repartition(keys[0]), tuple(keys)).select(*keys, "label_value", "received_at")
+    rest = [c for c in predictions.columns if c not in keys]
+    return predictions.where(F.col(score).isNotNull()).join(newest, keys).select("model_id", "prediction_id", *rest, "label_value", "received_at")
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -230,7 +237,7 @@ def _measured(pairs: DataFrame, slots: DataFrame, model: Model, profile: Profile
     """
     at = slots.columns
     by = [*at, *SLICE]
-    names = slots.sparkSession.createDataFrame([(m.name,) for m in profile.metrics], "metric_name string")
+    names = listed(slots.sparkSession, [(m.name,) for m in profile.metrics], "metric_name: string")
     none = F.lit(None)
     empty = slots.join(F.broadcast(names)).select(
         *at, none.cast("string").alias(SLICE[0]), none.cast("string").alias(SLICE[1]), F.lit(0).cast("long").alias("n_labeled"), "metric_name", none.cast("double").alias("value"), none.cast("string").alias("reason")

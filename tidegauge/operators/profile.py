@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.config import SCORE, Model
-from tidegauge.functions.columns import bucket_of, dense, jsd, psi
+from tidegauge.functions.columns import bucket_of, dense, jsd, psi, python_str
 from tidegauge.functions.special import chi2_quantile
-from tidegauge.operators.shape import long_features, slices
+from tidegauge.operators.shape import chosen, listed
 from tidegauge.sources.scratch import written
 
 SLICE = ["segment_dimension", "segment_value"]
@@ -33,11 +33,24 @@ def value_counts(df: DataFrame, model: Model, keys: list[str]) -> DataFrame:
     """``keys, segment, feature_name, num, cat, n``: the values of each slice, and its rows under the name ``ROWS``.
 
     A feature is left out in its own dimension.  One pass over ``df``; counts are
-    added up before the shuffle.
+    added up before the shuffle, by the number of each pair of dimension and feature,
+    whose names follow.
     """
-    by = [*keys, *SLICE]
-    rows = long_features(slices(df, model), model, by, ROWS).where("segment_dimension is null or segment_dimension <> feature_name")
-    return rows.groupBy(*by, "feature_name", "num", "cat").agg(F.count("*").alias("n"))
+    kinds = dict(df.dtypes)
+    dims = [None, *model.segment_dimensions]
+    features = [(f.name, f.name, f.dtype == "continuous") for f in model.features] + ([(SCORE, model.score, True)] if model.score else [])
+    names = [name for name, _, _ in features] + [ROWS]
+    pairs = [(d, f) for d in range(len(dims)) for f in range(len(names)) if dims[d] != names[f]]
+    of = lambda i, x: [k for k, p in enumerate(pairs) if p[i] == x]
+    values = [F.col(c).cast("double") if continuous else python_str(F.col(c), kinds[c]) for _, c, continuous in features]
+    wide = df.select(*keys, *[python_str(F.col(d), kinds[d]).alias(f"_d{i}") for i, d in enumerate(dims) if d], *[v.alias(f"_f{i}") for i, v in enumerate(values)], F.explode(F.lit(list(range(len(pairs))))).alias("_p"))
+    typed = lambda continuous: [(of(1, i), F.col(f"_f{i}")) for i, f in enumerate(features) if f[2] == continuous]
+    segment = chosen("_p", [(of(0, i), F.col(f"_d{i}")) for i in range(1, len(dims))], "string").alias("segment_value")
+    rows = wide.select(*keys, "_p", segment, chosen("_p", typed(True), "double").alias("num"), chosen("_p", typed(False), "string").alias("cat"))
+    rows = rows.where((F.col("num").isNotNull() | F.col("cat").isNotNull() | F.col("_p").isin(of(1, len(features)))) & (F.col("segment_value").isNotNull() | F.col("_p").isin(of(0, 0))))
+    counted = rows.groupBy(*keys, "_p", "segment_value", "num", "cat").agg(F.count("*").alias("n"))
+    dimension = chosen("_p", [(of(0, i), F.lit(d)) for i, d in enumerate(dims) if d], "string").alias("segment_dimension")
+    return counted.select(*keys, dimension, "segment_value", chosen("_p", [(of(1, i), F.lit(n)) for i, n in enumerate(names)], "string").alias("feature_name"), "num", "cat", "n")
 
 
 def counted_once(baseline: DataFrame, model: Model) -> DataFrame:
@@ -91,7 +104,7 @@ def frozen_bins(baseline: DataFrame, model: Model, bins: int = BINS, approximate
     lo, hi = F.element_at("q", 1), F.element_at("q", -1)
     edges = q.select("feature_name", F.when(lo == hi, F.array(lo, hi)).otherwise(F.array_distinct("q")).alias("edges"))
     names = [(f.name, f.dtype) for f in model.features] + ([(SCORE, "continuous")] if model.score else [])
-    declared = F.broadcast(baseline.sparkSession.createDataFrame(names, "feature_name string, dtype string"))
+    declared = F.broadcast(listed(baseline.sparkSession, names, "feature_name: string, dtype: string"))
     categories = rows.where("cat is not null").select("feature_name", F.col("cat").alias("category"))
     order = Window.partitionBy("feature_name")
     categories = categories.withColumns({"position": F.row_number().over(order.orderBy("category")) - 1, "n_categories": F.count("*").over(order)})

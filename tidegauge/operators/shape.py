@@ -1,11 +1,11 @@
-"""Windows, segments and the long form of features."""
+"""Windows, segments, and tables of literals."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.config import SCORE, Model, interval
+from tidegauge.config import Model, interval
 from tidegauge.functions.columns import python_str
 
 
@@ -41,30 +41,29 @@ def calendar_range(first_day: str, last_day: str) -> tuple[Column, Column]:
     return F.to_timestamp(F.lit(first_day)), F.date_add(F.to_date(F.lit(last_day)), 1).cast("timestamp")
 
 
-def slices(df: DataFrame, model: Model) -> DataFrame:
-    """Each row once for the whole and once for each non-null segment value; not a cube."""
-    kinds = dict(df.dtypes)
-    none = F.struct(F.lit(None).cast("string").alias("d"), F.lit(None).cast("string").alias("v"))
-    each = [F.struct(F.lit(d).alias("d"), python_str(F.col(d), kinds[d]).alias("v")) for d in model.segment_dimensions]
-    out = df.withColumn("_s", F.explode(F.array(none, *each))).where("_s.d is null or _s.v is not null")
-    return out.withColumns({"segment_dimension": F.col("_s.d"), "segment_value": F.col("_s.v")}).drop("_s")
+def chosen(at: str, options: list[tuple[list[int], Column]], dtype: str) -> Column:
+    """The value of the option that lists the number in column ``at``, or null."""
+    out = F.when(F.lit(False), F.lit(None).cast(dtype))
+    for numbers, value in options:
+        out = out.when(F.col(at).isin(numbers), value)
+    return out
 
 
-def long_features(df: DataFrame, model: Model, keys: list[str], rows: str | None = None) -> DataFrame:
-    """``keys, feature_name, num, cat``: one row per non-null declared feature (and score), and one without values under the name ``rows``."""
-    kinds = dict(df.dtypes)
+def listed(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows known beforehand, as literals: no Python worker starts for them."""
+    names = [c.split(":")[0].strip() for c in schema.split(",")]
+    structs = [F.struct(*[F.lit(x).alias(n) for n, x in zip(names, r, strict=True)]) for r in rows]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs).cast(f"array<struct<{schema}>>")))
+
 
-    def entry(name: str, col: str, continuous: bool):
-        return F.struct(
-            F.lit(name).alias("feature_name"),
-            (F.col(col).cast("double") if continuous else F.lit(None).cast("double")).alias("num"),
-            (F.lit(None).cast("string") if continuous else python_str(F.col(col), kinds[col])).alias("cat"),
-        )
-
-    entries = [entry(f.name, f.name, f.dtype == "continuous") for f in model.features]
-    if model.score:
-        entries.append(entry(SCORE, model.score, True))
-    if rows:
-        entries.append(F.struct(F.lit(rows).alias("feature_name"), F.lit(None).cast("double").alias("num"), F.lit(None).cast("string").alias("cat")))
-    out = df.select(*keys, F.explode(F.array(*entries)).alias("_f")).select(*keys, "_f.*")
-    return out.where(F.col("num").isNotNull() | F.col("cat").isNotNull() | (F.col("feature_name") == F.lit(rows)))
+def slices(df: DataFrame, model: Model) -> DataFrame:
+    """Each row once for the whole and once for each non-null segment value; not a cube.
+
+    Rows are multiplied by numbers, from which dimension and value follow: an array of structs would be built anew for each.
+    """
+    kinds = dict(df.dtypes)
+    dims = list(enumerate(model.segment_dimensions, 1))
+    out = df.withColumn("_s", F.explode(F.lit(list(range(len(dims) + 1)))))
+    names, values = [([i], F.lit(d)) for i, d in dims], [([i], python_str(F.col(d), kinds[d])) for i, d in dims]
+    out = out.withColumns({"segment_dimension": chosen("_s", names, "string"), "segment_value": chosen("_s", values, "string")})
+    return out.where("_s = 0 or segment_value is not null").drop("_s")
