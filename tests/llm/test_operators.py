@@ -745,6 +745,22 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.contamination(none, bench).count() == 0 and decontaminate.contamination(odd, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_sorts_no_words(spark):
+    """Past 128 rows a task the aggregation by row sorts its input in memory: that input has no words of the texts."""
+    item = " ".join(f"q{i}" for i in range(30))
+    bench = spark.createDataFrame([("a", item), ("b", "tiny item")], "item_id string, text string")
+    texts = {i: " ".join([*(f"w{j * 7 % 50}" for j in range(i % 90)), *[item] * (i % 3), *["tiny item"] * (i % 5 == 0)]) for i in range(400)}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.contamination(d, bench).collect()}
+    assert got == {i: (len(t.split()), 30 * (i % 3) + 2 * (i % 5 == 0), ["a"] * (i % 3 > 0) + ["b"] * (i % 5 == 0)) for i, t in texts.items()}
+    words = d.select(F.monotonically_increasing_id().alias("_row"), F.struct("doc_id").alias("doc"), decontaminate._words("text").alias("_w"))
+    plan = decontaminate._hits_by_broadcast(words, decontaminate.item_windows(bench).drop("classes"), [2, 13])._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Aggregate":
+        plan = plan.children().head()
+    read = re.findall(r"(\w+)#", plan.child().output().mkString(" "))
+    assert "_row" in read and "_w" not in read
+
+
 def slow_contaminated(rows, items):
     """Ids of the texts that hold benchmark passages, word by word."""
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m.group().lower(), t or ""))

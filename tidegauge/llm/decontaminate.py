@@ -160,10 +160,17 @@ def _hits_by_broadcast(words: DataFrame, probe: DataFrame, ks: list[int]) -> Dat
         "left",
     )
     at = at.where(F.col("known") | ((F.col("d.p") == 0) & (F.col("d.k") == ks[0])))
+    # The words stay behind here: an aggregation with lists sorts its rows in memory, and would hold a task's whole text.
+    at = at.select(
+        "_row",
+        F.when(F.col("d.p") == 0, F.col("doc")).alias("doc"),
+        F.size("_w").cast("long").alias("n_words"),
+        F.when(F.col("known"), F.struct(F.col("d.p").alias("p"), F.col("d.k").alias("k"), F.col("d.wid").alias("wid"))).alias("hit"),
+    )
     return at.groupBy("_row").agg(
-        F.first(F.when(F.col("d.p") == 0, F.col("doc")), ignorenulls=True).alias("doc"),
-        F.max(F.size("_w")).cast("long").alias("n_words"),
-        F.sort_array(F.collect_list(F.when(F.col("known"), F.struct(F.col("d.p").alias("p"), F.col("d.k").alias("k"), F.col("d.wid").alias("wid"))))).alias("_hits"),
+        F.first("doc", ignorenulls=True).alias("doc"),
+        F.max("n_words").alias("n_words"),
+        F.sort_array(F.collect_list("hit")).alias("_hits"),
     )
 
 
